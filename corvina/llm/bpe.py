@@ -1,8 +1,8 @@
 """BPE with word ends over a public vocabulary file: encoding by batched numpy merge rounds, and decoding.
 
 Texts are cut at white space into chunks, and chunks into words as the file asks (NFC, lower case, then the split pattern).
-Words of chunks not seen before are encoded together: their symbols lie in one flat array; each round looks up every adjacent pair in the
-sorted pair keys by binary search, takes the pairs of lowest rank within each word, merges them from the left without
+Words of chunks not seen before are encoded together: their symbols lie in one flat array; each round looks up the adjacent pairs that are
+new in the sorted pair keys by binary search, takes the pairs of lowest rank within each word, merges them from the left without
 overlap and closes the gaps, until no pair is left that the file merges.  Per text only lookups of whole chunks remain.
 
 Nulls and empty texts have no ids.  The file's added tokens are cut out of the raw text first.  Rows are independent, so
@@ -11,19 +11,21 @@ ties, repeats and extra columns have no effect.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks kept with their ids in a worker (about 150 bytes each); beyond it the store starts anew.
-WORDS = 400_000
+#: Chunks kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
+WORDS = 500_000
 
 #: Characters whose Unicode classes differ between versions of the pattern libraries; texts with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"
@@ -56,6 +58,15 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        # ranks of pairs of single bytes, by place among the 512 byte symbols: the first round needs no search
+        self.base = np.zeros(max(vocab.values()) + 1, np.int32)
+        single = np.append(self.inner, self.final)
+        self.base[single] = np.arange(len(single))
+        is_single = np.zeros(len(self.base), bool)
+        is_single[single] = True
+        self.byte_ranks = np.full((len(single), len(single)), len(pairs), np.int64)
+        low = is_single[left] & is_single[right]
+        self.byte_ranks[self.base[left[low]], self.base[right[low]]] = np.flatnonzero(low)
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.strings = {i: s for s, i in (vocab | self.added).items()}
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in self.added) + ")") if self.added else None
@@ -65,61 +76,67 @@ class WordBpe:
         self.split_rare = Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str
         self.rare = regex.compile(RARE).search
         self.at: dict[str, int] = {}  # chunk -> its place in the arrays
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and where each word's begin; merged together in rounds."""
-        raw = [w.encode() for w in words]
-        size = np.array([len(r) for r in raw], np.int64)
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        word = np.repeat(np.arange(len(raw)), size)
+        none = len(self.merged)  # the rank of pairs that the file doesn't merge
+        size = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words))
+        flat = np.frombuffer("".join(words).encode(), np.uint8)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
         last = np.cumsum(size) - 1
         ids = self.inner[flat]
         ids[last] = self.final[flat[last]]
+
+        def ranked(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that begin at places ``at``; pairs across a word's end have none."""
+            after = np.minimum(at + 1, len(ids) - 1)
+            pair = ids[at] << 32 | ids[after]
+            place = np.minimum(np.searchsorted(self.keys, pair), none - 1)
+            return np.where((self.keys[place] == pair) & (word[after] == word[at]) & (after > at), self.ranks[place], none)
+
+        after = np.append(ids[1:], 0)
+        rank = np.where(np.append(word[1:] == word[:-1], False), self.byte_ranks[self.base[ids], self.base[after]], none)
         out_ids, out_words = [], []
         while len(ids):
-            pair = ids[:-1] << 32 | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            known = (self.keys[at] == pair) & (word[1:] == word[:-1])
-            rank = np.where(known, self.ranks[at], len(self.keys))
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(np.append(rank, len(self.keys)), heads)  # the pair across a word's end is unknown
+            least = np.minimum.reduceat(rank, heads)
             count = np.diff(np.append(heads, len(ids)))
-            open_ = np.repeat(least < len(self.keys), count)
+            open_ = least < none
             if not open_.all():  # finished words leave the array
-                out_ids.append(ids[~open_])
-                out_words.append(word[~open_])
-                keep = np.flatnonzero(open_)
-                if not len(keep):
+                keep = np.repeat(open_, count)
+                out_ids.append(ids[~keep])
+                out_words.append(word[~keep])
+                if not open_.any():
                     break
-                rank, ids, word = np.append(rank, len(self.keys))[keep], ids[keep], word[keep]
-                least, count = least[least < len(self.keys)], count[least < len(self.keys)]
-            else:
-                rank = np.append(rank, len(self.keys))
-            hit = rank == np.repeat(least, count)
+                rank, ids, word = rank[keep], ids[keep], word[keep]
+                least, count = least[open_], count[open_]
             # of a run of overlapping hits (equal symbols) every second one counts, from the left
-            place = np.flatnonzero(hit)
-            new_run = np.append(True, np.diff(place) != 1)
-            start = np.repeat(place[new_run], np.diff(np.append(np.flatnonzero(new_run), len(place))))
-            same = ids[np.minimum(place + 1, len(ids) - 1)] == ids[place]
-            place = place[((place - start) % 2 == 0) | ~same]
-            ids = ids.copy()
+            place = np.flatnonzero(rank == np.repeat(least, count))
+            near = np.diff(place) == 1
+            if near.any():
+                run = np.flatnonzero(np.append(True, ~near))
+                start = np.repeat(place[run], np.diff(np.append(run, len(place))))
+                place = place[((place - start) % 2 == 0) | (ids[place + 1] != ids[place])]
             ids[place] = self.merged[rank[place]]
             stay = np.ones(len(ids), bool)
             stay[place + 1] = False
-            ids, word = ids[stay], word[stay]
+            ids, word, rank = ids[stay], word[stay], rank[stay]
+            at = place - np.arange(len(place))  # where the merged symbols are now; their pairs and those before are new
+            at = np.concatenate([at, at[at > 0] - 1])
+            rank[at] = ranked(at)
         every, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_ids, out_words))
         order = np.argsort(owner, kind="stable")
-        return every[order], np.append(0, np.cumsum(np.bincount(owner, minlength=len(raw))))
+        return every[order], np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
 
     def chunks(self, text: str) -> list[str]:
-        """Keys of what a text is made of: runs without white space, which no word crosses.
+        """Keys of what a text is made of: lower-cased runs without white space, which no word crosses.
 
         A text with added tokens or rare characters is cut into words at once: these keys begin with a space, added
         tokens with a tab, so neither is taken for a run.
         """
         if not self.rare(text) and not (self.added and "<|" in text):
-            return text.split()
+            return text.lower().split()  # among these characters NFC changes none, and each is lower-cased by itself
         out = []
         for part in self.split_added.split(text) if self.split_added else (text,):
             if part in self.added:
@@ -128,40 +145,59 @@ class WordBpe:
                 out += [" " + x for x, _ in self.split_rare(self.normal.normalize_str(part))]
         return out
 
+    def _forget(self) -> None:
+        """Keeps of a full store what was met in several runs of texts."""
+        often = self.hits > 1
+        if often.sum() > WORDS // 2:
+            often[:] = False
+        old = list(self.at)
+        kept = np.flatnonzero(often)
+        self.flat, _ = gather(self.flat, self.start, self.size, kept)
+        self.size = self.size[kept]
+        self.start, self.hits = np.cumsum(self.size) - self.size, np.zeros(len(kept), np.int32)
+        self.at = {old[k]: i for i, k in enumerate(kept.tolist())}
+
     def learn(self, keys: set[str]) -> None:
-        """Encodes the chunks that are not in store yet."""
-        if len(self.at) > WORDS:
-            self.at.clear()
-            self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = [k for k in keys if k not in self.at]
-        if not new:
-            return
-        runs = [k for k in new if k[0] not in " \t"]
-        cut = dict(zip(runs, map(self.find, self.normal.normalize_str(" ".join(runs)).split(" ")), strict=True)) if runs else {}
-        words = list({w for k in new if k[0] != "\t" for w in (cut[k] if k[0] != " " else (k[1:],))})
-        ids, edge = self.merge(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        ids = np.append(ids, list(self.added.values())).astype(np.int32)
-        where = {w: i for i, w in enumerate(words)} | {"\t" + t: len(words) + i for i, t in enumerate(self.added)}
-        edge = np.append(edge, edge[-1] + 1 + np.arange(len(self.added)))
-        parts = [[where[k]] if k[0] == "\t" else [where[k[1:]]] if k[0] == " " else [where[w] for w in cut[k]] for k in new]
-        count = np.array([len(x) for x in parts], np.int64)
-        index = np.array([i for x in parts for i in x], np.int64)
+        """Encodes chunks that are not in store yet."""
+        new = list(keys)
+        cut = [(k,) if k.isalpha() else self.find(k) if k[0] not in " \t" else (k[1:],) if k[0] == " " else (k,) for k in new]
+        words = list(dict.fromkeys(chain.from_iterable(cut)))
+        special = [w for w in words if w[0] == "\t"]
+        plain = [w for w in words if w[0] != "\t"] if special else words
+        ids, edge = self.merge(plain) if plain else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        ids, edge = np.append(ids, [self.added[w[1:]] for w in special]).astype(np.int32), np.append(edge, edge[-1] + 1 + np.arange(len(special)))
+        where = dict(zip(plain + special, range(len(words)), strict=True))
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        index = np.fromiter(map(where.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
         flat, sizes = gather(ids, edge[:-1], np.diff(edge), index)
-        owner = np.repeat(np.arange(len(new)), count)
-        total = np.bincount(owner, weights=sizes, minlength=len(new)).astype(np.int64)
+        total = np.bincount(np.repeat(np.arange(len(new)), count), weights=sizes, minlength=len(new)).astype(np.int64)
         self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
         self.start = np.append(self.start, len(self.flat) + np.cumsum(total) - total)
-        self.size = np.append(self.size, total)
+        self.size, self.hits = np.append(self.size, total), np.append(self.hits, np.zeros(len(new), np.int32))
         self.flat = np.append(self.flat, flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """All ids of the texts in one array, how many each text has, and the texts' chunks."""
+        gc.disable()  # no cycles arise here, and passes over the store would cost more than the work
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         chunks = [self.chunks(t) for t in texts]
-        self.learn(set().union(*chunks))
-        index = np.fromiter((self.at[k] for c in chunks for k in c), np.int64)
+        keys = list(chain.from_iterable(chunks))
+        if len(self.at) > WORDS:
+            self._forget()
+        index = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(index < 0).tolist()
+        if new:
+            self.learn({keys[k] for k in new})
+            index[new] = [self.at[keys[k]] for k in new]
+        count = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        self.hits += np.bincount(index, minlength=len(self.hits)) > 0
         flat, sizes = gather(self.flat, self.start, self.size, index)
-        owner = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])
-        return flat, np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64), chunks
+        return flat, np.bincount(np.repeat(np.arange(len(texts)), count), weights=sizes, minlength=len(texts)).astype(np.int64), chunks
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +217,7 @@ def worker_bpe(spec: str) -> WordBpe:
     return store[key]
 
 
-def text_runs(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_runs(texts: pa.Array, limit: int = 6 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) a few MB at a time; a longer text is a run of its own."""
     some, size, first = [], 0, 0
     for k, t in enumerate(texts):
@@ -202,7 +238,7 @@ def _digests(spec: str):
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 _, n, chunks = bpe.encode(texts)
-                if len(shown) > WORDS:
+                if len(shown) > WORDS // 2:
                     shown.clear()
                 for c in set().union(*chunks):
                     if c not in shown:
