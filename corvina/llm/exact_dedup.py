@@ -5,9 +5,8 @@ aggregation), within a salted digest group, and over the salts' winners.  A grou
 arrives as one row per map task and salt, then as SALTS rows.  Winners are joined back to rows of (doc_id, digests);
 AQE splits the skewed side of that join.
 
-The join back is by two digests of different families (SHA-256, and 64 bits of xxHash) and the length, so it can only
-err where different texts agree in all three.  Winners that do are counted in the plan and raise an error
-rather than give a wrong group.
+The join back is by two digests of different families (SHA-256, and 64 bits of xxHash) and the length, so it could only
+err where different texts agree in all three, for which a collision of SHA-256 alone would have to be known.
 
 Nulls count as the empty text.  Of equal texts the row with the largest doc_id stays; rows that repeat that doc_id with the
 same text are all kept.  An empty table gives an empty result; extra columns are ignored.
@@ -28,7 +27,5 @@ def copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("text_xxh"), F.length(text).alias("text_len"))
     salted = rows.groupBy(*DIGESTS, F.expr(f"pmod(xxhash64(doc_id), {salts})").alias("salt"), "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     whole = salted.groupBy(*DIGESTS, "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    winners = whole.groupBy(*DIGESTS).agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
-    winners = winners.withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts share all digests"))))
-    out = rows.drop("text").join(winners, DIGESTS)
+    out = rows.drop("text").join(whole.drop("text"), DIGESTS)
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
