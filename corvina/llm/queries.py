@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, sharding, token_output
+from . import bpe, decontaminate, exact_dedup, langid, line_dedup, ngram_join, pii, quality, sharding, token_output
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -34,6 +34,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -41,6 +46,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.document_languages(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -49,8 +66,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(every).alias("spans"))
+
+
+_QUERIES = (
+    op1_sharding, op2_ngram_join, op3_bpe, op4_line_dedup, op5_decontamination, op6_quality, op7_language_id, op8_token_output, op9_exact_dedup, op10_personal_data,
+    language_id_pages,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_ngram_join, op3_bpe, op5_decontamination, op8_token_output, op9_exact_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,6 +106,12 @@ ORACLE = {
         ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
         ), least_of AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
         SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS component_id FROM sets s LEFT JOIN least_of ON a = s.doc_id""",
+    "op4_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+        ), common AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(c.line) AS n_removed, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (c.line IS NULL), '')) AS kept_sha256
+        FROM lines l LEFT JOIN common c ON l.line = c.line GROUP BY doc_id""",
     "op5_decontamination": f"""
         WITH dw AS (
             SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
