@@ -14,6 +14,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
-WORDS = 500_000
+WORDS = 900_000
 
 #: Characters whose Unicode classes differ between versions of the pattern libraries; texts with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"
@@ -74,7 +75,7 @@ class WordBpe:
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
         self.split_rare = Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str
-        self.rare = regex.compile(RARE).search
+        self.rare, self.rare_ascii = regex.compile(RARE).search, re.compile("[\x1c-\x1f]").search
         self.at: dict[str, int] = {}  # chunk -> its place in the arrays
         self.flat, self.start, self.size, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -135,7 +136,7 @@ class WordBpe:
         A text with added tokens or rare characters is cut into words at once: these keys begin with a space, added
         tokens with a tab, so neither is taken for a run.
         """
-        if not self.rare(text) and not (self.added and "<|" in text):
+        if not (self.rare_ascii if text.isascii() else self.rare)(text) and not (self.added and "<|" in text):
             return text.lower().split()  # among these characters NFC changes none, and each is lower-cased by itself
         out = []
         for part in self.split_added.split(text) if self.split_added else (text,):
@@ -238,7 +239,7 @@ def _digests(spec: str):
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 _, n, chunks = bpe.encode(texts)
-                if len(shown) > WORDS // 2:
+                if len(shown) > WORDS // 4:
                     shown.clear()
                 for c in set().union(*chunks):
                     if c not in shown:
