@@ -21,6 +21,7 @@ from .common import LOWER, UPPER
 SPAN, GRAM = 10, 5
 #: A test fingerprint with its words takes under 400 bytes, so this is a bound of about 100 MB.
 BROADCAST = 250_000
+SELF = -(1 << 62)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -57,15 +58,18 @@ def _hits(docs: DataFrame, items: DataFrame, span: int) -> DataFrame:
     tests = tests.select("item_id", F.col("w").alias("v"), F.posexplode("fp").alias("q", "fp")).filter("fp is not null")
     tests = tests.select("fp", "item_id", F.expr(f"transform(filter(sequence(greatest(q - {back}, 0), q), s -> s + {span} <= size(v)), s -> struct(s - q as at, slice(v, s + 1, {span}) as words))").alias("spans"))
     small = tests.count() <= BROADCAST
+    # A fingerprint of its own, met by one row without an item, stands for the document itself: one join gives hits and documents.
+    tests = tests.union(docs.sparkSession.range(1).select(F.lit(SELF).alias("fp"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.expr("cast(array() as array<struct<at:int,words:array<string>>>)").alias("spans")))
+    near = F.expr(f"slice(w, greatest(p - {back}, 0) + 1, {back + span})").alias("near")  # the words that a hit can extend over
     marked = fingerprinted(docs, span)
-    places = marked.select("doc_id", "own", *(["w"] if small else []), F.size("w").cast("long").alias("n_words"), F.posexplode(F.expr("array_insert(fp, 1, cast(null as bigint))")).alias("p", "fp"))
-    places = places.filter("fp is not null or p = 0").withColumn("p", F.col("p") - 1)
-    found = places.join(F.broadcast(tests) if small else tests, "fp", "left").filter("item_id is not null or p < 0")
-    if not small:  # texts are not carried through a shuffle of fingerprints, but joined to what was found
-        found = found.join(marked.select("doc_id", "own", "w"), ["doc_id", "own"])
-    starts = f"transform(filter(spans, s -> p + s.at >= 0 and slice(w, greatest(p + s.at, 0) + 1, {span}) = s.words), s -> p + s.at)"
-    found = found.select("doc_id", "own", "n_words", "p", "item_id", F.expr(f"coalesce({starts}, cast(array() as array<int>))").alias("starts"), F.lit(span).alias("span"))
-    return found.filter("p < 0 or size(starts) > 0")
+    places = marked.select("doc_id", "own", "w", F.size("w").cast("long").alias("n_words"), F.posexplode(F.expr(f"array_insert(fp, 1, {SELF}L)")).alias("q", "fp")).filter("fp is not null").withColumn("p", F.col("q") - 1)
+    if small:
+        found = places.select("doc_id", "own", "n_words", "p", "fp", near).join(F.broadcast(tests), "fp")
+    else:  # no words are carried through a shuffle of fingerprints; they are joined to what was found
+        found = places.select("doc_id", "own", "n_words", "p", "fp").join(tests, "fp").join(marked.select("doc_id", "own", "w"), ["doc_id", "own"]).withColumn("near", near)
+    at = f"p + s.at - greatest(p - {back}, 0)"
+    starts = F.expr(f"transform(filter(spans, s -> p + s.at >= 0 and slice(near, greatest({at}, 0) + 1, {span}) = s.words), s -> p + s.at)")
+    return found.select("doc_id", "own", "n_words", "p", "item_id", starts.alias("starts"), F.lit(span).alias("span")).filter("p < 0 or size(starts) > 0")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
