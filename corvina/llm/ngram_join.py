@@ -35,7 +35,7 @@ from . import textbytes as tb
 from .common import join_ids, saved
 
 #: Shingles to a packed chunk, shingles to a bucket of the exchange (both bound a task's memory), rows to a block of open pairs.
-CHUNK, BUCKET, BLOCK = 3_000_000, 2_000_000, 1024
+CHUNK, BUCKET, BLOCK = 1_500_000, 2_000_000, 1024
 PIVOT_ROUNDS = 3
 COUNTED = 0xFFFF
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP = 4 << 20
+STEP = 1 << 20
 
 _rng = np.random.default_rng(20240607)
 BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
