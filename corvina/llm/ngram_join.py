@@ -57,7 +57,15 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "n", "tokens"])
+        n = np.array([len(s) for s in sets], np.int64)
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), tokens], ["doc_id", "n", "tokens"])
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and how many each row has."""
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in column.chunks]) if column.num_chunks else np.zeros(0, np.int64)
+    return pa.chunked_array([c.flatten() for c in column.chunks], pa.int64()).to_numpy().view(np.uint64), sizes
 
 
 def _runs(sorted_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +149,7 @@ def _shared_counts(table: pa.Table) -> pa.Table:
 
 def _chunk_counts(bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        tokens = np.sort(np.concatenate([np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]))
+        tokens = np.sort(_flat(table.column("tokens"))[0])
         at = np.flatnonzero(_runs(tokens)[0])
         count, tokens = np.diff(np.append(at, len(tokens))).astype(np.uint32), tokens[at]
         edge = [0, *(np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []), len(tokens)]
@@ -177,8 +185,8 @@ def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
         dfs = np.concatenate([np.frombuffer(t, np.int64) for t in right.column("dfs").to_pylist()])
         order = np.argsort(known)
         known, dfs = known[order], dfs[order]
-        for doc, tokens in zip(left.column("doc_id").to_pylist(), left.column("tokens").to_pylist(), strict=True):
-            tokens = np.frombuffer(tokens, np.uint64)
+        flat, sizes = _flat(left.column("tokens"))
+        for doc, tokens in zip(left.column("doc_id").to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
             at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
             hit = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
             n, most = len(tokens), len(tokens) // 4 + 2 - (len(tokens) - int(hit.sum()))
@@ -213,18 +221,12 @@ def _list_keys(x: float):
     return run
 
 
-def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        common = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the exact size of the intersection; ``linked`` where 100 |A and B| >= 75 |A or B|."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    out = pairs.join(one, "a").join(two, "b").mapInArrow(_intersections, "a long, b long, na long, nb long, common long")
-    return out.withColumn("linked", F.expr("100 * common >= 75 * (na + nb - common)"))
+    out = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
+    return out.withColumn("linked", F.expr("100L * common >= 75 * (na + nb - common)"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,7 +304,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     if not alive.isEmpty():
         size = alive.agg(F.sum("n")).first()[0]
         chunks, bits = max(1, math.ceil(size / BUCKET)), max(0, math.ceil(math.log2(max(1, size / BUCKET))))
-        sets = saved(join_ids(heads, alive, "left_semi").mapInArrow(_with_tokens, "doc_id long, n long, tokens binary").filter("n > 0"), "tokens", "none")
+        sets = saved(join_ids(heads, alive, "left_semi").mapInArrow(_with_tokens, "doc_id long, n long, tokens array<long>").filter("n > 0"), "tokens", "none")
         dealt = sets.withColumn("chunk", F.expr(f"pmod(xxhash64(doc_id), {chunks})")).select("doc_id", "tokens", "chunk")
         counts = dealt.groupBy("chunk").applyInArrow(_chunk_counts(bits), "bucket long, chunk long, tokens binary, counts binary")
         counts = counts.groupBy("bucket").applyInArrow(_frequencies, "chunk long, tokens binary, dfs binary")
@@ -321,12 +323,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 def light_bound(prefix: DataFrame) -> float:
     """The size up to which sets are light: where 2-subsets of light prefixes and list entries of heavy ones cost least.
 
-    Sizes are counted in classes a tenth apart, so the histogram that reaches the driver has at most a few hundred rows.
+    A subset costs one entry.  An entry of a list costs as many reads as the list has members, but no more than twice the
+    number of rounds, as lists are joined to pivots rather than to each other.  Sizes are counted in classes a tenth apart, so the histogram that reaches the driver has at most a few hundred rows.
     """
     grid = prefix.select(
         F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).alias("g"),
         (F.size("tokens") * (F.size("tokens") - 1) / 2).alias("subsets"),
-        F.expr("aggregate(slice(dfs, 1, greatest(size(dfs) - 1, 0)), 0L, (s, d) -> s + d)").alias("scans"),
+        F.expr(f"aggregate(slice(dfs, 1, greatest(size(dfs) - 1, 0)), 0L, (s, d) -> s + least(d, {2 * (PIVOT_ROUNDS + 1)}))").alias("scans"),
     )
     rows = sorted((r["g"], r["subsets"], r["scans"]) for r in grid.groupBy("g").agg(F.sum("subsets").alias("subsets"), F.sum("scans").alias("scans")).collect())
     best, x = None, 0.0
