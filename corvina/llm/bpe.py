@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Chunks kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
 WORDS = 900_000
 
@@ -239,7 +241,7 @@ def _digests(spec: str):
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 _, n, chunks = bpe.encode(texts)
-                if len(shown) > WORDS // 4:
+                if len(shown) > WORDS // 6:
                     shown.clear()
                 for c in set().union(*chunks):
                     if c not in shown:
@@ -298,4 +300,5 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, without materialising ids per row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests(vocabulary(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests(vocabulary(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return saved(rows, "digests")

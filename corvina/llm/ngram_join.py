@@ -193,16 +193,16 @@ def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
             if most > 1:
                 some, df = tokens[hit], dfs[at[hit]]
                 order = np.lexsort((some, df))[:most]
-                rows.append((doc, n, some[order].view(np.int64), df[order]))
-    columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["doc_id", "n", "tokens", "dfs"])
+                rows.append((doc, n, len(some), some[order].view(np.int64), df[order]))
+    columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["doc_id", "n", "shared", "tokens", "dfs"])
 
 
 def _list_keys(x: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, sizes = [], [], []
-            for doc, n, tokens, dfs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "tokens", "dfs")), strict=True):
+            rows: list[list] = []
+            for doc, n, shared, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "shared", "tokens")), strict=True):
                 t = np.array(tokens, np.int64).view(np.uint64)
                 found = []
                 if n <= x:
@@ -211,16 +211,19 @@ def _list_keys(x: float):
                     found.append(tb.mix(a * tb.LANES[0] + tb.mix(b ^ tb.LANES[1])))
                 if n > 0.75 * x:
                     found.append(tb.mix(t[: len(t) - 1] ^ tb.LANES[2]))
-                found = np.concatenate(found)
-                keys.append(found)
-                docs.append(np.full(len(found), doc, np.int64))
-                sizes.append(np.full(len(found), n, np.int64))
-            for part in range(0, len(keys), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c[part : part + 64]).view(np.int64), pa.int64()) for c in (keys, docs, sizes)], ["key", "doc", "n"])
+                keys = np.concatenate(found).view(np.int64)
+                rows.append([keys, *(np.full(len(keys), v, np.int64) for v in (doc, n, shared))])
+            for part in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows[part : part + 64], strict=True)], ["key", "doc", "n", "shared"])
 
     return run
 
 
+#: What two list entries must fulfil to link: sizes within the threshold, and enough shared shingles in both,
+#: as an intersection of 3/7 of both sizes together is needed.
+FITS = "4 * least({0}n, {1}n) >= 3 * greatest({0}n, {1}n) and 7 * least({0}shared, {1}shared) >= 3 * ({0}n + {1}n)"
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with the exact size of the intersection; ``linked`` where 100 |A and B| >= 75 |A or B|."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -243,38 +246,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def _open_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of different classes in one block (or two) of a list that could link by size."""
-    doc, n, label, part = (table.column(c).to_numpy() for c in ("doc", "n", "label", "part"))
-    pairs = []
-    for i in range(len(doc)):
-        fits = (label != label[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])) & (doc > doc[i])
-        fits &= (part != part[i]) if part.min() != part.max() else True
-        if fits.any():
-            pairs.append(np.stack([np.full(int(fits.sum()), doc[i]), doc[fits]]))
-        if part.min() != part.max():
-            fits = (label != label[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])) & (doc < doc[i]) & (part > part[i])
-            if fits.any():
-                pairs.append(np.stack([doc[fits], np.full(int(fits.sum()), doc[i])]))
-    every = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(every[0], pa.int64()), "b": pa.array(every[1], pa.int64())})
+def _open_pairs(now: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs of different classes in one list that could link, by blocks of BLOCK members: each pair of blocks is a join key of its own."""
+    dealt = now.join(lists.select("key", F.ceil(F.col("m") / BLOCK).alias("k")), "key").withColumn("part", F.expr("pmod(xxhash64(doc), k)"))
+    one = dealt.withColumn("hi", F.explode(F.sequence("part", F.col("k") - 1))).withColumn("lo", F.col("part")).alias("x")
+    two = dealt.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part")))).withColumn("hi", F.col("part")).alias("y")
+    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + FITS.format("x.", "y."))
+    return one.join(two, open_).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
 def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Class labels of the nodes that have a link, from inverted lists (key, doc, n)."""
+    """Class labels of the nodes that have a link, from inverted lists (key, doc, n, shared)."""
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     tested, labels = links, None
     for turn in range(PIVOT_ROUNDS + 1):
         now = members if labels is None else members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         now = now.withColumn("label", F.col("doc")) if labels is None else now
-        lists = now.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc"), "doc", "n", "label")).alias("p")).filter("lo != hi")
+        lists = now.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc"), "doc", "n", "shared", "label")).alias("p")).filter("lo != hi")
         if turn < PIVOT_ROUNDS:
-            pairs = now.join(lists, "key").filter("label != p.label and 4 * least(n, p.n) >= 3 * greatest(n, p.n)").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
+            pairs = now.join(lists, "key").filter("label != p.label and " + FITS.format("", "p.")).select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
         else:
-            dealt = now.join(lists.select("key", F.ceil(F.col("m") / BLOCK).alias("k")), "key").withColumn("part", F.expr("pmod(xxhash64(doc), k)"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-            pairs = dealt.groupBy("key", "lo", "hi").applyInArrow(_open_pairs, "a long, b long")
+            pairs = _open_pairs(now, lists)
         pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn < PIVOT_ROUNDS and not lists.isEmpty():
@@ -308,9 +301,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         dealt = sets.withColumn("chunk", F.expr(f"pmod(xxhash64(doc_id), {chunks})")).select("doc_id", "tokens", "chunk")
         counts = dealt.groupBy("chunk").applyInArrow(_chunk_counts(bits), "bucket long, chunk long, tokens binary, counts binary")
         counts = counts.groupBy("bucket").applyInArrow(_frequencies, "chunk long, tokens binary, dfs binary")
-        prefix = saved(dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prefixes, "doc_id long, n long, tokens array<long>, dfs array<long>"), "prefix")
+        prefix = saved(dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prefixes, "doc_id long, n long, shared long, tokens array<long>, dfs array<long>"), "prefix")
         x = light_bound(prefix)
-        keys = prefix.mapInArrow(_list_keys(x), "key long, doc long, n long")
+        keys = prefix.mapInArrow(_list_keys(x), "key long, doc long, n long, shared long")
         lists = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo != hi").select("key")
         labels = _classes(saved(keys.join(lists, "key").distinct(), "lists"), sets)
     out = info.join(nodes.select("sig", "rep"), "sig", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import huffman
 from .bpe import text_runs, vocabulary, worker_bpe
-from .common import partitions, saved, scratch
+from .common import partitions, saved, scratch, small_batches
 
 #: Ids to a block; a longer document is a block of its own.
 BLOCK = 1 << 18
@@ -110,7 +110,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str, end: int = 2)
     lengths = huffman.code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
     rows = encoded.select("doc_id", "n", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
-    rows.mapInArrow(_blocks(lengths), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        rows.mapInArrow(_blocks(lengths), BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
 
 
