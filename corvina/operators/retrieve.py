@@ -97,7 +97,7 @@ def few_shots(queries: DataFrame, examples: DataFrame, k: int, least: float = 0.
     """Top 3k candidates by similarity, then other routes' scores times ``penalty``, then top k."""
     near = dense_top_k(queries.select("query_id", "q"), examples.select("vec_id", "embedding"), 3 * k, least).drop("rank")
     near = near.join(examples.select("vec_id", "route"), "vec_id").join(queries.select("query_id", F.col("route").alias("asked")), "query_id")
-    near = near.withColumn("score", F.round(F.when(F.col("route") != F.col("asked"), F.col("sim") * penalty).otherwise(F.col("sim")), 5))
+    near = near.withColumn("score", F.round(F.when(F.col("route") != F.col("asked"), F.col("sim") * penalty).otherwise(F.col("sim")), 6))
     return top_k(near, "query_id", k, F.col("score").desc(), F.col("vec_id"))
 
 

@@ -66,11 +66,11 @@ _Q = "SELECT doc_id AS query_id, ctx, next FROM grams WHERE doc_id % 50 = 0"
 
 
 @query(f"""WITH {COUNTED}, t AS (SELECT ctx, sum(freq) AS total FROM tab GROUP BY ctx), h AS (SELECT DISTINCT query_id, ctx FROM ({_Q})), x AS (SELECT query_id, ctx, next, freq, round(freq / total, 6) AS p FROM h JOIN tab USING (ctx) JOIN t USING (ctx))
-    SELECT query_id, ctx, next, freq, round(p, 4) AS p, row_number() OVER (PARTITION BY query_id, ctx ORDER BY freq DESC, next) AS rank FROM x WHERE p >= 0.05 QUALIFY rank <= 3""")
+    SELECT query_id, ctx, next, freq, p, row_number() OVER (PARTITION BY query_id, ctx ORDER BY freq DESC, next) AS rank FROM x WHERE p >= 0.05 QUALIFY rank <= 3""")
 def ngram_lookup(spark, sf_dir):
     rows = ngram.windows(tokenised(spark, sf_dir), 5, "tokens", "doc_id")
     q = rows.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "ctx")
-    return ngram.lookup(q, ngram.counts(rows)).withColumn("p", F.round("p", 4))
+    return ngram.lookup(q, ngram.counts(rows))
 
 
 @query(f"""WITH {GRAMS}, tab AS (SELECT ctx, next, count(*) AS freq FROM grams WHERE doc_id % 2 = 0 GROUP BY ctx, next), r AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY freq DESC, next) AS rank FROM tab), q AS (SELECT ctx, next FROM grams WHERE doc_id % 2 = 1)

@@ -21,18 +21,18 @@ def vector_queries(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
 
 
-@query(f"WITH {DENSE} SELECT query_id, vec_id, round(sim, 4) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM dense QUALIFY rank <= 10")
+@query(f"WITH {DENSE} SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM dense QUALIFY rank <= 10")
 def dense_topk(spark, sf_dir):
-    return retrieve.dense_top_k(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10).withColumn("sim", F.round("sim", 4))
+    return retrieve.dense_top_k(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10)
 
 
 @query(f"""WITH {DENSE}, c AS (SELECT * FROM dense WHERE sim >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 9),
-    s AS (SELECT query_id, c.vec_id, round(CASE WHEN v.label <> q.label THEN sim * 0.7 ELSE sim END, 5) AS score FROM c JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = query_id)
-    SELECT query_id, vec_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3""")
+    s AS (SELECT query_id, c.vec_id, round(CASE WHEN v.label <> q.label THEN sim * 0.7 ELSE sim END, 6) AS score FROM c JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = query_id)
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3""")
 def semantic_fewshot_penalty(spark, sf_dir):
     q = vector_queries(spark, sf_dir).withColumnRenamed("label", "route")
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("label", "route")
-    return retrieve.few_shots(q, e, 3, 0.1).select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return retrieve.few_shots(q, e, 3, 0.1).select("query_id", "vec_id", "score", "rank")
 
 
 _KEY_WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda w: length(w) >= 5))"
@@ -58,11 +58,11 @@ def keyword_topk(spark, sf_dir):
     s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w), q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) >= 5)) AS word FROM benchmark),
     t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS word FROM w), tf AS (SELECT doc_id, dl, word, count(*) AS tf FROM t WHERE word IN (SELECT word FROM q) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
     r AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) AS score FROM q JOIN tf USING (word) JOIN df USING (word), s GROUP BY query_id, doc_id)
-    SELECT query_id, doc_id, round(score, 2) AS score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5""")
+    SELECT query_id, doc_id, score FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5""")
 def bm25_topk(spark, sf_dir):
     flat = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: F.length(w) >= 5)
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), flat("text").alias("words"))
-    return retrieve.bm25(q, table(spark, sf_dir, "documents").select("doc_id", flat("text").alias("words")), 5).select("query_id", "doc_id", F.round("score", 2).alias("score"))
+    return retrieve.bm25(q, table(spark, sf_dir, "documents").select("doc_id", flat("text").alias("words")), 5).select("query_id", "doc_id", "score")
 
 
 #: Two ranked lists for each query over pages: by a hash and by id, some urls repeated and blank.
@@ -160,9 +160,9 @@ CACHE = f"""ents AS (SELECT doc_id AS entry_id, {NORM.format('text')} AS norm, {
     fuzz AS (SELECT query_id, entry_id, sim FROM sims WHERE sim >= 0.75 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, entry_id DESC) = 1)"""
 
 
-@query(f"WITH {CACHE} SELECT query_id, entry_id, round(sim, 4) AS sim FROM fuzz")
+@query(f"WITH {CACHE} SELECT query_id, entry_id, sim FROM fuzz")
 def fuzzy_cache_lookup(spark, sf_dir):
-    return cache.fuzzy(_asked(spark, sf_dir), _cached(spark, sf_dir)).withColumn("sim", F.round("sim", 4))
+    return cache.fuzzy(_asked(spark, sf_dir), _cached(spark, sf_dir))
 
 
 @query(f"WITH {CACHE} SELECT query_id, entry_id, 'exact' AS layer FROM hit UNION ALL SELECT query_id, entry_id, 'fuzzy' FROM fuzz WHERE query_id NOT IN (SELECT query_id FROM hit)")
