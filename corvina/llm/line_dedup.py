@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SITES, MARGIN, PLACES = 10, 0.1, 2_000_000
 
 
@@ -23,16 +25,15 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(h1, h2) of lines on ``sites`` distinct sites or more; lines: h1, h2, site."""
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", 12).alias("sketch")).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
     margin = max(1.0, sites * MARGIN)
+    spread = saved(spread.filter(F.col("sites") >= sites - margin), "spread")
     sure = spread.filter(F.col("sites") > sites + margin).select("h1", "h2")
-    near = spread.filter(F.abs(F.col("sites") - sites) <= margin).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("site").alias("sites"))
+    near = spread.filter(F.col("sites") <= sites + margin).select("h1", "h2")
+    exact = lines.join(F.broadcast(near) if near.count() <= PLACES else near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("site").alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= sites).select("h1", "h2"))
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """``docs`` (doc_id, text, site) with kept_text, n_lines and n_removed."""
-    from .common import saved
-
     docs = docs.withColumn("own", F.xxhash64(F.coalesce("text", F.lit(""))))
     parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")
     lines = docs.select("doc_id", "own", F.col(site).alias("site"), parts).filter("trim(line) <> ''")
