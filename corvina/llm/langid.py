@@ -4,8 +4,8 @@ Text likelihoods come from a multinomial model over hashed byte trigrams, learne
 (chosen by a hash of their id, whole texts).  Likelihoods of long texts are tempered to EVIDENCE trigrams, so that other evidence
 keeps its weight: the language the markup declares, the language the address suffix suggests, and a prior of the host.
 Host priors are counts of text-only decisions by grouped aggregation, smoothed hierarchically: a host towards its domain,
-a domain towards all hosts.  They are joined by host, so a host with a third of all rows is one row on one side (AQE splits
-the other).  A further class, ``und``, is uniform over trigrams; a row whose best class it is is rejected.
+a domain towards all hosts.  Few hosts are broadcast, many joined by shuffle, where AQE
+splits a host with a third of all rows.  A further class, ``und``, is uniform over trigrams; a row whose best class it is is rejected.
 
 Nulls, empty texts and texts without letters have no text evidence; without any other they are ``und`` and rejected.
 A few letters are too little for rejection, as ``und`` is improbable beforehand.  Null hosts share one
@@ -26,6 +26,8 @@ from .common import saved
 
 TRAIN_ROWS, EVIDENCE, STRENGTH = 4_000, 200.0, 20.0
 BUCKETS = 1 << 16
+#: A prior takes under 200 bytes, so this bounds what is broadcast at 50 MB.
+BROADCAST_HOSTS = 250_000
 UND, UND_PRIOR = "und", 1e-4
 DECLARED, SUFFIX = 0.9, 0.6
 #: Country suffixes that suggest a language.
@@ -114,7 +116,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
         return F.zip_with(counts, towards, lambda c, p: (c + STRENGTH * p) / (n + STRENGTH))
 
     priors = votes.join(of_domain.withColumn("dp", smooth("dv", _array(list(base)))), "domain").select("domain", "host", smooth("v", "dp").alias("prior"))
-    out = seen.join(priors, ["domain", "host"], "left").withColumn("prior", F.coalesce("prior", _array(list(base))))
+    # Written first: hosts are counted, broadcast up to BROADCAST_HOSTS, else both sides are shuffled and a hot host is split.
+    priors = saved(priors, "priors")
+    out = seen.join(F.broadcast(priors) if priors.count() <= BROADCAST_HOSTS else priors, ["domain", "host"], "left").withColumn("prior", F.coalesce("prior", _array(list(base))))
 
     def told(column: str, weight: float) -> Column:
         """Log likelihood of a hint: ``weight`` for the language it names, the rest shared; nothing where it names none of ours."""
