@@ -20,23 +20,26 @@ def windows(docs: DataFrame, order: int = 5, column: str = "tokens", *keep: str)
 def crossing(docs: DataFrame, order: int = 5, key: str = "doc_id") -> DataFrame:
     """``docs`` in the order of ``key`` as one corpus: windows that lie in one document, and those that cross a boundary.
 
-    Only the last ``order`` tokens before and the first after each boundary are moved: documents are grouped in runs
-    by range, and each boundary takes tails and heads from its neighbours.  Documents shorter than ``order`` lengthen the reach, so the
-    edge frame holds, for each document, its tokens if it is short, else its two ends.
+    Only the ends of documents are moved: the first and last ``order`` tokens of each, or all of a short one.  They are
+    range-partitioned by ``key``, and windows are taken within each range; a range also gets the first tokens of
+    those after it, from a table of one row for each range.
     """
-    inner = windows(docs, order)
-    n = F.size("tokens")
-    ends = docs.filter(n > 0).select(key, F.when(n >= 2 * order, F.concat(F.slice("tokens", F.lit(1), F.lit(order)), F.array(F.lit(None).cast("string")), F.slice("tokens", F.lit(-order), F.lit(order)))).otherwise(F.col("tokens")).alias("edge"))
-    cell = ends.select(key, F.posexplode("edge").alias("pos", "token"))
-    # A global order over edges only: 2 * order + 1 rows for each document.
-    w = Window.orderBy(key, "pos")
-    run = cell.withColumn("gap", F.col("token").isNull()).select(key, "pos", *[F.lead("token", i).over(w).alias(f"t{i}") for i in range(order + 1)], *[F.lead(key, i).over(w).alias(f"d{i}") for i in (order,)])
-    whole = None
-    for i in range(order + 1):
-        c = F.col(f"t{i}").isNotNull()
-        whole = c if whole is None else whole & c
-    edge = run.filter(whole & (F.col(f"d{order}") != F.col(key))).select(F.concat_ws(" ", *[F.col(f"t{i}") for i in range(order)]).alias("ctx"), F.col(f"t{order}").alias("next"))
-    return inner.unionByName(edge)
+    inner, n = windows(docs, order), F.size("tokens")
+    gap = F.array(F.lit(None).cast("string"))
+    ends = docs.filter(n > 0).select(key, F.when(n >= 2 * order, F.concat(F.slice("tokens", F.lit(1), F.lit(order)), gap, F.slice("tokens", F.lit(-order), F.lit(order)))).otherwise(F.col("tokens")).alias("edge"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = ends.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()).select("part", key, F.posexplode("edge").alias("pos", "token"))
+    first = cells.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(key, "pos"))).filter(F.col("nth") <= order)
+    heads = first.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "token"))), lambda x: x["token"]).alias("head"))
+    later = F.slice(F.flatten(F.collect_list("head").over(Window.orderBy("part").rowsBetween(1, order))), 1, order)
+    after = heads.select("part", later.alias("later")).select("part", F.posexplode("later").alias("pos", "token")).select("part", F.lit(None).cast(docs.schema[key].dataType).alias(key), "pos", "token")
+    w = Window.partitionBy("part").orderBy(F.col(key).isNull(), key, "pos")
+    rows = cells.unionByName(after).select(key, *[F.lead("token", i).over(w).alias(f"t{i}") for i in range(order + 1)], F.lead(key, order).over(w).alias("end"))
+    whole = F.col("t0").isNotNull()
+    for i in range(1, order + 1):
+        whole = whole & F.col(f"t{i}").isNotNull()
+    edge = rows.filter(F.col(key).isNotNull() & whole & (F.col("end").isNull() | (F.col("end") != F.col(key))))
+    return inner.unionByName(edge.select(F.concat_ws(" ", *[F.col(f"t{i}") for i in range(order)]).alias("ctx"), F.col(f"t{order}").alias("next")))
 
 
 def counts(rows: DataFrame) -> DataFrame:
