@@ -33,10 +33,16 @@ def overlap_scorer(query: Column, text: Column) -> Column:
 
 def hash_embedding(c: Column, size: int = 64) -> Column:
     """A stable stand-in for an embedding: counts of words by hash bucket, scaled to unit length."""
+    def let(value: Column, body) -> Column:
+        """``body`` of a value that is computed once a row."""
+        return F.transform(F.array(value), body)[0]
+
+    def scaled(counts: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1.0))
+        return let(norm, lambda n: F.transform(counts, lambda x: (x / n).cast("float")))
+
     words = F.transform(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(words, lambda w: w == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: (x / norm).cast("float"))
+    return let(words, lambda w: let(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(w, lambda x: x == i)).cast("double")), scaled))
 
 
 def stub_json(prompt: str) -> str:

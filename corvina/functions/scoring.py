@@ -196,7 +196,7 @@ def tool_reward(c: Column) -> Column:
 
 
 def unit_reward(score: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - 1) / 4))
+    return F.when(score.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - 1) / 4)))
 
 
 def parsed_score(c: Column) -> Column:

@@ -98,3 +98,8 @@ def resolve_channels(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     packed = catalog.agg(F.array_sort(F.collect_list(F.struct("channel_id", F.lower("title").alias("title")))).alias("all"))
     near = rest.join(F.broadcast(packed)).select("asked", F.get(F.filter("all", lambda c: F.contains(c["title"], F.lower("asked"))), F.lit(0))["channel_id"].alias("channel_id"))
     return exact.unionByName(near.filter("channel_id is not null"))
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of PDF files, for an extractor beyond the boundary."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")

@@ -104,3 +104,10 @@ class NgramFile:
                 return [struct.unpack_from("<II", self.raw, at + 4 + 8 * i) for i in range(n)]
             k = (k + 1) % self.size
         return []
+
+
+def verify_ngram_file(table: DataFrame, path: str, sample: int = 100) -> int:
+    """Looks up at most ``sample`` contexts (by hash order) and compares their nexts; the number that differ."""
+    f = NgramFile(path)
+    g = table.groupBy("ctx").agg(F.collect_set(F.struct("next", "freq")).alias("nexts")).orderBy(F.xxhash64("ctx")).limit(sample)
+    return sum(set(f.lookup(r["ctx"])) != {(n["next"], n["freq"]) for n in r["nexts"]} for r in g.collect())
