@@ -3,10 +3,10 @@
 Pass one scatters rows by a seeded hash of doc_id and content into buckets that fit a task's memory.  Pass two draws a
 Fisher-Yates permutation of each bucket (seeded by the bucket), gives every row its place in the global order and writes
 the rows; ``rows`` is the law: shard s holds the places from ceil(s N / shards) on, so counts differ by one at most.
-Bucket counts come from a pass over doc_id alone and are the only figures on the driver: 16 bytes per BUCKET_BYTES of text.
+Bucket counts come from a pass of their own and are the only figures on the driver: 16 bytes per BUCKET_BYTES of text.
 
 A bucket is sorted by (doc_id, text) before it is permuted, so a rerun after a lost executor gives the same order.  Rows that repeat a
-doc_id are scattered by content too; rows equal in all columns used share a bucket.  A null text has size 8.
+doc_id are scattered by content; rows equal in both share a bucket.  A null text has size 8.
 Empty tables give an empty result; extra columns are carried along to the files.
 """
 
@@ -28,7 +28,7 @@ BUCKET_BYTES = 16 << 20
 
 
 def _bucket(seed: int, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets))
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))
 
 
 def _permuted(seed: int, offsets: list[int], total: int, shards: int):
