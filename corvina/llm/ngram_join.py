@@ -37,6 +37,8 @@ from .common import join_ids, saved
 #: Shingles to a packed chunk, shingles to a bucket of the exchange (both bound a task's memory), rows to a block of open pairs.
 CHUNK, BUCKET, BLOCK = 1_500_000, 2_000_000, 1024
 PIVOT_ROUNDS = 3
+#: Words of 64 hash cells of a set's parity bits.
+PARITY = 16
 COUNTED = 0xFFFF
 
 
@@ -193,9 +195,11 @@ def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
             if most > 1:
                 some, df = tokens[hit], dfs[at[hit]]
                 order = np.lexsort((some, df))[:most]
-                rows.append((doc, n, len(some), some[order].view(np.int64), df[order]))
-    columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["doc_id", "n", "shared", "tokens", "dfs"])
+                odd = np.packbits((np.bincount((tokens & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8))
+                rows.append((doc, n, len(some), some[order].view(np.int64), df[order], odd.view(np.int64)))
+    columns = zip(*rows, strict=True) if rows else ([], [], [], [], [], [])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "shared", "tokens", "dfs", "parity"])
 
 
 def _list_keys(x: float):
@@ -246,16 +250,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def _open_pairs(now: DataFrame, lists: DataFrame) -> DataFrame:
+#: Sets that link differ in at most a seventh of both sizes together, and no fewer than the hash cells they fill an odd
+#: number of times differently: the bits of ``parity`` that differ.
+NEAR = "7 * (" + " + ".join(f"bit_count({{0}}parity[{i}] ^ {{1}}parity[{i}])" for i in range(PARITY)) + ") <= {0}n + {1}n"
+
+
+def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame) -> DataFrame:
     """Pairs of different classes in one list that could link, by blocks of BLOCK members: each pair of blocks is a join key of its own."""
-    dealt = now.join(lists.select("key", F.ceil(F.col("m") / BLOCK).alias("k")), "key").withColumn("part", F.expr("pmod(xxhash64(doc), k)"))
+    dealt = now.join(lists.select("key", F.ceil(F.col("m") / BLOCK).alias("k")), "key").join(parities, "doc").withColumn("part", F.expr("pmod(xxhash64(doc), k)"))
     one = dealt.withColumn("hi", F.explode(F.sequence("part", F.col("k") - 1))).withColumn("lo", F.col("part")).alias("x")
     two = dealt.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part")))).withColumn("hi", F.col("part")).alias("y")
-    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + FITS.format("x.", "y."))
+    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + FITS.format("x.", "y.") + " and " + NEAR.format("x.", "y."))
     return one.join(two, open_).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
-def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _classes(members: DataFrame, sets: DataFrame, parities: DataFrame) -> DataFrame | None:
     """Class labels of the nodes that have a link, from inverted lists (key, doc, n, shared)."""
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -267,7 +276,7 @@ def _classes(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         if turn < PIVOT_ROUNDS:
             pairs = now.join(lists, "key").filter("label != p.label and " + FITS.format("", "p.")).select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
         else:
-            pairs = _open_pairs(now, lists)
+            pairs = _open_pairs(now, lists, parities)
         pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn < PIVOT_ROUNDS and not lists.isEmpty():
@@ -301,11 +310,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         dealt = sets.withColumn("chunk", F.expr(f"pmod(xxhash64(doc_id), {chunks})")).select("doc_id", "tokens", "chunk")
         counts = dealt.groupBy("chunk").applyInArrow(_chunk_counts(bits), "bucket long, chunk long, tokens binary, counts binary")
         counts = counts.groupBy("bucket").applyInArrow(_frequencies, "chunk long, tokens binary, dfs binary")
-        prefix = saved(dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prefixes, "doc_id long, n long, shared long, tokens array<long>, dfs array<long>"), "prefix")
+        prefix = saved(dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prefixes, "doc_id long, n long, shared long, tokens array<long>, dfs array<long>, parity array<long>"), "prefix")
         x = light_bound(prefix)
         keys = prefix.mapInArrow(_list_keys(x), "key long, doc long, n long, shared long")
         lists = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo != hi").select("key")
-        labels = _classes(saved(keys.join(lists, "key").distinct(), "lists"), sets)
+        labels = _classes(saved(keys.join(lists, "key").distinct(), "lists"), sets, prefix.select(F.col("doc_id").alias("doc"), "parity"))
     out = info.join(nodes.select("sig", "rep"), "sig", "left")
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
