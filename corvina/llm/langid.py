@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import saved
+from .common import release, saved
 
 TRAIN_ROWS, EVIDENCE, STRENGTH = 4_000, 200.0, 20.0
 BUCKETS = 1 << 16
@@ -55,7 +55,9 @@ def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log likelihoods (language x bucket) from rows (key, text, lang); at most ``limit`` rows reach the driver."""
-    some = rows.filter("lang is not null and length(text) > 0").orderBy(F.xxhash64(key), key).limit(limit).select("lang", "text").toArrow()
+    usable = rows.filter("lang is not null and length(text) > 0")
+    chosen = usable.select(key).distinct().orderBy(F.xxhash64(key), key).limit(limit)  # ids alone are compared; texts of the chosen follow
+    some = usable.join(F.broadcast(chosen), key, "left_semi").select("lang", "text").toArrow()
     langs = sorted(set(some.column("lang").to_pylist()))
     counts = np.ones((len(langs), BUCKETS)) * 0.05
     which = np.array([langs.index(x) for x in some.column("lang").to_pylist()], np.int64)
@@ -67,6 +69,7 @@ def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[
 
 def _likelihoods(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names = batch.schema.names
             for a, b, raw, off in tb.steps(batch.column(names.index("text"))):
