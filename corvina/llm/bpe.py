@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import STORE, saved
 
 #: Chunks kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
-WORDS = 900_000
+WORDS = 350_000
 
 #: Characters whose Unicode classes differ between versions of the pattern libraries; texts with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"
@@ -44,11 +44,12 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """A byte-level BPE whose symbols at the end of a word bear a suffix."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, limit: int | None = None):
         import regex
         from tokenizers import Regex, Tokenizer
         from tokenizers.pre_tokenizers import Split
 
+        self.limit = limit or WORDS
         data = json.loads(spec)
         model = data["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -151,7 +152,7 @@ class WordBpe:
     def _forget(self) -> None:
         """Keeps of a full store what was met in several runs of texts."""
         often = self.hits > 1
-        if often.sum() > WORDS // 2:
+        if often.sum() > self.limit // 2:
             often[:] = False
         old = list(self.at)
         kept = np.flatnonzero(often)
@@ -190,7 +191,7 @@ class WordBpe:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         chunks = [self.chunks(t) for t in texts]
         keys = list(chain.from_iterable(chunks))
-        if len(self.at) > WORDS:
+        if len(self.at) > self.limit:
             self._forget()
         index = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(index < 0).tolist()
@@ -211,12 +212,13 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndar
     return flat[at], sizes
 
 
-def worker_bpe(spec: str) -> WordBpe:
-    """One encoder for each vocabulary in a worker process, kept for its later tasks."""
-    store = sys.modules.setdefault("corvina_worker_store", types.ModuleType("corvina_worker_store")).__dict__
+def worker_bpe(spec: str, limit: int | None = None) -> WordBpe:
+    """One encoder for each vocabulary in a worker process, kept for its later tasks (until another operator's ``release``)."""
+    store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in store:
-        store[key] = WordBpe(spec)
+        store[key] = WordBpe(spec, limit)
+    store[key].limit = limit or WORDS
     return store[key]
 
 
@@ -241,7 +243,7 @@ def _digests(spec: str):
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 _, n, chunks = bpe.encode(texts)
-                if len(shown) > WORDS // 6:
+                if len(shown) > WORDS // 3:
                     shown.clear()
                 for c in set().union(*chunks):
                     if c not in shown:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 #: An id set of at most this many rows (about 50 bytes each once hashed) may be broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: The module name under which a Python worker keeps what later tasks of one operator use again.
+STORE = "corvina_worker_store"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,5 +62,12 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def release() -> None:
+    """In a Python worker: drops what an earlier operator kept there and hands freed memory back to the system."""
+    sys.modules.pop(STORE, None)
+    with contextlib.suppress(OSError, AttributeError):  # malloc_trim is glibc's; elsewhere the allocator decides
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import join_ids, saved
+from .common import join_ids, release, saved
 
 #: Shingles to a packed chunk, shingles to a bucket of the exchange (both bound a task's memory), rows to a block of open pairs.
 CHUNK, BUCKET, BLOCK = 1_500_000, 2_000_000, 1024
@@ -43,6 +43,7 @@ COUNTED = 0xFFFF
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    release()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, raw, off in tb.steps(batch.column(1)):
@@ -126,6 +127,7 @@ def _packer(bits: int):
 
 def _shared_counts(table: pa.Table) -> pa.Table:
     """Of one bucket: per document how many of its shingles another chunk or document has."""
+    release()
     docs, tokens, known = [], [], []
     for ids, toks, refs in zip(*(table.column(c).to_pylist() for c in ("ids", "tokens", "refs")), strict=True):
         ids = np.frombuffer(ids, np.int64)
@@ -151,6 +153,7 @@ def _shared_counts(table: pa.Table) -> pa.Table:
 
 def _chunk_counts(bits: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         tokens = np.sort(_flat(table.column("tokens"))[0])
         at = np.flatnonzero(_runs(tokens)[0])
         count, tokens = np.diff(np.append(at, len(tokens))).astype(np.uint32), tokens[at]
@@ -163,6 +166,7 @@ def _chunk_counts(bits: int):
 
 def _frequencies(table: pa.Table) -> pa.Table:
     """Of one bucket: to each chunk those of its shingles that two nodes or more have, with the number of nodes."""
+    release()
     tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
     every, count = np.concatenate(tokens), np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(every)
@@ -181,6 +185,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
 
 def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
     """Per node of a chunk its shared shingles within the 2-prefix, rarest first; nodes whose 1-prefix has none go."""
+    release()
     rows: list[tuple] = []
     if right.num_rows:
         known = np.concatenate([np.frombuffer(t, np.uint64) for t in right.column("tokens").to_pylist()])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import saved
+from .common import release, saved
 
 TRAIN_ROWS, BINS, PAIR_BINS, ROUNDS, PAIRS, RATE = 20_000, 32, 8, 60, 6, 0.15
 FEATURES = [
@@ -87,6 +87,7 @@ def features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for a, b, raw, off in tb.steps(batch.column(1), 2 << 20):
             x = features(raw, off)

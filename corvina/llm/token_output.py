@@ -27,12 +27,14 @@ from .common import partitions, saved, scratch, small_batches
 
 #: Ids to a block; a longer document is a block of its own.
 BLOCK = 1 << 18
+#: Chunks of text that a worker keeps with their ids (about 200 bytes each).
+STORED = 900_000
 BLOCK_SCHEMA = "part int, block int, n long, doc_ids binary, lengths binary, checkpoints binary, bits binary"
 
 
 def _ids(spec: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(spec)
+        bpe = worker_bpe(spec, STORED)
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 flat, n, _ = bpe.encode(texts)
