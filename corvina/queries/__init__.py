@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
@@ -15,7 +16,13 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            kinds = dict(df.dtypes)  # ranks are long, as SQL has them
+            return df.withColumns({c: df[c].cast("long") for c in ("rank", "position", "place") if kinds.get(c) == "int"})
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f
