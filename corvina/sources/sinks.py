@@ -43,6 +43,7 @@ def write_notes(rows: DataFrame, path: str) -> None:
 
 
 #: Fixed values of the n-gram table file: magic, version and sizes of its header and slots, little endian.
+#: A slot holds the context's hash (0: empty), the offset of its nexts within the data section, and their total frequency.
 MAGIC, VERSION, HEADER, SLOT = 0x454E4752, 1, struct.Struct("<5I"), struct.Struct("<QII")
 
 
@@ -58,23 +59,23 @@ def write_ngram_file(table: DataFrame, path: str, order: int) -> int:
 
     The file is one reader's lookup table and so bounded by that reader's memory; the distributed table stays in Parquet.
     """
-    entries: list[tuple[int, bytes]] = []
+    entries: list[tuple[int, int, bytes]] = []
     g = table.groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct(F.col("freq"), (-F.col("next")).alias("minus"))), asc=False).alias("nexts"))
     for row in g.toLocalIterator():
-        entries.append((fnv1a(row["ctx"]), struct.pack("<I", len(row["nexts"])) + b"".join(struct.pack("<II", -n["minus"], n["freq"]) for n in row["nexts"])))
+        entries.append((fnv1a(row["ctx"]), sum(n["freq"] for n in row["nexts"]), struct.pack("<I", len(row["nexts"])) + b"".join(struct.pack("<II", -n["minus"], n["freq"]) for n in row["nexts"])))
     size = 1 << (max(2 * len(entries), 16) - 1).bit_length()
-    slots: list[tuple[int, int, int] | None] = [None] * size
-    data, at = [], HEADER.size + size * SLOT.size
-    for h, body in sorted(entries):
+    slots = [(0, 0, 0)] * size
+    data, at = [], 0
+    for h, total, body in sorted(entries):
         k = h % size
-        while slots[k] is not None:
+        while slots[k][0]:
             k = (k + 1) % size
-        slots[k] = (h, at, struct.unpack_from("<I", body)[0])
+        slots[k] = (h, at, total)
         data.append(body)
         at += len(body)
     with open(path, "wb") as f:
         f.write(HEADER.pack(MAGIC, VERSION, order, size, len(entries)))
-        f.write(b"".join(SLOT.pack(*(s or (0, 0, 0))) for s in slots))
+        f.write(b"".join(SLOT.pack(*s) for s in slots))
         f.write(b"".join(data))
     return len(entries)
 
@@ -95,13 +96,14 @@ class NgramFile:
     def lookup(self, ctx: list[int]) -> list[tuple[int, int]]:
         """(next, freq), most frequent first."""
         h = fnv1a(ctx)
-        k = h % self.size
+        k, data = h % self.size, HEADER.size + self.size * SLOT.size
         for _ in range(self.size):
-            found, at, n = SLOT.unpack_from(self.raw, HEADER.size + k * SLOT.size)
-            if not n:
+            found, at, _total = SLOT.unpack_from(self.raw, HEADER.size + k * SLOT.size)
+            if not found:
                 return []
             if found == h:
-                return [struct.unpack_from("<II", self.raw, at + 4 + 8 * i) for i in range(n)]
+                n = struct.unpack_from("<I", self.raw, data + at)[0]
+                return [struct.unpack_from("<II", self.raw, data + at + 4 + 8 * i) for i in range(n)]
             k = (k + 1) % self.size
         return []
 

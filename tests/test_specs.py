@@ -192,3 +192,18 @@ def test_sqlite_csv_channels(spark, tmp_path):
 
 def test_verdicts(spark):
     assert [one(spark, d, monitor.verdict, "double") for d in (0.2, 0.0, -0.2)] == ["keep", "neutral", "revert"]
+
+
+def test_ngram_file_layout_and_verification(spark, tmp_path):
+    import struct
+
+    table = spark.createDataFrame([([1, 2], 3, 5), ([1, 2], 4, 7)], "ctx array<int>, next int, freq int")
+    path = str(tmp_path / "t.bin")
+    sinks.write_ngram_file(table, path, 2)
+    raw = (tmp_path / "t.bin").read_bytes()
+    assert struct.unpack_from("<5I", raw) == (0x454E4752, 1, 2, 16, 1)
+    h = sinks.fnv1a([1, 2])
+    assert struct.unpack_from("<QII", raw, 20 + 16 * (h % 16)) == (h, 0, 12)
+    assert struct.unpack_from("<5I", raw, 20 + 256) == (2, 4, 7, 3, 5) and len(raw) == 20 + 256 + 20
+    assert sinks.verify_ngram_file(table, path) == 0
+    assert sinks.verify_ngram_file(table.withColumn("freq", table["freq"] + 1), path) == 1
