@@ -299,7 +299,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     info = saved(texts.mapInArrow(_described, "doc_id long, n_shingles long, sig binary"), "sets")
     spark = docs.sparkSession
-    nodes = info.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    # Written first, so that joins on ``sig`` shuffle both sides and AQE can split the copies of one set.
+    nodes = saved(info.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "nodes")
     classes = nodes.groupBy("rep").agg(F.max("n").alias("n"))
     copies = saved(info.filter("n_shingles > 0").join(nodes, "sig").filter("doc_id != rep").select("doc_id"), "copies")
     total = info.agg(F.sum("n_shingles")).first()[0] or 0
