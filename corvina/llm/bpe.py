@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STORE, saved
+from .common import STORE, saved, trim
 
 #: Chunks kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
-WORDS = 350_000
+WORDS = 250_000
+
+#: Characters of text that are encoded together; their chunks and ids take about 30 times as many bytes.
+RUN = 1_500_000
 
 #: Characters whose Unicode classes differ between versions of the pattern libraries; texts with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"
@@ -72,9 +75,12 @@ class WordBpe:
         low = is_single[left] & is_single[right]
         self.byte_ranks[self.base[left[low]], self.base[right[low]]] = np.flatnonzero(low)
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.strings = {i: s for s, i in (vocab | self.added).items()}
+        self.strings = [""] * (1 + max(max(vocab.values()), *self.added.values(), 0))
+        for t, i in (vocab | self.added).items():
+            self.strings[i] = t
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in self.added) + ")") if self.added else None
-        self.normal = Tokenizer.from_str(spec).normalizer
+        bare = data | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}  # its normaliser is all that is needed
+        self.normal = Tokenizer.from_str(json.dumps(bare)).normalizer
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(pattern).findall
         self.split_rare = Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str
@@ -214,6 +220,7 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndar
 
 def worker_bpe(spec: str, limit: int | None = None) -> WordBpe:
     """One encoder for each vocabulary in a worker process, kept for its later tasks (until another operator's ``release``)."""
+    trim()
     store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in store:
@@ -222,7 +229,7 @@ def worker_bpe(spec: str, limit: int | None = None) -> WordBpe:
     return store[key]
 
 
-def text_runs(texts: pa.Array, limit: int = 6 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_runs(texts: pa.Array, limit: int = RUN) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) a few MB at a time; a longer text is a run of its own."""
     some, size, first = [], 0, 0
     for k, t in enumerate(texts):
@@ -239,22 +246,17 @@ def text_runs(texts: pa.Array, limit: int = 6 << 20) -> Iterator[tuple[int, list
 def _digests(spec: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec)
-        shown: dict[str, tuple[str, str]] = {}
+        number = list(map(str, range(len(bpe.strings)))).__getitem__
+        string = bpe.strings.__getitem__
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
-                _, n, chunks = bpe.encode(texts)
-                if len(shown) > WORDS // 3:
-                    shown.clear()
-                for c in set().union(*chunks):
-                    if c not in shown:
-                        k = bpe.at[c]
-                        t = bpe.flat[bpe.start[k] : bpe.start[k] + bpe.size[k]].tolist()
-                        shown[c] = (" ".join(map(str, t)), " ".join([bpe.strings[i] for i in t]))
-                enc, dec = [], []
-                for c in chunks:
-                    got = [x for k in c if (x := shown[k])[0]]
-                    enc.append(hashlib.sha256(" ".join([x[0] for x in got]).encode()).hexdigest())
-                    dec.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
+                flat, n, _ = bpe.encode(texts)
+                ids, at, enc, dec = flat.tolist(), 0, [], []
+                for k in n.tolist():
+                    part = ids[at : at + k]
+                    at += k
+                    enc.append(hashlib.sha256(" ".join(map(number, part)).encode()).hexdigest())
+                    dec.append(hashlib.sha256(" ".join(map(string, part)).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

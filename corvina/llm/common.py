@@ -62,11 +62,16 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Da
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+def trim() -> None:
+    """Hands freed memory of a Python worker back to the system, where the allocator can (glibc)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def release() -> None:
-    """In a Python worker: drops what an earlier operator kept there and hands freed memory back to the system."""
+    """In a Python worker: drops what an earlier operator kept there."""
     sys.modules.pop(STORE, None)
-    with contextlib.suppress(OSError, AttributeError):  # malloc_trim is glibc's; elsewhere the allocator decides
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    trim()
 
 
 def partitions(spark: SparkSession) -> int:
