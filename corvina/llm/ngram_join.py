@@ -37,8 +37,8 @@ from .common import join_ids, release, saved
 #: Shingles to a packed chunk, shingles to a bucket of the exchange (both bound a task's memory), rows to a block of open pairs.
 CHUNK, BUCKET, BLOCK = 1_500_000, 2_000_000, 1024
 PIVOT_ROUNDS = 3
-#: Words of 64 hash cells of a set's parity bits.
-PARITY = 16
+#: Words of 64 hash cells of a set's parity bits; list keys of a document that an open pair is looked up in.
+PARITY, LEAST = 16, 64
 COUNTED = 0xFFFF
 
 
@@ -103,10 +103,10 @@ def _packer(bits: int):
                 used = np.unique(r[r != COUNTED])
                 at = np.full(1 << 16, COUNTED, np.uint16)
                 at[used] = np.arange(len(used), dtype=np.uint16)
-                rows.append((k, ids[used].tobytes(), short[a:b].tobytes(), at[r].tobytes()))
+                rows.append((k, int(ids[0]), ids[used].tobytes(), short[a:b].tobytes(), at[r].tobytes()))
         if local.any():
-            rows.append((-1 - int(ids[0]) % (1 << bits), ids[local > 0].tobytes(), b"", local[local > 0].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "ids", "tokens", "refs"])
+            rows.append((-1 - int(ids[0]) % (1 << bits), int(ids[0]), ids[local > 0].tobytes(), b"", local[local > 0].astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "ids", "tokens", "refs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, total = [], [], 0
@@ -126,29 +126,34 @@ def _packer(bits: int):
 
 
 def _shared_counts(table: pa.Table) -> pa.Table:
-    """Of one bucket: per document how many of its shingles another chunk or document has."""
+    """Of one bucket: to each chunk how many of a document's shingles another chunk or document has, packed."""
     release()
-    docs, tokens, known = [], [], []
-    for ids, toks, refs in zip(*(table.column(c).to_pylist() for c in ("ids", "tokens", "refs")), strict=True):
-        ids = np.frombuffer(ids, np.int64)
-        if not toks:
-            docs.append(np.repeat(ids, np.frombuffer(refs, np.uint32)))
+    tokens = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
+    every = np.concatenate(tokens)
+    order = np.argsort(every)
+    shared = np.empty(len(every), bool)
+    shared[order] = _runs(every[order])[1]
+    rows, a = [], 0
+    for chunk, ids, toks, refs in zip(table.column("chunk").to_pylist(), table.column("ids").to_pylist(), tokens, table.column("refs").to_pylist(), strict=True):
+        if not len(toks):  # counted within its chunk
+            rows.append((chunk, ids, refs))
             continue
         refs = np.frombuffer(refs, np.uint16)
-        tokens.append(np.frombuffer(toks, np.uint32))
-        known.append((refs, ids))
-    if tokens:
-        every = np.concatenate(tokens)
-        order = np.argsort(every)
-        shared = np.empty(len(every), bool)
-        shared[order] = _runs(every[order])[1]
-        a = 0
-        for refs, ids in known:
-            hit = shared[a : a + len(refs)] & (refs != COUNTED)
-            docs.append(ids[refs[hit]])
-            a += len(refs)
-    who, n = np.unique(np.concatenate(docs), return_counts=True) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table({"doc_id": pa.array(who, pa.int64()), "shared": pa.array(n, pa.int64())})
+        count = np.bincount(refs[shared[a : a + len(refs)] & (refs != COUNTED)], minlength=1)
+        a += len(refs)
+        some = np.flatnonzero(count)
+        if len(some):
+            rows.append((chunk, np.frombuffer(ids, np.int64)[some].tobytes(), count[some].astype(np.uint32).tobytes()))
+    columns = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["chunk", "ids", "counts"])
+
+
+def _per_document(table: pa.Table) -> pa.Table:
+    """Of one chunk: the sums of its documents."""
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
+    who, at = np.unique(ids, return_inverse=True)
+    sums = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])).astype(np.int64)
+    return pa.table({"doc_id": pa.array(who, pa.int64()), "shared": pa.array(sums, pa.int64())})
 
 
 def _chunk_counts(bits: int):
@@ -261,11 +266,16 @@ NEAR = "7 * (" + " + ".join(f"bit_count({{0}}parity[{i}] ^ {{1}}parity[{i}])" fo
 
 
 def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame) -> DataFrame:
-    """Pairs of different classes in one list that could link, by blocks of BLOCK members: each pair of blocks is a join key of its own."""
+    """Pairs of different classes in one list that could link, by blocks of BLOCK members: each pair of blocks is a join key of its own.
+
+    A pair comes from the first list that is among the LEAST first of both its documents; pairs without such come from each list they share.
+    """
+    least = now.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LEAST).alias("least"))
+    parities = parities.join(least, "doc")
     dealt = now.join(lists.select("key", F.ceil(F.col("m") / BLOCK).alias("k")), "key").join(parities, "doc").withColumn("part", F.expr("pmod(xxhash64(doc), k)"))
     one = dealt.withColumn("hi", F.explode(F.sequence("part", F.col("k") - 1))).withColumn("lo", F.col("part")).alias("x")
     two = dealt.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part")))).withColumn("hi", F.col("part")).alias("y")
-    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + FITS.format("x.", "y.") + " and " + NEAR.format("x.", "y."))
+    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + FITS.format("x.", "y.") + " and " + NEAR.format("x.", "y.") + " and coalesce(array_min(array_intersect(x.least, y.least)), x.key) = x.key")
     return one.join(two, open_).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
@@ -306,7 +316,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     total = info.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / BUCKET))))
     heads = join_ids(texts, copies, "left_anti")
-    shared = heads.mapInArrow(_packer(bits), "bucket long, ids binary, tokens binary, refs binary").groupBy("bucket").applyInArrow(_shared_counts, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    shared = heads.mapInArrow(_packer(bits), "bucket long, chunk long, ids binary, tokens binary, refs binary").groupBy("bucket").applyInArrow(_shared_counts, "chunk long, ids binary, counts binary")
+    shared = shared.groupBy("chunk").applyInArrow(_per_document, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     alive = saved(shared.join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").filter("4 * shared >= 3 * n"), "alive")
     labels = None
     if not alive.isEmpty():
