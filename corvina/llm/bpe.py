@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import STORE, saved, trim
 
 #: Chunks kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
-WORDS = 250_000
+WORDS = 120_000
 
 #: Characters of text that are encoded together; their chunks and ids take about 30 times as many bytes.
-RUN = 1_500_000
+RUN = 700_000
 
 #: Characters whose Unicode classes differ between versions of the pattern libraries; texts with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import huffman
-from .bpe import RUN, text_runs, vocabulary, worker_bpe
+from .bpe import text_runs, vocabulary, worker_bpe
 from .common import partitions, saved, scratch, small_batches
 
 #: Ids to a block; a longer document is a block of its own.
 BLOCK = 1 << 18
 #: Chunks of text that a worker keeps with their ids (about 200 bytes each).
 STORED = 900_000
+#: Characters of text that are encoded together: larger than bpe.RUN, as the store saves more than it costs here.
+RUN = 6_000_000
 BLOCK_SCHEMA = "part int, block int, n long, doc_ids binary, lengths binary, checkpoints binary, bits binary"
 
 
@@ -36,7 +38,7 @@ def _ids(spec: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec, STORED)
         for batch in batches:
-            for first, texts in text_runs(batch.column(1), 4 * RUN):
+            for first, texts in text_runs(batch.column(1), RUN):
                 flat, n, _ = bpe.encode(texts)
                 flat = np.insert(flat, np.cumsum(n), end).astype(np.uint16)
                 offsets = pa.py_buffer(np.append(0, np.cumsum(n + 1) * 2).astype(np.int32))
