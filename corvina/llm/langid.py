@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import release, saved
+from .common import release, saved, trim
 
 TRAIN_ROWS, EVIDENCE, STRENGTH = 4_000, 200.0, 20.0
 BUCKETS = 1 << 16
@@ -82,6 +82,8 @@ def _likelihoods(table: np.ndarray):
                 cols = [part.column(i) for i, c in enumerate(names) if c != "text"]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * ll.shape[1], pa.int32()), pa.array(ll.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(letters, pa.int64()), pa.array(n, pa.int64()), flat], [c for c in names if c != "text"] + ["n_letters", "n_trigrams", "ll"])
+        batch = part = raw = off = code = doc = None
+        trim()  # the worker may stand idle beside other stages
 
     return run
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import join_ids, release, saved
+from .common import join_ids, release, saved, trim
 
 #: Shingles to a packed chunk, shingles to a bucket of the exchange (both bound a task's memory), rows to a block of open pairs.
 CHUNK, BUCKET, BLOCK = 1_500_000, 2_000_000, 1024
@@ -48,6 +48,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, raw, off in tb.steps(batch.column(1)):
             yield ids[a:b], tb.shingle_sets(raw, off)
+    batch = raw = off = None
+    trim()  # the worker may stand idle beside other stages
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
