@@ -2,10 +2,12 @@ r"""Personal data by bootstrapped contextual extraction, DataFrame operations on
 
 Base kinds are found by patterns (leftmost, not overlapping, per kind); places come from the lengths of what lies between the matches.
 Their matches are seeds.  Every seed, and every other run of characters without white space that holds a digit or an at sign
-(a candidate), is an instance; the word before it and a key such as ``mail=`` at its own start is its lexical pattern.
+(a candidate), is an instance; the word before it and what opens it, a bracket, quote or key such as ``mail=``, is its lexical
+pattern, split off seeds and candidates alike.  Candidates of fewer than LETTERS letters or digits are none.
 The pattern-instance graph is scored in ROUNDS rounds: a pattern's confidence in a kind is the mean score of its
 distinct instances, smoothed by one doubtful instance; an instance's score is what its patterns' confidences leave no doubt
-of (noisy or), 1 for seeds.  Candidates that score CONFIDENT or more under patterns with SUPPORT distinct seeds or more are new spans,
+of (noisy or), 1 for seeds.  A pattern counts from the round in which SUPPORT or more of its distinct instances are seeds or
+confirmed, that is CONFIDENT by its other patterns alone.  Candidates that score CONFIDENT or more under such patterns are new spans,
 unless they overlap a base span or an earlier new one.
 
 Both groupings combine map-side, so a word before a third of all instances is one row per task.  Only texts with a digit or an
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.9
+ROUNDS, SUPPORT, CONFIDENT, LETTERS = 3, 5, 0.9, 6
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns.  Possessive repeats and the look-behinds (a match begins where a run begins, or where the
@@ -33,6 +35,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
+# What opens an instance and belongs to its pattern: brackets, quotes and a key (mail=, token:").
+OPENING = r"[(\[{<\"']*+(?:[A-Za-z_]++[=:][\"']?)?"
+
+
 def _lit(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -40,7 +46,9 @@ def _lit(pattern: str) -> str:
 def _matches(kind: int, guard: str, pattern: str) -> str:
     """SQL: structs of the matches of a pattern in ``text``, with what stands before each."""
     both = f"struct(split(text, {_lit(pattern)}, -1) as g, regexp_extract_all(text, {_lit(pattern)}, 0) as m)"
-    row = f"struct({kind} as kind, i as i, m as m, length(x.g[i]) as gap, right(x.g[i], 80) as before)"
+    # the match before may hold the word before this one
+    before = "right(concat(coalesce(right(get(x.g, i - 1), 256), ''), coalesce(right(get(x.m, i - 1), 256), ''), right(x.g[i], 256)), 256)"
+    row = f"struct({kind} as kind, i as i, m as m, length(x.g[i]) as gap, {before} as before)"
     none = "cast(array() as array<struct<kind:int,i:int,m:string,gap:int,before:string>>)"
     return f"if({guard}, transform(array({both}), x -> transform(x.m, (m, i) -> {row}))[0], {none})"
 
@@ -68,38 +76,39 @@ def spots(docs: DataFrame) -> DataFrame:
         _matches(4, f"({digit} or contains(text, '@'))", r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"),
     ]
     rows = rows.select("doc_id", "own", F.expr(f"inline(concat({', '.join(found)}))"))
+    own = F.regexp_extract("m", f"^{OPENING}", 0)
+    key = F.when(F.col("kind") == 4, own).otherwise(F.regexp_extract("before", rf"(?<!\S)({OPENING})\z", 1))
+    rest = F.when(F.col("kind") == 4, F.col("before")).otherwise(F.expr("left(before, length(before) - length(key))"))
+    word = F.lower(F.regexp_extract(F.right(rest, F.lit(80)), r"(\S{1,40})\s*$", 1))
+    rows = rows.withColumn("key", key).withColumn("left", F.concat_ws(" ", word, F.lower("key"))).withColumn("key", F.when(F.col("kind") == 4, F.col("key")).otherwise("")).drop("before")
     rows = rows.repartition("doc_id", "own").dropDuplicates(["doc_id", "own", "kind", "i"])
     w = Window.partitionBy("doc_id", "own", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(w)).withColumn("start", F.col("end") - F.length("m")).filter(_valid(F.col("kind"), F.col("m")))
-    # a candidate's key (mail=, token: ") belongs to its pattern; what follows is the instance
-    key = F.when(F.col("kind") == 4, F.regexp_extract("m", r"^[(\[{<\"']*+[A-Za-z_]+[=:][\"']?", 0)).otherwise("")
-    word = F.lower(F.regexp_extract("before", r"(\S{1,40})\s*$", 1))
-    rows = rows.withColumn("key", F.when(F.length(key) < F.length("m"), key).otherwise("")).withColumn("left", F.concat_ws(" ", word, F.lower("key")))
     bare = F.when(F.col("kind") == 4, F.regexp_replace(F.substring("m", F.length("key") + 1, F.length("m")), r"[\s.,;:!?)\]}>\"']+$", "")).otherwise(F.col("m"))
     rows = rows.withColumn("m", bare).withColumn("start", F.col("start") + F.length("key")).withColumn("end", F.col("start") + F.length("m"))
-    long_enough = (F.col("kind") < 4) | (F.length(F.regexp_replace("m", r"[^\p{L}\p{N}]", "")) >= 6)
+    long_enough = (F.col("kind") < 4) | (F.length(F.regexp_replace("m", r"[^\p{L}\p{N}]", "")) >= LETTERS)
     return rows.filter(long_enough & ((F.col("kind") < 0) | (F.length("m") > 0))).select("doc_id", "own", "kind", "start", "end", "m", "left")
 
 
 def learned(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """(left, m, kind) of candidates that the patterns of a kind vouch for; rows as ``spots`` gives them."""
-    edges = saved(rows.filter("kind >= 0 and left <> '' and length(m) <= 256").groupBy("left", "m").agg(F.min("kind").alias("kind")), "edges")
-    kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))])).alias("of")
-    # patterns without enough seeds of a kind cannot vouch for it
-    seeded = edges.groupBy("left").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(f"s{k}") for k in range(len(KINDS))])
-    seeded = seeded.filter(F.greatest(*[F.col(f"s{k}") for k in range(len(KINDS))]) >= support)
-    seeded = seeded.select("left", "n", kinds, F.array(*[F.col(f"s{k}") for k in range(len(KINDS))]).alias("s")).select("left", "of", "n", F.col("s")[F.col("of")].alias("seeds"))
-    patterns = saved(seeded.filter(F.col("seeds") >= support).withColumn("confidence", F.col("seeds") / (F.col("n") + 1)), "patterns")
-    links = edges.join(patterns.select("left", "of"), "left")
+    edges = saved(rows.filter("kind >= 0").groupBy("left", "m").agg(F.min("kind").alias("kind")), "edges")
+    kinds = range(len(KINDS))
+    sizes = saved(edges.groupBy("left").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("kind") == k) for k in kinds]).alias("seeds")), "sizes")
+    open_ = edges.filter("kind = 4").select("left", "m")
+    seeded = sizes.select("left", "n", F.posexplode("seeds").alias("of", "seeds"))
+    patterns = saved(seeded.filter(F.col("seeds") >= support).select("left", "of", (F.col("seeds") / (F.col("n") + 1)).alias("confidence")), "patterns")
     scores = None
     for _ in range(rounds):
-        doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
-        scores = links.filter("kind = 4").join(patterns.select("left", "of", "confidence"), ["left", "of"]).groupBy("m", "of").agg((1 - F.exp(doubt)).alias("score"))
-        held = links.join(scores, ["m", "of"], "left").withColumn("score", F.when(F.col("kind") == F.col("of"), 1.0).when(F.col("kind") == 4, F.coalesce("score", F.lit(0.0))).otherwise(0.0))
-        # seeds count whole, candidates by half of their score, so that a pattern cannot raise itself to certainty
-        sums = held.groupBy("left", "of").agg(F.sum(F.when(F.col("kind") == 4, F.col("score") / 2).otherwise(F.col("score"))).alias("mass"))
-        patterns = saved(patterns.select("left", "of", "n", "seeds").join(sums, ["left", "of"]).withColumn("confidence", F.col("mass") / (F.col("n") + 1)), "patterns")
-    best = links.filter("kind = 4").join(patterns.select("left", "of", "confidence"), ["left", "of"]).join(scores, ["m", "of"]).filter((F.col("score") >= confident) & (F.col("confidence") >= confident / 2))
+        doubts = patterns.select("left", "of", F.log1p(-F.least(F.col("confidence"), F.lit(0.999))).alias("doubt"))
+        scores = saved(open_.join(doubts, "left").groupBy("m", "of").agg(F.sum("doubt").alias("doubts")).withColumn("score", 1 - F.exp("doubts")), "scores")
+        held = open_.join(scores, "m").join(doubts, ["left", "of"], "left").withColumn("others", 1 - F.exp(F.col("doubts") - F.coalesce("doubt", F.lit(0.0))))
+        # what other patterns confirm counts like a seed, the rest by half of its score, so that a pattern cannot raise itself to certainty
+        sure = F.col("others") >= confident
+        sums = held.groupBy("left", "of").agg(F.count_if(sure).alias("confirmed"), F.sum(F.when(sure, F.col("others")).otherwise(F.col("score") / 2)).alias("mass"))
+        every = seeded.join(sums, ["left", "of"], "left").filter(F.col("seeds") + F.coalesce("confirmed", F.lit(0)) >= support)
+        patterns = saved(every.select("left", "of", ((F.col("seeds") + F.coalesce("mass", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence")), "patterns")
+    best = open_.join(patterns, "left").join(scores, ["m", "of"]).filter((F.col("score") >= confident) & (F.col("confidence") >= confident / 2))
     return best.groupBy("left", "m").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("of"))
 
 

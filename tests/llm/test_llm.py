@@ -298,6 +298,32 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(got[i] == (0, []) for i, _ in plain)
 
 
+def added(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {texts[r["doc_id"]][x["start"] : x["end"]]: x["kind"] for r in pii.personal_data(rows).collect() for x in r["added"]}
+
+
+@pytest.mark.parametrize("key", ["mail=", "id:", 'token="', "(", '"'])
+def test_keyed_contexts_find_unseen_identifiers(spark, key):
+    texts = [f"foo {key}user{i}@host{i}.org bar" for i in range(40)] + [f"foo {key}zz99{i}@host{i} bar" for i in range(3)] + [f"foo other={i}12345@host bar" for i in range(3)]
+    texts.append(f"10.0.0.1 {key}aa12345@host bar")
+    assert added(spark, texts) == {f"zz99{i}@host{i}": 0 for i in range(3)}
+
+
+def test_contexts_after_another_match(spark):
+    texts = [f"10.0.0.1 mail=user{i}@host{i}.org" for i in range(40)] + ["10.0.0.1 mail=zz99@host7"]
+    assert added(spark, texts) == {"zz99@host7": 0}
+
+
+def test_confirmed_instances_induce_patterns(spark):
+    texts = [f"mailbox: user{i}@host{i}.org" for i in range(800)] + [f"{w} person{i}23(at)site" for i in range(40) for w in ("mailbox:", "reach")] + ["reach fresh123(at)site"]
+    assert added(spark, texts) == {f"person{i}23(at)site": 0 for i in range(40)} | {"fresh123(at)site": 0}
+
+
+def test_long_instances(spark):
+    assert added(spark, [f"mailbox: user{i}@host{i}.org" for i in range(40)] + ["mailbox: " + "x1" * 200]) == {"x1" * 200: 0}
+
+
 def test_pipeline(spark, tmp_path):
     """run() on a fixture, each stage against brute force."""
     import corpus_pipeline
