@@ -130,6 +130,13 @@ def context_assembly(spark, sf_dir):
     return retrieve.context(c, 300)
 
 
+@query("""SELECT doc_id // 25 AS query_id, string_agg(text[1:300], concat(chr(10), '---', chr(10)) ORDER BY doc_id) AS context FROM documents GROUP BY 1""")
+def context_assembly_all(spark, sf_dir):
+    """Contexts over all documents, 25 to a query."""
+    c = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("query_id"), F.col("doc_id").alias("rank"), "text")
+    return retrieve.context(c, 300)
+
+
 @query(f"""WITH ex AS (SELECT item_id AS example_id, item_id % 3 AS route, {_KEY_WORDS} AS w FROM benchmark), terms AS (SELECT example_id, route, unnest(list_sort(w)[1:3]) AS term, 3 AS weight FROM ex UNION ALL SELECT example_id, route, unnest(w), 1 FROM ex),
     qs AS (SELECT conv_id AS query_id, conv_id % 3 AS route, unnest({_KEY_WORDS}) AS term FROM (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id)),
     s AS (SELECT query_id, example_id, sum(weight)::BIGINT AS score FROM qs JOIN terms USING (route, term) GROUP BY ALL) SELECT query_id, example_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_id) AS rank FROM s QUALIFY rank <= 2""")

@@ -207,3 +207,22 @@ def test_ngram_file_layout_and_verification(spark, tmp_path):
     assert struct.unpack_from("<5I", raw, 20 + 256) == (2, 4, 7, 3, 5) and len(raw) == 20 + 256 + 20
     assert sinks.verify_ngram_file(table, path) == 0
     assert sinks.verify_ngram_file(table.withColumn("freq", table["freq"] + 1), path) == 1
+
+
+def counted(spark, name):
+    from conftest import SF
+
+    return spark.read.parquet(f"{SF}/{name}.parquet").count()
+
+
+def result(spark, name):
+    from conftest import SF
+
+    from corvina.queries import QUERIES
+
+    return QUERIES[name](spark, SF)
+
+
+def test_contexts_hold_every_document(spark):
+    blocks = [len(r["context"].split("\n---\n")) for r in result(spark, "context_assembly_all").collect()]
+    assert sum(blocks) == counted(spark, "documents") and max(blocks) <= 25
