@@ -64,6 +64,14 @@ def gates_cooldown(spark, sf_dir):
     return monitor.gates(e, "agent", blocked=["error"]).select("id", "agent", "gate")
 
 
+@query("""WITH e AS (SELECT event_id AS id, ts, event_type AS agent FROM events), g AS (SELECT *, lag(ts) OVER (PARTITION BY agent ORDER BY ts, id) AS b, row_number() OVER (PARTITION BY agent, ts::DATE ORDER BY ts, id) AS nth FROM e)
+    SELECT id, agent, CASE WHEN agent = 'error' THEN 'blocked' WHEN ts < b + INTERVAL 1 HOUR THEN 'cooldown' WHEN nth > 3 THEN 'cap' ELSE 'run' END AS gate FROM g""")
+def gates_cooldown_all(spark, sf_dir):
+    """Gates of the events of all users."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("agent"))
+    return monitor.gates(e, "agent", blocked=["error"]).select("id", "agent", "gate")
+
+
 @query("SELECT concat(event_type, '-', user_id) AS rule, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")
 def rule_first_last(spark, sf_dir):
     return monitor.rule_life(table(spark, sf_dir, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("rule"), "ts"))

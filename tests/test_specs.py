@@ -226,3 +226,7 @@ def result(spark, name):
 def test_contexts_hold_every_document(spark):
     blocks = [len(r["context"].split("\n---\n")) for r in result(spark, "context_assembly_all").collect()]
     assert sum(blocks) == counted(spark, "documents") and max(blocks) <= 25
+
+
+def test_gates_decide_every_event(spark):
+    assert result(spark, "gates_cooldown_all").count() == counted(spark, "events")
