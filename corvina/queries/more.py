@@ -137,3 +137,11 @@ def rolling_week(spark, sf_dir):
     seconds = F.col("ts").cast("timestamp").cast("double")
     w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-7 * 86400, 0)
     return table(spark, sf_dir, "events").filter("user_id % 10 = 0").select("user_id", "event_id", F.count("*").over(w).alias("n"))
+
+
+@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
+def rolling_week_all(spark, sf_dir):
+    """The rolling week of all users."""
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-7 * 86400, 0)
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"))

@@ -230,3 +230,7 @@ def test_contexts_hold_every_document(spark):
 
 def test_gates_decide_every_event(spark):
     assert result(spark, "gates_cooldown_all").count() == counted(spark, "events")
+
+
+def test_rolling_week_of_every_event(spark):
+    assert result(spark, "rolling_week_all").count() == counted(spark, "events")
