@@ -151,11 +151,15 @@ def fewshot_keyword(spark, sf_dir):
 _AT = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, doc_id)"
 
 
-def _cached(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("entry_id"), "text", F.expr(_AT).alias("created_at"), (F.col("doc_id") % 3).cast("string").alias("backend"))
+def _every(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text", F.expr(_AT).alias("created_at"), (F.col("doc_id") % 3).cast("string").alias("backend"))
     return cache.entries(d)
 
 
+def _cached(spark, sf_dir):
+    return _every(spark, sf_dir).filter("entry_id % 2 = 0")
+
+
 def _asked(spark, sf_dir):
     return cache.entries(table(spark, sf_dir, "documents").filter("doc_id % 2 = 1").select(F.col("doc_id").alias("query_id"), "text")).select("query_id", "norm", "tokens")
 
@@ -190,6 +194,18 @@ def cache_stats(spark, sf_dir):
     return cache.stats(_cached(spark, sf_dir), F.lit(1704067200 + 1400))
 
 
+@query(f"SELECT doc_id AS entry_id FROM documents WHERE doc_id + {_TTL} > 1400")
+def ttl_prune_all(spark, sf_dir):
+    """What is alive of all documents."""
+    return cache.alive(_every(spark, sf_dir), F.lit(1704067200 + 1400)).select("entry_id")
+
+
+@query(f"SELECT (doc_id % 3)::VARCHAR AS backend, count(*) AS total, count(*) FILTER (doc_id + {_TTL} > 1400) AS alive FROM documents GROUP BY ROLLUP (1)")
+def cache_stats_all(spark, sf_dir):
+    """Totals over all documents."""
+    return cache.stats(_every(spark, sf_dir), F.lit(1704067200 + 1400))
+
+
 @query("""WITH d AS (SELECT ts::DATE AS day, count(*) AS used_today FROM events GROUP BY 1), u AS (SELECT *, sum(used_today) OVER (PARTITION BY date_trunc('month', day) ORDER BY day)::BIGINT AS used FROM d),
     r AS (SELECT *, greatest(0, 2000 - used) AS remaining, date_diff('day', day, last_day(day)) + 1 AS l FROM u) SELECT day, used_today, used, remaining, greatest(1, remaining // l) AS daily, remaining < 200 AS reserve, remaining < 600 AS throttle FROM r""")
 def budget_status(spark, sf_dir):

@@ -234,3 +234,8 @@ def test_gates_decide_every_event(spark):
 
 def test_rolling_week_of_every_event(spark):
     assert result(spark, "rolling_week_all").count() == counted(spark, "events")
+
+
+def test_cache_holds_every_document(spark):
+    assert [r["total"] for r in result(spark, "cache_stats_all").collect() if r["backend"] is None] == [counted(spark, "documents")]
+    assert result(spark, "ttl_prune_all").filter("entry_id % 2 = 1").count() > 0
