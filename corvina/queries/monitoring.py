@@ -94,6 +94,13 @@ def step_accumulation(spark, sf_dir):
     return monitor.accumulated(rows, "conv_id", "turn", "out").select("conv_id", "turn", "context", "reached")
 
 
+@query("""SELECT conv_id, turn, coalesce(string_agg(text, chr(10) || chr(10)) OVER w, '') AS context, coalesce(max((turn % 7 = 5)::INT) OVER w, 0) = 0 AS reached FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def step_accumulation_whole(spark, sf_dir):
+    """The whole texts of all earlier turns."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("out"), (F.col("turn") % 7 == 5).alias("error"))
+    return monitor.accumulated(rows, "conv_id", "turn", "out").select("conv_id", "turn", "context", "reached")
+
+
 @query("SELECT event_id, event_type, 1 + event_id % 5 AS score FROM events ORDER BY event_id DESC LIMIT 200")
 def tail_scan(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", (1 + F.col("event_id") % 5).alias("score"))

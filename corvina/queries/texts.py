@@ -138,7 +138,11 @@ _NOTE = "concat('# Note ', doc_id, chr(10), '**Category** : ', source, chr(10),
 
 @query(f"SELECT doc_id, concat('Note ', doc_id) AS title, source AS category, concat('2024-01-0', doc_id % 9 + 1) AS date, regexp_extract(n, '(?m)^- +(.*)$', 1) AS bullet, trim(replace(n, concat('<think>', lang, '</think>'), '')) AS plain FROM (SELECT *, {_NOTE} AS n FROM documents)")
 def note_fields(spark, sf_dir):
-    note = F.concat(F.lit("# Note "), "doc_id", F.lit("\n**Category** : "), "source", F.lit("\n**Date** : 2024-01-0"), F.col("doc_id") % 9 + 1, F.lit("\n- "), F.substring("text", 1, 40), F.lit("\n<think>"), "lang", F.lit("</think>"), F.substring("text", 1, 100))
+    return _fields(spark, sf_dir, F.substring("text", 1, 40), F.substring("text", 1, 100))
+
+
+def _fields(spark, sf_dir, bullet, body):
+    note = F.concat(F.lit("# Note "), "doc_id", F.lit("\n**Category** : "), "source", F.lit("\n**Date** : 2024-01-0"), F.col("doc_id") % 9 + 1, F.lit("\n- "), bullet, F.lit("\n<think>"), "lang", F.lit("</think>"), body)
     n = F.col("n")
     return table(spark, sf_dir, "documents").withColumn("n", note).select(
         "doc_id", tx.heading(n).alias("title"), tx.header_field(n, "Category").alias("category"), tx.header_field(n, "Date").alias("date"),
@@ -146,6 +150,15 @@ def note_fields(spark, sf_dir):
     )
 
 
+_WHOLE_NOTE = _NOTE.replace("text[1:40]", "text").replace("text[1:100]", "text")
+
+
+@query(f"SELECT doc_id, concat('Note ', doc_id) AS title, source AS category, concat('2024-01-0', doc_id % 9 + 1) AS date, regexp_extract(n, '(?m)^- +(.*)$', 1) AS bullet, trim(replace(n, concat('<think>', lang, '</think>'), '')) AS plain FROM (SELECT *, {_WHOLE_NOTE} AS n FROM documents)")
+def note_fields_whole(spark, sf_dir):
+    """Fields of notes that hold whole texts."""
+    return _fields(spark, sf_dir, F.col("text"), F.col("text"))
+
+
 @query("SELECT page_id, array_to_string(list_sort(list_distinct([page_id % 7 + 1, page_id % 7 + 2, page_id % 7 + 3, 9])), ',') AS pages FROM pages")
 def page_spec(spark, sf_dir):
     rows = table(spark, sf_dir, "pages")
@@ -155,6 +168,8 @@ def page_spec(spark, sf_dir):
 
 @query()
 def fnv_hash(spark, sf_dir):
-    """Hash halves of the first five word lengths of each document (tests hold them against the plain loop)."""
-    ids = F.transform(F.slice(F.split("text", " "), 1, 5), lambda w: F.length(w).cast("long"))
-    return table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), hashing.fnv1a(ids).alias("h")).select("doc_id", "ids", "h.hi", "h.lo")
+    """Hash halves of every window of five word lengths of each document, of all where it has fewer (tests hold them against the plain loop)."""
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w).cast("long"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ids") - 4, F.lit(1))), lambda i: F.slice("ids", i, 5))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.posexplode_outer(F.when(F.col("ids").isNotNull(), windows)).alias("place", "ids"))
+    return rows.select("doc_id", "place", "ids", hashing.fnv1a(F.col("ids")).alias("h")).select("doc_id", "place", "ids", "h.hi", "h.lo")

@@ -31,6 +31,19 @@ def test_fnv_query_equals_loop(spark):
         assert r["hi"] << 32 | r["lo"] == sinks.fnv1a(r["ids"])
 
 
+def test_fnv_query_has_every_window(spark):
+    from conftest import SF
+
+    from corvina.queries import QUERIES
+
+    got = {(r["doc_id"], r["place"]): (list(r["ids"]), r["hi"] << 32 | r["lo"]) for r in QUERIES["fnv_hash"](spark, SF).filter("doc_id < 40").collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40").collect():
+        ids = [len(w) for w in r["text"].split(" ")]
+        want |= {(r["doc_id"], i): (ids[i : i + 5], sinks.fnv1a(ids[i : i + 5])) for i in range(max(1, len(ids) - 4))}
+    assert got == want
+
+
 def plain_chunks(text, size, overlap, sep):
     limit, done, cur, n = size * 1.2 * 4, [], "", 0
     for p in [p.strip() for p in re.split(sep, text) if p.strip()]:
@@ -239,3 +252,18 @@ def test_rolling_week_of_every_event(spark):
 def test_cache_holds_every_document(spark):
     assert [r["total"] for r in result(spark, "cache_stats_all").collect() if r["backend"] is None] == [counted(spark, "documents")]
     assert result(spark, "ttl_prune_all").filter("entry_id % 2 = 1").count() > 0
+
+
+def test_whole_texts_are_accumulated(spark):
+    from conftest import SF
+
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    for r in result(spark, "step_accumulation_whole").collect():
+        assert r["context"] == "\n\n".join(t for (c, n), t in sorted(texts.items()) if c == r["conv_id"] and n < r["turn"])
+
+
+def test_notes_hold_whole_texts(spark):
+    from conftest import SF
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(texts[r["doc_id"]].rstrip(" ") in r["plain"] for r in result(spark, "note_fields_whole").collect())
