@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 Text likelihoods come from a multinomial model over hashed byte trigrams, learned from at most TRAIN_ROWS rows of declared language
-(chosen by a hash of their id, whole texts).  Likelihoods of long texts are tempered to EVIDENCE trigrams, so that other evidence
+(chosen by a hash of their id within each language, so that every declared language has some; whole texts).  Likelihoods of long texts are tempered to EVIDENCE trigrams, so that other evidence
 keeps its weight: the language the markup declares, the language the address suffix suggests, and a prior of the host.
 Host priors are counts of text-only decisions by grouped aggregation, smoothed hierarchically: a host towards its domain,
 a domain towards all hosts.  Few hosts are broadcast, many joined by shuffle, where AQE
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -53,12 +53,33 @@ def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return code[at].astype(np.int64), np.searchsorted(off, at, "right") - 1
 
 
+def _level(sizes: list[int], limit: int) -> int:
+    """How many rows each language may give so that all give ``limit`` together; small ones leave their share to the others."""
+    sizes, left = sorted(sizes), limit
+    for i, n in enumerate(sizes):
+        share = max(1, left // (len(sizes) - i))
+        if n > share:
+            return share
+        left -= n
+    return limit
+
+
 def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log likelihoods (language x bucket) from rows (key, text, lang); at most ``limit`` rows reach the driver."""
+    """Languages and log likelihoods (language x bucket) from rows (key, text, lang).
+
+    At most ``limit`` rows, or one of each language where there are more, reach the driver; the list of languages is of all rows.
+    """
     usable = rows.filter("lang is not null and length(text) > 0")
-    chosen = usable.select(key).distinct().orderBy(F.xxhash64(key), key).limit(limit)  # ids alone are compared; texts of the chosen follow
-    some = usable.join(F.broadcast(chosen), key, "left_semi").select("lang", "text").toArrow()
-    langs = sorted(set(some.column("lang").to_pylist()))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
+    langs = sorted(sizes)
+    limit = max(limit, len(langs))
+    level = _level(list(sizes.values()), limit)
+    # ids alone are compared, and of a large language only those of small hash; texts of the chosen follow
+    large = [F.when((F.col("lang") == x) & (F.pmod(F.xxhash64(key), F.lit(1 << 40)) >= int((2 * level + 100) / n * (1 << 40))), True) for x, n in sizes.items() if n > 2 * level + 100]
+    ids = usable.filter(F.coalesce(*large).isNull()) if large else usable
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", key))
+    chosen = ids.select(key, "lang", F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("h")).distinct().withColumn("place", place).filter(F.col("place") <= level).orderBy("place", "h", key).limit(limit)
+    some = usable.join(F.broadcast(chosen.select(key, "lang")), [key, "lang"], "left_semi").select("lang", "text").toArrow()
     counts = np.ones((len(langs), BUCKETS)) * 0.05
     which = np.array([langs.index(x) for x in some.column("lang").to_pylist()], np.int64)
     for a, b, raw, off in tb.steps(some.column("text")):

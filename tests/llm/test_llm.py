@@ -220,6 +220,14 @@ def test_language(spark, odd, none):
     assert (told.lang == told.true).mean() > 0.97
 
 
+def test_rare_languages_stay_known(spark):
+    rows = [(i, f"some words of text {i}", "en") for i in range(300)] + [(1000 + i, f"autre texte rare {x}", x) for i, x in enumerate(["aa", "bb", "cc"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = langid.fit(docs, limit=8)
+    assert langs == ["aa", "bb", "cc", "en"] and all(np.ptp(row) > 0 for row in table)
+    assert langid.fit(docs, limit=2)[0] == langs
+
+
 def test_huffman_lengths_and_round_trip():
     r = np.random.default_rng(3)
     for n, skew in ((1, 1), (2, 1), (300, 3), (5000, 6)):
