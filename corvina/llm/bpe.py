@@ -1,12 +1,13 @@
 """BPE with word ends over a public vocabulary file: encoding by batched numpy merge rounds, and decoding.
 
-Texts are cut at white space into chunks, and chunks into words as the file asks (NFC, lower case, then the split pattern).
-Words of chunks not seen before are encoded together: their symbols lie in one flat array; each round looks up the adjacent pairs that are
-new in the sorted pair keys by binary search, takes the pairs of lowest rank within each word, merges them from the left without
-overlap and closes the gaps, until no pair is left that the file merges.  Per text only lookups of whole chunks remain.
+Texts are cut at ASCII white space into chunks, which no word crosses, and the distinct chunks of many texts are found at
+once (Arrow dictionary).  Chunks not seen before are cut into words as the file asks (NFC, lower case, then the split
+pattern), and words not seen before are encoded together: their symbols lie in one flat array; each round looks up the
+adjacent pairs that are new in the sorted pair keys by binary search, takes the pairs of lowest rank within each word,
+merges them from the left without overlap and closes the gaps, until no pair is left that the file merges.
 
 Nulls and empty texts have no ids.  The file's added tokens are cut out of the raw text first.  Rows are independent, so
-ties, repeats and extra columns have no effect.
+ties, repeats and extra columns have no effect.  A text of any length is encoded whole.
 """
 
 from __future__ import annotations
@@ -22,18 +23,19 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import STORE, saved, trim
 
-#: Chunks kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
-WORDS = 120_000
+#: Chunks, and words, kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
+WORDS = 200_000
 
-#: Characters of text that are encoded together; their chunks and ids take about 30 times as many bytes.
-RUN = 700_000
+#: Bytes of text that are encoded together; a longer text is a run of its own.
+RUN = 2 << 20
 
-#: Characters whose Unicode classes differ between versions of the pattern libraries; texts with them are cut by the tokenizers library.
+#: Characters whose Unicode classes differ between versions of the pattern libraries; chunks with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"
 
 
@@ -44,15 +46,60 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Runs:
+    """Strings with their runs of ids; of a full store what was met in several calls stays."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.flat, self.start, self.size, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        """Where each key is, or -1."""
+        return np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+
+    def add(self, keys: list[str], flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        places = np.arange(len(self.at), len(self.at) + len(keys))
+        self.at.update(zip(keys, places.tolist(), strict=True))
+        self.start = np.append(self.start, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.size, self.hits = np.append(self.size, sizes), np.append(self.hits, np.zeros(len(keys), np.int32))
+        self.flat = np.append(self.flat, flat.astype(np.int32))
+        return places
+
+    def known(self, keys: list[str], learn) -> np.ndarray:
+        """Places of distinct keys; ``learn`` gives flat ids and sizes of those not in store yet."""
+        place = self.places(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = [keys[k] for k in new.tolist()]
+            place[new] = self.add(fresh, *learn(fresh))
+        self.hits[place] += 1
+        return place
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gather(self.flat, self.start, self.size, places)
+
+    def trim(self, limit: int) -> None:
+        if len(self.at) <= limit:
+            return
+        often = self.hits > 1
+        if often.sum() > limit // 2:
+            often[:] = False
+        old, kept = list(self.at), np.flatnonzero(often)
+        self.flat, _ = self.take(kept)
+        self.size = self.size[kept]
+        self.start, self.hits = np.cumsum(self.size) - self.size, np.zeros(len(kept), np.int32)
+        self.at = {old[k]: i for i, k in enumerate(kept.tolist())}
+
+
 class WordBpe:
     """A byte-level BPE whose symbols at the end of a word bear a suffix."""
 
-    def __init__(self, spec: str, limit: int | None = None):
+    def __init__(self, spec: str):
         import regex
         from tokenizers import Regex, Tokenizer
         from tokenizers.pre_tokenizers import Split
 
-        self.limit = limit or WORDS
+        self.limit = WORDS
         data = json.loads(spec)
         model = data["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -85,8 +132,7 @@ class WordBpe:
         self.find = regex.compile(pattern).findall
         self.split_rare = Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str
         self.rare, self.rare_ascii = regex.compile(RARE).search, re.compile("[\x1c-\x1f]").search
-        self.at: dict[str, int] = {}  # chunk -> its place in the arrays
-        self.flat, self.start, self.size, self.hits = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.stored_chunks, self.stored_words = Runs(), Runs()
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and where each word's begin; merged together in rounds."""
@@ -139,76 +185,55 @@ class WordBpe:
         order = np.argsort(owner, kind="stable")
         return every[order], np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
 
-    def chunks(self, text: str) -> list[str]:
-        """Keys of what a text is made of: lower-cased runs without white space, which no word crosses.
-
-        A text with added tokens or rare characters is cut into words at once: these keys begin with a space, added
-        tokens with a tab, so neither is taken for a run.
-        """
-        if not (self.rare_ascii if text.isascii() else self.rare)(text) and not (self.added and "<|" in text):
-            return text.lower().split()  # among these characters NFC changes none, and each is lower-cased by itself
+    def words(self, chunk: str) -> list[str]:
+        """The words of a chunk as the split pattern finds them; an added token is one with a tab before it."""
+        if chunk.isalpha() and chunk.isascii():
+            return [chunk.lower()]
+        if not (self.rare_ascii if chunk.isascii() else self.rare)(chunk) and not (self.added and "<|" in chunk):
+            return self.find(chunk.lower())  # among these characters NFC changes none, and each is lower-cased by itself
         out = []
-        for part in self.split_added.split(text) if self.split_added else (text,):
+        for part in self.split_added.split(chunk) if self.split_added else (chunk,):
             if part in self.added:
                 out.append("\t" + part)
             elif part:
-                out += [" " + x for x, _ in self.split_rare(self.normal.normalize_str(part))]
+                out += [x for x, _ in self.split_rare(self.normal.normalize_str(part))]
         return out
 
-    def _forget(self) -> None:
-        """Keeps of a full store what was met in several runs of texts."""
-        often = self.hits > 1
-        if often.sum() > self.limit // 2:
-            often[:] = False
-        old = list(self.at)
-        kept = np.flatnonzero(often)
-        self.flat, _ = gather(self.flat, self.start, self.size, kept)
-        self.size = self.size[kept]
-        self.start, self.hits = np.cumsum(self.size) - self.size, np.zeros(len(kept), np.int32)
-        self.at = {old[k]: i for i, k in enumerate(kept.tolist())}
-
-    def learn(self, keys: set[str]) -> None:
-        """Encodes chunks that are not in store yet."""
-        new = list(keys)
-        cut = [(k,) if k.isalpha() else self.find(k) if k[0] not in " \t" else (k[1:],) if k[0] == " " else (k,) for k in new]
-        words = list(dict.fromkeys(chain.from_iterable(cut)))
-        special = [w for w in words if w[0] == "\t"]
-        plain = [w for w in words if w[0] != "\t"] if special else words
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        special = np.array([w[0] == "\t" for w in words], bool)
+        plain = [w for w in words if w[0] != "\t"]
         ids, edge = self.merge(plain) if plain else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        ids, edge = np.append(ids, [self.added[w[1:]] for w in special]).astype(np.int32), np.append(edge, edge[-1] + 1 + np.arange(len(special)))
-        where = dict(zip(plain + special, range(len(words)), strict=True))
+        sizes = np.ones(len(words), np.int64)
+        sizes[~special] = np.diff(edge)
+        flat, at = np.zeros(int(sizes.sum()), np.int64), np.repeat(special, sizes)
+        flat[~at], flat[at] = ids, [self.added[w[1:]] for w in words if w[0] == "\t"]
+        return flat, sizes
+
+    def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = [self.words(c) for c in chunks]
         count = np.fromiter(map(len, cut), np.int64, len(cut))
-        index = np.fromiter(map(where.__getitem__, chain.from_iterable(cut)), np.int64, int(count.sum()))
-        flat, sizes = gather(ids, edge[:-1], np.diff(edge), index)
-        total = np.bincount(np.repeat(np.arange(len(new)), count), weights=sizes, minlength=len(new)).astype(np.int64)
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(total) - total)
-        self.size, self.hits = np.append(self.size, total), np.append(self.hits, np.zeros(len(new), np.int32))
-        self.flat = np.append(self.flat, flat)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """All ids of the texts in one array, how many each text has, and the texts' chunks."""
+        every = list(chain.from_iterable(cut))
+        distinct = dict.fromkeys(every)
+        place = dict(zip(distinct, self.stored_words.known(list(distinct), self._word_ids).tolist(), strict=True))
+        flat, sizes = self.stored_words.take(np.fromiter(map(place.__getitem__, every), np.int64, len(every)))
+        return flat, np.bincount(np.repeat(np.arange(len(cut)), count), weights=sizes, minlength=len(cut)).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and how many each text has."""
         gc.disable()  # no cycles arise here, and passes over the store would cost more than the work
         try:
-            return self._encode(texts)
+            self.stored_chunks.trim(self.limit)
+            self.stored_words.trim(self.limit)
+            chunks = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+            count = np.diff(chunks.offsets.to_numpy())
+            coded = chunks.flatten().dictionary_encode()
+            del chunks
+            index = self.stored_chunks.known(coded.dictionary.to_pylist(), self._chunk_ids)[coded.indices.to_numpy()]
+            flat, sizes = self.stored_chunks.take(index)
+            return flat, np.bincount(np.repeat(np.arange(len(texts)), count), weights=sizes, minlength=len(texts)).astype(np.int64)
         finally:
             gc.enable()
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        chunks = [self.chunks(t) for t in texts]
-        keys = list(chain.from_iterable(chunks))
-        if len(self.at) > self.limit:
-            self._forget()
-        index = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(index < 0).tolist()
-        if new:
-            self.learn({keys[k] for k in new})
-            index[new] = [self.at[keys[k]] for k in new]
-        count = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        self.hits += np.bincount(index, minlength=len(self.hits)) > 0
-        flat, sizes = gather(self.flat, self.start, self.size, index)
-        return flat, np.bincount(np.repeat(np.arange(len(texts)), count), weights=sizes, minlength=len(texts)).astype(np.int64), chunks
-
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``index`` of ``flat`` one after the other, and their lengths."""
@@ -218,29 +243,25 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, index: np.ndar
     return flat[at], sizes
 
 
-def worker_bpe(spec: str, limit: int | None = None) -> WordBpe:
-    """One encoder for each vocabulary in a worker process, kept for its later tasks (until another operator's ``release``)."""
+def worker_bpe(spec: str, kind: type = WordBpe, limit: int = 0) -> WordBpe:
+    """One encoder of each kind and vocabulary in a worker process, kept for its later tasks (until another operator's ``release``)."""
     trim()
     store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__
-    key = hashlib.sha256(spec.encode()).hexdigest()
+    key = f"{kind.__name__} {hashlib.sha256(spec.encode()).hexdigest()}"
     if key not in store:
-        store[key] = WordBpe(spec, limit)
+        store[key] = kind(spec)
     store[key].limit = limit or WORDS
     return store[key]
 
 
-def text_runs(texts: pa.Array, limit: int = RUN) -> Iterator[tuple[int, list[str]]]:
+def text_runs(texts: pa.Array, limit: int = RUN) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) a few MB at a time; a longer text is a run of its own."""
-    some, size, first = [], 0, 0
-    for k, t in enumerate(texts):
-        t = t.as_py() or ""
-        if some and size + len(t) > limit:
-            yield first, some
-            some, size, first = [], 0, k
-        some.append(t)
-        size += len(t)
-    if some:
-        yield first, some
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, texts.slice(a, b - a)
+        a = b
 
 
 def _digests(spec: str):
@@ -250,14 +271,14 @@ def _digests(spec: str):
         string = bpe.strings.__getitem__
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
-                flat, n, _ = bpe.encode(texts)
-                ids, at, enc, dec = flat.tolist(), 0, [], []
+                flat, n = bpe.encode(texts)
+                at, enc, dec = 0, [], []
                 for k in n.tolist():
-                    part = ids[at : at + k]
+                    part = flat[at : at + k].tolist()
                     at += k
                     enc.append(hashlib.sha256(" ".join(map(number, part)).encode()).hexdigest())
                     dec.append(hashlib.sha256(" ".join(map(string, part)).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -267,7 +288,7 @@ def _encoded(spec: str):
         bpe = worker_bpe(spec)
         for batch in batches:
             for first, texts in text_runs(batch.column(batch.schema.get_field_index("text"))):
-                flat, n, _ = bpe.encode(texts)
+                flat, n = bpe.encode(texts)
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, ids], [*batch.schema.names, "ids"])
 

@@ -1,7 +1,9 @@
 """Token ids in a binary format: canonical Huffman blocks in Parquet containers, written in doc_id order and read back.
 
-1. Every text is encoded once (the tokenizers library's model for words not met before), the end id appended, and its ids
-   kept as 16-bit integers in the shared folder; counts of each id are summed over all documents by the aggregation.
+1. Texts are encoded with the tokenizers library: their distinct chunks are found by Arrow, their words as the file's split
+   pattern cuts them, and every word not met before goes to the library's batch call, many to a call; its ids are kept for
+   the next time.  The end id is appended, and ids are kept in the shared folder as 16-bit integers (a vocabulary of more
+   than 65,536 ids is refused); counts of each id are summed over all documents by the aggregation.
 2. Counts (at most one for each id of the vocabulary) give code lengths of at most 16 bits.
 3. Rows are range-partitioned and sorted by doc_id, and packed in blocks of whole documents; each block holds its document
    ids and lengths, the bit stream, and the bit offset of every 256th id.  The code lengths are stored with every file set.
@@ -13,6 +15,8 @@ An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,29 +26,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import huffman
-from .bpe import text_runs, vocabulary, worker_bpe
+from .bpe import WordBpe, text_runs, vocabulary, worker_bpe
 from .common import partitions, saved, scratch, small_batches
 
 #: Ids to a block; a longer document is a block of its own.
 BLOCK = 1 << 18
-#: Chunks of text that a worker keeps with their ids (about 200 bytes each).
-STORED = 900_000
-#: Characters of text that are encoded together: larger than bpe.RUN, as the store saves more than it costs here.
-RUN = 6_000_000
+#: Words (and chunks) that a worker keeps with their ids (about 200 bytes each).
+STORED = 400_000
+#: Words to one call of the library.
+CALL = 20_000
 BLOCK_SCHEMA = "part int, block int, n long, doc_ids binary, lengths binary, checkpoints binary, bits binary"
 
 
+class LibraryBpe(WordBpe):
+    """Encodes new words with the tokenizers library instead of merge rounds."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(spec)
+        self.library = Tokenizer.from_str(spec)
+        end = json.loads(spec)["model"]["end_of_word_suffix"]
+        self.closing = np.array([s.endswith(end) for s in self.strings])
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
+        for a in range(0, len(words), CALL):
+            some = words[a : a + CALL]
+            flat = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.closing[flat]) + 1  # the last id of each word bears the suffix
+            if len(ends) == len(some):
+                sizes.append(np.diff(ends, prepend=0))
+            else:  # the library cuts one of these words again
+                each = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                flat, n = np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64)
+                sizes.append(n)
+            ids.append(flat)
+        return np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
 def _ids(spec: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_bpe(spec, STORED)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        bpe = worker_bpe(spec, LibraryBpe, STORED)
+        if len(bpe.strings) > 1 << 16 or end >= 1 << 16:
+            raise ValueError(f"{len(bpe.strings)} ids do not fit 16 bits")
         for batch in batches:
-            for first, texts in text_runs(batch.column(1), RUN):
-                flat, n, _ = bpe.encode(texts)
+            for first, texts in text_runs(batch.column(1)):
+                flat, n = bpe.encode(texts)
                 flat = np.insert(flat, np.cumsum(n), end).astype(np.uint16)
-                offsets = pa.py_buffer(np.append(0, np.cumsum(n + 1) * 2).astype(np.int32))
+                offsets = pa.py_buffer(np.append(0, np.cumsum(n + 1) * 2).astype(np.int64))
                 counts = np.bincount(flat)
                 used = np.flatnonzero(counts)
-                row = [batch.column(0).slice(first, len(texts)), pa.array(n + 1, pa.int64()), pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, pa.py_buffer(flat)])]
+                row = [batch.column(0).slice(first, len(texts)), pa.array(n + 1, pa.int64()), pa.Array.from_buffers(pa.large_binary(), len(texts), [None, offsets, pa.py_buffer(flat)]).cast(pa.binary())]
                 # the first row of a run bears the run's counts
                 pad = [None] * (len(texts) - 1)
                 row += [pa.array([used.tolist(), *pad], pa.list_(pa.int32())), pa.array([counts[used].tolist(), *pad], pa.list_(pa.int64()))]
