@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import STORE, saved, trim
 
-#: Chunks, and words, kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
-WORDS = 200_000
+#: Words, and half as many chunks, kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
+WORDS = 300_000
 
 #: Bytes of text that are encoded together; a longer text is a run of its own.
-RUN = 2 << 20
+RUN = 8 << 20
 
 #: Characters whose Unicode classes differ between versions of the pattern libraries; chunks with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"
@@ -129,7 +129,7 @@ class WordBpe:
         bare = data | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}  # its normaliser is all that is needed
         self.normal = Tokenizer.from_str(json.dumps(bare)).normalizer
         pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.find = regex.compile(pattern).findall
+        self.find = regex.compile(f"\\n|{pattern}").findall  # a line end parts the chunks that are cut together
         self.split_rare = Split(Regex(pattern), behavior="removed", invert=True).pre_tokenize_str
         self.rare, self.rare_ascii = regex.compile(RARE).search, re.compile("[\x1c-\x1f]").search
         self.stored_chunks, self.stored_words = Runs(), Runs()
@@ -186,11 +186,7 @@ class WordBpe:
         return every[order], np.append(0, np.cumsum(np.bincount(owner, minlength=len(words))))
 
     def words(self, chunk: str) -> list[str]:
-        """The words of a chunk as the split pattern finds them; an added token is one with a tab before it."""
-        if chunk.isalpha() and chunk.isascii():
-            return [chunk.lower()]
-        if not (self.rare_ascii if chunk.isascii() else self.rare)(chunk) and not (self.added and "<|" in chunk):
-            return self.find(chunk.lower())  # among these characters NFC changes none, and each is lower-cased by itself
+        """The words of a chunk that holds rare characters or added tokens; an added token is one with a tab before it."""
         out = []
         for part in self.split_added.split(chunk) if self.split_added else (chunk,):
             if part in self.added:
@@ -199,6 +195,9 @@ class WordBpe:
                 out += [x for x, _ in self.split_rare(self.normal.normalize_str(part))]
         return out
 
+    def _odd(self, text: str) -> bool:
+        return bool((self.rare_ascii if text.isascii() else self.rare)(text)) or (bool(self.added) and "<|" in text)
+
     def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         special = np.array([w[0] == "\t" for w in words], bool)
         plain = [w for w in words if w[0] != "\t"]
@@ -209,20 +208,40 @@ class WordBpe:
         flat[~at], flat[at] = ids, [self.added[w[1:]] for w in words if w[0] == "\t"]
         return flat, sizes
 
+    def _cut(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all chunks one after the other, and how many each has."""
+        odd = [k for k, c in enumerate(chunks) if self._odd(c)] if self._odd("\n".join(chunks)) else []
+        plain = chunks
+        if odd:
+            plain = list(chunks)
+            for k in odd:
+                plain[k] = ""
+        # chunks hold no line end; among common characters NFC changes none, and each is lower-cased by itself
+        every = self.find("\n".join(plain).lower())
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, every), bool, len(every)))
+        count = np.diff(np.append(ends, len(every)), prepend=-1) - 1
+        words = [w for w in every if w != "\n"]
+        if odd:
+            edge, out, last = np.append(0, np.cumsum(count)), [], 0
+            for k in odd:
+                found = self.words(chunks[k])
+                out += words[last : edge[k]] + found
+                last, count[k] = edge[k], len(found)
+            words = out + words[last:]
+        return words, count
+
     def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [self.words(c) for c in chunks]
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        every = list(chain.from_iterable(cut))
+        every, count = self._cut(chunks)
         distinct = dict.fromkeys(every)
         place = dict(zip(distinct, self.stored_words.known(list(distinct), self._word_ids).tolist(), strict=True))
         flat, sizes = self.stored_words.take(np.fromiter(map(place.__getitem__, every), np.int64, len(every)))
-        return flat, np.bincount(np.repeat(np.arange(len(cut)), count), weights=sizes, minlength=len(cut)).astype(np.int64)
+        return flat, np.bincount(np.repeat(np.arange(len(chunks)), count), weights=sizes, minlength=len(chunks)).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and how many each text has."""
         gc.disable()  # no cycles arise here, and passes over the store would cost more than the work
         try:
-            self.stored_chunks.trim(self.limit)
+            self.stored_chunks.trim(self.limit // 2)
             self.stored_words.trim(self.limit)
             chunks = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
             count = np.diff(chunks.offsets.to_numpy())
@@ -254,14 +273,35 @@ def worker_bpe(spec: str, kind: type = WordBpe, limit: int = 0) -> WordBpe:
     return store[key]
 
 
-def text_runs(texts: pa.Array, limit: int = RUN) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) a few MB at a time; a longer text is a run of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
-        yield a, texts.slice(a, b - a)
-        a = b
+def text_runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = RUN) -> Iterator[tuple[pa.Table, pa.Array]]:
+    """(rows, their texts) a few MB at a time, over the edges of batches; a longer text is a run of its own."""
+    held, size = [], 0
+
+    def run() -> tuple[pa.Table, pa.Array]:
+        rows = pa.Table.from_batches(held)
+        texts = rows.column(column).cast(pa.large_string())
+        held.clear()
+        return rows, texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
+
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(length)
+        a = 0
+        while a < len(length):
+            b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit - size, "right"))
+            if b > a:
+                held.append(batch.slice(a, b - a))
+                size += int(ends[b - 1] - (ends[a - 1] if a else 0))
+                a = b
+            elif held:
+                yield run()
+                size = 0
+            else:
+                held.append(batch.slice(a, 1))
+                yield run()
+                a += 1
+    if held:
+        yield run()
 
 
 def _digests(spec: str):
@@ -269,16 +309,15 @@ def _digests(spec: str):
         bpe = worker_bpe(spec)
         number = list(map(str, range(len(bpe.strings)))).__getitem__
         string = bpe.strings.__getitem__
-        for batch in batches:
-            for first, texts in text_runs(batch.column(1)):
-                flat, n = bpe.encode(texts)
-                at, enc, dec = 0, [], []
-                for k in n.tolist():
-                    part = flat[at : at + k].tolist()
-                    at += k
-                    enc.append(hashlib.sha256(" ".join(map(number, part)).encode()).hexdigest())
-                    dec.append(hashlib.sha256(" ".join(map(string, part)).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for rows, texts in text_runs(batches):
+            flat, n = bpe.encode(texts)
+            at, enc, dec = 0, [], []
+            for k in n.tolist():
+                part = flat[at : at + k].tolist()
+                at += k
+                enc.append(hashlib.sha256(" ".join(map(number, part)).encode()).hexdigest())
+                dec.append(hashlib.sha256(" ".join(map(string, part)).encode()).hexdigest())
+            yield from pa.table([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).to_batches()
 
     return run
 
@@ -286,11 +325,10 @@ def _digests(spec: str):
 def _encoded(spec: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(spec)
-        for batch in batches:
-            for first, texts in text_runs(batch.column(batch.schema.get_field_index("text"))):
-                flat, n = bpe.encode(texts)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, ids], [*batch.schema.names, "ids"])
+        for rows, texts in text_runs(batches):
+            flat, n = bpe.encode(texts)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(flat, pa.int32()))
+            yield from rows.append_column("ids", ids).to_batches()
 
     return run
 

@@ -1,17 +1,26 @@
 r"""Personal data by bootstrapped contextual extraction, DataFrame operations only.
 
 Base kinds are found by patterns (leftmost, not overlapping, per kind); places come from the lengths of what lies between the matches.
-Their matches are seeds.  Every seed, and every other run of characters without white space that holds a digit or an at sign
-(a candidate), is an instance; the word before it and what opens it, a bracket, quote or key such as ``mail=``, is its lexical
-pattern, split off seeds and candidates alike.  Candidates of fewer than LETTERS letters or digits are none.
-The pattern-instance graph is scored in ROUNDS rounds: a pattern's confidence in a kind is the mean score of its
-distinct instances, smoothed by one doubtful instance; an instance's score is what its patterns' confidences leave no doubt
-of (noisy or), 1 for seeds.  A pattern counts from the round in which SUPPORT or more of its distinct instances are seeds or
-confirmed, that is CONFIDENT by its other patterns alone.  Candidates that score CONFIDENT or more under such patterns are new spans,
-unless they overlap a base span or an earlier new one.
-
-Both groupings combine map-side, so a word before a third of all instances is one row per task.  Only texts with a digit or an
-at sign run the patterns, which are written so that no text makes them backtrack more than linearly.
+Their matches are seeds, and so are credentials of public formats (kind ``secret``).  Every seed, and every other run of
+characters without white space that holds a digit or an at sign and LETTERS letters or digits or more (a candidate), is an
+instance.  Three lexical patterns are induced by an instance:
+
+- its context: the word before it, with the word before that where it is but symbols, and what opens it, a bracket, quote or key
+  such as ``mail=``, split off seeds and candidates alike;
+- the key alone, where it has a name;
+- its spelling, where it mixes letters and digits: the classes of its characters, and whether it is LONG.
+
+The pattern-instance graph is scored in ROUNDS rounds: an instance's score in a kind is what its patterns' confidences leave no
+doubt of (noisy or), 1 for seeds.  A pattern's confidence is the mean over its distinct instances (and one doubtful one more) of 1
+for seeds and, for others, of the score that the instance has by its *other* patterns, so that contexts, keys and
+spellings teach each other.  A pattern counts once seeds and such scores sum to SUPPORT.  A context of mere prose is held to more:
+there only what other patterns hold CONFIDENT counts fully and towards SUPPORT, the rest by half its score.
+Candidates that score CONFIDENT or more, under a context or key of half that confidence, are new spans, unless
+they overlap a base span or an earlier new one.  What has the form of an address or card and fails its check is never new.
+
+Groupings combine map-side, so a word before a third of all instances is one row per task.  Only texts with a digit or an
+at sign run the patterns, which are written so that no text makes them backtrack more than linearly.  No context or instance is
+cut; a row is as long as the words it names.
 
 Nulls and texts without matches give zero counts and empty strings.  Rows that repeat a doc_id give one row for each distinct
 text.  An empty table gives an empty result; extra columns are ignored.
@@ -24,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-ROUNDS, SUPPORT, CONFIDENT, LETTERS = 3, 5, 0.9, 6
+#: Rounds of scoring; instances that a pattern needs; score of a new span; letters or digits of a candidate; characters of a long one.
+ROUNDS, SUPPORT, CONFIDENT, LETTERS, LONG = 8, 5, 0.9, 6, 16
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
+BASE, SECRET, CANDIDATE = 4, 4, 5
 # The base patterns.  Possessive repeats and the look-behinds (a match begins where a run begins, or where the
 # last match ended) change no match; they keep long runs linear.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -34,22 +45,50 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
+# Public formats of credentials.
+CREDENTIALS = [
+    r"A[KS]IA[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{36,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"AIza[A-Za-z0-9_-]{35}", r"sk_live_[A-Za-z0-9]{24,}",
+    r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+]
+#: A digest-like value is a seed where it is given to a name that tells so.
+DIGEST, NAMED = r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})", r"(?:token|secret|api[_-]?key|access[_-]?key)[\x22' ]*[=:][\x22' ]*"
 
 # What opens an instance and belongs to its pattern: brackets, quotes and a key (mail=, token:").
 OPENING = r"[(\[{<\"']*+(?:[A-Za-z_]++[=:][\"']?)?"
+# What closes one: signs at its end, or the quote that opened it and all behind that.
+CLOSING = "!\"#$%&'()*,-./:;<>?@[\\]^`{|}~"
+BLANKS = "\t\n\x0b\x0c\r"
 
 
 def _lit(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, which is so computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _last(t: str) -> str:
+    return f"substring_index({t}, ' ', -1)"
+
+
 def _matches(kind: int, guard: str, pattern: str) -> str:
-    """SQL: structs of the matches of a pattern in ``text``, with what stands before each."""
+    """SQL: structs of the matches of a pattern in ``text``: its key and the word (or word and symbols) before that."""
     both = f"struct(split(text, {_lit(pattern)}, -1) as g, regexp_extract_all(text, {_lit(pattern)}, 0) as m)"
     # the match before may hold the word before this one
-    before = "right(concat(coalesce(right(get(x.g, i - 1), 256), ''), coalesce(right(get(x.m, i - 1), 256), ''), right(x.g[i], 256)), 256)"
-    row = f"struct({kind} as kind, i as i, m as m, length(x.g[i]) as gap, {before} as before)"
-    none = "cast(array() as array<struct<kind:int,i:int,m:string,gap:int,before:string>>)"
+    before = f"translate(concat(coalesce(get(x.m, i - 1), ''), x.g[i]), '{BLANKS}', '{' ' * len(BLANKS)}')"
+    if kind == CANDIDATE:
+        key = f"regexp_extract(m, {_lit('^' + OPENING)}, 0)"
+        rest = "rtrim(t)"
+    else:  # what stands between the last white space and the match, where it is an opening
+        key = f"if({_last('t')} rlike {_lit('^(?:' + OPENING + ')$')}, {_last('t')}, '')"
+        rest = "rtrim(left(t, length(t) - length(k)))"
+    rare = f"not w rlike {_lit(r'[\p{L}\p{N}]')} and w != ''"
+    two = f"if({rare}, concat_ws(' ', {_last('rtrim(left(r, length(r) - length(w)))')}, w), w)"
+    word = _let("r", rest, _let("w", _last("r"), two))
+    row = _let("t", before, _let("k", key, f"struct({kind} as kind, i as i, m as m, length(x.g[i]) as gap, k as key, lower({word}) as word)"))
+    none = "cast(array() as array<struct<kind:int,i:int,m:string,gap:int,key:string,word:string>>)"
     return f"if({guard}, transform(array({both}), x -> transform(x.m, (m, i) -> {row}))[0], {none})"
 
 
@@ -65,66 +104,100 @@ def _valid(kind: Column, m: Column) -> Column:
     return F.when(kind == 1, m.rlike(rf"^{part}\.{part}\.{part}\.{part}$")).when(kind == 2, _luhn(m)).when(kind == 3, n.between(9, 15)).otherwise(True)
 
 
-def spots(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, kind, start, end, m, left): valid base matches, candidates (kind 4), and one row of kind -1 for each document."""
+def spots(docs: DataFrame, letters: int = LETTERS) -> DataFrame:
+    """(doc_id, own, kind, start, end, m, word, key): valid base matches, secrets, candidates, and one row of kind -1 for each document."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("own"), text.alias("text"))
     digit = "(text rlike '[0-9]')"
     found = [
-        "array(struct(-1 as kind, 0 as i, '' as m, 0 as gap, '' as before))",
+        "array(struct(-1 as kind, 0 as i, '' as m, 0 as gap, '' as key, '' as word))",
         _matches(0, "contains(text, '@')", EMAIL), _matches(1, digit, IP), _matches(2, digit, CARD), _matches(3, "contains(text, '+')", PHONE),
-        _matches(4, f"({digit} or contains(text, '@'))", r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"),
+        _matches(CANDIDATE, f"({digit} or contains(text, '@'))", r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"),
     ]
     rows = rows.select("doc_id", "own", F.expr(f"inline(concat({', '.join(found)}))"))
-    own = F.regexp_extract("m", f"^{OPENING}", 0)
-    key = F.when(F.col("kind") == 4, own).otherwise(F.regexp_extract("before", rf"(?<!\S)({OPENING})\z", 1))
-    rest = F.when(F.col("kind") == 4, F.col("before")).otherwise(F.expr("left(before, length(before) - length(key))"))
-    word = F.lower(F.regexp_extract(F.right(rest, F.lit(80)), r"(\S{1,40})\s*$", 1))
-    rows = rows.withColumn("key", key).withColumn("left", F.concat_ws(" ", word, F.lower("key"))).withColumn("key", F.when(F.col("kind") == 4, F.col("key")).otherwise("")).drop("before")
-    rows = rows.repartition("doc_id", "own").dropDuplicates(["doc_id", "own", "kind", "i"])
+    rows = rows.dropDuplicates(["doc_id", "own", "kind", "i"])  # combined map-side: rows repeated by the million are one a task
     w = Window.partitionBy("doc_id", "own", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(w)).withColumn("start", F.col("end") - F.length("m")).filter(_valid(F.col("kind"), F.col("m")))
-    bare = F.when(F.col("kind") == 4, F.regexp_replace(F.substring("m", F.length("key") + 1, F.length("m")), r"[\s.,;:!?)\]}>\"']+$", "")).otherwise(F.col("m"))
-    rows = rows.withColumn("m", bare).withColumn("start", F.col("start") + F.length("key")).withColumn("end", F.col("start") + F.length("m"))
-    long_enough = (F.col("kind") < 4) | (F.length(F.regexp_replace("m", r"[^\p{L}\p{N}]", "")) >= LETTERS)
-    return rows.filter(long_enough & ((F.col("kind") < 0) | (F.length("m") > 0))).select("doc_id", "own", "kind", "start", "end", "m", "left")
+    open_ = F.col("kind") == CANDIDATE
+    value, quote = F.substring("m", F.length("key") + 1, F.length("m")), F.right("key", F.lit(1))
+    bare = F.rtrim(F.when(quote.isin('"', "'"), F.call_function("substring_index", value, quote, F.lit(1))).otherwise(value), F.lit(CLOSING))
+    rows = rows.withColumn("start", F.when(open_, F.col("start") + F.length("key")).otherwise(F.col("start")))
+    rows = rows.withColumn("m", F.when(open_, bare).otherwise(F.col("m"))).withColumn("end", F.col("start") + F.length("m"))
+    rows = rows.filter(~open_ | (F.length(F.regexp_replace("m", r"[^\p{L}\p{N}]", "")) >= letters))
+    told = F.concat_ws(" ", "word", F.lower("key"))
+    secret = F.col("m").rlike(f"^(?:{'|'.join(CREDENTIALS)})$") | (F.col("m").rlike(f"^{DIGEST}$") & told.rlike(f"{NAMED}$"))
+    return rows.select("doc_id", "own", F.when(open_ & secret, SECRET).otherwise(F.col("kind")).alias("kind"), "start", "end", "m", "word", F.lower("key").alias("key"))
+
+
+def _spelling(m: Column) -> Column:
+    """Classes of the characters, null unless letters and digits are mixed: a short string that many instances share."""
+    signs = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(m, r"[\p{L}\p{N}]+", ""), ""))), "")
+    classes = F.concat(*[F.when(m.rlike(p), F.lit(n)).otherwise("") for n, p in (("A", "[A-Z]"), ("a", "[a-z]"), ("x", r"[\p{L}&&[^A-Za-z]]"))], signs)
+    mixed = m.rlike("[0-9]") & m.rlike(r"\p{L}")
+    return F.when(mixed, F.concat(F.when(m.rlike("^[0-9a-f]+$"), "hex").otherwise(classes), F.when(F.length(m) >= LONG, "+").otherwise("")))
+
+
+def graph(rows: DataFrame) -> DataFrame:
+    """Distinct edges (pattern, form, m, kind) of ``spots``; form: context (of prose), opened (a context with an opening), key or spelling."""
+    opened = F.when(F.col("key") == "", "context").otherwise("opened")
+    induced = F.array(
+        F.struct(opened.alias("form"), F.concat_ws(" ", "word", "key").alias("pattern")),
+        F.struct(F.lit("key").alias("form"), F.when(F.col("key").rlike("[a-z_][=:]"), F.col("key")).alias("pattern")),
+        F.struct(F.lit("spelling").alias("form"), _spelling(F.col("m")).alias("pattern")),
+    )
+    edges = rows.filter("kind >= 0").select("m", "kind", F.inline(induced)).filter("pattern is not null")
+    return edges.groupBy("form", "pattern", "m").agg(F.min("kind").alias("kind"))
 
 
 def learned(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """(left, m, kind) of candidates that the patterns of a kind vouch for; rows as ``spots`` gives them."""
-    edges = saved(rows.filter("kind >= 0").groupBy("left", "m").agg(F.min("kind").alias("kind")), "edges")
-    kinds = range(len(KINDS))
-    sizes = saved(edges.groupBy("left").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("kind") == k) for k in kinds]).alias("seeds")), "sizes")
-    open_ = edges.filter("kind = 4").select("left", "m")
-    seeded = sizes.select("left", "n", F.posexplode("seeds").alias("of", "seeds"))
-    patterns = saved(seeded.filter(F.col("seeds") >= support).select("left", "of", (F.col("seeds") / (F.col("n") + 1)).alias("confidence")), "patterns")
+    """(word, key, m, kind) of candidates that the patterns of a kind vouch for; rows as ``spots`` gives them."""
+    edges = saved(graph(rows), "edges")
+    node, kinds = ["form", "pattern"], range(len(KINDS))
+    sizes = saved(edges.groupBy(*node).agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("kind") == k) for k in kinds]).alias("seeds")), "sizes")
+    failed = F.col("m").rlike(r"^[0-9]+(?:\.[0-9]+){3}$") | F.regexp_replace("m", r"[\x20-]", "").rlike("^[0-9]{12,19}$")
+    open_ = edges.filter((F.col("kind") == CANDIDATE) & ~failed).select(*node, "m")
+    seeded = sizes.select(*node, "n", F.posexplode("seeds").alias("of", "seeds"))
+    patterns = saved(seeded.filter(F.col("seeds") >= support).select(*node, "of", (F.col("seeds") / (F.col("n") + 1)).alias("confidence")), "patterns")
     scores = None
     for _ in range(rounds):
-        doubts = patterns.select("left", "of", F.log1p(-F.least(F.col("confidence"), F.lit(0.999))).alias("doubt"))
-        scores = saved(open_.join(doubts, "left").groupBy("m", "of").agg(F.sum("doubt").alias("doubts")).withColumn("score", 1 - F.exp("doubts")), "scores")
-        held = open_.join(scores, "m").join(doubts, ["left", "of"], "left").withColumn("others", 1 - F.exp(F.col("doubts") - F.coalesce("doubt", F.lit(0.0))))
-        # what other patterns confirm counts like a seed, the rest by half of its score, so that a pattern cannot raise itself to certainty
-        sure = F.col("others") >= confident
-        sums = held.groupBy("left", "of").agg(F.count_if(sure).alias("confirmed"), F.sum(F.when(sure, F.col("others")).otherwise(F.col("score") / 2)).alias("mass"))
-        every = seeded.join(sums, ["left", "of"], "left").filter(F.col("seeds") + F.coalesce("confirmed", F.lit(0)) >= support)
-        patterns = saved(every.select("left", "of", ((F.col("seeds") + F.coalesce("mass", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence")), "patterns")
-    best = open_.join(patterns, "left").join(scores, ["m", "of"]).filter((F.col("score") >= confident) & (F.col("confidence") >= confident / 2))
-    return best.groupBy("left", "m").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("of"))
+        doubts = patterns.select(*node, "of", F.log1p(-F.least(F.col("confidence"), F.lit(0.999))).alias("doubt"))
+        scores = saved(open_.join(doubts, node).groupBy("m", "of").agg(F.sum("doubt").alias("doubts")).withColumn("score", 1 - F.exp("doubts")), "scores")
+        held = open_.join(scores, "m").join(doubts, [*node, "of"], "left").withColumn("others", 1 - F.exp(F.col("doubts") - F.coalesce("doubt", F.lit(0.0))))
+        prose, sure = F.col("form") == "context", F.col("others") >= confident
+        counted = F.sum(F.when(prose & ~sure, 0.0).otherwise(F.when(prose, 1.0).otherwise(F.col("others")))).alias("counted")
+        sums = held.groupBy(*node, "of").agg(counted, F.sum(F.when(prose & ~sure, F.col("score") / 2).otherwise(F.col("others"))).alias("mass"))
+        every = seeded.join(sums, [*node, "of"], "left").filter(F.col("seeds") + F.coalesce("counted", F.lit(0.0)) >= support)
+        patterns = saved(every.select(*node, "of", ((F.col("seeds") + F.coalesce("mass", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence")), "patterns")
+    if scores is None:
+        return rows.sparkSession.createDataFrame([], "m string, of int")
+    vouched = open_.filter("form != 'spelling'").join(patterns.filter(F.col("confidence") >= confident / 2), node).select("form", "pattern", "m", "of")
+    return vouched.join(scores.filter(F.col("score") >= confident), ["m", "of"]).groupBy("form", "pattern", "m").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("of"), F.max("score").alias("score"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): doc_id, base and added, arrays of (start, kind, end) in order; kind indexes KINDS."""
     rows = saved(spots(docs), "spots")
     new = saved(learned(rows), "learned")
-    known = rows.filter("kind < 4").select("doc_id", "own", "kind", "start", "end", F.lit(False).alias("new"))
+    known = rows.filter(f"kind < {CANDIDATE}").select("doc_id", "own", "kind", "start", "end", (F.col("kind") == SECRET).alias("new"))
     if not new.isEmpty():
-        extra = rows.filter("kind = 4").join(new, ["left", "m"]).select("doc_id", "own", F.col("of").alias("kind"), "start", "end", F.lit(True).alias("new"))
-        known = known.unionByName(extra)
+        some = rows.filter(F.col("kind") == CANDIDATE)
+        by = [
+            some.withColumn("pattern", F.concat_ws(" ", "word", "key")).withColumn("form", F.when(F.col("key") == "", "context").otherwise("opened")),
+            some.filter("key != ''").withColumn("pattern", F.col("key")).withColumn("form", F.lit("key")),
+        ]
+        extra = by[0].unionByName(by[1]).join(new, ["form", "pattern", "m"]).groupBy("doc_id", "own", "start", "end").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("kind"))
+        known = known.unionByName(extra.select("doc_id", "own", "kind", "start", "end", F.lit(True).alias("new")))
+    # overlap with a base span: with one that begins before, by the furthest end so far, or with the next
+    near = Window.partitionBy("doc_id", "own").orderBy("start", "kind")
+    ends = F.max(F.when((F.col("kind") >= 0) & ~F.col("new"), F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.min(F.when((F.col("kind") >= 0) & ~F.col("new"), F.col("start"))).over(near.rowsBetween(1, Window.unboundedFollowing))
+    clear = (F.coalesce(ends, F.lit(0)) <= F.col("start")) & (F.coalesce(begins, F.col("end")) >= F.col("end"))
+    known = known.withColumn("clear", clear)
     span = F.struct("start", "kind", "end")
-    out = known.groupBy("doc_id", "own").agg(
-        F.array_sort(F.collect_list(F.when((F.col("kind") >= 0) & ~F.col("new"), span))).alias("base"), F.array_sort(F.collect_list(F.when(F.col("new"), span))).alias("added")
-    )
-    return out.select("doc_id", "base", F.filter("added", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))).alias("added"))
+    return known.groupBy("doc_id", "own").agg(
+        F.array_sort(F.collect_list(F.when((F.col("kind") >= 0) & ~F.col("new"), span))).alias("base"),
+        F.array_sort(F.collect_list(F.when(F.col("new") & F.col("clear"), span))).alias("added"),
+    ).select("doc_id", "base", "added")
 
 
 def as_text(spans: Column) -> Column:

@@ -67,10 +67,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
-    every = F.array_sort(F.concat("base", "added"))
-    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(every).alias("spans"))
+    found = pii.personal_data(table(spark, sf_dir, "documents")).withColumn("every", F.array_sort(F.concat("base", "added")))
+    of_kind = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind("base" if k < pii.BASE else "every", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.size("every").cast("long").alias("n_spans"), F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("every")).alias("spans"))
 
 
 _QUERIES = (

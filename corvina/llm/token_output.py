@@ -31,8 +31,8 @@ from .common import partitions, saved, scratch, small_batches
 
 #: Ids to a block; a longer document is a block of its own.
 BLOCK = 1 << 18
-#: Words (and chunks) that a worker keeps with their ids (about 200 bytes each).
-STORED = 400_000
+#: Words, and half as many chunks, that a worker keeps with their ids (about 200 bytes each).
+STORED = 800_000
 #: Words to one call of the library.
 CALL = 20_000
 BLOCK_SCHEMA = "part int, block int, n long, doc_ids binary, lengths binary, checkpoints binary, bits binary"
@@ -71,18 +71,17 @@ def _ids(spec: str, end: int):
         bpe = worker_bpe(spec, LibraryBpe, STORED)
         if len(bpe.strings) > 1 << 16 or end >= 1 << 16:
             raise ValueError(f"{len(bpe.strings)} ids do not fit 16 bits")
-        for batch in batches:
-            for first, texts in text_runs(batch.column(1)):
-                flat, n = bpe.encode(texts)
-                flat = np.insert(flat, np.cumsum(n), end).astype(np.uint16)
-                offsets = pa.py_buffer(np.append(0, np.cumsum(n + 1) * 2).astype(np.int64))
-                counts = np.bincount(flat)
-                used = np.flatnonzero(counts)
-                row = [batch.column(0).slice(first, len(texts)), pa.array(n + 1, pa.int64()), pa.Array.from_buffers(pa.large_binary(), len(texts), [None, offsets, pa.py_buffer(flat)]).cast(pa.binary())]
-                # the first row of a run bears the run's counts
-                pad = [None] * (len(texts) - 1)
-                row += [pa.array([used.tolist(), *pad], pa.list_(pa.int32())), pa.array([counts[used].tolist(), *pad], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(row, ["doc_id", "n", "ids", "symbols", "counts"])
+        for rows, texts in text_runs(batches):
+            flat, n = bpe.encode(texts)
+            flat = np.insert(flat, np.cumsum(n), end).astype(np.uint16)
+            offsets = pa.py_buffer(np.append(0, np.cumsum(n + 1) * 2).astype(np.int64))
+            counts = np.bincount(flat)
+            used = np.flatnonzero(counts)
+            ids = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, offsets, pa.py_buffer(flat)]).cast(pa.binary())
+            # the first row of a run bears the run's counts
+            pad = [None] * (len(texts) - 1)
+            told = [pa.array([used.tolist(), *pad], pa.list_(pa.int32())), pa.array([counts[used].tolist(), *pad], pa.list_(pa.int64()))]
+            yield from pa.table([rows.column("doc_id"), pa.array(n + 1, pa.int64()), ids, *told], ["doc_id", "n", "ids", "symbols", "counts"]).to_batches()
 
     return run
 
