@@ -1,7 +1,7 @@
 """BPE with word ends over a public vocabulary file: encoding by batched numpy merge rounds, and decoding.
 
-Texts are cut at ASCII white space into chunks, which no word crosses, and the distinct chunks of many texts are found at
-once (Arrow dictionary).  Chunks not seen before are cut into words as the file asks (NFC, lower case, then the split
+Texts are cut into chunks, which no word crosses: at ASCII white space, between plain ASCII letters and signs, and at each
+digit.  The distinct chunks of many texts are found at once (Arrow dictionary).  Chunks not seen before are cut into words as the file asks (NFC, lower case, then the split
 pattern), and words not seen before are encoded together: their symbols lie in one flat array; each round looks up the
 adjacent pairs that are new in the sorted pair keys by binary search, takes the pairs of lowest rank within each word,
 merges them from the left without overlap and closes the gaps, until no pair is left that the file merges.
@@ -39,6 +39,35 @@ RUN = 8 << 20
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"
 
 
+# Classes of bytes: 1 letters, 2 digits, 3 signs, 4 white space; 0 is what may belong to words, contractions or added tokens with its neighbours.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]], _CLASS[48:58], _CLASS[[32, *range(9, 14)]] = 1, 2, 4
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = 3
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[_CLASS == 4] = 32
+_LOWER = _PLAIN.copy()
+_LOWER[65:91] += 32
+#: By the classes of two neighbours whether a chunk begins between them; white space belongs to what follows.
+_CUT = np.array([(b == 4 and a != 4) or (a in (1, 2, 3) and b in (1, 2, 3) and (a != b or a == 2)) for a in range(5) for b in range(5)])
+
+
+def chunked(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts one after the other, lower-cased where no added token can be meant, and how many each text has."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    off = off - off[0]
+    kind = _CLASS[raw]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = _CUT[kind[:-1] * np.uint8(5) + kind[1:]]
+    cut[off[:-1][off[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(cut)
+    low = (_PLAIN if b"<|" in raw.tobytes() else _LOWER)[raw]
+    edge = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, edge, pa.py_buffer(low)]), np.diff(np.searchsorted(starts, off))
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-ins of the 256 bytes in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -216,7 +245,7 @@ class WordBpe:
             plain = list(chunks)
             for k in odd:
                 plain[k] = ""
-        # chunks hold no line end; among common characters NFC changes none, and each is lower-cased by itself
+        # chunks hold no line end, as their white space is spaces; among common characters NFC changes none, and each is lower-cased by itself
         every = self.find("\n".join(plain).lower())
         ends = np.flatnonzero(np.fromiter(map("\n".__eq__, every), bool, len(every)))
         count = np.diff(np.append(ends, len(every)), prepend=-1) - 1
@@ -243,9 +272,8 @@ class WordBpe:
         try:
             self.stored_chunks.trim(self.limit // 2)
             self.stored_words.trim(self.limit)
-            chunks = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-            count = np.diff(chunks.offsets.to_numpy())
-            coded = chunks.flatten().dictionary_encode()
+            chunks, count = chunked(texts)
+            coded = chunks.dictionary_encode()
             del chunks
             index = self.stored_chunks.known(coded.dictionary.to_pylist(), self._chunk_ids)[coded.indices.to_numpy()]
             flat, sizes = self.stored_chunks.take(index)

@@ -91,6 +91,46 @@ def test_jaccard_threshold_and_small_sets(spark):
     assert got == brute_classes(rows)
 
 
+def kindred(groups=12, members=6):
+    """Small texts of many groups that share frequent shingles without being links, and larger texts of rare shingles."""
+    r, rows = random.Random(9), []
+    stock = [" ".join(words(14, 700 + k, 60)) for k in range(5)]
+    for g in range(groups):
+        own = [f"g{g}_{k}" for k in range(6)]
+        for _ in range(members):
+            w = f"{stock[g % 5]} {' '.join(own)}".split()
+            w[r.randrange(len(w))] = f"z{r.randrange(30)}"
+            rows.append((len(rows), " ".join(w)))
+    for g in range(8):
+        base = words(400, 900 + g, 5000)
+        for k in range(3):
+            w = list(base)
+            for i in r.sample(range(400), 4 + 3 * k):
+                w[i] = f"y{g}_{k}_{i}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("bound", [None, 0, 1 << 30])
+def test_jaccard_light_and_heavy(spark, monkeypatch, bound):
+    """Both halves find links: at the boundary that the cost gives there are light and heavy sets, and any boundary gives the same classes."""
+    seen, split, chosen = [], ngram_join.light_and_heavy, ngram_join.light_bound
+
+    def spy(now, prefix):
+        light, heavy, x = split(now, prefix)
+        seen.append((x, light.select("doc").distinct().count(), heavy.select("doc").distinct().count()))
+        return light, heavy, x
+
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "light_and_heavy", spy)
+    monkeypatch.setattr(ngram_join, "light_bound", chosen if bound is None else lambda _: bound)
+    rows = kindred()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    x, light, heavy = seen[0]
+    assert (light > 0) == (bound != 0) and (heavy > 0) == (bound != 1 << 30) and (bound is not None or 0 < x < 400)
+
+
 def test_jaccard_open_pairs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
@@ -132,6 +172,19 @@ def test_bpe_equals_library(kind):
         assert g.tolist() == e.ids, t
 
 
+@pytest.mark.parametrize("kind", [bpe.WordBpe, token_output.LibraryBpe])
+def test_bpe_chunks_at_every_kind_of_edge(kind):
+    from tokenizers import Tokenizer
+
+    library, own, r = Tokenizer.from_file(VOCAB), kind(bpe.vocabulary(VOCAB)), random.Random(11)
+    signs = "aAbBzZ09'<|>.,;!?-_ \t\n\x1f\x7f\u00e9e\u0301\u00df\u0130\u03a3\u4e00\U0001f642\xa0 s"
+    texts = ["<|ENDOFTEXT|> <|endoftext|>", "a'b.c'd,'s", "9a9 12.5e3", *["".join(r.choice(signs) for _ in range(r.randrange(30))) for _ in range(10000)]]
+    for a in range(0, len(texts), 500):
+        some = texts[a : a + 500]
+        flat, n = own.encode(pa.array(some))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
 def test_bpe_store_forgets():
     from tokenizers import Tokenizer
 
