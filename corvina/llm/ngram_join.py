@@ -8,9 +8,9 @@ A size-aware heavy-light join on the signatures that can still form a link:
    documents costs one entry a chunk.  A truncated hash can only keep a node too many, never lose one.
 3. Among what is left, shingles are ordered by exact frequency, rarest first.  Of n shingles at least ceil(0.75 n) are
    shared with a partner, so by the prefix lemma partners share one of the first n//4+1 and two of the first n//4+2.
-   Light sets (n <= x) enumerate the 2-subsets of that prefix; heavy sets (n > 0.75 x, the border band of light sets
-   included) are entered in inverted lists of single shingles.  x is where the summed cost of both is least.
-4. Lists are joined to a pivot each, never to all pairs; verified links are merged into classes; then only pairs of
+   Light sets (n <= x) enumerate the 2-subsets of that prefix.  Heavy sets (n > x) are entered in inverted lists of single
+   shingles; light sets of the border (n > 0.75 x) are entered in the lists that a heavy set is in.  x is where the summed cost of both is least.
+4. Lists of either kind are joined to a pivot each, never to all pairs; verified links are merged into classes; then only pairs of
    different classes in one list are still open.  After PIVOT_ROUNDS such rounds the open pairs are enumerated in blocks.
    Pairs already in one class need no test, as the class is the result.
 
@@ -214,27 +214,46 @@ def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n", "shared", "tokens", "dfs", "parity"])
 
 
-def _list_keys(x: float):
+def _entries(heavy: bool, keys_of):
+    """Entries (key, doc, n, shared, heavy) of the nodes of ``prefix`` by the keys of their prefix tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = []
-            for doc, n, shared, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "shared", "tokens")), strict=True):
-                t = np.array(tokens, np.int64).view(np.uint64)
-                found = []
-                if n <= x:
-                    i, j = np.triu_indices(len(t), 1)
-                    a, b = np.minimum(t[i], t[j]), np.maximum(t[i], t[j])
-                    found.append(tb.mix(a * tb.LANES[0] + tb.mix(b ^ tb.LANES[1])))
-                if n > 0.75 * x:
-                    found.append(tb.mix(t[: len(t) - 1] ^ tb.LANES[2]))
-                keys = np.concatenate(found).view(np.int64)
-                rows.append([keys, *(np.full(len(keys), v, np.int64) for v in (doc, n, shared))])
-            for part in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows[part : part + 64], strict=True)], ["key", "doc", "n", "shared"])
+            for part in range(0, batch.num_rows, 64):
+                columns = (batch.column(c).slice(part, 64).to_pylist() for c in ("tokens", "doc_id", "n", "shared"))
+                rows = [(keys_of(np.array(t, np.int64).view(np.uint64)).view(np.int64), *rest) for t, *rest in zip(*columns, strict=True)]
+                size = [len(r[0]) for r in rows]
+                flat = [np.concatenate([r[0] for r in rows]), *(np.repeat([r[k] for r in rows], size) for k in (1, 2, 3))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in flat), pa.array(np.full(len(flat[0]), heavy))], ["key", "doc", "n", "shared", "heavy"])
 
     return run
 
 
+def _shingle_keys(t: np.ndarray) -> np.ndarray:
+    """A key for each shingle of the 1-prefix."""
+    return tb.mix(t[:-1] ^ tb.LANES[2])
+
+
+def _subset_keys(t: np.ndarray) -> np.ndarray:
+    """A key for each 2-subset of the 2-prefix."""
+    i, j = np.triu_indices(len(t), 1)
+    a, b = np.minimum(t[i], t[j]), np.maximum(t[i], t[j])
+    return tb.mix(a * tb.LANES[0] + tb.mix(b ^ tb.LANES[1]))
+
+
+def light_and_heavy(prefix: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Entries of light sets by 2-subsets, entries of heavy sets and of the border by single shingles, and the size x between them.
+
+    Entries of the border are not marked ``heavy``: a list that has only such entries is of no use.
+    """
+    x, schema = light_bound(prefix), "key long, doc long, n long, shared long, heavy boolean"
+    n = F.col("n")
+    light = prefix.filter(n <= x).mapInArrow(_entries(True, _subset_keys), schema)
+    heavy = prefix.filter(n > x).mapInArrow(_entries(True, _shingle_keys), schema)
+    border = prefix.filter((n <= x) & (n > 0.75 * x)).mapInArrow(_entries(False, _shingle_keys), schema)
+    return light, heavy.unionByName(border), x
+
+
 #: What two list entries must fulfil to link: sizes within the threshold, and enough shared shingles in both,
 #: as an intersection of 3/7 of both sizes together is needed.
 FITS = "4 * least({0}n, {1}n) >= 3 * greatest({0}n, {1}n) and 7 * least({0}shared, {1}shared) >= 3 * ({0}n + {1}n)"
@@ -330,10 +349,10 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         counts = dealt.groupBy("chunk").applyInArrow(_chunk_counts(bits), "bucket long, chunk long, tokens binary, counts binary")
         counts = counts.groupBy("bucket").applyInArrow(_frequencies, "chunk long, tokens binary, dfs binary")
         prefix = saved(dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prefixes, "doc_id long, n long, shared long, tokens array<long>, dfs array<long>, parity array<long>"), "prefix")
-        x = light_bound(prefix)
-        keys = prefix.mapInArrow(_list_keys(x), "key long, doc long, n long, shared long")
-        lists = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo != hi").select("key")
-        labels = _classes(saved(keys.join(lists, "key").distinct(), "lists"), sets, prefix.select(F.col("doc_id").alias("doc"), "parity"))
+        light, heavy, _ = light_and_heavy(prefix)
+        keys = light.unionByName(heavy)
+        lists = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("heavy").alias("heavy")).filter("lo != hi and heavy").select("key")
+        labels = _classes(saved(keys.drop("heavy").join(lists, "key").distinct(), "lists"), sets, prefix.select(F.col("doc_id").alias("doc"), "parity"))
     out = info.join(nodes.select("sig", "rep"), "sig", "left")
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
@@ -341,21 +360,24 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "rep")).alias("component_id"))
 
 
-def light_bound(prefix: DataFrame) -> float:
-    """The size up to which sets are light: where 2-subsets of light prefixes and list entries of heavy ones cost least.
+def light_bound(prefix: DataFrame) -> int:
+    """The size up to which sets are light: where the rows that both kinds of lists cost are least together.
 
-    A subset costs one entry.  An entry of a list costs as many reads as the list has members, but no more than twice the
-    number of rounds, as lists are joined to pivots rather than to each other.  Sizes are counted in classes a tenth apart, so the histogram that reaches the driver has at most a few hundred rows.
+    A 2-subset is a row.  An entry of a list is read twice in each round (to find the list's pivot, and to join it), but for
+    no more members than the list has.  An entry of the border is a row.  Sizes are
+    counted in classes a tenth apart, so the histogram that reaches the driver has at most a few hundred rows.
     """
     grid = prefix.select(
         F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).alias("g"),
         (F.size("tokens") * (F.size("tokens") - 1) / 2).alias("subsets"),
-        F.expr(f"aggregate(slice(dfs, 1, greatest(size(dfs) - 1, 0)), 0L, (s, d) -> s + least(d, {2 * (PIVOT_ROUNDS + 1)}))").alias("scans"),
+        (F.size("tokens") - 1).alias("entries"),
+        F.expr(f"aggregate(slice(dfs, 1, greatest(size(dfs) - 1, 0)), 0L, (s, d) -> s + least(d, {2 * (PIVOT_ROUNDS + 1)}))").alias("reads"),
     )
-    rows = sorted((r["g"], r["subsets"], r["scans"]) for r in grid.groupBy("g").agg(F.sum("subsets").alias("subsets"), F.sum("scans").alias("scans")).collect())
+    sums = [F.sum(c).alias(c) for c in ("subsets", "entries", "reads")]
+    rows = sorted((1.1 ** (r["g"] + 1), r["subsets"], r["entries"], r["reads"]) for r in grid.groupBy("g").agg(*sums).collect())
     best, x = None, 0.0
-    for bound in [0.0, *(1.1 ** (g + 1) for g, *_ in rows)]:
-        cost = sum(s if 1.1 ** (g + 1) <= bound * 1.0001 else 0 for g, s, _ in rows) + sum(c for g, _, c in rows if 1.1 ** (g + 1) > 0.75 * bound)
+    for bound in [0.0, *(r[0] for r in rows)]:
+        cost = sum(subsets + (entries if top > 0.75 * bound else 0) if top <= bound * 1.0001 else reads for top, subsets, entries, reads in rows)
         if best is None or cost < best:
             best, x = cost, bound
     return math.floor(x)

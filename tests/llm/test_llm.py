@@ -91,7 +91,7 @@ def test_jaccard_threshold_and_small_sets(spark):
     assert got == brute_classes(rows)
 
 
-def kindred(groups=12, members=6):
+def kindred(groups=5, members=40):
     """Small texts of many groups that share frequent shingles without being links, and larger texts of rare shingles."""
     r, rows = random.Random(9), []
     stock = [" ".join(words(14, 700 + k, 60)) for k in range(5)]
@@ -116,12 +116,11 @@ def test_jaccard_light_and_heavy(spark, monkeypatch, bound):
     """Both halves find links: at the boundary that the cost gives there are light and heavy sets, and any boundary gives the same classes."""
     seen, split, chosen = [], ngram_join.light_and_heavy, ngram_join.light_bound
 
-    def spy(now, prefix):
-        light, heavy, x = split(now, prefix)
-        seen.append((x, light.select("doc").distinct().count(), heavy.select("doc").distinct().count()))
+    def spy(prefix):
+        light, heavy, x = split(prefix)
+        seen.append((x, light.select("doc").distinct().count(), heavy.filter("heavy").select("doc").distinct().count()))
         return light, heavy, x
 
-    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
     monkeypatch.setattr(ngram_join, "light_and_heavy", spy)
     monkeypatch.setattr(ngram_join, "light_bound", chosen if bound is None else lambda _: bound)
     rows = kindred()
@@ -131,6 +130,20 @@ def test_jaccard_light_and_heavy(spark, monkeypatch, bound):
     assert (light > 0) == (bound != 0) and (heavy > 0) == (bound != 1 << 30) and (bound is not None or 0 < x < 400)
 
 
+def test_both_halves_on_the_tables(spark, monkeypatch):
+    """On the synthetic tables the cost leaves light and heavy sets."""
+    seen, split = [], ngram_join.light_and_heavy
+
+    def spy(prefix):
+        light, heavy, x = split(prefix)
+        seen.append((light.select("doc").distinct().count(), heavy.filter("heavy").select("doc").distinct().count()))
+        return light, heavy, x
+
+    monkeypatch.setattr(ngram_join, "light_and_heavy", spy)
+    ngram_join.jaccard_classes(spark.read.parquet(SF.replace("0.001", "0.1") + "/documents.parquet"))
+    assert seen[0][0] > 0 and seen[0][1] > 0
+
+
 def test_jaccard_open_pairs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 0)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
