@@ -63,7 +63,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+    return exact_dedup.copies(table(spark, sf_dir, "documents")).drop("text_xxh")
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
