@@ -9,7 +9,7 @@ splits a host with a third of all rows.  A further class, ``und``, is uniform ov
 
 Nulls, empty texts and texts without letters have no text evidence; without any other they are ``und`` and rejected.
 A few letters are too little for rejection, as ``und`` is improbable beforehand.  Null hosts share one
-prior.  Rows that repeat an id are decided one by one and must agree in their text (else each row counts).  Empty tables give an empty result.
+prior.  Rows that repeat an id are decided one by one; documents are told by doc_id and text_xxh, a hash of their text.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import release, saved, trim
+from .common import release, saved, small_batches, trim
 
 TRAIN_ROWS, EVIDENCE, STRENGTH = 4_000, 200.0, 20.0
 BUCKETS = 1 << 16
@@ -67,7 +67,8 @@ def _level(sizes: list[int], limit: int) -> int:
 def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log likelihoods (language x bucket) from rows (key, text, lang).
 
-    At most ``limit`` rows, or one of each language where there are more, reach the driver; the list of languages is of all rows.
+    At most ``limit`` rows, or one of each language where there are more, are learned from, one for each id; the list of languages is of all rows.
+    Their trigrams are counted by the tasks: what reaches the driver is BUCKETS counts for each language (half a MB), however long the texts.
     """
     usable = rows.filter("lang is not null and length(text) > 0")
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
@@ -79,15 +80,37 @@ def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[
     ids = usable.filter(F.coalesce(*large).isNull()) if large else usable
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", key))
     chosen = ids.select(key, "lang", F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("h")).distinct().withColumn("place", place).filter(F.col("place") <= level).orderBy("place", "h", key).limit(limit)
-    some = usable.join(F.broadcast(chosen.select(key, "lang")), [key, "lang"], "left_semi").select("lang", "text").toArrow()
+    # of rows that repeat an id one text is taken, so that rows are bounded like ids
+    some = usable.join(F.broadcast(chosen.select(key, "lang")), [key, "lang"], "left_semi").groupBy("lang", key).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    summed = some.select("lang", "text").mapInArrow(_counted, "lang string, counts binary").groupBy("lang").applyInArrow(_summed, "lang string, counts binary")
     counts = np.ones((len(langs), BUCKETS)) * 0.05
-    which = np.array([langs.index(x) for x in some.column("lang").to_pylist()], np.int64)
-    for a, b, raw, off in tb.steps(some.column("text")):
-        code, doc = _trigrams(raw, off)
-        np.add.at(counts, (which[a:b][doc], code), 1)
+    with small_batches(rows.sparkSession):
+        for lang, part in zip(*(summed.toArrow().column(c).to_pylist() for c in ("lang", "counts")), strict=True) if langs else ():
+            counts[langs.index(lang)] += np.frombuffer(part, np.int64)
     return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigram counts of each language in a task."""
+    release()
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        which = np.array(batch.column(0).to_pylist())
+        for a, b, raw, off in tb.steps(batch.column(1)):
+            code, doc = _trigrams(raw, off)
+            for lang in np.unique(which[a:b]):
+                mine = (which[a:b] == lang)[doc]
+                held.setdefault(str(lang), np.zeros(BUCKETS, np.int64))
+                held[str(lang)] += np.bincount(code[mine], minlength=BUCKETS)
+    for lang, count in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([count.tobytes()], pa.binary())], ["lang", "counts"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def _likelihoods(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -172,7 +195,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
 def document_languages(docs: DataFrame) -> DataFrame:
     """``identify`` over documents: model from their declared ``lang`` (rows whose crc32(doc_id) mod 3 is 1 are held out), ``source`` as host."""
     model = fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    return identify(docs.select("doc_id", "text", F.col("source").alias("host")), model)
+    document = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_xxh")).alias("document")
+    found = identify(docs.select(document, "text", F.col("source").alias("host")), model, "document")
+    return found.select("document.doc_id", *[c for c in found.columns if c != "document"], "document.text_xxh")
 
 
 def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
