@@ -3,7 +3,10 @@
 Pass one scatters rows by a seeded hash of doc_id and content into buckets that fit a task's memory.  Pass two draws a
 Fisher-Yates permutation of each bucket (seeded by the bucket), gives every row its place in the global order and writes
 the rows; ``rows`` is the law: shard s holds the places from ceil(s N / shards) on, so counts differ by one at most.
-Bucket counts come from a pass of their own and are the only figures on the driver: 16 bytes per BUCKET_BYTES of text.
+
+The scatter has two levels: at most PARTITIONS reduce partitions, each of consecutive buckets, which Spark sorts (and
+spills) by bucket, so that a task holds one bucket at a time.  Bucket counts come from a pass of their own and are the only figures on
+the driver: at most BUCKETS of them (8 bytes each), beyond which buckets grow (250 MB at 100 TB).
 
 A bucket is sorted by (doc_id, text) before it is permuted, so a rerun after a lost executor gives the same order.  Rows that repeat a
 doc_id are scattered by content; rows equal in both share a bucket.  A null text has size 8.
@@ -13,7 +16,6 @@ Empty tables give an empty result; extra columns are carried along to the files.
 from __future__ import annotations
 
 import math
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +26,22 @@ from pyspark.sql import types as T
 
 from .common import scratch
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, BUCKETS, PARTITIONS = 16 << 20, 400_000, 50_000
 
 
 def _bucket(seed: int, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))
 
 
-def _permuted(seed: int, offsets: list[int], total: int, shards: int):
+def _permuted(seed: int, offsets: np.ndarray, total: int, shards: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
+        bucket = key[-1].as_py()
         order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_numpy()
         order = order[np.random.default_rng([seed, bucket]).permutation(len(order))]  # Fisher-Yates
         place = offsets[bucket] + np.arange(len(order), dtype=np.int64)
-        shard = np.array([int(p) * shards // total for p in place], np.int64)
-        slot = place - np.array([-(-int(s) * total // shards) for s in shard], np.int64)
-        out = table.drop(["bucket"]).take(pa.array(order))
+        shard = place * shards // total
+        slot = place + (-shard * total // shards)  # less the first place of the shard, rounded up
+        out = table.drop(["part", "bucket"]).take(pa.array(order))
         return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
     return run
@@ -47,14 +49,20 @@ def _permuted(seed: int, offsets: list[int], total: int, shards: int):
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Writes ``docs`` (doc_id, text, ...) under ``path`` in ``shard=`` folders and returns what the files hold, with slot."""
-    rows = docs.drop("bucket", "shard", "slot")
+    rows = docs.drop("part", "bucket", "shard", "slot")
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_bytes))
-    counts = dict(rows.groupBy(_bucket(seed, buckets).alias("b")).count().collect())
-    each = [counts.get(b, 0) for b in range(buckets)]
+    buckets = max(1, math.ceil(size / max(bucket_bytes, size / BUCKETS)))
+    parts = min(buckets, PARTITIONS)
+    found = rows.groupBy(_bucket(seed, buckets).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    each = np.zeros(buckets, np.int64)
+    each[found.column("b").to_numpy()] = found.column("n").to_numpy()
+    total = max(1, int(each.sum()))
+    if total * shards >= 1 << 62:
+        raise ValueError("places of so many rows and shards do not fit 64 bits")
     schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    dealt = rows.withColumn("bucket", _bucket(seed, buckets)).repartition(buckets, "bucket")
-    mixed = dealt.groupBy("bucket").applyInArrow(_permuted(seed, [0, *accumulate(each)], max(1, sum(each)), shards), schema)
+    dealt = rows.withColumn("bucket", _bucket(seed, buckets)).withColumn("part", F.expr(f"cast(bucket * {parts}L div {buckets} as int)"))
+    dealt = dealt.repartitionById(parts, "part")
+    mixed = dealt.groupBy("part", "bucket").applyInArrow(_permuted(seed, np.cumsum(each) - each, total, shards), schema)
     mixed.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
