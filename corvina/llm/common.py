@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -22,10 +25,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset (tests, local mode) is a folder made for it."""
+    """A new path under ``spark.checkpoint.dir``.  Where that is unset a folder is made for it in local mode alone (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='corvina-')}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 

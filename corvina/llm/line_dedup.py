@@ -6,7 +6,7 @@ estimate is within MARGIN of the threshold get an exact distinct count; all othe
 (1.6 % at 2^12 registers, exact for small counts) is under a third of the margin.  Lines on ``sites`` sites or more are boilerplate
 and are removed everywhere.
 
-Removed places, not texts, are joined back: broadcast up to PLACES places (16 bytes each), else by shuffle.  Blank lines stay.
+Removed places, not texts, are joined back: broadcast up to BYTES (a document about 80 bytes, a place 4), else by shuffle.  Blank lines stay.
 Null texts count as empty, null sites as none.  Rows that repeat a doc_id are joined by (doc_id, hash of the text).  Empty tables give
 an empty result; extra columns are kept.
 """
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-SITES, MARGIN, PLACES = 10, 0.1, 2_000_000
+#: Lines, or bytes of places, that may be broadcast.
+SITES, MARGIN, LINES, BYTES = 10, 0.1, 500_000, 64 << 20
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -28,7 +29,7 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     spread = saved(spread.filter(F.col("sites") >= sites - margin), "spread")
     sure = spread.filter(F.col("sites") > sites + margin).select("h1", "h2")
     near = spread.filter(F.col("sites") <= sites + margin).select("h1", "h2")
-    exact = lines.join(F.broadcast(near) if near.count() <= PLACES else near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("site").alias("sites"))
+    exact = lines.join(F.broadcast(near) if near.count() <= LINES else near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("site").alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= sites).select("h1", "h2"))
 
 
@@ -39,9 +40,9 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     lines = docs.select("doc_id", "own", F.col(site).alias("site"), parts).filter("trim(line) <> ''")
     lines = lines.select("doc_id", "own", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
     common = saved(boilerplate(lines, sites), "common")
-    common = F.broadcast(common) if common.count() <= PLACES else common
+    common = F.broadcast(common) if common.count() <= LINES else common
     gone = saved(lines.join(common, ["h1", "h2"]).groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
-    few = (gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0) <= PLACES
+    few = (gone.agg(F.sum(4 * F.size("gone") + 80)).first()[0] or 0) <= BYTES
     out = docs.join(F.broadcast(gone) if few else gone, ["doc_id", "own"], "left")
     kept = "if(gone is null, coalesce(text, ''), array_join(transform(array(split(coalesce(text, ''), '\\n')), l -> filter(l, (x, i) -> not array_contains(gone, i)))[0], '\\n'))"
     out = out.withColumn("kept_text", F.expr(kept)).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
