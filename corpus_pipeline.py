@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``, each written as Parquet and read again by the next.
 
-Every stage takes (spark, docs, sf_dir).  All but the last return the columns of documents: rows go, none change.  A doc_id
-identifies a document; rows that repeat one with the same text are one document.
+Every stage takes (spark, docs, sf_dir).  All but the last return the columns of documents: rows go, none change.  A document is a
+doc_id with its text: rows of one doc_id and different texts are decided one by one, rows that repeat both are one document.  Null texts
+count as empty.  Texts of any length are read whole.  Empty tables give empty tables; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -10,40 +11,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
-from corvina.llm.common import join_ids, saved, scratch
+from corvina.llm.common import BROADCAST_IDS, saved, scratch
 from corvina.llm.queries import vocabulary_path
 
+KEY = ["doc_id", "text_xxh"]
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return join_ids(docs, saved(ids.select("doc_id").distinct(), "dropped"), "left_anti")
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_xxh", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the documents ``gone`` (KEY), which are counted: few are broadcast, many joined by shuffle."""
+    gone = saved(gone.select(*KEY).distinct(), "dropped")
+    n = gone.count()
+    if not n:
+        return docs
+    return _keyed(docs.drop("text_xxh")).join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, KEY, "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are in no language known from the declared ones."""
+    """Drops documents that are in no language known from the declared ones.
+
+    Null and empty texts, and texts without letters, are in none and go; short texts of a few letters stay.
+    """
     return _without(docs, langid.document_languages(docs).filter("rejected"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the document with the largest doc_id, once."""
+    """Keeps of equal texts (null and empty are equal) the document with the largest doc_id, once."""
     found = saved(exact_dedup.copies(docs), "copies")
     kept = _without(docs, found.filter("not kept"))
-    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    if found.filter("kept").groupBy(*KEY).count().filter("count > 1").isEmpty():
+        return kept
+    return _keyed(kept.drop("text_xxh")).dropDuplicates(KEY).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates."""
-    return _without(docs, ngram_join.jaccard_classes(docs).filter("doc_id <> component_id"))
+    """Keeps of each group of near duplicates the document with the smallest doc_id, and of that the text with the smallest hash.
+
+    Texts without words are in no group and stay.
+    """
+    ids = _keyed(docs.select("doc_id", "text"))
+    if ids.groupBy("doc_id").agg(F.min("text_xxh").alias("lo"), F.max("text_xxh").alias("hi")).filter("lo <> hi").isEmpty():
+        found = ngram_join.jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id")
+        return _without(docs, _keyed(docs.select("doc_id", "text")).join(saved(found, "near"), "doc_id", "left_semi"))
+    # some doc_id has several texts: rows are numbered in a written table, and classes are of rows
+    rows = saved(ids.dropDuplicates(KEY).withColumn("row", F.monotonically_increasing_id()), "rows")
+    classes = saved(ngram_join.jaccard_classes(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "row-classes")
+    named = classes.join(rows.select("row", *KEY), "row")
+    least = named.groupBy("component_id").agg(F.min(F.struct(*KEY)).alias("stays"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return _without(docs, named.join(least, "component_id").filter("struct(doc_id, text_xxh) <> stays"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
+    """Drops documents that hold a passage of a benchmark item: ten words in a row, or all of a shorter item.  Texts without words stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontaminate.contamination(docs, items).filter("contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left, and decodes it: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encodes what is left, and decodes it: doc_id, n_tokens, ids_sha256, decoded_sha256.  Null and empty texts have no tokens."""
     return bpe.round_trip(docs, vocabulary_path())
 
 
