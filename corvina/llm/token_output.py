@@ -33,6 +33,8 @@ from .common import partitions, saved, scratch, small_batches
 BLOCK = 1 << 18
 #: Words, and half as many chunks, that a worker keeps with their ids (about 200 bytes each).
 STORED = 800_000
+#: Bytes of text that are encoded together: more than elsewhere, as fewer runs look fewer chunks up.
+RUN = 8 << 20
 #: Words to one call of the library.
 CALL = 20_000
 BLOCK_SCHEMA = "part int, block int, n long, doc_ids binary, lengths binary, checkpoints binary, bits binary"
@@ -71,7 +73,7 @@ def _ids(spec: str, end: int):
         bpe = worker_bpe(spec, LibraryBpe, STORED)
         if len(bpe.strings) > 1 << 16 or end >= 1 << 16:
             raise ValueError(f"{len(bpe.strings)} ids do not fit 16 bits")
-        for rows, texts in text_runs(batches):
+        for rows, texts in text_runs(batches, limit=RUN):
             flat, n = bpe.encode(texts)
             flat = np.insert(flat, np.cumsum(n), end).astype(np.uint16)
             offsets = pa.py_buffer(np.append(0, np.cumsum(n + 1) * 2).astype(np.int64))
