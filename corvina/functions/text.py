@@ -7,16 +7,21 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import lexicons as lx
+from ..lexicons import DEFAULT, Lexicon
 
-#: Latin letters whose canonical decomposition is one ASCII letter and marks, by rule.
-_FOLD = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii() and d[0].isalpha()}
+#: Letters whose canonical decomposition is one letter and marks, by rule (Latin, Greek, Cyrillic and their extensions).
+_FOLD = {chr(c): d[0] for c in range(0xC0, 0x2000) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isalpha() and all(unicodedata.category(m) == "Mn" for m in d[1:])}
 ACCENTED, PLAIN = "".join(_FOLD), "".join(_FOLD.values())
 
 
 def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks (the rest is left)."""
-    return F.translate(c, ACCENTED, PLAIN)
+    """Letters without their marks; marks of their own go."""
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
+
+
+def md5_key(*parts: Column) -> Column:
+    """The key of a cached answer: md5 of its parts."""
+    return F.md5(F.concat(*parts))
 
 
 def prompt_hash(c: Column) -> Column:
@@ -29,11 +34,11 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(c), "[?!.,;:… ]+$", ""))
 
 
-def tokens(c: Column) -> Column:
-    """Sorted distinct tokens of two characters or more, without stop words."""
-    flat = F.regexp_replace(strip_accents(normalise(c)), "[^a-z0-9_]+", " ")
+def tokens(c: Column, lex: Lexicon = DEFAULT) -> Column:
+    """Sorted distinct tokens of two characters or more, without stop words; hyphens stay within them."""
+    flat = F.regexp_replace(strip_accents(normalise(c)), r"[^\p{L}\p{N}_ -]+", " ")
     words = F.filter(F.split(flat, " "), lambda w: F.length(w) > 1)
-    return F.array_sort(F.array_distinct(F.array_except(words, F.array(*[F.lit(w) for w in lx.STOPWORDS]))))
+    return F.array_sort(F.array_distinct(F.array_except(words, F.array(*[F.lit(w) for w in lex.stop_words]))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -47,30 +52,31 @@ def slug(c: Column, most: int = 60) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(flat, "^-+|-+$", ""), 1, most), "-+$", "")
 
 
-def language(c: Column) -> Column:
-    """Two-way: code is en; else en where its markers lead and over nine tenths are ASCII; else fr."""
+def language(c: Column, lex: Lexicon = DEFAULT) -> Column:
+    """Two-way: source text is en; else en where its markers lead and over nine tenths are ASCII; else fr."""
     low = F.lower(c)
     ascii_share = F.length(F.regexp_replace(c, "[^\\x00-\\x7F]", "")) / F.greatest(F.length(c), F.lit(1))
-    leads = F.regexp_count(low, F.lit(lx.EN_MARKS)) > F.regexp_count(low, F.lit(lx.FR_MARKS))
-    return F.when(c.rlike(lx.CODE_MARK), "en").when(leads & (ascii_share > 0.9), "en").otherwise("fr")
+    leads = F.regexp_count(low, F.lit(lex.english)) > F.regexp_count(low, F.lit(lex.french))
+    return F.when(c.rlike(lex.source_text), "en").when(leads & (ascii_share > 0.9), "en").otherwise("fr")
 
 
-def domain(c: Column) -> Column:
+def domain(c: Column, lex: Lexicon = DEFAULT) -> Column:
     """The first rule that matches."""
     out, low = F, F.lower(c)
-    for label, pattern in lx.DOMAINS:
+    for label, pattern in lex.domains:
         out = out.when(low.rlike(pattern), label)
     return out.otherwise("general")
 
 
-def category(c: Column, default: str = "other") -> Column:
+def category(c: Column, lex: Lexicon = DEFAULT) -> Column:
+    """The first label of which a part occurs."""
     out, low = F, F.lower(c)
-    for label, parts in lx.CATEGORIES:
+    for label, parts in lex.categories:
         hit = F.contains(low, F.lit(parts[0]))
         for p in parts[1:]:
             hit = hit | F.contains(low, F.lit(p))
         out = out.when(hit, label)
-    return out.otherwise(default)
+    return out.otherwise(lex.default_category)
 
 
 def header_field(c: Column, name: str, within: int = 1000) -> Column:
@@ -96,9 +102,12 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#:]+)", 1))
 
 
-def url_class(url: Column) -> Column:
-    h = host(url)
-    return F.when(h.rlike("(?:^|[.])m[.]|youtu|video"), "video").when(h.rlike("[.]org$"), "academic").when(h.rlike("[.]net$"), "social").otherwise("web")
+def url_class(url: Column, lex: Lexicon = DEFAULT) -> Column:
+    """The medium of an address, by its host without ``www.``; else web."""
+    h, out = F.regexp_replace(host(url), "^www[.]", ""), F
+    for label, hosts in lex.media_hosts:
+        out = out.when(h.isin(*hosts), label)
+    return out.otherwise("web")
 
 
 def main_text(html: Column) -> Column:
@@ -116,29 +125,29 @@ def flag(c: Column, pattern: str) -> Column:
     return F.lower(c).rlike(pattern)
 
 
-def count_flags(c: Column, patterns: list[str]) -> Column:
+def count_flags(c: Column, patterns: tuple[str, ...]) -> Column:
     return sum((flag(c, p).cast("int") for p in patterns), F.lit(0))
 
 
-def fast_or_deep(c: Column) -> Column:
-    """deep wins ties."""
-    words = F.size(F.split(F.trim(F.regexp_replace(c, "[ \\n\\t]+", " ")), " "))
-    deep = count_flags(c, lx.DEEP) + F.when(words > 20, 2).when(words > 12, 1).otherwise(0) + (F.regexp_count(c, F.lit("[?]")) > 1).cast("int")
-    fast = count_flags(c, lx.FAST) + (words < 5).cast("int")
+def fast_or_deep(c: Column, lex: Lexicon = DEFAULT) -> Column:
+    """deep has one point beforehand and wins ties."""
+    words = F.size(F.filter(F.split(c, "[ \\t\\n\\r]+"), lambda w: w != ""))
+    deep = count_flags(c, lex.deep) + 1 + F.when(words > 20, 2).when(words > 12, 1).otherwise(0) + (F.regexp_count(c, F.lit("[?]")) > 1).cast("int")
+    fast = count_flags(c, lex.fast) + (words < 5).cast("int")
     return F.when(deep >= fast, "deep").otherwise("fast")
 
 
-def ioc(c: Column) -> Column:
+def ioc(c: Column, lex: Lexicon = DEFAULT) -> Column:
     """{kind, value}: an IPv4 (not private, unless the text says so), else a 64-digit hash in a short text or with a keyword."""
     ip = F.regexp_extract(c, "([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})", 1)
-    told = flag(c, lx.word("ip", "ioc", "hash", "malware"))
+    told = flag(c, lex.threats)
     digest = F.regexp_extract(F.lower(c), "(?:^|[^0-9a-f])([0-9a-f]{64})(?:[^0-9a-f]|$)", 1)
     kind = F.when((ip != "") & (told | ~ip.rlike("^(?:127[.]|192[.]168[.]|10[.])")), "ip").when((digest != "") & (told | (F.length(c) < 80)), "hash")
     return F.struct(kind.alias("kind"), F.when(kind == "ip", ip).when(kind == "hash", digest).alias("value"))
 
 
-def csv_path(c: Column) -> Column:
-    return F.regexp_extract(c, "([A-Za-z0-9_./-]+[.]csv)", 1)
+def csv_path(c: Column, lex: Lexicon = DEFAULT) -> Column:
+    return F.regexp_extract(c, lex.csv, 1)
 
 
 def pages(spec: Column, total: Column) -> Column:

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import lexicons as lx
+from ..lexicons import DEFAULT, Lexicon
 
-SCORED_ROUTES = ["code", "research", "kine", "data"]
-TOOL_WORDS = {"search": ("that", "news"), "calculator": ("sum", "was"), "files": ("file", "in")}
-TRAINING_DOMAINS = {"code": ("ing", "def"), "research": ("tion", "ent"), "kine": ("mente", "oi"), "cyber": ("keit", "ung")}
 INSTRUCTIONS = {"code": "Answer with code.", "research": "Cite the sources.", "kine": "Answer in short steps."}
 INSTRUCTION = "Use the context."
 
@@ -25,32 +22,46 @@ def has_image(turns: Column) -> Column:
     return F.exists(turns, lambda t: F.exists(t["parts"], lambda p: p["type"] == "image_url"))
 
 
-def should_score(route: Column, answer: Column) -> Column:
-    return route.isin(SCORED_ROUTES) & (F.length(answer) >= 100)
+def should_score(route: Column, answer: Column, lex: Lexicon = DEFAULT) -> Column:
+    return route.isin(*lex.scored_routes) & (F.length(answer) >= 100)
 
 
 def skips_enrichment(text: Column, tools: Column, thinking: Column) -> Column:
     return (F.length(text) < 30) | tools | ~thinking
 
 
-def triggered_tools(text: Column, allowed: Column) -> Column:
-    """Allowed tools of which a keyword occurs."""
+def triggered_tools(text: Column, allowed: Column, lex: Lexicon = DEFAULT) -> Column:
+    """Allowed tools of which a keyword occurs in the lower-cased text."""
     low = F.lower(text)
-    hit = {t: low.rlike(lx.word(*w)) for t, w in TOOL_WORDS.items()}
+    hit = {t: F.array_contains(F.array(*[F.contains(low, F.lit(w)) for w in words]), True) for t, words in lex.tools}
     return F.array_compact(F.array(*[F.when(F.array_contains(allowed, t) & h, t) for t, h in hit.items()]))
 
 
-def training_domain(text: Column) -> Column:
-    """The domain of most keyword occurrences, the first on a tie; general without any."""
+def request_flags(text: Column, lex: Lexicon = DEFAULT) -> Column:
+    """{code, complex, searchable, deep, temporal, ingest} of a request."""
     low = F.lower(text)
-    counts = [F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("order"), F.lit(d).alias("d")) for i, (d, words) in enumerate(TRAINING_DOMAINS.items())]
+    temporal = F.array_contains(F.array(*[low.rlike(p) for p in lex.temporal]), True)
+    return F.struct(
+        low.rlike(lex.code_request).alias("code"), low.rlike(lex.complex_request).alias("complex"), low.rlike(lex.searchable).alias("searchable"),
+        low.rlike(lex.deep_research).alias("deep"), temporal.alias("temporal"), ingest_url(text, lex).alias("ingest"),
+    )
+
+
+def training_domain(text: Column, lex: Lexicon = DEFAULT) -> Column:
+    """The domain of which most keywords occur, the first on a tie; general without any."""
+    low = F.lower(text)
+    counts = [F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("order"), F.lit(d).alias("d")) for i, (d, words) in enumerate(lex.training_domains)]
     best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["d"]).otherwise("general")
 
 
 def combined_reward(domain: Column, tool: Column, executed: Column, stepwise: Column) -> Column:
-    """The reward that a domain is judged by; executed and stepwise are boundary columns."""
-    return F.when(domain == "code", F.coalesce(executed, F.lit(0.5))).when(domain == "cyber", tool).otherwise(F.when(stepwise.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (stepwise - 1) / 4))))
+    """The reward that a domain is judged by: running its code, the form of its tool call, else a verifier's score (1 to 5).
+
+    executed and stepwise are boundary columns; 0.5 where they are null.
+    """
+    unit = F.when(stepwise.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (stepwise - 1) / 4)))
+    return F.when(domain == "code", F.coalesce(executed, F.lit(0.5))).when(domain == "tools", tool).otherwise(F.coalesce(unit, F.lit(0.5)))
 
 
 def prompt_with_context(text: Column, blocks: Column, route: Column) -> Column:
@@ -83,15 +94,23 @@ def score_action(score: Column) -> Column:
 
 
 def summary(c: Column) -> Column:
-    """{title, body, bullets} of a model's summary: first non-blank line, other lines, listed lines."""
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rest = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+    """{title, body, bullets} of a model's summary: the first line that is not blank, other lines, listed lines as they are.
+
+    Without other lines the body is the whole text.
+    """
+    strip = lambda x: F.btrim(x, F.lit(" \t\n\r"))
+    lines = F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
+    # a line of mere # is no title: the next one is looked at
+    at = F.array_position(F.transform(lines, lambda x: strip(F.ltrim(x, F.lit("#"))) != ""), True).cast("int")
+    rest = F.when(at > 0, F.slice(lines, at + 1, F.greatest(F.size(lines), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    listed = lambda x: x.rlike("^[-*•] ")
+    body = F.filter(rest, lambda x: ~listed(x))
     return F.struct(
-        F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), "^#+ *", "").alias("title"), F.array_join(F.filter(rest, lambda x: ~x.rlike("^[-*•] ")), "\n").alias("body"),
-        F.transform(F.filter(rest, lambda x: x.rlike("^[-*•] ")), lambda x: F.regexp_replace(x, "^[-*•] +", "")).alias("bullets"),
+        F.coalesce(strip(F.ltrim(F.get(lines, at - 1), F.lit("#"))), F.lit("")).alias("title"),
+        F.when(F.size(body) > 0, F.array_join(body, "\n")).otherwise(c).alias("body"), F.filter(rest, listed).alias("bullets"),
     )
 
 
-def ingest_url(c: Column) -> Column:
+def ingest_url(c: Column, lex: Lexicon = DEFAULT) -> Column:
     """The address of an ingest command, else empty."""
-    return F.regexp_extract(c, "(?i)(?:ingest|learn|save) +(https?://[^ \\n]+)", 1)
+    return F.regexp_extract(c, lex.ingest, 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lexicons import DEFAULT, Lexicon
+
 
 def _strip(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r"))
@@ -44,9 +46,11 @@ def paragraph_chunks(c: Column, size: int = 512, overlap: int = 50, most: int =
     return F.slice(F.aggregate(units, start, add, lambda s: F.when(s["cur"] != "", F.array_append(s["done"], s["cur"])).otherwise(s["done"])), 1, most)
 
 
-def section_chunks(c: Column, size: int = 600, overlap: int = 100, least: int = 50) -> Column:
+def section_chunks(c: Column, size: int = 600, overlap: int = 100, least: int = 50, lex: Lexicon = DEFAULT) -> Column:
     """{section, text} of a markdown text: sections begin at ``##`` lines, details blocks go, parts fill chunks greedily.
 
+    A text that says itself to be empty (``empty_notes``) has none.
+
     A chunk that a part would overfill is closed and its last ``overlap`` characters begin the next; the rest of a section
     is a chunk if it has more than ``least`` characters.
     """
@@ -66,7 +70,9 @@ def section_chunks(c: Column, size: int = 600, overlap: int = 100, least: int =
         done = F.aggregate(_pieces(section, "\\n{2,}"), start, add, lambda s: F.when(F.length(_strip(s["cur"])) > least, F.array_append(s["done"], _strip(s["cur"]))).otherwise(s["done"]))
         return F.transform(done, lambda t: F.struct(title.alias("section"), t.alias("text")))
 
-    return F.flatten(F.transform(sections, chunks))
+    said = F.array_contains(F.array(*[F.contains(F.lower(c), F.lit(m)) for m in lex.empty_notes]), True)
+    found = F.flatten(F.transform(sections, chunks))
+    return F.when(said, F.slice(found, 1, 0)).otherwise(found)
 
 
 def exploded_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:

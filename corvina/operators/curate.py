@@ -24,6 +24,12 @@ def _ranked(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
+def best_answers(rows: DataFrame, key: str, order: str, answer: str) -> DataFrame:
+    """Of each key's candidates with an answer the one of highest score, the first in ``order`` on a tie; a lone one has 0.5."""
+    g = rows.filter(F.length(answer) > 0).groupBy(key).agg(F.max_by(F.struct(order, "score"), F.struct("score", -F.col(order))).alias("b"), F.count("*").alias("n"))
+    return g.select(key, f"b.{order}", F.when(F.col("n") == 1, 0.5).otherwise(F.col("b.score")).alias("score"))
+
+
 def latest_score(scores: DataFrame, key: str = "prompt_hash", least: float | None = None) -> DataFrame:
     """The last score of each key; with ``least``, the last of those that reach it."""
     rows = scores if least is None else scores.filter(F.col("score") >= least)
@@ -97,6 +103,15 @@ def grouped_answers(rows: DataFrame, key: str = "prompt", order: str = "seq") ->
     return g.select(key, F.transform("g", lambda x: x["completion"]).alias("completions"), F.transform("g", lambda x: x["reward"]).alias("rewards"))
 
 
+def reference_groups(stored: DataFrame, generated: DataFrame, key: str = "prompt") -> DataFrame:
+    """Groups of generated answers with the stored one as a further, first candidate: key, completions, rewards of two or more.
+
+    stored and generated: key, completion, reward; empty completions count with a reward of 0.
+    """
+    every = stored.select(key, F.lit(0).alias("seq"), "completion", "reward").unionByName(generated.select(key, F.lit(1).alias("seq"), "completion", "reward"))
+    return grouped_answers(every.withColumn("reward", F.when(F.length("completion") > 0, F.col("reward")).otherwise(0.0)), key, "seq")
+
+
 def manifest_diff(old: DataFrame, new: DataFrame, key: str = "file_key", version: str = "version") -> DataFrame:
     o, n = old.select(key, F.col(version).alias("old")), new.select(key, F.col(version).alias("new"))
     status = F.when(F.col("old").isNull(), "NEW").when(F.col("new").isNull(), "DELETED").when(F.col("old") == F.col("new"), "SAME").otherwise("CHANGED")
@@ -113,3 +128,8 @@ def capped_union(first: DataFrame, second: DataFrame, cap: int, key: str) -> Dat
     every = first.withColumn("priority", F.lit(0)).unionByName(second.withColumn("priority", F.lit(1)))
     every = every.filter("length(question) between 1 and 500 and length(answer) > 50").withColumn("answer", F.substring("answer", 1, 2000))
     return every.orderBy("priority", F.md5(F.col(key).cast("string")), key).limit(cap)
+
+
+def listed(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """A listing of what is stored under each name: number and largest entry, by name."""
+    return rows.groupBy(F.col(key).alias("name")).agg(F.count("*").alias("n"), F.max(size).alias("largest")).orderBy("name")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 
 def day_stats(rows: DataFrame, as_of: Column) -> DataFrame:
-    """Of the last 24 hours: rows (ts, decision, entropy, probe_ms, total_ms, retries)."""
+    """Of the last 24 hours: rows (ts, decision, probe_entropy, probe_ms, total_ms, budget_retries)."""
     recent = rows.filter((F.col("ts") > as_of - F.expr("interval 24 hours")) & (F.col("ts") <= as_of))
+    again = F.col("budget_retries") > 0
     return recent.agg(
-        F.count("*").alias("n"), F.round(F.avg("entropy"), 4).alias("avg_entropy"), F.count_if(F.split_part("decision", F.lit("/"), F.lit(1)) == "think").alias("thinking"),
-        F.round(F.avg("total_ms"), 4).alias("avg_ms"), F.count_if(F.col("retries") > 0).alias("retried"), F.round(F.avg(F.when(F.col("retries") > 0, F.col("retries"))), 4).alias("avg_retries"),
+        F.count("*").alias("n"), F.round(F.avg("probe_entropy"), 4).alias("avg_entropy"), F.count_if(F.split_part("decision", F.lit("/"), F.lit(1)) == "think").alias("thinking"),
+        F.round(F.avg("probe_ms"), 4).alias("avg_probe_ms"), F.round(F.avg("total_ms"), 4).alias("avg_ms"), F.count_if(again).alias("retried"), F.round(F.avg(F.when(again, F.col("budget_retries"))), 4).alias("avg_retries"),
     )
 
 
@@ -21,17 +22,28 @@ def distribution(rows: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def weakness_key(c: Column, words: int = 5) -> Column:
-    flat = F.trim(F.regexp_replace(F.lower(c), "[^a-zà-ÿß]+", " "))
-    return F.array_join(F.slice(F.split(flat, " "), 1, words), " ")
+    """The first words of a lower-cased text, punctuation taken out (digits stay, and words it parted are joined)."""
+    flat = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_ \t\n\r]+", "")
+    return F.array_join(F.slice(F.filter(F.split(flat, "[ \\t\\n\\r]+"), lambda w: w != ""), 1, words), " ")
 
 
 def patterns(rows: DataFrame, criteria: list[str], least: int = 2, top: int = 20, examples: int = 3) -> DataFrame:
-    """Frequent weaknesses of each agent: rows (agent, weakness, id, criteria...).  The weakest criterion is the first of least mean."""
+    """The ``top`` weaknesses of all agents by frequency, of those that occur ``least`` times: rows (agent, weakness, id, criteria...).
+
+    Each bears its agent's weakest criterion, the first of least mean (under 5) over all of the agent's rows.
+    """
     keyed = rows.withColumn("key", weakness_key(F.col("weakness"))).filter("key <> ''")
+    # kept smallest ids by a bounded aggregate: a frequent weakness sends few rows of each task
+    g = keyed.groupBy("agent", "key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    best = g.orderBy(F.col("n").desc(), "agent", "key").limit(top).filter(F.col("n") >= least)
+    near = keyed.join(F.broadcast(best.select("agent", "key")), ["agent", "key"], "left_semi").select("agent", "key", "id")
+    near = near.withColumn("_rn", F.row_number().over(Window.partitionBy("agent", "key").orderBy("id"))).filter(F.col("_rn") <= examples)
+    ids = near.groupBy("agent", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     means = [F.struct(F.avg(c).alias("mean"), F.lit(i).alias("order"), F.lit(c).alias("name")) for i, c in enumerate(criteria)]
-    g = keyed.groupBy("agent", "key").agg(F.count("*").alias("n"), F.array_min(F.array(*means)).alias("weak"), F.slice(F.array_sort(F.collect_set("id")), 1, examples).alias("ids")).filter(F.col("n") >= least)
-    order = Window.partitionBy("agent").orderBy(F.col("n").desc(), "key")
-    return g.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("agent", "key", "n", F.col("weak.name").alias("weakest"), F.round("weak.mean", 4).alias("mean"), "ids", "rank")
+    weak = rows.groupBy("agent").agg(F.array_min(F.filter(F.array(*means), lambda m: m["mean"] < 5)).alias("weak"))
+    out = best.join(ids, ["agent", "key"]).join(weak, "agent")
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "agent", "key"))  # over ``top`` rows at most
+    return out.withColumn("rank", rank).select("agent", "key", "n", F.col("weak.name").alias("weakest"), F.round("weak.mean", 4).alias("mean"), "ids", "rank")
 
 
 def low_criteria(rows: DataFrame, criteria: list[str], below: float = 2.5, least: int = 3) -> DataFrame:
@@ -40,12 +52,49 @@ def low_criteria(rows: DataFrame, criteria: list[str], below: float = 2.5, least
     return flat.groupBy("agent", "criterion").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean")).filter((F.col("n") >= least) & (F.col("mean") < below))
 
 
-def gates(rows: DataFrame, key: str, cooldown: str = "1 hour", daily: int = 3, blocked: list[str] = ()) -> DataFrame:
-    """Which of an agent's proposed changes (key, ts, id) may run: not blocked, not too soon after the last, not over the daily cap."""
-    w = Window.partitionBy(key).orderBy("ts", "id")
-    rows = rows.withColumn("before", F.lag("ts").over(w)).withColumn("nth", F.row_number().over(Window.partitionBy(key, F.to_date("ts")).orderBy("ts", "id")))
-    gate = F.when(F.col(key).isin(list(blocked)), "blocked").when(F.col("ts") < F.col("before") + F.expr(f"interval {cooldown}"), "cooldown").when(F.col("nth") > daily, "cap").otherwise("run")
-    return rows.withColumn("gate", gate).drop("before", "nth")
+def counted_within(asked: DataFrame, facts: DataFrame, key: str, days: int, row: str = "id") -> DataFrame:
+    """``asked`` (row, key, ts) with ``n``: the facts (key, ts) of the key from ``days`` days before ts until ts.
+
+    Running counts are taken within a key and day, so a hot key is spread over its days, and added to the sums of whole days.
+    """
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    span = days * 86400.0
+    told = facts.select(key, seconds.alias("t"), F.lit(1).alias("one"), F.lit(0).alias("side"), F.lit(None).cast(asked.schema[row].dataType).alias("row"))
+    # a mark counts what lies up to its time, the mark at the far end only what lies before it
+    ends = asked.select(key, F.inline(F.array(*[F.struct(t.alias("t"), F.lit(0).alias("one"), F.lit(side).alias("side"), F.col(row).alias("row")) for t, side in ((seconds, 1), (seconds - span, -1))])))
+    every = told.unionByName(ends).withColumn("day", F.floor(F.col("t") / 86400))
+    whole = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.groupBy(key, "day").agg(F.sum("one").alias("d")).withColumn("before", F.coalesce(F.sum("d").over(whole), F.lit(0))).drop("d")
+    inside = Window.partitionBy(key, "day").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # side orders marks at one time: -1 (far end) before facts, facts before 1
+    counts = every.withColumn("c", F.sum("one").over(inside)).filter("row is not null").join(before, [key, "day"])
+    n = counts.groupBy("row").agg(F.sum(F.col("side") * (F.col("before") + F.col("c"))).alias("n"))
+    return asked.join(n.withColumnRenamed("row", row), row)
+
+
+def gates(proposals: DataFrame, runs: DataFrame, judgements: DataFrame, key: str = "agent", cooldown: str = "1 hour", daily: int = 3, least: int = 10, days: int = 7, reverts: int = 2) -> DataFrame:
+    """Which proposals (key, pattern, ts, id) may run, against what has run: ``gate`` is run or the first gate that holds it.
+
+    runs: key, pattern, ts, patched, reverted; judgements: key, ts.  cooldown: since the agent's last run that made a patch;
+    cap: patches of all agents on that day so far; judgements: too few in the last ``days``; blocked: the
+    pattern was reverted too often.
+    """
+    patched = runs.filter("patched").select(F.col(key).alias("_k"), F.col("ts").alias("_t"))
+    # as-of lookups by day: of an agent's patches on each day the times, and the last of the days before
+    times = patched.groupBy(F.col("_k").alias(key), F.to_date("_t").alias("_day")).agg(F.array_sort(F.collect_list("_t")).alias("_own"))
+    total = patched.groupBy(F.to_date("_t").alias("_day")).agg(F.array_sort(F.collect_list("_t")).alias("_all"))
+    rows = counted_within(proposals, judgements, key, days).withColumn("_day", F.to_date("ts"))
+    latest = rows.select(key, "_day").distinct().join(times.select(key, F.col("_day").alias("_d"), F.array_max("_own").alias("_m")), key).filter("_d < _day").groupBy(key, "_day").agg(F.max("_m").alias("_past"))
+    rows = rows.join(times, [key, "_day"], "left").join(total, "_day", "left").join(latest, [key, "_day"], "left")
+    undone = runs.filter("reverted").groupBy(key, "pattern").agg(F.count("*").alias("_undone"))
+    rows = rows.join(undone, [key, "pattern"], "left")
+    last = F.greatest(F.col("_past"), F.array_max(F.filter("_own", lambda t: t < F.col("ts"))))
+    today = F.when(F.col("_all").isNull(), 0).otherwise(F.size(F.filter("_all", lambda t: t < F.col("ts"))))
+    gate = (
+        F.when(F.col("ts") < last + F.expr(f"interval {cooldown}"), "cooldown").when(today >= daily, "cap").when(F.col("n") < least, "judgements")
+        .when(F.coalesce("_undone", F.lit(0)) >= reverts, "blocked").otherwise("run")
+    )
+    return rows.withColumn("gate", gate).drop("_day", "_own", "_all", "_past", "_undone", "n")
 
 
 def rule_life(rows: DataFrame) -> DataFrame:
@@ -62,6 +111,11 @@ def before_after(rows: DataFrame, key: str, at: Column, score: str) -> DataFrame
     return g.select(key, F.round("b", 3).alias("before"), F.round("a", 3).alias("after"), verdict(F.round(F.col("a") - F.col("b"), 6)).alias("verdict"))
 
 
+def status_rollup(rows: DataFrame, key: str, status: str = "verdict") -> DataFrame:
+    """How many patches of each agent, and of all (key null), have each status."""
+    return rows.cube(key, status).agg(F.count("*").alias("n")).filter(F.col(status).isNotNull())
+
+
 def dataset_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.length("prompt")), 4).alias("avg_prompt"), F.round(F.avg(F.length("answer")), 4).alias("avg_answer"), F.countDistinct("iteration").alias("iterations"))
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lexicons import DEFAULT, Lexicon
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -17,23 +19,52 @@ def top_k(rows: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-#: Queries are a stated set, so they may be broadcast up to this many (64 floats take 0.3 KB); more are joined in blocks.
+#: Rows of a stated query set that are broadcast at once (64 floats take 0.3 KB, 20 words as much); more take further passes over the data.
 QUERY_BLOCK = 4096
 
 
+def _blocks(queries: DataFrame, *fields: str) -> list[DataFrame]:
+    """A counted query set as blocks of one row each, an array ``qs`` of at most QUERY_BLOCK (query_id, fields...)."""
+    n = queries.count()
+    blocks = max(1, -(-2 * n // QUERY_BLOCK)) if n > QUERY_BLOCK else 1  # by hash: half full on average, so that none is too large
+    packed = queries.groupBy(F.expr(f"pmod(xxhash64(query_id), {blocks})").alias("block")).agg(F.collect_list(F.struct("query_id", *fields)).alias("qs"))
+    return [F.broadcast(packed.filter(F.col("block") == b).select("qs")) for b in range(blocks)]
+
+
+def _asked(rows: DataFrame, blocks: list[DataFrame], keep: list[str], hits: Column) -> DataFrame:
+    """Rows met by each block of queries in turn: ``keep`` and the fields of the structs that ``hits`` makes of ``qs``."""
+    found = [rows.join(b).select(*keep, hits.alias("hits")).select(*keep, F.inline("hits")) for b in blocks]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, sim, rank) by inner product.  queries: query_id, q; vectors: vec_id, embedding.
+    """(query_id, vec_id, sim, rank) by inner product.  queries: query_id, q; vectors: vec_id, embedding."""
+    sims = "transform(qs, s -> struct(s.query_id as query_id, round(aggregate(zip_with(s.q, embedding, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x), 5) as sim))"
+    flat = _asked(vectors, _blocks(queries, "q"), ["vec_id"], F.expr(f"filter({sims}, s -> s.sim >= {float(least)})"))
+    return top_k(flat, "query_id", k, F.col("sim").desc(), F.col("vec_id"))
+
+
+def keywords(c: Column, lex: Lexicon = DEFAULT, least: int = 3) -> Column:
+    """Lower-cased words of a query of ``least`` characters or more, without stop words, in order."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) >= least) & ~w.isin(*lex.keyword_stops))
+
+
+def keyword_hits(queries: DataFrame, docs: DataFrame, k: int, first: int = 4) -> DataFrame:
+    """(query_id, doc_id, hits, rank): how many of a query's keywords a document holds, as parts of its lower-cased text.
 
-    The stated queries are packed into blocks of QUERY_BLOCK rows, so vectors meet one row for each block.
+    queries: query_id, words (array); docs: doc_id, text.  A document is a hit if it holds one of the ``first`` keywords as
+    written; of documents whose first 100 characters agree the first stands for all.
     """
-    packed = queries.groupBy(F.expr(f"pmod(xxhash64(query_id), greatest(1, {max(1, -(-queries.count() // QUERY_BLOCK))}))").alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    hits = vectors.join(F.broadcast(packed)).select("vec_id", F.expr("filter(transform(qs, s -> struct(s.query_id as query_id, round(aggregate(zip_with(s.q, embedding, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x), 5) as sim)), s -> s.sim >= " + str(float(least)) + ")").alias("hits"))
-    flat = hits.select("vec_id", F.inline("hits"))
-    return top_k(flat, "query_id", k, F.col("sim").desc(), F.col("vec_id"))
+    any_of = f"exists(slice(s.words, 1, {first}), w -> contains(text, w))"
+    counted = f"transform(qs, s -> struct(s.query_id as query_id, if({any_of}, cast(size(filter(s.words, w -> contains(low, w))) as long), 0L) as hits))"
+    flat = _asked(docs.select("doc_id", "text"), _blocks(queries, "words"), ["doc_id", "text"], F.expr(f"transform(array(lower(text)), low -> filter({counted}, s -> s.hits > 0))[0]"))
+    flat = flat.select("query_id", "doc_id", "hits", F.substring("text", 1, 100).alias("head"))
+    once = flat.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "head").orderBy("doc_id"))).filter("_rn = 1").drop("_rn", "head")
+    return top_k(once, "query_id", k, F.col("hits").desc(), F.col("doc_id"))
 
 
-def keyword_hits(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, hits, rank): how many of a query's keywords are words of a document, by an inverted join.
+def keyword_hits_by_word(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, hits, rank) by whole words, by an inverted join: for query sets of any size.
 
     queries: query_id, words (array); docs: doc_id, words (array).  Rare keywords meet few rows; a frequent keyword's
     rows are split by AQE.
@@ -73,6 +104,20 @@ def rrf_hybrid(dense: DataFrame, sparse: DataFrame, constant: int = 60) -> DataF
     return fused.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "doc_id")))
 
 
+def rrf_by_text(dense: DataFrame, sparse: DataFrame, constant: int = 60) -> DataFrame:
+    """Fusion of two lists (query_id, doc_id, text, rank) whose entries are one where their first 100 characters agree.
+
+    Scores of repeats add up.  An entry carries its last dense document, else its first sparse one; equal scores keep the order of arrival.
+    """
+    lists = [x.select("query_id", "doc_id", "text", "rank", F.lit(i).alias("list")) for i, x in enumerate((dense, sparse))]
+    every = lists[0].unionByName(lists[1]).withColumn("head", F.substring("text", 1, 100))
+    # the last of the dense list, the first of the sparse one
+    told = F.struct((1 - F.col("list")).alias("dense"), F.when(F.col("list") == 0, F.col("rank")).otherwise(-F.col("rank")).alias("late"))
+    fused = every.groupBy("query_id", "head").agg(F.round(F.sum(1 / (constant + F.col("rank"))), 6).alias("rrf"), F.min(F.struct("list", "rank")).alias("seen"), F.max_by(F.struct("doc_id", "text"), told).alias("d"))
+    order = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "seen.list", "seen.rank")
+    return fused.withColumn("position", F.row_number().over(order)).select("query_id", "d.doc_id", "d.text", "rrf", "position")
+
+
 def diverse(chunks: DataFrame, ratio: float = 0.5) -> DataFrame:
     """At most a share of a query's chunks from one url, in turns; unchanged where there is one url.  chunks: query_id, url, rank."""
     w = Window.partitionBy("query_id")
@@ -120,9 +165,21 @@ def reranked(chunks: DataFrame, scorer: Column, k: int) -> DataFrame:
     return top_k(chunks.withColumnRenamed("score", "embed_score").withColumn("score", scorer), "query_id", k, F.col("score").desc(), F.col("chunk_id"))
 
 
-def union_lists(lists: list[DataFrame]) -> DataFrame:
-    """Ranked lists with their place as list_id."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.withColumn("list_id", F.lit(i)) for i, x in enumerate(lists)])
+def merged_lists(backends: list[DataFrame], academic: DataFrame | None = None, first: int = 2) -> DataFrame:
+    """One list for each query text (query_id, list_id): the backends' results one after the other, with new ranks.
+
+    Lists hold query_id, list_id, rank and url.  Academic results are added to the ``first`` query texts only.
+    """
+    every = [*backends, academic.filter(F.col("list_id") < first)] if academic is not None else backends
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.withColumn("_b", F.lit(i)) for i, x in enumerate(every)])
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_id").orderBy("_b", "rank", "url"))).drop("_b")
+
+
+def local_chunks(hits: DataFrame) -> DataFrame:
+    """Hits of a local collection (query_id, text, title, collection, file_path, score) in the shape of web chunks."""
+    url = F.concat(F.lit("local://"), "collection", F.lit("/"), "file_path")
+    score = F.coalesce("score", F.lit(0.0)).cast("double")
+    return hits.select("query_id", "text", F.coalesce("title", F.lit("")).alias("title"), url.alias("url"), score.alias("relevance"), score.alias("score"), F.lit(True).alias("local"))
 
 
 def context(chunks: DataFrame, most: int = 600) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lexicons import DEFAULT, Lexicon
+
 
 def capped_store(old: DataFrame, new: DataFrame, cap: int = 10) -> DataFrame:
     """Of each route the ``cap`` best examples by (score, ts); an input whose first 80 characters are there already stays out."""
@@ -27,7 +29,9 @@ def merged_by_url(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(first.select("query_id", "url"), ["query_id", "url"], "left_anti"), allowMissingColumns=True)
 
 
-def academic(hits: DataFrame, most: int, hosts: str = "[.](?:org|edu)$") -> DataFrame:
-    """The first ``most`` hits of each query on academic hosts."""
-    rows = hits.filter(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1)).rlike(hosts))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "url"))).filter(F.col("place") <= most)
+def academic(hits: DataFrame, most: int, lex: Lexicon = DEFAULT) -> DataFrame:
+    """The first ``most`` of the first 2 * most hits of each query whose address names an academic site."""
+    named = F.array_contains(F.array(*[F.contains("url", F.lit(s)) for s in lex.academic_sites]), True)
+    order = Window.partitionBy("query_id").orderBy("rank", "url")
+    rows = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2 * most).filter(named)
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import lexicons as lx
 from ..functions import scoring as sc
+from ..lexicons import DEFAULT, Lexicon
 
 ROLES = {"system": "system", "user": "user", "assistant": "assistant", "tool": "tool", "tool_result": "tool", "tool_response": "tool", "function": "tool"}
 
@@ -33,12 +33,22 @@ def route_history(scores: DataFrame, last: int = 200) -> DataFrame:
     return recent.groupBy("route").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
 
 
-def planned(requests: DataFrame, history: DataFrame) -> DataFrame:
-    """requests (conv_id, text) with route, confidence, strategy, complexity, entropy and its class.  ``history`` has a row for each route."""
-    greeting = F.lower("text").rlike(lx.GREETING) & (F.length("text") < 20)
-    rows = requests.withColumn("r", sc.cascade(greeting, sc.keyword_route(F.col("text")), sc.file_route(F.array().cast("array<string>"))))
-    rows = rows.select("conv_id", "text", "r.route", "r.confidence", "r.strategy").join(F.broadcast(history), "route", "left")
-    rows = rows.withColumn("complexity", F.round(sc.complexity(F.col("text")), 4))
+#: Routes are few: a history of more rows than this is no table of routes, and is joined by shuffle.
+ROUTES = 10_000
+
+
+def planned(requests: DataFrame, history: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
+    """requests (conv_id, text and, where there are any, files, image, model_route, model_confidence) with route, confidence, strategy, complexity,
+    entropy and its class.  ``history`` has a row for each route."""
+    has = requests.columns
+    files = F.coalesce("files", F.array().cast("array<string>")) if "files" in has else F.array().cast("array<string>")
+    image = F.coalesce("image", F.lit(False)) if "image" in has else F.lit(False)
+    told = [F.col(c) if c in has else None for c in ("model_route", "model_confidence")]
+    talk = F.lower(F.trim("text")).rlike(lex.small_talk) & (F.size(files) == 0) & ~image
+    rows = requests.withColumn("r", sc.cascade(talk, sc.keyword_route(F.col("text"), lex), sc.file_route(files, image, lex), *told, lex))
+    small = history.limit(ROUTES + 1).count() <= ROUTES
+    rows = rows.select("conv_id", "text", "r.route", "r.confidence", "r.strategy").join(F.broadcast(history) if small else history, "route", "left")
+    rows = rows.withColumn("complexity", F.round(sc.complexity(F.col("text"), lex), 4))
     score = sc.composite(F.col("complexity"), sc.confidence_entropy(F.col("confidence")), sc.history_entropy(F.col("n"), F.col("mean"), F.col("deviation")))
     return rows.withColumn("entropy", score).withColumn("entropy_class", sc.entropy_class(F.col("entropy"))).drop("n", "mean", "deviation")
 
@@ -50,7 +60,7 @@ def with_mode(rows: DataFrame) -> DataFrame:
     return rows.withColumn("mode", F.when(F.col("mode").isin(known), F.col("mode")).otherwise("fast")).join(F.broadcast(modes), "mode")
 
 
-def flagship(turns: DataFrame, scores: DataFrame) -> DataFrame:
+def flagship(turns: DataFrame, scores: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     """Requests by route and entropy class: number and mean complexity."""
-    rows = planned(last_user_text(turns), route_history(scores))
+    rows = planned(last_user_text(turns), route_history(scores), lex)
     return rows.groupBy("route", "entropy_class").agg(F.count("*").alias("n"), F.round(F.avg("complexity"), 4).alias("avg_complexity"))

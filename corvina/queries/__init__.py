@@ -34,5 +34,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("texts", "scores", "curation", "retrieval", "grams", "monitoring", "streams", "more"):
+for _module in ("texts", "scores", "curation", "retrieval", "grams", "monitoring", "streams", "more", "files"):
     importlib.import_module(f"{__name__}.{_module}")

@@ -152,6 +152,16 @@ def nightly_curation(spark, sf_dir):
     return nightly.examples(kept).join(kept.select("prompt_hash", "seq", "score"), "prompt_hash").select("seq", "score", "split")
 
 
-@query("SELECT 4 AS best, count(*) AS n FROM documents HAVING count(*) >= 0")
+@query("SELECT event_id, CASE WHEN s < 0 THEN 3 WHEN s >= 0.9 THEN 5 WHEN s >= 0.7 THEN 4 WHEN s >= 0.5 THEN 3 WHEN s >= 0.3 THEN 2 ELSE 1 END AS legacy FROM (SELECT event_id, (event_id % 12 - 1) / 10.0 AS s FROM events)")
 def unit_bands(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n")).select(sc.five_from_unit(F.lit(0.75)).alias("best"), "n")
+    return table(spark, sf_dir, "events").select("event_id", sc.five_from_unit((F.col("event_id") % 12 - 1) / 10.0).alias("legacy"))
+
+
+@query(f"""WITH {PAIRS}, g AS (SELECT conv_id, turn, answer AS completion, turn % 5 / 4.0 AS reward, 0 AS k FROM pairs UNION ALL SELECT conv_id, turn, concat('generated ', turn), (turn % 3) / 2.0, 1 FROM pairs)
+    SELECT conv_id * 1000 + turn AS id, count(*) AS n, max(reward)::DOUBLE AS best, min(reward)::DOUBLE AS worst FROM g GROUP BY 1 HAVING count(*) >= 2""")
+def reference_groups(spark, sf_dir):
+    """Groups of a stored answer and a generated one."""
+    rows = pairs(spark, sf_dir).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    made = rows.select("id", F.concat(F.lit("generated "), "turn").alias("completion"), (F.col("turn") % 3 / 2.0).alias("reward"))
+    g = curate.reference_groups(rows.select("id", F.col("answer").alias("completion"), (F.col("turn") % 5 / 4.0).alias("reward")), made, "id")
+    return g.select("id", F.size("completions").cast("long").alias("n"), F.array_max("rewards").alias("best"), F.array_min("rewards").alias("worst"))

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import lexicons as lx
 from ..operators import chunk, ngram
 from . import query, table
 from .texts import quoted
+from .words import LEXICON as lx
 
 _SENT = "list_transform(string_split(regexp_replace(text, '([.!?])[ \\n\\t]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, list_filter({_SENT}, lambda s: length(s) BETWEEN 31 AND 499 AND NOT regexp_matches(lower(s), {quoted(lx.BOILERPLATE)})) AS s FROM documents), x AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM s),
+@query(f"""WITH s AS (SELECT doc_id, list_filter({_SENT}, lambda s: length(s) BETWEEN 31 AND 499 AND NOT regexp_matches(lower(s), {quoted(lx.boilerplate)})) AS s FROM documents), x AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM s),
     f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, lower(sentence[1:80]) ORDER BY pos) = 1) SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM f QUALIFY rank <= 50""")
 def sentence_split_dedupe_cap(spark, sf_dir):
-    return chunk.distinct_sentences(table(spark, sf_dir, "documents"), boilerplate=lx.BOILERPLATE)
+    return chunk.distinct_sentences(table(spark, sf_dir, "documents"), boilerplate=lx.boilerplate)
 
 
 @query()

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import boundary
-from .. import lexicons as lx
 from ..functions import turns as tn
-from ..operators import retrieve, stores
+from ..operators import monitor, retrieve, stores
 from ..plans import search
 from . import query, table
-from .retrieval import words
+from .retrieval import item_queries
 from .scores import PAIRS, pairs
-from .texts import has_sql
+from .texts import quoted
+from .words import LEXICON as lx
 
 
 @query("SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS text, bool_or(turn % 5 = 3) AS image FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0")
@@ -32,25 +31,25 @@ _ROUTE = "CASE conv_id % 5 WHEN 0 THEN 'code' WHEN 1 THEN 'research' WHEN 2 THEN
 @query(f"WITH {PAIRS} SELECT conv_id, turn, {_ROUTE} IN ('code', 'research', 'kine', 'data') AND length(answer) >= 100 AS scored, length(prompt) < 30 OR conv_id % 7 = 0 OR NOT conv_id % 3 <> 0 AS skipped FROM pairs")
 def answer_gates(spark, sf_dir):
     i = F.col("conv_id")
-    return pairs(spark, sf_dir).select("conv_id", "turn", tn.should_score(F.expr(_ROUTE), F.col("answer")).alias("scored"), tn.skips_enrichment(F.col("prompt"), i % 7 == 0, i % 3 != 0).alias("skipped"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", tn.should_score(F.expr(_ROUTE), F.col("answer"), lx).alias("scored"), tn.skips_enrichment(F.col("prompt"), i % 7 == 0, i % 3 != 0).alias("skipped"))
 
 
 _ALLOWED = {"search": "doc_id % 2 = 0", "calculator": "true", "files": "doc_id % 3 = 0"}
 
 
-@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_ALLOWED[t]} AND {has_sql('lower(text)', lx.word(*w))} THEN '{t}' END" for t, w in tn.TOOL_WORDS.items()) + "], lambda t: t IS NOT NULL), ',') AS tools FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_ALLOWED[t]} AND ({' OR '.join(f'contains(lower(text), {quoted(x)})' for x in w)}) THEN '{t}' END" for t, w in lx.tools) + "], lambda t: t IS NOT NULL), ',') AS tools FROM documents")
 def tool_trigger(spark, sf_dir):
     allowed = F.array_compact(F.array(*[F.when(F.expr(c), t) for t, c in _ALLOWED.items()]))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tn.triggered_tools(F.col("text"), allowed), ",").alias("tools"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tn.triggered_tools(F.col("text"), allowed, lx), ",").alias("tools"))
 
 
-_DOM = ", ".join("{n: " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) + f", o: {-i}, d: '{d}'}}" for i, (d, ws) in enumerate(tn.TRAINING_DOMAINS.items()))
+_DOM = ", ".join("{n: " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in ws) + f", o: {-i}, d: '{d}'}}" for i, (d, ws) in enumerate(lx.training_domains))
 
 
-@query(f"WITH b AS (SELECT doc_id, list_max([{_DOM}]) AS b FROM documents), d AS (SELECT doc_id, CASE WHEN b.n > 0 THEN b.d ELSE 'general' END AS domain FROM b) SELECT doc_id, domain, CASE domain WHEN 'code' THEN coalesce(CASE WHEN doc_id % 2 = 0 THEN 1.0 END, 0.5) WHEN 'cyber' THEN 0.0 ELSE coalesce(CASE WHEN doc_id % 3 > 0 THEN (doc_id % 5) / 4 END, 0.5) END::DOUBLE AS reward FROM d")
+@query(f"WITH b AS (SELECT doc_id, list_max([{_DOM}]) AS b FROM documents), d AS (SELECT doc_id, CASE WHEN b.n > 0 THEN b.d ELSE 'general' END AS domain FROM b) SELECT doc_id, domain, CASE domain WHEN 'code' THEN coalesce(CASE WHEN doc_id % 2 = 0 THEN 1.0 END, 0.5) WHEN 'tools' THEN 0.0 ELSE coalesce(CASE WHEN doc_id % 3 > 0 THEN (doc_id % 5) / 4 END, 0.5) END::DOUBLE AS reward FROM d")
 def training_domain(spark, sf_dir):
     i = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select("doc_id", tn.training_domain(F.col("text")).alias("domain"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tn.training_domain(F.col("text"), lx).alias("domain"))
     return rows.withColumn("reward", tn.combined_reward(F.col("domain"), F.lit(0.0), F.when(i % 2 == 0, 1.0), F.when(i % 3 > 0, i % 5 + 1)))
 
 
@@ -105,24 +104,27 @@ def category_merge(spark, sf_dir):
     return stores.merged_by_url(h.filter("rank % 3 = 0"), h.filter("rank % 2 = 0")).select("query_id", "url")
 
 
-@query(f"WITH {_HITS} SELECT query_id, url, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS place FROM hits WHERE regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '[.](?:org|edu)$') QUALIFY place <= 4")
+_NAMED = lambda sites: "(" + " OR ".join(f"contains(url, {quoted(x)})" for x in sites) + ")"
+
+
+@query(f"WITH {_HITS}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS place FROM hits QUALIFY place <= 40) SELECT query_id, url, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, url) AS place FROM p WHERE {_NAMED(lx.academic_sites)} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, url) <= 20")
 def academic_keep(spark, sf_dir):
     h = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("query_id"), "url", F.col("page_id").alias("rank"))
-    return stores.academic(h, 4)
+    return stores.academic(h, 20, lx)
 
 
-@query(f"WITH {_HITS}, r AS (SELECT query_id, url, rank AS place FROM hits WHERE rank <= 40 AND NOT regexp_matches(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '(?:^|[.])(?:ads|track|click|spam|m)[.]')) SELECT query_id, url, place, row_number() OVER (PARTITION BY query_id ORDER BY place, url) AS rank FROM r QUALIFY rank <= 20")
+@query(f"WITH {_HITS}, r AS (SELECT query_id, url, rank AS place FROM hits WHERE rank <= 40 AND starts_with(url, 'http') AND NOT {_NAMED(lx.skipped_sites)}) SELECT query_id, url, place, row_number() OVER (PARTITION BY query_id ORDER BY place, url) AS rank FROM r QUALIFY rank <= 20")
 def low_value_drop(spark, sf_dir):
     h = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("query_id"), "url", F.col("page_id").alias("rank"))
-    return search.readable(h, 20)
+    return search.readable(h, 20, lx)
 
 
 @query()
 def hybrid_query(spark, sf_dir):
-    """Dense (stub embeddings) and keyword retrieval of documents for benchmark items, fused by rank."""
-    d = table(spark, sf_dir, "documents").select("doc_id", boundary.hash_embedding(F.col("text")).alias("embedding"), words().alias("words"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), boundary.hash_embedding(F.col("text")).alias("q"), words().alias("words"))
-    return search.hybrid(q, d, 10)
+    """Dense (stub embeddings) and keyword retrieval of documents in two collections for benchmark items, fused and reranked (a test holds it against plain Python)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, "medical").otherwise("code").alias("collection"), boundary.hash_embedding(F.col("text")).alias("embedding"))
+    q = item_queries(spark, sf_dir).withColumn("q", boundary.hash_embedding(F.col("query")))
+    return search.hybrid(q, d, ["medical", "code"], 20, 5, 0.25, boundary.overlap_scorer).select("query_id", "doc_id", "rrf", "score", "rank")
 
 
 @query("""WITH c AS (SELECT doc_id AS chunk_id, doc_id % 4 AS query_id, doc_id % 10 / 10.0 AS embed_score, (doc_id * 7 % 11)::DOUBLE AS score FROM documents) SELECT query_id, chunk_id, embed_score::DOUBLE AS embed_score, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM c QUALIFY rank <= 6""")
@@ -132,16 +134,8 @@ def rerank(spark, sf_dir):
     return retrieve.reranked(c, (F.col("chunk_id") * 7 % 11).cast("double"), 6)
 
 
-@query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n FROM events WHERE user_id % 10 = 0")
-def rolling_week(spark, sf_dir):
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-7 * 86400, 0)
-    return table(spark, sf_dir, "events").filter("user_id % 10 = 0").select("user_id", "event_id", F.count("*").over(w).alias("n"))
-
-
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
-def rolling_week_all(spark, sf_dir):
-    """The rolling week of all users."""
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-7 * 86400, 0)
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("n"))
+def rolling_week(spark, sf_dir):
+    """Each event's number of the same user's events in the week until it."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return monitor.counted_within(e, e, "user_id", 7, "event_id").select("user_id", "event_id", F.col("n").cast("long").alias("n"))

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import boundary
-from ..functions import text as tx
 from ..operators import cache, retrieve
 from ..plans import search
 from . import query, table
-from .texts import FOLD, NORM, TOKENS
+from .texts import norm_sql, quoted, tokens_sql
+from .words import LEXICON as lx
 
 _DOT = "round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 5)"
 DENSE = f"dense AS (SELECT q.vec_id AS query_id, v.vec_id, {_DOT} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY sim DESC, v.vec_id) <= 30 AND sim >= 0.0)"
@@ -44,14 +44,26 @@ def words(c: str = "text"):
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: F.length(w) >= 5))
 
 
-def keyword_lists(spark, sf_dir, k: int):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words().alias("words"))
-    return retrieve.keyword_hits(q, table(spark, sf_dir, "documents").select("doc_id", words().alias("words")), k)
+def item_queries(spark, sf_dir):
+    """The stated query set: benchmark items whose id is divisible by 50."""
+    return table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), retrieve.keywords(F.col("text"), lx).alias("words"))
 
 
-@query(f"WITH {KEYWORD} SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM kw QUALIFY rank <= 10")
+_STOPS = ", ".join(quoted(w) for w in lx.keyword_stops)
+HITS = f"""q AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOPS})) AS ws FROM benchmark WHERE item_id % 50 = 0),
+    h AS (SELECT query_id, doc_id, text[1:100] AS head, len(list_filter(ws, lambda w: contains(lower(text), w))) AS hits FROM q, documents WHERE len(list_filter(ws[1:4], lambda w: contains(text, w))) > 0),
+    o AS (SELECT * FROM h WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY query_id, head ORDER BY doc_id) = 1)"""
+
+
+@query(f"WITH {HITS} SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM o QUALIFY rank <= 10")
 def keyword_topk(spark, sf_dir):
-    return keyword_lists(spark, sf_dir, 10)
+    return retrieve.keyword_hits(item_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
+
+
+@query(f"WITH {KEYWORD} SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM kw QUALIFY rank <= 10")
+def keyword_inverted_topk(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words().alias("words"))
+    return retrieve.keyword_hits_by_word(q, table(spark, sf_dir, "documents").select("doc_id", words().alias("words")), 10)
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) >= 5) AS w FROM documents),
@@ -86,11 +98,27 @@ def rrf_url(spark, sf_dir):
     return retrieve.rrf_by_url(lists(spark, sf_dir))
 
 
-@query(f"""WITH {LISTS}, e AS (SELECT query_id, url AS doc_id, row_number() OVER (PARTITION BY query_id, list_id ORDER BY rank) AS rank FROM lists), f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 6) AS rrf FROM e GROUP BY ALL)
-    SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS position FROM f""")
+@query(f"""WITH {LISTS}, e AS (SELECT query_id, list_id, url AS text, rank AS doc_id, row_number() OVER (PARTITION BY query_id, list_id ORDER BY rank) AS rank FROM lists),
+    f AS (SELECT query_id, text[1:100] AS head, round(sum(1 / (60 + rank)), 6) AS rrf, min({{l: list_id, r: rank}}) AS seen, arg_max(doc_id, {{d: 1 - list_id, r: CASE WHEN list_id = 0 THEN rank ELSE -rank END}}) AS doc_id FROM e GROUP BY ALL)
+    SELECT query_id, doc_id, head AS text, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen.l, seen.r) AS position FROM f""")
 def rrf_hybrid(spark, sf_dir):
-    rows = lists(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_id").orderBy("rank"))).withColumnRenamed("url", "doc_id")
-    return retrieve.rrf_hybrid(rows.filter("list_id = 0"), rows.filter("list_id = 1"))
+    rows = lists(spark, sf_dir).withColumn("doc_id", F.col("rank")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_id").orderBy("rank"))).withColumnRenamed("url", "text")
+    return retrieve.rrf_by_text(rows.filter("list_id = 0"), rows.filter("list_id = 1"))
+
+
+@query(f"""WITH {LISTS}, every AS (SELECT query_id, list_id, rank, url, 0 AS b FROM lists UNION ALL SELECT query_id, list_id, rank, concat(url, 'x'), 1 FROM lists UNION ALL SELECT query_id, list_id, rank, concat(url, 'y'), 2 FROM lists WHERE list_id < 1)
+    SELECT query_id, list_id, url, row_number() OVER (PARTITION BY query_id, list_id ORDER BY b, rank, url) AS rank FROM every""")
+def search_union(spark, sf_dir):
+    """Two backends and academic results for the first query text only."""
+    one = lists(spark, sf_dir)
+    return retrieve.merged_lists([one, one.withColumn("url", F.concat("url", F.lit("x")))], one.withColumn("url", F.concat("url", F.lit("y"))), 1).select("query_id", "list_id", "url", "rank")
+
+
+@query("SELECT doc_id % 5 AS query_id, concat('local://', lang, '/', source, '.md') AS url, lang AS title, text, (doc_id % 10 / 10.0)::DOUBLE AS relevance, true AS local FROM documents")
+def local_knowledge(spark, sf_dir):
+    i = F.col("doc_id")
+    hits = table(spark, sf_dir, "documents").select((i % 5).alias("query_id"), "text", F.col("lang").alias("title"), F.col("lang").alias("collection"), F.concat("source", F.lit(".md")).alias("file_path"), (i % 10 / 10.0).alias("score"))
+    return retrieve.local_chunks(hits).select("query_id", "url", "title", "text", "relevance", "local")
 
 
 @query(f"""WITH {LISTS}, {RRF}, c AS (SELECT query_id, url[1:2] AS url, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, url) AS rank FROM f),
@@ -124,14 +152,8 @@ def crag_fallback(spark, sf_dir):
     return retrieve.fallback_scores(c).select("query_id", "chunk_id", F.round("final", 4).alias("final"), "rank")
 
 
-@query("""WITH c AS (SELECT doc_id % 5 AS query_id, doc_id AS rank, text FROM documents WHERE doc_id < 25) SELECT query_id, string_agg(text[1:300], concat(chr(10), '---', chr(10)) ORDER BY rank) AS context FROM c GROUP BY query_id""")
-def context_assembly(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").filter("doc_id < 25").select((F.col("doc_id") % 5).alias("query_id"), F.col("doc_id").alias("rank"), "text")
-    return retrieve.context(c, 300)
-
-
 @query("""SELECT doc_id // 25 AS query_id, string_agg(text[1:300], concat(chr(10), '---', chr(10)) ORDER BY doc_id) AS context FROM documents GROUP BY 1""")
-def context_assembly_all(spark, sf_dir):
+def context_assembly(spark, sf_dir):
     """Contexts over all documents, 25 to a query."""
     c = table(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("query_id"), F.col("doc_id").alias("rank"), "text")
     return retrieve.context(c, 300)
@@ -149,61 +171,55 @@ def fewshot_keyword(spark, sf_dir):
 
 
 _AT = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, doc_id)"
+#: Seconds since the first entry at which lookups are made, and the time in seconds.
+_NOW = 1400
+AS_OF = 1704067200 + _NOW
 
 
-def _every(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text", F.expr(_AT).alias("created_at"), (F.col("doc_id") % 3).cast("string").alias("backend"))
-    return cache.entries(d)
+def cached(spark, sf_dir):
+    """Every document as an entry; every fourth is of deep research."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select(i.alias("entry_id"), "text", F.expr(_AT).alias("created_at"), (i % 3).cast("string").alias("backend"), (i % 4 == 0).alias("deep"))
+    return cache.entries(d, lex=lx)
 
 
-def _cached(spark, sf_dir):
-    return _every(spark, sf_dir).filter("entry_id % 2 = 0")
+def asked(spark, sf_dir):
+    """The stated query set: documents whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return cache.entries(rows, lex=lx).select("query_id", "norm", "tokens")
 
 
-def _asked(spark, sf_dir):
-    return cache.entries(table(spark, sf_dir, "documents").filter("doc_id % 2 = 1").select(F.col("doc_id").alias("query_id"), "text")).select("query_id", "norm", "tokens")
+_TTL = f"CASE WHEN regexp_matches(lower(text), {quoted('|'.join(lx.temporal))}) THEN 900 WHEN doc_id % 4 = 0 THEN 86400 ELSE 3600 END"
 
 
-CACHE = f"""ents AS (SELECT doc_id AS entry_id, {NORM.format('text')} AS norm, {TOKENS.format('text')} AS t FROM documents WHERE doc_id % 2 = 0), asks AS (SELECT doc_id AS query_id, {NORM.format('text')} AS norm, {TOKENS.format('text')} AS t FROM documents WHERE doc_id % 2 = 1),
+def _cache_sql(where: str, apart: str) -> str:
+    return f"""ents AS (SELECT doc_id AS entry_id, {norm_sql('text')} AS norm, {tokens_sql('text')} AS t FROM documents WHERE doc_id + {_TTL} > {_NOW} {where}), asks AS (SELECT doc_id AS query_id, {norm_sql('text')} AS norm, {tokens_sql('text')} AS t FROM documents WHERE doc_id % 50 = 0),
     hit AS (SELECT query_id, max(entry_id) AS entry_id FROM asks JOIN ents USING (norm) GROUP BY query_id),
     fe AS (SELECT entry_id, len(t) AS ne, unnest(t) AS w FROM ents), fq AS (SELECT query_id, len(t) AS nq, unnest(t) AS w FROM asks),
-    sims AS (SELECT query_id, entry_id, round(count(*) / (nq + ne - count(*)), 6) AS sim FROM fq JOIN fe USING (w) WHERE least(nq, ne) >= 0.75 * greatest(nq, ne) GROUP BY query_id, entry_id, nq, ne),
+    sims AS (SELECT query_id, entry_id, round(count(*) / (nq + ne - count(*)), 6) AS sim FROM fq JOIN fe USING (w) WHERE least(nq, ne) >= 0.75 * greatest(nq, ne) {apart} GROUP BY query_id, entry_id, nq, ne),
     fuzz AS (SELECT query_id, entry_id, sim FROM sims WHERE sim >= 0.75 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, entry_id DESC) = 1)"""
 
 
-@query(f"WITH {CACHE} SELECT query_id, entry_id, sim FROM fuzz")
+@query(f"WITH {_cache_sql('', 'AND query_id <> entry_id')} SELECT query_id, entry_id, sim FROM fuzz")
 def fuzzy_cache_lookup(spark, sf_dir):
-    return cache.fuzzy(_asked(spark, sf_dir), _cached(spark, sf_dir))
+    """The most similar live entry of each query's, other than itself."""
+    return cache.fuzzy(asked(spark, sf_dir), cache.usable(cached(spark, sf_dir), F.lit(AS_OF)), but="query_id = entry_id")
 
 
-@query(f"WITH {CACHE} SELECT query_id, entry_id, 'exact' AS layer FROM hit UNION ALL SELECT query_id, entry_id, 'fuzzy' FROM fuzz WHERE query_id NOT IN (SELECT query_id FROM hit)")
+@query(f"WITH {_cache_sql('AND doc_id % 3 = 1', '')} SELECT query_id, entry_id, 'exact' AS layer FROM hit UNION ALL SELECT query_id, entry_id, 'fuzzy' FROM fuzz WHERE query_id NOT IN (SELECT query_id FROM hit)")
 def cache_two_layer(spark, sf_dir):
-    return cache.two_layer(_asked(spark, sf_dir), _cached(spark, sf_dir))
-
+    """Lookups in the live entries of one backend."""
+    return cache.two_layer(asked(spark, sf_dir), cached(spark, sf_dir), F.lit(AS_OF), "1")
 
-_TTL = "CASE WHEN regexp_matches(lower(text), 'today|now|20[12][0-9]') THEN 900 ELSE 3600 END"
 
-
-@query(f"SELECT doc_id AS entry_id FROM documents WHERE doc_id % 2 = 0 AND doc_id + {_TTL} > 1400")
+@query(f"SELECT doc_id AS entry_id FROM documents WHERE doc_id + {_TTL} > {_NOW}")
 def ttl_prune(spark, sf_dir):
-    return cache.alive(_cached(spark, sf_dir), F.lit(1704067200 + 1400)).select("entry_id")
+    return cache.alive(cached(spark, sf_dir), F.lit(AS_OF)).select("entry_id")
 
 
-@query(f"SELECT (doc_id % 3)::VARCHAR AS backend, count(*) AS total, count(*) FILTER (doc_id + {_TTL} > 1400) AS alive FROM documents WHERE doc_id % 2 = 0 GROUP BY ROLLUP (1)")
+@query(f"SELECT (doc_id % 3)::VARCHAR AS backend, count(*) AS total, count(*) FILTER (doc_id + {_TTL} > {_NOW}) AS alive FROM documents GROUP BY ROLLUP (1)")
 def cache_stats(spark, sf_dir):
-    return cache.stats(_cached(spark, sf_dir), F.lit(1704067200 + 1400))
-
-
-@query(f"SELECT doc_id AS entry_id FROM documents WHERE doc_id + {_TTL} > 1400")
-def ttl_prune_all(spark, sf_dir):
-    """What is alive of all documents."""
-    return cache.alive(_every(spark, sf_dir), F.lit(1704067200 + 1400)).select("entry_id")
-
-
-@query(f"SELECT (doc_id % 3)::VARCHAR AS backend, count(*) AS total, count(*) FILTER (doc_id + {_TTL} > 1400) AS alive FROM documents GROUP BY ROLLUP (1)")
-def cache_stats_all(spark, sf_dir):
-    """Totals over all documents."""
-    return cache.stats(_every(spark, sf_dir), F.lit(1704067200 + 1400))
+    return cache.stats(cached(spark, sf_dir), F.lit(AS_OF))
 
 
 @query("""WITH d AS (SELECT ts::DATE AS day, count(*) AS used_today FROM events GROUP BY 1), u AS (SELECT *, sum(used_today) OVER (PARTITION BY date_trunc('month', day) ORDER BY day)::BIGINT AS used FROM d),
@@ -218,7 +234,5 @@ def deep_search(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     ranked = lambda k, order: pages.select((F.col("page_id") % 10).alias("query_id"), F.lit("the and of to").alias("query"), F.lit(k).alias("list_id"), "url", order.alias("o")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "url"))).drop("o")
     every = ranked(0, F.length("html")).unionByName(ranked(1, F.crc32(F.col("url"))))
-    return search.deep_search(every, pages, boundary.overlap_scorer, size=64)
-
+    return search.deep_search(every, pages, boundary.overlap_scorer, size=64, lex=lx)
 
-del tx, FOLD

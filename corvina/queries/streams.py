@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+from ..session import scratch
 from ..streaming import monitor
 from . import query, table
 
@@ -16,8 +15,7 @@ def _events(spark, sf_dir):
 
 
 def _run(spark, stream, mode="complete"):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/corvina-streams"
-    return monitor.run_once(stream, f"s{uuid.uuid4().hex}", f"{base}/stream-{uuid.uuid4().hex}", mode)
+    return monitor.run_once(stream, scratch(spark, "stream"), scratch(spark, "stream-state"), mode)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import lexicons as lx
 from ..functions import hashing
 from ..functions import text as tx
 from ..plans import requests as rq
+from ..functions import turns as tn
 from . import query, table
+from .words import LEXICON as lx
 
 
 def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-FOLD = f"translate({{}}, '{tx.ACCENTED}', '{tx.PLAIN}')"
-NORM = "trim(regexp_replace(trim(regexp_replace(translate(lower({}), '’‘ʼ', ''''''''), '[ \\t\\n\\r]+', ' ', 'g')), '[?!.,;:… ]+$', ''))"
-STOP = ", ".join(f"'{w}'" for w in lx.STOPWORDS)
-TOKENS = f"list_sort(list_distinct(list_filter(string_split(regexp_replace({FOLD.format(NORM)}, '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ({STOP}))))"
+def fold_sql(x: str) -> str:
+    return f"regexp_replace(translate({x}, '{tx.ACCENTED}', '{tx.PLAIN}'), '\\p{{Mn}}+', '', 'g')"
+
+
+def norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(trim(regexp_replace(translate(lower({x}), '’‘ʼ', ''), '[ \\t\\n\\r]+', ' ', 'g')), '[?!.,;:… ]+$', ''))"
+
+
+STOP = ", ".join(f"'{w}'" for w in lx.stop_words)
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split(regexp_replace({fold_sql(norm_sql(x))}, '[^\\p{{L}}\\p{{N}}_ -]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ({STOP}))))"
+
+
 LAST_USER = "SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id"
 
 
@@ -52,72 +64,85 @@ def prompt_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.prompt_hash(F.col("text")).alias("hash"))
 
 
-@query(f"SELECT doc_id, {NORM.format('text')} AS norm FROM documents")
+@query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
 def query_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.normalise(F.col("text")).alias("norm"))
 
 
-@query(f"SELECT doc_id, array_to_string({TOKENS.format('text')}, ' ') AS tokens FROM documents")
+@query(f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM documents")
 def query_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.tokens(F.col("text"), lx), " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({FOLD.format('lower(text)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60], '-+$', '') AS slug FROM documents")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({fold_sql('lower(text)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60], '-+$', '') AS slug FROM documents")
 def slugify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN {has_sql('text', lx.CODE_MARK)} THEN 'en'
-    WHEN {count_sql('lower(text)', lx.EN_MARKS)} > {count_sql('lower(text)', lx.FR_MARKS)} AND length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / greatest(length(text), 1) > 0.9 THEN 'en' ELSE 'fr' END AS language FROM documents""")
+@query(f"""SELECT doc_id, CASE WHEN {has_sql('text', lx.source_text)} THEN 'en'
+    WHEN {count_sql('lower(text)', lx.english)} > {count_sql('lower(text)', lx.french)} AND length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / greatest(length(text), 1) > 0.9 THEN 'en' ELSE 'fr' END AS language FROM documents""")
 def lang_detect(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.language(F.col("text")).alias("language"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.language(F.col("text"), lx).alias("language"))
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN {has_sql('lower(text)', p)} THEN '{d}'" for d, p in lx.DOMAINS) + " ELSE 'general' END AS domain FROM documents")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {has_sql('lower(text)', p)} THEN '{d}'" for d, p in lx.domains) + " ELSE 'general' END AS domain FROM documents")
 def domain_detect(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.domain(F.col("text")).alias("domain"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.domain(F.col("text"), lx).alias("domain"))
 
 
-@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {quoted(p)})" for p in parts) + f" THEN '{c}'" for c, parts in lx.CATEGORIES) + " ELSE 'other' END AS category FROM documents")
+@query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), {quoted(p)})" for p in parts) + f" THEN '{c}'" for c, parts in lx.categories) + " ELSE 'other' END AS category FROM documents")
 def auto_category(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.category(F.col("text")).alias("category"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.category(F.col("text"), lx).alias("category"))
 
 
 _IP = "regexp_extract(text, '([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})', 1)"
-_TOLD = has_sql("lower(text)", lx.word("ip", "ioc", "hash", "malware"))
+_TOLD = has_sql("lower(text)", lx.threats)
 _SHA = "regexp_extract(lower(text), '(?:^|[^0-9a-f])([0-9a-f]{64})(?:[^0-9a-f]|$)', 1)"
 
 
 @query(f"""SELECT doc_id, CASE WHEN {_IP} <> '' AND ({_TOLD} OR NOT regexp_matches({_IP}, '^(?:127[.]|192[.]168[.]|10[.])')) THEN 'ip' WHEN {_SHA} <> '' AND ({_TOLD} OR length(text) < 80) THEN 'hash' END AS kind,
     CASE kind WHEN 'ip' THEN {_IP} WHEN 'hash' THEN {_SHA} END AS value FROM documents""")
 def ioc_detect(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.ioc(F.col("text")).alias("i")).select("doc_id", "i.kind", "i.value")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.ioc(F.col("text"), lx).alias("i")).select("doc_id", "i.kind", "i.value")
 
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
 
 
-@query(f"""SELECT page_id, {_HOST} AS host, CASE WHEN regexp_matches({_HOST}, '(?:^|[.])m[.]|youtu|video') THEN 'video' WHEN regexp_matches({_HOST}, '[.]org$') THEN 'academic'
-    WHEN regexp_matches({_HOST}, '[.]net$') THEN 'social' ELSE 'web' END AS class FROM pages""")
+_MEDIA = " ".join(f"WHEN regexp_replace({_HOST}, '^www[.]', '') IN ({', '.join(quoted(h) for h in hosts)}) THEN '{label}'" for label, hosts in lx.media_hosts)
+
+
+@query(f"SELECT page_id, {_HOST} AS host, CASE {_MEDIA} ELSE 'web' END AS class FROM pages")
 def url_class(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.host(F.col("url")).alias("host"), tx.url_class(F.col("url")).alias("class"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.host(F.col("url")).alias("host"), tx.url_class(F.col("url"), lx).alias("class"))
 
 
-_FLAGS = {"boilerplate": lx.BOILERPLATE, "temporal": "|".join(lx.TEMPORAL), "hedge": lx.HEDGES, "factual": lx.FACTUAL, "greeting": lx.GREETING}
+_FLAGS = {"boilerplate": lx.boilerplate, "temporal": "|".join(lx.temporal), "hedge": lx.hedges, "factual": lx.factual, "greeting": lx.greeting}
 
 
-@query("SELECT doc_id, " + ", ".join(f"{has_sql('lower(text)', p)} AS {k}" for k, p in _FLAGS.items()) + f", {has_sql('text', lx.CODE_MARK)} AS code, regexp_extract(text, '([A-Za-z0-9_./-]+[.]csv)', 1) AS csv FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"{has_sql('lower(text)', p)} AS {k}" for k, p in _FLAGS.items()) + f", {has_sql('text', lx.code_blocks)} AS code, regexp_extract(text, '([A-Za-z0-9_./-]+[.]csv)', 1) AS csv FROM documents")
 def detector_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[tx.flag(F.col("text"), p).alias(k) for k, p in _FLAGS.items()], F.col("text").rlike(lx.CODE_MARK).alias("code"), tx.csv_path(F.col("text")).alias("csv"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[tx.flag(F.col("text"), p).alias(k) for k, p in _FLAGS.items()], F.col("text").rlike(lx.code_blocks).alias("code"), tx.csv_path(F.col("text"), lx).alias("csv"))
+
 
+_ASKED = {"code": lx.code_request, "complex": lx.complex_request, "searchable": lx.searchable, "deep": lx.deep_research, "temporal": "|".join(lx.temporal)}
 
-_WORDS = "len(string_split(trim(regexp_replace(text, '[ \\n\\t]+', ' ', 'g')), ' '))"
 
+@query(f"WITH r AS ({LAST_USER}) SELECT conv_id, " + ", ".join(f"{has_sql('lower(text)', p)} AS \"{k}\"" for k, p in _ASKED.items()) + f", regexp_extract(text, {quoted(lx.ingest)}, 1) AS ingest, NOT {has_sql('lower(text)', lx.recall)} AS few_shot FROM r")
+def request_flags(spark, sf_dir):
+    from ..functions.scoring import few_shot_allowed
 
-@query(f"""WITH r AS ({LAST_USER}) SELECT conv_id, CASE WHEN {' + '.join(f"{has_sql('lower(text)', p)}::INT" for p in lx.DEEP)} + CASE WHEN {_WORDS} > 20 THEN 2 WHEN {_WORDS} > 12 THEN 1 ELSE 0 END
-    + ({count_sql('text', '[?]')} > 1)::INT >= {' + '.join(f"{has_sql('lower(text)', p)}::INT" for p in lx.FAST)} + ({_WORDS} < 5)::INT THEN 'deep' ELSE 'fast' END AS class FROM r""")
+    rows = rq.last_user_text(table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", tn.request_flags(F.col("text"), lx).alias("f"), few_shot_allowed(F.col("text"), lx).alias("few_shot")).select("conv_id", "f.*", "few_shot")
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH r AS ({LAST_USER}) SELECT conv_id, CASE WHEN {' + '.join(f"{has_sql('lower(text)', p)}::INT" for p in lx.deep)} + 1 + CASE WHEN {_WORDS} > 20 THEN 2 WHEN {_WORDS} > 12 THEN 1 ELSE 0 END
+    + ({count_sql('text', '[?]')} > 1)::INT >= {' + '.join(f"{has_sql('lower(text)', p)}::INT" for p in lx.fast)} + ({_WORDS} < 5)::INT THEN 'deep' ELSE 'fast' END AS class FROM r""")
 def fast_deep_class(spark, sf_dir):
-    return rq.last_user_text(table(spark, sf_dir, "conversations")).select("conv_id", tx.fast_or_deep(F.col("text")).alias("class"))
+    return rq.last_user_text(table(spark, sf_dir, "conversations")).select("conv_id", tx.fast_or_deep(F.col("text"), lx).alias("class"))
 
 
 _STRIP = "html"
@@ -133,16 +158,13 @@ def html_main_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.main_text(F.col("html")).alias("body"))
 
 
-_NOTE = "concat('# Note ', doc_id, chr(10), '**Category** : ', source, chr(10), '**Date** : 2024-01-0', doc_id % 9 + 1, chr(10), '- ', text[1:40], chr(10), '<think>', lang, '</think>', text[1:100])"
+_NOTE = "concat('# Note ', doc_id, chr(10), '**Category** : ', source, chr(10), '**Date** : 2024-01-0', doc_id % 9 + 1, chr(10), '- ', text, chr(10), '<think>', lang, '</think>', text)"
 
 
 @query(f"SELECT doc_id, concat('Note ', doc_id) AS title, source AS category, concat('2024-01-0', doc_id % 9 + 1) AS date, regexp_extract(n, '(?m)^- +(.*)$', 1) AS bullet, trim(replace(n, concat('<think>', lang, '</think>'), '')) AS plain FROM (SELECT *, {_NOTE} AS n FROM documents)")
 def note_fields(spark, sf_dir):
-    return _fields(spark, sf_dir, F.substring("text", 1, 40), F.substring("text", 1, 100))
-
-
-def _fields(spark, sf_dir, bullet, body):
-    note = F.concat(F.lit("# Note "), "doc_id", F.lit("\n**Category** : "), "source", F.lit("\n**Date** : 2024-01-0"), F.col("doc_id") % 9 + 1, F.lit("\n- "), bullet, F.lit("\n<think>"), "lang", F.lit("</think>"), body)
+    """Fields of notes that hold whole texts."""
+    note = F.concat(F.lit("# Note "), "doc_id", F.lit("\n**Category** : "), "source", F.lit("\n**Date** : 2024-01-0"), F.col("doc_id") % 9 + 1, F.lit("\n- "), "text", F.lit("\n<think>"), "lang", F.lit("</think>"), "text")
     n = F.col("n")
     return table(spark, sf_dir, "documents").withColumn("n", note).select(
         "doc_id", tx.heading(n).alias("title"), tx.header_field(n, "Category").alias("category"), tx.header_field(n, "Date").alias("date"),
@@ -150,13 +172,20 @@ def _fields(spark, sf_dir, bullet, body):
     )
 
 
-_WHOLE_NOTE = _NOTE.replace("text[1:40]", "text").replace("text[1:100]", "text")
+_EDGE = "concat(' ', chr(9), chr(10), chr(13))"
+_SUMMARY = f"list_filter(list_transform(string_split(concat('## ', source, chr(10), '- ', lang, chr(10), text), chr(10)), lambda x: trim(x, {_EDGE})), lambda x: x <> '')"
 
 
-@query(f"SELECT doc_id, concat('Note ', doc_id) AS title, source AS category, concat('2024-01-0', doc_id % 9 + 1) AS date, regexp_extract(n, '(?m)^- +(.*)$', 1) AS bullet, trim(replace(n, concat('<think>', lang, '</think>'), '')) AS plain FROM (SELECT *, {_WHOLE_NOTE} AS n FROM documents)")
-def note_fields_whole(spark, sf_dir):
-    """Fields of notes that hold whole texts."""
-    return _fields(spark, sf_dir, F.col("text"), F.col("text"))
+@query(f"""WITH l AS (SELECT doc_id, {_SUMMARY} AS l FROM documents), r AS (SELECT doc_id, l[1] AS t, list_filter(l[2:], lambda x: NOT regexp_matches(x, '^[-*•] ')) AS b, list_filter(l[2:], lambda x: regexp_matches(x, '^[-*•] ')) AS k FROM l)
+    SELECT doc_id, trim(ltrim(t, '#'), {_EDGE}) AS title, CASE WHEN len(r.b) > 0 THEN array_to_string(r.b, chr(10)) ELSE concat('## ', source, chr(10), '- ', lang, chr(10), text) END AS body, array_to_string(r.k, chr(10)) AS bullets FROM r JOIN documents USING (doc_id)""")
+def summary_parse(spark, sf_dir):
+    told = F.concat(F.lit("## "), "source", F.lit("\n- "), "lang", F.lit("\n"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", tn.summary(told).alias("s")).select("doc_id", "s.title", "s.body", F.array_join("s.bullets", "\n").alias("bullets"))
+
+
+@query("SELECT doc_id, md5(concat(text, ':', lang)) AS key, substr(md5(text), 1, 16) AS prompt_key FROM documents")
+def md5_keys(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.md5_key(F.col("text"), F.lit(":"), F.col("lang")).alias("key"), F.substring(tx.md5_key(F.col("text")), 1, 16).alias("prompt_key"))
 
 
 @query("SELECT page_id, array_to_string(list_sort(list_distinct([page_id % 7 + 1, page_id % 7 + 2, page_id % 7 + 3, 9])), ',') AS pages FROM pages")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +24,15 @@ def build_session(app: str = "corvina", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``.  Where that is unset a folder is made for it in local mode alone (tests), and removed at the end."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='corvina-')}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"

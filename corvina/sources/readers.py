@@ -36,9 +36,9 @@ def text_corpus(spark: SparkSession, path: str, suffixes: list[str] = TEXT_SUFFI
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def knowledge_base(spark: SparkSession, path: str, collections: dict[str, str], default: str = "code") -> DataFrame:
+def knowledge_base(spark: SparkSession, path: str, collections: dict[str, str], default: str = "code", suffixes: tuple[str, ...] = ("md",)) -> DataFrame:
     """(path, text, collection) of markdown files; the collection by the folder above the file."""
-    docs = text_corpus(spark, path, ["md"])
+    docs = text_corpus(spark, path, list(suffixes))
     table = F.create_map(*[F.lit(x) for pair in collections.items() for x in pair]) if collections else F.create_map().cast("map<string,string>")
     return docs.withColumn("collection", F.coalesce(F.try_element_at(table, F.element_at(F.split("path", "/"), -2)), F.lit(default)))
 
@@ -47,10 +47,16 @@ def tail_by_group(rows: DataFrame, group: str, n: int, order: str = "seq") -> Da
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).desc()))).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def sqlite_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A SQLite table, read on the driver (these are small logs); column types follow the declared ones."""
+#: A log file of at most this size is read by one reader.
+SQLITE_BYTES = 256 << 20
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, most: int = SQLITE_BYTES) -> DataFrame:
+    """A SQLite table of the driver's host, whose interactive logs are small; a file over ``most`` bytes is refused.  Column types follow the declared ones."""
     import sqlite3
 
+    if (size := Path(path).stat().st_size) > most:
+        raise ValueError(f"{path} has {size} bytes; export a log of over {most} as Parquet")
     kinds = {"INTEGER": "long", "INT": "long", "REAL": "double", "TEXT": "string"}
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
         if not table.isidentifier():
@@ -90,11 +96,17 @@ def channels(catalog: DataFrame) -> DataFrame:
     return catalog.select("channel_id", F.inline(names)).filter("name is not null and name <> ''")
 
 
+#: Channels that a lookup by part of a title may compare with.
+CATALOG = 100_000
+
+
 def resolve_channels(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     """The channel of each asked name: by any exact name first, else the first whose title contains it."""
     exact = asked.withColumn("name", F.lower("asked")).join(channels(catalog), "name").groupBy("asked").agg(F.min_by("channel_id", "priority").alias("channel_id"))
     rest = asked.join(exact, "asked", "left_anti")
-    # A catalog is a small dimension (hundreds of rows): it is packed into one row, so nothing is crossed.
+    # A catalog is a small dimension, which is counted: it is packed into one row, so nothing is crossed.
+    if (n := catalog.count()) > CATALOG:
+        raise ValueError(f"a catalog of {n} channels is too large for lookups by part of a title")
     packed = catalog.agg(F.array_sort(F.collect_list(F.struct("channel_id", F.lower("title").alias("title")))).alias("all"))
     near = rest.join(F.broadcast(packed)).select("asked", F.get(F.filter("all", lambda c: F.contains(c["title"], F.lower("asked"))), F.lit(0))["channel_id"].alias("channel_id"))
     return exact.unionByName(near.filter("channel_id is not null"))

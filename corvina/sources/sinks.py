@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import struct
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import fnv1a as fnv1a_column
+
 
 def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
@@ -33,13 +36,17 @@ def upsert_collection(spark: SparkSession, root: str, new: DataFrame, version: s
     return write_snapshot(old.unionByName(new, allowMissingColumns=True), root, version)
 
 
+#: Between the notes of one file.
+NOTE_END = "\n␞\n"
+
+
 def write_notes(rows: DataFrame, path: str) -> None:
     """One markdown text for each row (title, url, category, date, body, bullets)."""
     note = F.concat(
         F.lit("# "), "title", F.lit("\n\n**URL** : "), "url", F.lit("\n**Category** : "), "category", F.lit("\n**Date** : "), "date", F.lit("\n\n"), "body",
         F.when(F.size("bullets") > 0, F.concat(F.lit("\n\n- "), F.array_join("bullets", "\n- "))).otherwise(""),
     )
-    rows.select(note.alias("value")).write.mode("append").option("lineSep", "\n␞\n").text(path)
+    rows.select(note.alias("value")).write.mode("append").option("lineSep", NOTE_END).text(path)
 
 
 #: Fixed values of the n-gram table file: magic, version and sizes of its header and slots, little endian.
@@ -54,30 +61,40 @@ def fnv1a(ids: list[int]) -> int:
     return h
 
 
-def write_ngram_file(table: DataFrame, path: str, order: int) -> int:
-    """An open-addressed table file of (ctx array<int>, next int, freq int), for one host to map; streams rows to the driver.
+#: Contexts of a table file; its slots and offsets are 32 bits, and a host maps it whole.
+CONTEXTS = 50_000_000
+
 
-    The file is one reader's lookup table and so bounded by that reader's memory; the distributed table stays in Parquet.
+def write_ngram_file(table: DataFrame, path: str, order: int, most: int = CONTEXTS) -> int:
+    """An open-addressed table file of (ctx array<int>, next int, freq int), for one host to map.
+
+    The file is one host's lookup table and so bounded: contexts are counted, and more than ``most`` are refused.  Bodies are
+    streamed in order of hash to a file of their own, so that only the slots (16 bytes each) are held.
     """
-    entries: list[tuple[int, int, bytes]] = []
+    import numpy as np
+
     g = table.groupBy("ctx").agg(F.sort_array(F.collect_list(F.struct(F.col("freq"), (-F.col("next")).alias("minus"))), asc=False).alias("nexts"))
-    for row in g.toLocalIterator():
-        entries.append((fnv1a(row["ctx"]), sum(n["freq"] for n in row["nexts"]), struct.pack("<I", len(row["nexts"])) + b"".join(struct.pack("<II", -n["minus"], n["freq"]) for n in row["nexts"])))
-    size = 1 << (max(2 * len(entries), 16) - 1).bit_length()
-    slots = [(0, 0, 0)] * size
-    data, at = [], 0
-    for h, total, body in sorted(entries):
-        k = h % size
-        while slots[k][0]:
-            k = (k + 1) % size
-        slots[k] = (h, at, total)
-        data.append(body)
-        at += len(body)
-    with open(path, "wb") as f:
-        f.write(HEADER.pack(MAGIC, VERSION, order, size, len(entries)))
-        f.write(b"".join(SLOT.pack(*s) for s in slots))
-        f.write(b"".join(data))
-    return len(entries)
+    h = fnv1a_column(F.transform("ctx", lambda x: x.cast("long")))
+    g = g.select("ctx", "nexts", h["hi"].alias("hi"), h["lo"].alias("lo"))
+    n = table.select("ctx").distinct().count()
+    if n > most:
+        raise ValueError(f"{n} contexts; a table file holds {most} at most")
+    size = 1 << (max(2 * n, 16) - 1).bit_length()
+    slots = np.zeros(size, [("hash", "<u8"), ("offset", "<u4"), ("total", "<u4")])
+    at = 0
+    with open(f"{path}.data", "wb") as data:
+        for row in g.orderBy("hi", "lo").toLocalIterator():
+            k = (found := row["hi"] << 32 | row["lo"]) % size
+            while slots["hash"][k]:
+                k = (k + 1) % size
+            slots[k] = (found, at, sum(x["freq"] for x in row["nexts"]))
+            at += data.write(struct.pack("<I", len(row["nexts"])) + b"".join(struct.pack("<II", -x["minus"], x["freq"]) for x in row["nexts"]))
+    with open(path, "wb") as f, open(f"{path}.data", "rb") as data:
+        f.write(HEADER.pack(MAGIC, VERSION, order, size, n))
+        f.write(slots.tobytes())
+        shutil.copyfileobj(data, f)
+    Path(f"{path}.data").unlink()
+    return n
 
 
 class NgramFile:
@@ -107,6 +124,12 @@ class NgramFile:
             k = (k + 1) % self.size
         return []
 
+    def totals(self) -> tuple[int, int, int]:
+        """Numbers of contexts and of their nexts, and the sum of frequencies."""
+        used = [s for s in SLOT.iter_unpack(self.raw[HEADER.size : HEADER.size + self.size * SLOT.size]) if s[0]]
+        data = HEADER.size + self.size * SLOT.size
+        return len(used), sum(struct.unpack_from("<I", self.raw, data + at)[0] for _, at, _ in used), sum(t for *_, t in used)
+
 
 def verify_ngram_file(table: DataFrame, path: str, sample: int = 100) -> int:
     """Looks up at most ``sample`` contexts (by hash order) and compares their nexts; the number that differ."""

@@ -33,11 +33,16 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is available now into a memory table; checkpoint: a folder for state and offsets."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that is available now, written to Parquet under ``path`` by the executors and read back; checkpoint: a folder for state and offsets.
+
+    In complete mode each batch replaces the result, in append mode it is a folder of its own, so a batch that is run again leaves no rows twice.
+    """
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path if mode == "complete" else f"{path}/batch=*")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):

@@ -1,5 +1,6 @@
 """Operators against plain Python on small edge cases."""
 
+import hashlib
 import re
 
 import pytest
@@ -80,29 +81,20 @@ def test_section_chunks(spark):
     assert all("gone" not in r["text"] for r in got) and got[2]["text"].startswith("p" * 100 + " ")
 
 
-@pytest.mark.parametrize(("text", "n"), [("1. aa\n2. bb", 2), ("# a\n## b", 2), ("- " + "x" * 20 + "\n- " + "y" * 20 + "\n- " + "z" * 20, 3), ("p one\n\np two", 2), ("One. Two! Three?", 3), ("", 0)])
-def test_steps(spark, text, n):
-    assert len(one(spark, text, sc.steps)) == n
-
-
-@pytest.mark.parametrize(("text", "want"), [("Step 1: correct Step 2: incorrect", [1, 0]), ("[+] [-]", [1, 0]), ("step 1 = 1", [1]), ("", [])])
-def test_step_labels(spark, text, want):
-    assert one(spark, text, sc.step_labels) == want
-
-
 @pytest.mark.parametrize(("text", "want"), [('{"name": "f", "arguments": {"a": 1}}', 1.0), ('{"name": "", "arguments": {}}', 0.0), ("none", 0.5), ('{"name": "f", "arguments": 3}', 0.0)])
 def test_tool_reward(spark, text, want):
     assert one(spark, text, sc.tool_reward) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [('x {"score": 9}', 5), ("a 4 b", 4), ("nothing", 3), ('{"score": "2"}', 2), ("12 34", 3)])
+@pytest.mark.parametrize(("text", "want"), [('x {"score": 9}', 5), ("a 4 b", 4), ("nothing", 3), ('{"score": "2"}', 2), ("12 34", 3), ('{"reason": "4"}', 3), ('{"score": 2', 2), ('{"score": -4}', 1)])
 def test_parsed_score(spark, text, want):
     assert one(spark, text, sc.parsed_score) == want
 
 
 def test_yes_share(spark):
     kind = "array<array<struct<token:string,logprob:double>>>"
-    assert one(spark, [[("Yes", -0.5), ("no", -1.5)], [("x", -1.0)]], sc.yes_share, kind) == pytest.approx(0.731059, abs=1e-5)
+    assert one(spark, [[("Yes", -0.5), ("no", -1.5)], [("yes", -1.0)], [("x", -1.0)]], sc.yes_share, kind) == pytest.approx(0.731059, abs=1e-5)
+    assert one(spark, [[("yes", -1.0)], [("maybe", -1.0)]], sc.yes_share, kind) is None  # both are needed
 
 
 def test_empty_token_lists(spark):
@@ -116,9 +108,12 @@ def test_example_before_last_user_turn(spark):
 
 
 def test_patch_gates_and_rules(spark):
-    rows = spark.createDataFrame([(["a"], ["keep this"]), (["a", "b", "c", "d"], []), (["a"], ["other"])], "adds array<string>, removes array<string>")
-    assert [r[0] for r in rows.select(sc.patch_allowed(F.col("adds"), F.col("removes"), ["keep"])).collect()] == [False, False, True]
-    assert one(spark, "1. **Bold rule**\ntext\n## A heading line\n**x**", sc.rule_lines) == ["1. **Bold rule**", "## A heading line"]
+    rows = spark.createDataFrame([(1, ["KEEP this"], 1, 5), (4, [], 0, 5), (1, ["other"], 2, 5), (3, [], 0, 98), (3, [], 1, 98)], "adds int, touched array<string>, removes int, lines int")
+    got = [r[0] for r in rows.select(sc.patch_allowed(F.col("adds"), F.col("touched"), F.col("removes"), F.col("lines"), ["keep"])).collect()]
+    assert got == [False, False, True, False, True]
+    rules = one(spark, "1. **Bold rule**\ntext\n  ## A heading line\n**x**\n**lower case bold**\n12 **Also a rule**", sc.rule_lines)
+    assert [r["rule"] for r in rules] == ["1. **Bold rule**", "## A heading line", "12 **Also a rule**"]
+    assert rules[0]["hash"] == hashlib.sha256(b"1. **Bold rule**").hexdigest()[:16]
 
 
 def test_pages(spark):
@@ -237,28 +232,28 @@ def result(spark, name):
 
 
 def test_contexts_hold_every_document(spark):
-    blocks = [len(r["context"].split("\n---\n")) for r in result(spark, "context_assembly_all").collect()]
+    blocks = [len(r["context"].split("\n---\n")) for r in result(spark, "context_assembly").collect()]
     assert sum(blocks) == counted(spark, "documents") and max(blocks) <= 25
 
 
 def test_gates_decide_every_event(spark):
-    assert result(spark, "gates_cooldown_all").count() == counted(spark, "events")
+    assert result(spark, "gates_cooldown").count() == counted(spark, "events")
 
 
 def test_rolling_week_of_every_event(spark):
-    assert result(spark, "rolling_week_all").count() == counted(spark, "events")
+    assert result(spark, "rolling_week").count() == counted(spark, "events")
 
 
 def test_cache_holds_every_document(spark):
-    assert [r["total"] for r in result(spark, "cache_stats_all").collect() if r["backend"] is None] == [counted(spark, "documents")]
-    assert result(spark, "ttl_prune_all").filter("entry_id % 2 = 1").count() > 0
+    assert [r["total"] for r in result(spark, "cache_stats").collect() if r["backend"] is None] == [counted(spark, "documents")]
+    assert result(spark, "ttl_prune").filter("entry_id % 2 = 1").count() > 0
 
 
 def test_whole_texts_are_accumulated(spark):
     from conftest import SF
 
     texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
-    for r in result(spark, "step_accumulation_whole").collect():
+    for r in result(spark, "step_accumulation").collect():
         assert r["context"] == "\n\n".join(t for (c, n), t in sorted(texts.items()) if c == r["conv_id"] and n < r["turn"])
 
 
@@ -266,4 +261,4 @@ def test_notes_hold_whole_texts(spark):
     from conftest import SF
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert all(texts[r["doc_id"]].rstrip(" ") in r["plain"] for r in result(spark, "note_fields_whole").collect())
+    assert all(texts[r["doc_id"]].rstrip(" ") in r["plain"] for r in result(spark, "note_fields").collect())
