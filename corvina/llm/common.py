@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import re
-import shutil
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch  # operators take it from here
+
 #: An id set of at most this many rows (about 50 bytes each once hashed) may be broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -24,18 +21,6 @@ STORE = "corvina_worker_store"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``.  Where that is unset a folder is made for it in local mode alone (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='corvina-')}"
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """Within it, actions hand at most ``rows`` rows at once to Python workers, as a row may be a long text."""
@@ -56,13 +41,13 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id") -> DataFrame:
     """Semi or anti join of wide rows with a materialised set of ids.
 
     The ids are counted first.  Up to BROADCAST_IDS they are broadcast, so the wide rows stay where they are;
     beyond it both sides are shuffled on the key.
     """
-    ids = ids.select(key)
+    ids = ids.select(key) if isinstance(key, str) else ids.select(*key)
     if how == "left_anti" and ids.isEmpty():
         return df
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)

@@ -47,8 +47,8 @@ def _trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     code = ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(16)
     good = (b[:-2] != 32) | (b[1:-1] != 32) | (b[2:] != 32)
     inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(b))]
-    good[np.maximum(inner - 1, 0)] = False
-    good[np.maximum(inner - 2, 0)] = False
+    across = np.concatenate([inner - 1, inner - 2])  # trigrams that end in the next text
+    good[across[(across >= 0) & (across < len(good))]] = False
     at = np.flatnonzero(good[: len(code)])
     return code[at].astype(np.int64), np.searchsorted(off, at, "right") - 1
 

@@ -5,7 +5,9 @@ A size-aware heavy-light join on the signatures that can still form a link:
 1. Documents with identical sets are one node (a 128-bit digest of the sorted set, combined map-side).
 2. A node whose set holds fewer than 75 % shingles that any other node has cannot link.  Shingle counts are exchanged as
    packed runs (32 bits a shingle within a hash bucket, each shingle once a chunk), so a shingle held by a third of all
-   documents costs one entry a chunk.  A truncated hash can only keep a node too many, never lose one.
+   documents costs one entry a chunk.  A chunk is dealt over 2^DEAL buckets at most, so runs stay long; a corpus that needs more
+   buckets is dealt once more from chunks of one bucket each (64 bits a shingle on the first way).  A truncated hash can
+   only keep a node too many, never lose one.
 3. Among what is left, shingles are ordered by exact frequency, rarest first.  Of n shingles at least ceil(0.75 n) are
    shared with a partner, so by the prefix lemma partners share one of the first n//4+1 and two of the first n//4+2.
    Light sets (n <= x) enumerate the 2-subsets of that prefix.  Heavy sets (n > x) are entered in inverted lists of single
@@ -15,7 +17,7 @@ A size-aware heavy-light join on the signatures that can still form a link:
    Pairs already in one class need no test, as the class is the result.
 
 Sets are compared by 64-bit shingle hashes.  Nulls and texts without words have no shingles and no links; texts of one to
-four words are one shingle.  Rows that repeat a doc_id act as one node that has the links of each.  Extra columns are
+four words are one shingle.  Rows that repeat a doc_id are one document that has the links of each of its texts.  Extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -40,6 +42,8 @@ PIVOT_ROUNDS = 3
 #: Words of 64 hash cells of a set's parity bits; list keys of a document that an open pair is looked up in.
 PARITY, LEAST = 16, 64
 COUNTED = 0xFFFF
+#: Bits of the hash by which a chunk is dealt at once: at 2^12 buckets a run has some 360 shingles.
+DEAL = 12
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -53,11 +57,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "sig"],
-        )
+    """doc_id and own of each row, with the size and a digest of its set."""
+    release()
+    for batch in batches:
+        for a, b, raw, off in tb.steps(batch.column(1)):
+            sets = tb.shingle_sets(raw, off)
+            digest = pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), digest], ["doc_id", "own", "n_shingles", "sig"])
+    batch = raw = off = sets = None
+    trim()  # the worker may stand idle beside other stages
 
 
 def _with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,32 +91,44 @@ def _runs(sorted_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, shared
 
 
-def _packer(bits: int):
-    """Distinct shingles of each chunk, dealt by their top bits; what repeats within the chunk is counted at once."""
-
-    def pack(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.concatenate(sets)
-        doc = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(s) for s in sets])
-        order = np.argsort(tokens)
-        tokens, doc = tokens[order], doc[order]
-        first, shared = _runs(tokens)
-        local = np.bincount(doc[shared], minlength=len(ids))
-        ref = np.where(shared, COUNTED, doc)[first].astype(np.uint16)
-        tokens = tokens[first]
-        edge = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-        edge = [0, *edge, len(tokens)]
-        short = ((tokens >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows: list[tuple] = []
-        for k, (a, b) in enumerate(itertools.pairwise(edge)):
-            if b > a:
-                r = ref[a:b]
-                used = np.unique(r[r != COUNTED])
-                at = np.full(1 << 16, COUNTED, np.uint16)
-                at[used] = np.arange(len(used), dtype=np.uint16)
-                rows.append((k, int(ids[0]), ids[used].tobytes(), short[a:b].tobytes(), at[r].tobytes()))
-        if local.any():
-            rows.append((-1 - int(ids[0]) % (1 << bits), int(ids[0]), ids[local > 0].tobytes(), b"", local[local > 0].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "ids", "tokens", "refs"])
+_RUN = ["bucket", "chunk", "ids", "tokens", "refs"]
+_RUN_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _run_rows(bucket: int, chunk: int, ids: np.ndarray, tokens: np.ndarray, doc: np.ndarray, top: int, bits: int, last: bool) -> list[tuple]:
+    """Rows of a chunk: its distinct shingles, dealt by the ``bits`` bits after the ``top`` first, and counts of what repeats within it.
+
+    doc: the place in ``ids`` that a shingle is of, or -1 where it is counted already.  In the last dealing 32 bits of a shingle stay.
+    """
+    order = np.argsort(tokens)
+    tokens, doc = tokens[order], doc[order]
+    first, shared = _runs(tokens)
+    local = np.bincount(doc[shared & (doc >= 0)], minlength=len(ids))
+    ref = np.where(shared, -1, doc)[first]
+    tokens = tokens[first]
+    part = (tokens >> np.uint64(64 - top - bits)).astype(np.int64) & ((1 << bits) - 1) if bits else np.zeros(len(tokens), np.int64)
+    edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)).tolist() if len(part) else [0]
+    kept = ((tokens >> np.uint64(32 - top - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if last else tokens
+    at, rows = np.zeros(len(ids), np.int64), []
+    for a, b in itertools.pairwise(edge):
+        r = ref[a:b]
+        used = np.unique(r[r >= 0])
+        kind = np.uint16 if len(used) < COUNTED else np.uint32
+        at[used] = np.arange(len(used))
+        refs = np.where(r >= 0, at[np.maximum(r, 0)], np.iinfo(kind).max).astype(kind)
+        rows.append((bucket << bits | int(part[a]), chunk, ids[used].tobytes(), kept[a:b].tobytes(), refs.tobytes()))
+    if local.any():
+        rows.append((-1 - chunk % (1 << DEAL), chunk, ids[local > 0].tobytes(), b"", local[local > 0].astype(np.uint32).tobytes()))
+    return rows
+
+
+def _packer(bits: int, last: bool):
+    """Chunks of whole sets, dealt by the first ``bits`` bits."""
+
+    def pack(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
+        rows = _run_rows(0, ids[0], np.array(ids, np.int64), np.concatenate(sets), doc, 0, bits, last)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RUN_TYPES, strict=True)], _RUN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, total = [], [], 0
@@ -119,14 +139,53 @@ def _packer(bits: int):
                     sets.append(s)
                     total += len(s)
                     if total >= CHUNK or len(ids) >= 65_000:
-                        yield pack(np.array(ids, np.int64), sets)
+                        yield pack(ids, sets)
                         ids, sets, total = [], [], 0
         if ids:
-            yield pack(np.array(ids, np.int64), sets)
+            yield pack(ids, sets)
 
     return run
 
 
+def _refs(refs: bytes, n: int) -> np.ndarray:
+    """Places of n shingles among a run's ids, -1 for those counted already."""
+    kind = np.uint16 if len(refs) == 2 * n else np.uint32
+    raw = np.frombuffer(refs, kind)
+    return np.where(raw == np.iinfo(kind).max, -1, raw.astype(np.int64))
+
+
+def _redealt(top: int, bits: int, last: bool):
+    """Runs of one bucket, from many chunks, made one chunk and dealt by the next bits."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        release()
+        bucket, part = key[0].as_py(), key[1].as_py()
+        if bucket < 0:  # counts
+            return table.select(_RUN)
+        ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
+        tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        doc = [_refs(r, len(t)) for r, t in zip(table.column("refs").to_pylist(), tokens, strict=True)]
+        base = np.cumsum([0, *map(len, ids)])
+        doc = np.concatenate([np.where(d >= 0, d + o, -1) for d, o in zip(doc, base, strict=False)])
+        rows = _run_rows(bucket, bucket << 20 | part, np.concatenate(ids), np.concatenate(tokens), doc, top, bits, last)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RUN_TYPES, strict=True)], _RUN)
+
+    return run
+
+
+def _dealt(heads: DataFrame, total: int) -> DataFrame:
+    """Packed runs of all sets, by buckets of about BUCKET shingles."""
+    bits, schema = max(0, math.ceil(math.log2(max(1, total / BUCKET)))), "bucket long, chunk long, ids binary, tokens binary, refs binary"
+    top = min(bits, DEAL)
+    runs = heads.mapInArrow(_packer(top, bits == top), schema)
+    while top < bits:  # never more than twice: 2^24 buckets are enough for 100 TB
+        more = min(bits - top, DEAL)
+        parts = max(1, math.ceil(total / (1 << top) / CHUNK))
+        runs = runs.withColumn("part", F.expr(f"pmod(xxhash64(chunk), {parts})")).groupBy("bucket", "part").applyInArrow(_redealt(top, more, top + more == bits), schema)
+        top += more
+    return runs
+
+
 def _shared_counts(table: pa.Table) -> pa.Table:
     """Of one bucket: to each chunk how many of a document's shingles another chunk or document has, packed."""
     release()
@@ -140,8 +199,8 @@ def _shared_counts(table: pa.Table) -> pa.Table:
         if not len(toks):  # counted within its chunk
             rows.append((chunk, ids, refs))
             continue
-        refs = np.frombuffer(refs, np.uint16)
-        count = np.bincount(refs[shared[a : a + len(refs)] & (refs != COUNTED)], minlength=1)
+        refs = _refs(refs, len(toks))
+        count = np.bincount(refs[shared[a : a + len(refs)] & (refs >= 0)], minlength=1)
         a += len(refs)
         some = np.flatnonzero(count)
         if len(some):
@@ -195,8 +254,12 @@ def _prefixes(left: pa.Table, right: pa.Table) -> pa.Table:
     release()
     rows: list[tuple] = []
     if right.num_rows:
-        known = np.concatenate([np.frombuffer(t, np.uint64) for t in right.column("tokens").to_pylist()])
-        dfs = np.concatenate([np.frombuffer(t, np.int64) for t in right.column("dfs").to_pylist()])
+        if pa.types.is_binary(right.schema.field("tokens").type):
+            known = np.concatenate([np.frombuffer(t, np.uint64) for t in right.column("tokens").to_pylist()])
+            dfs = np.concatenate([np.frombuffer(t, np.int64) for t in right.column("dfs").to_pylist()])
+        else:
+            known, dfs = (_flat(right.column(c))[0] for c in ("tokens", "dfs"))
+            dfs = dfs.view(np.int64)
         order = np.argsort(known)
         known, dfs = known[order], dfs[order]
         flat, sizes = _flat(left.column("tokens"))
@@ -325,34 +388,59 @@ def _classes(members: DataFrame, sets: DataFrame, parities: DataFrame) -> DataFr
     return labels
 
 
+def _shared_frequencies(dealt: DataFrame, size: int) -> DataFrame:
+    """To each chunk those of its shingles that two nodes or more have (tokens), with the number of nodes (dfs)."""
+    bits = max(0, math.ceil(math.log2(max(1, size / BUCKET))))
+    if bits <= DEAL:
+        counts = dealt.groupBy("chunk").applyInArrow(_chunk_counts(bits), "bucket long, chunk long, tokens binary, counts binary")
+        return counts.groupBy("bucket").applyInArrow(_frequencies, "chunk long, tokens binary, dfs binary")
+    # runs would be short: single shingles are shuffled, counted before they are
+    each = dealt.select("chunk", F.explode("tokens").alias("t")).groupBy("chunk", "t").agg(F.count("*").alias("c"))
+    df = each.groupBy("t").agg(F.sum("c").alias("df")).filter("df > 1")
+    return each.join(df, "t").groupBy("chunk").agg(F.collect_list("t").alias("tokens"), F.collect_list("df").alias("dfs"))
+
+
+def _of_one_document(info: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Edges (a, b) between the representatives of the texts of one doc_id."""
+    reps = join_ids(info.filter("n_shingles > 0"), repeated, "left_semi").join(nodes, "sig").select("doc_id", "rep").distinct()
+    least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(least, "doc_id").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    info = saved(texts.mapInArrow(_described, "doc_id long, n_shingles long, sig binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
+    info = saved(texts.mapInArrow(_described, "doc_id long, own long, n_shingles long, sig binary"), "sets")
     spark = docs.sparkSession
     # Written first, so that joins on ``sig`` shuffle both sides and AQE can split the copies of one set.
     nodes = saved(info.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "nodes")
-    classes = nodes.groupBy("rep").agg(F.max("n").alias("n"))
-    copies = saved(info.filter("n_shingles > 0").join(nodes, "sig").filter("doc_id != rep").select("doc_id"), "copies")
+    classes = nodes.groupBy("rep").agg(F.min("n").alias("n"))
+    copies = saved(info.filter("n_shingles > 0").join(nodes, "sig").filter("doc_id != rep").select("doc_id", "own"), "copies")
+    repeated = saved(info.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
     total = info.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, total / BUCKET))))
-    heads = join_ids(texts, copies, "left_anti")
-    shared = heads.mapInArrow(_packer(bits), "bucket long, chunk long, ids binary, tokens binary, refs binary").groupBy("bucket").applyInArrow(_shared_counts, "chunk long, ids binary, counts binary")
+    heads = join_ids(texts, copies, "left_anti", ["doc_id", "own"])
+    if again := not repeated.isEmpty():
+        heads = heads.dropDuplicates(["doc_id", "own"])
+    heads = heads.select("doc_id", "text")
+    shared = _dealt(heads, total).groupBy("bucket").applyInArrow(_shared_counts, "chunk long, ids binary, counts binary")
     shared = shared.groupBy("chunk").applyInArrow(_per_document, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
     alive = saved(shared.join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").filter("4 * shared >= 3 * n"), "alive")
     labels = None
     if not alive.isEmpty():
         size = alive.agg(F.sum("n")).first()[0]
-        chunks, bits = max(1, math.ceil(size / BUCKET)), max(0, math.ceil(math.log2(max(1, size / BUCKET))))
+        chunks = max(1, math.ceil(size / BUCKET))
         sets = saved(join_ids(heads, alive, "left_semi").mapInArrow(_with_tokens, "doc_id long, n long, tokens array<long>").filter("n > 0"), "tokens", "none")
         dealt = sets.withColumn("chunk", F.expr(f"pmod(xxhash64(doc_id), {chunks})")).select("doc_id", "tokens", "chunk")
-        counts = dealt.groupBy("chunk").applyInArrow(_chunk_counts(bits), "bucket long, chunk long, tokens binary, counts binary")
-        counts = counts.groupBy("bucket").applyInArrow(_frequencies, "chunk long, tokens binary, dfs binary")
+        counts = _shared_frequencies(dealt, size)
         prefix = saved(dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_prefixes, "doc_id long, n long, shared long, tokens array<long>, dfs array<long>, parity array<long>"), "prefix")
         light, heavy, _ = light_and_heavy(prefix)
         keys = light.unionByName(heavy)
         lists = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("heavy").alias("heavy")).filter("lo != hi and heavy").select("key")
         labels = _classes(saved(keys.drop("heavy").join(lists, "key").distinct(), "lists"), sets, prefix.select(F.col("doc_id").alias("doc"), "parity"))
+    if again:
+        edges = saved(_of_one_document(info, nodes, repeated), "own-edges")
+        if not edges.isEmpty():
+            labels = components(edges if labels is None else edges.union(labels.select("node", "label")))
     out = info.join(nodes.select("sig", "rep"), "sig", "left")
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")

@@ -152,6 +152,27 @@ def test_jaccard_open_pairs_in_blocks(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("deal", [1, 3])
+def test_jaccard_dealt_more_than_once(spark, monkeypatch, deal):
+    """Buckets of few shingles, so that runs are dealt two and more times, and frequencies are counted by single shingles."""
+    monkeypatch.setattr(ngram_join, "DEAL", deal)
+    monkeypatch.setattr(ngram_join, "BUCKET", 2000)
+    monkeypatch.setattr(ngram_join, "CHUNK", 1500)
+    rows = odd_documents()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_jaccard_rows_of_one_document(spark):
+    """A doc_id with two texts has the links of both; one of them is a copy of a smaller document's."""
+    a, b, c = (" ".join(words(60, 40 + k)) for k in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (2, b), (2, near(a) + " x"), (3, c), (4, b), (5, near(c)), (5, near(b)), (5, near(b)), (6, "alone and by itself it stands"), (6, None), (7, near(a)), (8, None), (8, None)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    size = lambda t: brute_classes([(0, t)])[0][0]
+    assert got == sorted((i, size(t), 1 if i in (1, 2, 3, 4, 5, 7) else i) for i, t in rows)
+
+
 def test_jaccard_empty(none):
     assert ngram_join.jaccard_classes(none).count() == 0
 
@@ -480,6 +501,155 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+REPEATED = [(1, "a b c d e f mail@x.org"), (1, "a b c d e f mail@x.org"), (1, "quite another text of ten words or so it seems"), (2, "a b c d e f mail@x.org"), (3, None), (3, ""), (3, None)]
+
+
+def test_rows_that_repeat_a_document(spark):
+    """Each operator's promise about rows that repeat a doc_id, with equal and with other texts."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCAB)
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in REPEATED], "doc_id long, text string, lang string, source string").repartition(2)
+    shards = sharding.shuffled_shards(docs, 2).toPandas()
+    assert len(shards) == 7 and sorted(shards.groupby("shard").size()) == [3, 4] and all(sorted(g.slot) == list(range(len(g))) for _, g in shards.groupby("shard"))
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    assert sorted(r["n_tokens"] for r in bpe.round_trip(docs, VOCAB).collect()) == sorted(len(ids(t)) for _, t in REPEATED)
+    want = sorted((i, np.array(ids(t) + [2], np.uint16).tobytes()) for i, t in REPEATED)
+    start = np.cumsum([0, *(len(x) // 2 for _, x in want)])
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in token_output.token_files(docs, VOCAB).collect()) == sorted((i, int(a), len(x) // 2) for (i, x), a in zip(want, start, strict=False))
+    items = spark.createDataFrame([(9, "quite another text of ten words or so it")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["contaminated"]) for r in decontaminate.contamination(docs, items).collect()) == [(1, 9, False), (1, 10, True), (2, 9, False), (3, 0, False)]
+    assert sorted((r["doc_id"], len(r["base"])) for r in pii.personal_data(docs).collect()) == [(1, 0), (1, 1), (2, 1), (3, 0)]
+    assert quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 7
+    assert langid.document_languages(docs).count() == 7 and line_dedup.without_boilerplate(docs).count() == 7
+    kept = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.copies(docs).collect())
+    assert kept == [(1, 1, 1, True), (1, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (3, 3, 3, True), (3, 3, 3, True), (3, 3, 3, True)]
+
+
+def test_copies_of_equal_digests(spark):
+    """Different texts of one digest: content decides."""
+    def digest(docs):
+        text = F.coalesce("text", F.lit(""))
+        return docs.select("doc_id", text.alias("text"), F.substring(text, 1, 1).alias("text_sha256"), F.lit(0).alias("text_xxh"), F.lit(0).alias("text_len"))
+
+    rows = [(1, "ax"), (2, "ay"), (3, "ax"), (4, "b"), (5, "c"), (6, "b"), (7, "ay"), (8, "ax")]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.copies(spark.createDataFrame(rows, "doc_id long, text string"), digest=digest).collect()}
+    assert got == {1: (8, 3, False), 2: (7, 2, False), 3: (8, 3, False), 4: (6, 2, False), 5: (5, 1, True), 6: (6, 2, True), 7: (7, 2, True), 8: (8, 3, True)}
+
+
+def test_very_long_texts(spark):
+    """Texts of 10 MB and more, of words, of lines and without a space, whole through every operator."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(6)
+    vocabulary = [f"w{r.randrange(10**6)}" for _ in range(30000)]
+    long = " ".join(r.choice(vocabulary) for _ in range(1_400_000))
+    assert len(long) > 10_000_000
+    tail = " and at the very end mail@example.org"
+    texts = [long + tail, "short text", "x" * 300_000, "\n".join(f"line {i}" for i in range(200_000))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(2)
+    library = Tokenizer.from_file(VOCAB)
+    n = {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(docs, VOCAB).collect()}
+    assert n[1] == 2 and n[0] == len(library.encode(texts[0], add_special_tokens=False).ids) and {r["doc_id"]: r["n_tokens"] - 1 for r in token_output.token_files(docs, VOCAB).collect()} == n
+    w = texts[0].split()
+    got = {r["doc_id"]: r["n_shingles"] for r in ngram_join.jaccard_classes(docs).collect()}
+    assert got[0] == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) and got[2] == 1
+    items = spark.createDataFrame([(1, " ".join(w[-12:]))], "item_id long, text string")
+    hit = {r["doc_id"]: r["n_hit"] for r in decontaminate.contamination(docs, items).collect()}
+    assert hit == {0: 14, 1: 0, 2: 0, 3: 0}
+    found = {r["doc_id"]: [tuple(x)[::2] for x in r["base"]] for r in pii.personal_data(docs).collect()}
+    assert found[0] == [(len(texts[0]) - len("mail@example.org"), len(texts[0]))]
+    assert exact_dedup.copies(docs).filter("kept").count() == 4 and sharding.shuffled_shards(docs, 2).agg(F.sum("size")).first()[0] == sum(len(t) + 8 for t in texts)
+    assert langid.document_languages(docs).count() == 4 and quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 4
+    assert {r["doc_id"]: r["n_lines"] for r in line_dedup.without_boilerplate(docs).collect()} == {0: 1, 1: 1, 2: 1, 3: 200_000}
+
+
+def test_additive_model_equals_plain_python():
+    """Scores are the base, one table entry a feature and one a chosen pair; a pair lets the model learn what no single feature tells."""
+    r = np.random.default_rng(1)
+    x = r.integers(0, 8, (600, 3)).astype(float)
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 3)).astype(float)
+    m = quality.AdditiveModel(x, y)
+
+    def bin_of(edges, v):
+        return sum(v >= e for e in edges)
+
+    for row, got in zip(x[:50], m.scores(x[:50]), strict=True):
+        f = m.base + sum(m.tables[j][bin_of(m.edges[j], row[j])] for j in range(3))
+        f += sum(t[bin_of(m.coarse[i], row[i]) * quality.PAIR_BINS + bin_of(m.coarse[j], row[j])] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
+        assert got == pytest.approx(1 / (1 + np.exp(-f)))
+    assert m.pairs[0] in ((0, 1), (1, 0)) and ((m.scores(x) >= 0.5) == y).mean() > 0.95
+    assert ((quality.AdditiveModel(x, y, pairs=0).scores(x) >= 0.5) == y).mean() < 0.8
+
+
+def test_quality_features_equal_plain_python():
+    texts = ["The cat, the cat!\nThe cat, the cat!\n\nA | b 12", "", "é Ü one two three four one two three"]
+    arr = [t.encode() for t in texts]
+    raw, off = np.frombuffer(b"".join(arr), np.uint8), np.cumsum([0, *map(len, arr)])
+    names = quality.FEATURES
+    for t, b, row in zip(texts, arr, quality.features(raw, off), strict=True):
+        f = dict(zip(names, row, strict=True))
+        n, w = max(len(b), 1), re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        lines = t.split("\n")
+        assert f["log_bytes"] == pytest.approx(np.log1p(len(b))) and f["digit"] == pytest.approx(sum(c.isdigit() for c in t) / n) and f["pipe"] == pytest.approx(t.count("|") / n)
+        assert f["log_words"] == pytest.approx(np.log1p(len(w))) and f["distinct_words"] == pytest.approx(len(set(w)) / len(w) if w else 0)
+        assert f["longest_line"] == pytest.approx(max((len(x.encode()) + 1 for x in lines), default=0) / n, abs=1.5 / n)
+
+
+def test_posterior_equals_plain_python(spark):
+    """Text likelihood (tempered), hierarchical host priors, markup and address suffix: the posterior by hand."""
+    train = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "the house", "en")], "doc_id long, text string, lang string")
+    langs, table = langid.fit(train)
+    rows = [(1, "the cat", "a.x.com", "x.com", None, None), (2, "le chat", "a.x.com", "x.com", "fr-FR", "fr"), (3, "a", "b.x.com", "x.com", None, "uk"), (4, "qqq zzz the", "c.y.org", "y.org", "en", None), (5, "", "a.x.com", "x.com", None, None), (6, "the dog " * 100, None, None, "xx", "zz")]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, host string, domain string, declared string, suffix string"), (langs, table)).collect()}
+    classes = [*langs, "und"]
+
+    def ll(text):
+        b = np.frombuffer(text.encode(), np.uint8)
+        code, _ = langid._trigrams(b, np.array([0, len(b)]))
+        scale = min(1.0, langid.EVIDENCE / max(len(code), 1))
+        return np.array([*(sum(t[c] for c in code) * scale for t in table), -np.log(langid.BUCKETS) * len(code) * scale]), len(code)
+
+    lls = {r[0]: ll(r[1]) for r in rows}
+    votes = collections.defaultdict(lambda: np.zeros(3))
+    for i, _, host, domain, *_ in rows:
+        if lls[i][1]:
+            votes[domain or "", host or ""][int(np.argmax(lls[i][0]))] += 1
+    domains = collections.defaultdict(lambda: np.zeros(3))
+    for (d, _), v in votes.items():
+        domains[d] += v
+    base = sum(domains.values()) + 1.0
+    base = np.append(base[:2] / base[:2].sum() * (1 - langid.UND_PRIOR), langid.UND_PRIOR)
+    smooth = lambda v, p: (v + langid.STRENGTH * p) / (v.sum() + langid.STRENGTH)
+    hint = lambda name, weight: np.log([weight if c == name else (1 - weight) / 2 for c in classes]) if name in langs else np.zeros(3)
+    for i, text, host, domain, declared, suffix in rows:
+        key = (domain or "", host or "")
+        prior = smooth(votes[key], smooth(domains[key[0]], base)) if key in votes else base
+        log = lls[i][0] + np.log(prior) + hint((declared or "").split("-")[0], langid.DECLARED) + hint(langid.SUFFIXES.get(suffix), langid.SUFFIX)
+        p = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        if not text and not declared:
+            assert got[i]["rejected"] and got[i]["probability"] == 0.0
+        else:
+            assert got[i]["lang"] == classes[int(p.argmax())] and got[i]["probability"] == pytest.approx(p.max(), abs=2e-6)
+
+
+def test_pipeline_tells_documents_by_text(spark, tmp_path):
+    """A doc_id with two texts: each is decided by itself."""
+    import corpus_pipeline
+
+    a, b, leak = (" ".join(words(40, 60 + k)) for k in range(3))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, b), (2, a), (3, leak), (3, "quite clean words here"), (4, near), (4, near), (5, "1234 5678"), (5, "the words of a text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = lambda d: sorted((r["doc_id"], r["text"]) for r in d.collect())
+    assert kept(corpus_pipeline.exact_duplicates(spark, docs, SF)) == sorted({x for x in rows if x != (1, a)})
+    left = kept(corpus_pipeline.near_duplicates(spark, docs, SF))
+    assert (1, a) in left and (1, b) in left and not {(2, a), (4, near)} & set(left) and {x for x in rows if x[0] in (3, 5)} <= set(left)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert kept(corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path))) == sorted(x for x in rows if x != (3, leak))
+    assert (5, "1234 5678") not in kept(corpus_pipeline.language(spark, docs, SF)) and (5, "the words of a text") in kept(corpus_pipeline.language(spark, docs, SF))
+
+
 _seen = {}
 
 
