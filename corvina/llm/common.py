@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch  # operators take it from here
+from ..session import drop_at_exit, scratch  # operators take both from here
 
 #: An id set of at most this many rows (about 50 bytes each once hashed) may be broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -34,10 +34,11 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors, and goes with the driver."""
     path = scratch(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.option("compression", codec).parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

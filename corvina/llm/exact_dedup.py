@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, saved
+from .common import saved
 
 SALTS = 16
+#: Digests that may be broadcast (about 200 bytes each once hashed).
+BROADCAST = 250_000
 DIGESTS = ["text_sha256", "text_xxh", "text_len"]
 
 
@@ -30,7 +32,7 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 def _small(rows: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(rows) if count <= BROADCAST_IDS else rows
+    return F.broadcast(rows) if count <= BROADCAST else rows
 
 
 def combined(rows: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -54,6 +56,7 @@ def copies(docs: DataFrame, salts: int = SALTS, digest=digested) -> DataFrame:
     if several.isEmpty():
         out = found.select(*columns)
     else:
-        apart = rows.join(F.broadcast(several), DIGESTS, "left_semi").join(winners.join(F.broadcast(several), DIGESTS, "left_semi"), [*DIGESTS, "text"])
-        out = found.join(F.broadcast(several), DIGESTS, "left_anti").select(*columns).unionByName(apart.select("doc_id", "keep_id", "group_size", "text_sha256", "text_xxh"))
+        several = _small(several, several.count())
+        apart = rows.join(several, DIGESTS, "left_semi").join(winners.join(several, DIGESTS, "left_semi"), [*DIGESTS, "text"])
+        out = found.join(several, DIGESTS, "left_anti").select(*columns).unionByName(apart.select("doc_id", "keep_id", "group_size", "text_sha256", "text_xxh"))
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "text_xxh")

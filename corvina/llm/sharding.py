@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch
+from .common import drop_at_exit, scratch
 
 BUCKET_BYTES, BUCKETS, PARTITIONS = 16 << 20, 400_000, 50_000
 
@@ -69,7 +69,9 @@ def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 42, bucket
 
 def shuffled_shards(docs: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     """``write_shards`` to the shared folder, and per document where it went."""
-    files = write_shards(docs, scratch(docs.sparkSession, "shards"), shards, seed)
+    path = scratch(docs.sparkSession, "shards")
+    files = write_shards(docs, path, shards, seed)
+    drop_at_exit(docs.sparkSession, path)
     return files.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),

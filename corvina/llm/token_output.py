@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import huffman
 from .bpe import WordBpe, text_runs, vocabulary, worker_bpe
-from .common import partitions, saved, scratch, small_batches
+from .common import drop_at_exit, partitions, saved, scratch, small_batches
 
 #: Ids to a block; a longer document is a block of its own.
 BLOCK = 1 << 18
@@ -171,4 +171,5 @@ def token_files(docs: DataFrame, vocabulary_path: str, end: int = 2) -> DataFram
     """Writes ``docs`` to token files in the shared folder and reads them back."""
     path = scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, vocabulary_path, end)
+    drop_at_exit(docs.sparkSession, path)
     return read_tokens(docs.sparkSession, path)
