@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import bpe, decontaminate, exact_dedup, langid, ngram_join
-from corvina.llm.common import BROADCAST_IDS, saved, scratch
+from corvina.llm.common import BROADCAST_IDS, drop_at_exit, saved, scratch
 from corvina.llm.queries import vocabulary_path
 
 KEY = ["doc_id", "text_xxh"]
@@ -86,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_at_exit(spark, path)
         docs = spark.read.parquet(path)
     return docs

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..lexicons import load
 from ..operators import curate
-from ..session import scratch
+from ..session import scratch_folder
 from ..sources import readers, sinks
 from . import query, table
 from .grams import COUNTED, counted
@@ -28,7 +28,7 @@ def _folder(name: str) -> Path:
 @query("SELECT doc_id, text AS response FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT -1, (count(*))::VARCHAR FROM documents WHERE doc_id % 7 = 0")
 def jsonl_scan(spark, sf_dir):
     """JSON lines, every seventh broken; the number of broken ones is a row of its own."""
-    path = scratch(spark, "lines")
+    path = scratch_folder(spark, "lines")
     d = table(spark, sf_dir, "documents")
     line = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("response")))
     sinks.append_json(d.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.col("text").alias("response")), path)
@@ -40,7 +40,7 @@ def jsonl_scan(spark, sf_dir):
 @query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
 def text_corpus(spark, sf_dir):
     """A folder of text files, one for each language and task, read whole."""
-    path = scratch(spark, "corpus")
+    path = scratch_folder(spark, "corpus")
     table(spark, sf_dir, "documents").select("lang", F.concat(F.base64(F.encode("text", "UTF-8")), F.lit(";")).alias("value")).write.partitionBy("lang").text(path)
     rows = readers.text_corpus(spark, path).select(F.regexp_extract("path", "/lang=([a-z]+)/", 1).alias("lang"), F.explode(F.split("text", ";")).alias("b"))
     rows = rows.withColumn("b", F.regexp_replace("b", r"\s", "")).filter("b <> ''")
@@ -50,7 +50,7 @@ def text_corpus(spark, sf_dir):
 @query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'medical' WHEN doc_id % 3 = 1 THEN 'code' ELSE 'code' END AS collection, count(*) AS n FROM documents WHERE doc_id % 50 = 0 GROUP BY 1")
 def knowledge_base(spark, sf_dir):
     """Notes of every 50th document in three folders, each note a part of a file."""
-    root = scratch(spark, "kb")
+    root = scratch_folder(spark, "kb")
     d = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id", F.concat_ws("/", F.lit(root), F.when(F.col("doc_id") % 3 == 0, "kine").when(F.col("doc_id") % 3 == 1, "tech").otherwise("misc")).alias("folder"))
     for name in ("kine", "tech", "misc"):
         d.filter(F.col("folder").endswith(name)).select(F.concat(F.lit("# Note "), "doc_id").alias("value")).coalesce(1).write.text(f"{root}/{name}")
@@ -61,7 +61,7 @@ def knowledge_base(spark, sf_dir):
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 7")
 def collection_files(spark, sf_dir):
     """A collection on disk: written, then upserted with deletions, then read by its pointer."""
-    root = scratch(spark, "collection")
+    root = scratch_folder(spark, "collection")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     sinks.write_snapshot(e, root, "1")
     sinks.upsert_collection(spark, root, e.filter("id % 3 = 0 and id % 10 <> 7").withColumn("label", F.col("label") + 100), "2", deleted=e.filter("id % 10 = 7"))
@@ -97,7 +97,7 @@ def ngram_file(spark, sf_dir):
 @query("SELECT doc_id, concat('# ', source, chr(10), chr(10), '**URL** : u', chr(10), '**Category** : ', lang, chr(10), '**Date** : 2024', chr(10), chr(10), 'body ', doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), '- a', chr(10), '- b') ELSE '' END) AS note FROM documents")
 def notes_sink(spark, sf_dir):
     """Notes written as markdown, one record each."""
-    path = scratch(spark, "notes")
+    path = scratch_folder(spark, "notes")
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("title"), F.lit("u").alias("url"), F.col("lang").alias("category"), F.lit("2024").alias("date"), F.concat(F.lit("body "), "doc_id").alias("body"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("bullets"))
     sinks.write_notes(d, path)
     rows = spark.read.option("lineSep", sinks.NOTE_END).text(path).filter("value <> ''")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..session import scratch
+from ..session import scratch_folder
 from ..streaming import monitor
 from . import query, table
 
@@ -15,7 +15,7 @@ def _events(spark, sf_dir):
 
 
 def _run(spark, stream, mode="complete"):
-    return monitor.run_once(stream, scratch(spark, "stream"), scratch(spark, "stream-state"), mode)
+    return monitor.run_once(stream, scratch_folder(spark, "stream"), scratch_folder(spark, "stream-state"), mode)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -36,3 +36,18 @@ def scratch(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has what was written under ``path`` deleted when the driver's JVM ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path within a new folder that goes with the driver."""
+    folder = scratch(spark, name)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    drop_at_exit(spark, folder)
+    return f"{folder}/data"
