@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..lexicons import load
 from ..operators import curate
 from ..session import scratch_folder
+from ..sources import ngram_file as source
 from ..sources import readers, sinks
 from . import query, table
 from .grams import COUNTED, counted
@@ -83,15 +84,16 @@ def sqlite_scan(spark, sf_dir):
 
 @query(f"WITH {COUNTED}, t AS (SELECT ctx, sum(freq) AS total, count(*) AS nexts FROM tab GROUP BY ctx) SELECT count(*) AS contexts, sum(nexts)::BIGINT AS entries, sum(total)::BIGINT AS freq FROM t")
 def ngram_file(spark, sf_dir):
-    """The n-gram table file of all documents: written, verified, and its contexts, entries and frequencies counted from the file."""
+    """The n-gram table file of all documents: written, verified, and its contexts, entries and frequencies counted by the data source."""
     words = lambda c: F.transform(F.split(c, " "), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int"))
     rows = counted(spark, sf_dir).select(words(F.col("ctx")).alias("ctx"), words(F.col("next"))[0].alias("next"), F.col("freq").cast("int").alias("freq"))
     path = str(_folder("ngrams") / "table.bin")
     sinks.write_ngram_file(rows, path, 5)
     if sinks.verify_ngram_file(rows, path):
         raise ValueError("the file does not hold what was written")
-    contexts, entries, freq = sinks.NgramFile(path).totals()
-    return spark.createDataFrame([(contexts, entries, freq)], "contexts long, entries long, freq long")
+    source.register(spark)
+    rows = spark.read.format("ngram_file").load(path)
+    return rows.agg(F.countDistinct("ctx_hash").alias("contexts"), F.count("*").alias("entries"), F.sum("freq").alias("freq"))
 
 
 @query("SELECT doc_id, concat('# ', source, chr(10), chr(10), '**URL** : u', chr(10), '**Category** : ', lang, chr(10), '**Date** : 2024', chr(10), chr(10), 'body ', doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), '- a', chr(10), '- b') ELSE '' END) AS note FROM documents")
@@ -123,6 +125,18 @@ def channel_lookup(spark, sf_dir):
     return readers.resolve_channels(c.filter("c_custkey % 3 = 0").select(F.concat(F.lit("@"), F.lower("c_name")).alias("asked")), catalog).select("asked", "channel_id")
 
 
+@query("SELECT page_id % 3 AS part, count(*) AS n, sum(octet_length(encode(html)))::BIGINT AS bytes FROM pages GROUP BY 1")
+def pdf_files(spark, sf_dir):
+    """Binary files by their suffix: pages written to one file each part, as bytes for an extractor beyond the boundary."""
+    path = _folder("pdf")
+    pages = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 3).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", "html")))["html"], "").alias("body"), F.count("*").alias("n"))
+    for r in pages.toLocalIterator():
+        (path / f"{r['part']}.pdf").write_bytes(r["body"].encode())
+    (path / "0.txt").write_text("not read")
+    files = readers.pdf_files(spark, str(path)).select(F.regexp_extract("path", "([0-9])[.]pdf$", 1).cast("long").alias("part"), F.length("content").cast("long").alias("bytes"))
+    return files.join(pages.select("part", "n"), "part")
+
+
 @query("SELECT 'thing' AS pattern, 2 AS routes, 'other' AS fallback")
 def config_scan(spark, sf_dir):
     """A configuration file read again when it changes, and the lexicon it makes."""

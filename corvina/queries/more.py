@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import boundary
 from ..functions import turns as tn
 from ..operators import monitor, retrieve, stores
-from ..plans import search
+from ..plans import debate, search
 from . import query, table
 from .retrieval import item_queries
 from .scores import PAIRS, pairs
@@ -80,6 +80,28 @@ def model_prompts(spark, sf_dir):
     return rows.select("doc_id", tn.summary(F.col("text"))["title"].alias("title"), tn.step_prompt(F.slice("l", 1, 3)).alias("steps"), tn.debate_prompt(at(0, ""), at(1, "-"), at(2, "-")).alias("debate"))
 
 
+_MODE = "CASE doc_id % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'code' WHEN 2 THEN 'medical' ELSE 'odd' END"
+
+
+def _debate_sql() -> str:
+    """The three passes with the echoing generator, whose answers are the first 200 characters of the prompts."""
+    def told(role: str) -> str:
+        text = " ".join(f"WHEN mode = '{m}' THEN {quoted(getattr(r, role))}" for m, r in debate.MODES.items() if m != "general")
+        text = f"CASE {text} ELSE {quoted(getattr(debate.MODES['general'], role))} END"
+        for said in {"critic": ("advocate", "opponent"), "synthesis": ("advocate", "opponent", "critic")}.get(role, ()):
+            text = f"replace({text}, '{{{said}}}', {said})"
+        return f"concat('answer: ', concat({text}, CASE WHEN length(coalesce(context, '')) > 0 THEN concat(chr(10), chr(10), '--- Context ---', chr(10), context) ELSE '' END, chr(10), chr(10), question)[1:200])"
+
+    return f"""WITH q AS (SELECT doc_id AS key, text AS question, {_MODE} AS mode, CASE WHEN doc_id % 3 = 0 THEN source END AS context FROM documents), a AS (SELECT *, {told('advocate')} AS advocate, {told('opponent')} AS opponent FROM q),
+        c AS (SELECT *, {told('critic')} AS critic FROM a) SELECT key, advocate, opponent, critic, {told('synthesis')} AS synthesis FROM c"""
+
+
+@query(_debate_sql())
+def debate_rounds(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("question"), F.expr(_MODE).alias("mode"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("context"))
+    return debate.debate(rows, boundary.echo_generator).select("key", "advocate", "opponent", "critic", "synthesis")
+
+
 @query("""WITH e AS (SELECT source AS route, text AS input, doc_id % 5 + 1 AS score, doc_id AS ts, doc_id % 2 AS n FROM documents), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY route, input[1:80] ORDER BY n, ts) = 1)
     SELECT route, ts, score FROM f QUALIFY row_number() OVER (PARTITION BY route ORDER BY score DESC, ts DESC) <= 10""")
 def capped_fewshot_store(spark, sf_dir):

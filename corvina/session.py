@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "corvina", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,3 +51,10 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
     drop_at_exit(spark, folder)
     return f"{folder}/data"
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` computed once into the shared folder and read back, for plans that use them several times."""
+    path = scratch_folder(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -75,16 +75,25 @@ def csv_allowed(path: str, roots: list[str]) -> bool:
 
 
 class Config:
-    """A JSON configuration file, read again when it changes."""
+    """A JSON or (where the yaml package is there) YAML configuration file, read again when it changes."""
 
     def __init__(self, path: str):
         self.path, self.seen, self.data = Path(path), -1.0, {}
 
     def get(self) -> dict:
         if self.path.exists() and (now := self.path.stat().st_mtime) > self.seen:
-            self.data, self.seen = json.loads(self.path.read_text()), now
+            self.data, self.seen = self._parsed(self.path.read_text(encoding="utf-8")), now
         return self.data
 
+    def _parsed(self, text: str) -> dict:
+        if self.path.suffix not in (".yaml", ".yml"):
+            return json.loads(text)
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("the yaml package is needed for this file; JSON needs none") from e
+        return yaml.safe_load(text) or {}
+
 
 def not_ingested(urls: DataFrame, known: DataFrame) -> DataFrame:
     return urls.join(known.select("url").distinct(), "url", "left_anti")

@@ -124,12 +124,6 @@ class NgramFile:
             k = (k + 1) % self.size
         return []
 
-    def totals(self) -> tuple[int, int, int]:
-        """Numbers of contexts and of their nexts, and the sum of frequencies."""
-        used = [s for s in SLOT.iter_unpack(self.raw[HEADER.size : HEADER.size + self.size * SLOT.size]) if s[0]]
-        data = HEADER.size + self.size * SLOT.size
-        return len(used), sum(struct.unpack_from("<I", self.raw, data + at)[0] for _, at, _ in used), sum(t for *_, t in used)
-
 
 def verify_ngram_file(table: DataFrame, path: str, sample: int = 100) -> int:
     """Looks up at most ``sample`` contexts (by hash order) and compares their nexts; the number that differ."""

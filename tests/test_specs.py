@@ -173,6 +173,39 @@ def test_json_lines_count_bad_rows(spark, tmp_path):
     assert good.count() == 2 and bad.first()["bad"] == 1
 
 
+def test_configuration_is_read_again(spark, tmp_path):
+    import os
+
+    path = tmp_path / "route.yaml"
+    path.write_text("name: a\nenrich: {rag: true}\n")
+    config = readers.Config(str(path))
+    assert config.get() == {"name": "a", "enrich": {"rag": True}}
+    path.write_text("name: b\n")
+    os.utime(path, (2e9, 2e9))
+    assert config.get() == {"name": "b"}
+
+
+def test_sqlite_refuses_large_files(spark, tmp_path):
+    (tmp_path / "d.db").write_bytes(b"x" * 100)
+    with pytest.raises(ValueError, match="100 bytes"):
+        readers.sqlite_table(spark, str(tmp_path / "d.db"), "t", most=99)
+
+
+def test_ngram_file_source(spark, tmp_path, monkeypatch):
+    from corvina.sources import ngram_file
+
+    monkeypatch.setattr(ngram_file, "SLOTS", 4)
+    table = spark.createDataFrame([([1, 2], 3, 5), ([1, 2], 4, 7), ([2, 3], 9, 1)], "ctx array<int>, next int, freq int")
+    path = str(tmp_path / "t.bin")
+    sinks.write_ngram_file(table, path, 2)
+    ngram_file.register(spark)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    got = {tuple(r) for r in spark.read.format("ngram_file").load(path).collect()}
+    assert got == {(signed(sinks.fnv1a([1, 2])), 3, 5), (signed(sinks.fnv1a([1, 2])), 4, 7), (signed(sinks.fnv1a([2, 3])), 9, 1)}
+    with pytest.raises(ValueError, match="contexts"):
+        sinks.write_ngram_file(table, path, 2, most=1)
+
+
 def test_text_corpus_and_snapshots(spark, tmp_path):
     (tmp_path / "kb/tech").mkdir(parents=True)
     (tmp_path / "kb/tech/a.md").write_text("# A\ntext")
