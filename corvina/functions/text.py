@@ -35,8 +35,11 @@ def normalise(c: Column) -> Column:
 
 
 def tokens(c: Column, lex: Lexicon = DEFAULT) -> Column:
-    """Sorted distinct tokens of two characters or more, without stop words; hyphens stay within them."""
-    flat = F.regexp_replace(strip_accents(normalise(c)), r"[^\p{L}\p{N}_ -]+", " ")
+    """Sorted distinct tokens of two characters or more, without stop words; hyphens stay within them.
+
+    What ``normalise`` changes beyond case lies between tokens, so it is left out.
+    """
+    flat = F.regexp_replace(strip_accents(F.lower(c)), r"[^\p{L}\p{N}_-]+", " ")
     words = F.filter(F.split(flat, " "), lambda w: F.length(w) > 1)
     return F.array_sort(F.array_distinct(F.array_except(words, F.array(*[F.lit(w) for w in lex.stop_words]))))
 
