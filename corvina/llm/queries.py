@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, langid, line_dedup, ngram_join, pii, quality, sharding, token_output
+from . import bpe, centroids, decontaminate, exact_dedup, langid, line_dedup, ngram_join, pii, quality, sharding, token_output, whitening
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -73,9 +73,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.size("every").cast("long").alias("n_spans"), F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("every")).alias("spans"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the contract's long: null where the exact decimal does not fit
+    return whitening.whitening(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 _QUERIES = (
     op1_sharding, op2_ngram_join, op3_bpe, op4_line_dedup, op5_decontamination, op6_quality, op7_language_id, op8_token_output, op9_exact_dedup, op10_personal_data,
-    language_id_pages,
+    op11_centroids, op12_whitening, language_id_pages,
 )
 
 
@@ -85,7 +95,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _lloyd_sql(rounds: int = 3) -> str:
+    """Lloyd's rounds one after the other, each from all vectors."""
+    parts = [
+        """v AS (SELECT row_number() OVER (ORDER BY vec_id, x) AS r, vec_id, x FROM (
+            SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 64)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: coalesce(isfinite(c), false))) = 64))""",
+        "e AS (SELECT r, unnest(range(64)) AS d, unnest(x) AS x FROM v)",
+        "f AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), x) - 1 AS c FROM v ORDER BY c LIMIT 16)",
+        "c0 AS (SELECT c, d, x FROM f JOIN e USING (r))",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"a{k} AS (SELECT r, c, dist FROM (SELECT e.r, m.c, sum((e.x - m.x) * (e.x - m.x)) AS dist FROM e JOIN c{k} m USING (d) GROUP BY e.r, m.c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, c) = 1)")
+        if k < rounds:
+            parts.append(f"s{k} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM a{k} JOIN e USING (r) GROUP BY c, d)")
+            parts.append(f"c{k + 1} AS (SELECT m.c, m.d, CASE WHEN n IS NULL THEN m.x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x FROM c{k} m LEFT JOIN s{k} USING (c, d))")
+    parts.append(f"h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS sha FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, c::INTEGER AS cluster, dist::BIGINT AS distance, (sum(dist) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+        (sum(dist) OVER ())::BIGINT AS inertia, sha AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN h USING (c)"""
+
+
 ORACLE = {
+    "op11_centroids": _lloyd_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
