@@ -322,12 +322,12 @@ def light_and_heavy(prefix: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 FITS = "4 * least({0}n, {1}n) >= 3 * greatest({0}n, {1}n) and 7 * least({0}shared, {1}shared) >= 3 * ({0}n + {1}n)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the exact size of the intersection; ``linked`` where 100 |A and B| >= 75 |A or B|."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Pairs (a, b) with the exact size of the intersection; ``linked`` where 100 |A and B| >= percent * |A or B|."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     out = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
-    return out.withColumn("linked", F.expr("100L * common >= 75 * (na + nb - common)"))
+    return out.withColumn("linked", F.expr(f"100L * common >= {percent} * (na + nb - common)"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def components(edges: DataFrame) -> DataFrame:
 NEAR = "7 * (" + " + ".join(f"bit_count({{0}}parity[{i}] ^ {{1}}parity[{i}])" for i in range(PARITY)) + ") <= {0}n + {1}n"
 
 
-def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame) -> DataFrame:
+def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame, fits: str, near: str) -> DataFrame:
     """Pairs of different classes in one list that could link, by blocks of BLOCK members: each pair of blocks is a join key of its own.
 
     A pair comes from the first list that is among the LEAST first of both its documents; pairs without such come from each list they share.
@@ -359,12 +359,15 @@ def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame) -> DataFr
     dealt = now.join(lists.select("key", F.ceil(F.col("m") / BLOCK).alias("k")), "key").join(parities, "doc").withColumn("part", F.expr("pmod(xxhash64(doc), k)"))
     one = dealt.withColumn("hi", F.explode(F.sequence("part", F.col("k") - 1))).withColumn("lo", F.col("part")).alias("x")
     two = dealt.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part")))).withColumn("hi", F.col("part")).alias("y")
-    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + FITS.format("x.", "y.") + " and " + NEAR.format("x.", "y.") + " and coalesce(array_min(array_intersect(x.least, y.least)), x.key) = x.key")
+    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + fits.format("x.", "y.") + " and " + near.format("x.", "y.") + " and coalesce(array_min(array_intersect(x.least, y.least)), x.key) = x.key")
     return one.join(two, open_).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
-def _classes(members: DataFrame, sets: DataFrame, parities: DataFrame) -> DataFrame | None:
-    """Class labels of the nodes that have a link, from inverted lists (key, doc, n, shared)."""
+def classes(members: DataFrame, parities: DataFrame, verify, fits: str = FITS, near: str = NEAR) -> DataFrame | None:
+    """Class labels of the nodes that have a link, from inverted lists (key, doc, n, shared).
+
+    verify: of pairs (a, b) those that are ``linked``; fits, near: what entries of two linked nodes fulfil, cheap and in bits of ``parities``.
+    """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     tested, labels = links, None
@@ -373,15 +376,15 @@ def _classes(members: DataFrame, sets: DataFrame, parities: DataFrame) -> DataFr
         now = now.withColumn("label", F.col("doc")) if labels is None else now
         lists = now.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc"), "doc", "n", "shared", "label")).alias("p")).filter("lo != hi")
         if turn < PIVOT_ROUNDS:
-            pairs = now.join(lists, "key").filter("label != p.label and " + FITS.format("", "p.")).select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
+            pairs = now.join(lists, "key").filter("label != p.label and " + fits.format("", "p.")).select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
         else:
-            pairs = _open_pairs(now, lists, parities)
+            pairs = _open_pairs(now, lists, parities, fits, near)
         pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn < PIVOT_ROUNDS and not lists.isEmpty():
                 continue
             break
-        done = saved(verified(pairs, sets), "verified")
+        done = saved(verify(pairs), "verified")
         tested = tested.union(pairs)
         links = links.union(done.filter("linked").select("a", "b"))
         labels = None if links.isEmpty() else components(links)
@@ -411,10 +414,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
     info = saved(texts.mapInArrow(_described, "doc_id long, own long, n_shingles long, sig binary"), "sets")
-    spark = docs.sparkSession
     # Written first, so that joins on ``sig`` shuffle both sides and AQE can split the copies of one set.
     nodes = saved(info.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "nodes")
-    classes = nodes.groupBy("rep").agg(F.min("n").alias("n"))
+    sizes = nodes.groupBy("rep").agg(F.min("n").alias("n"))
     copies = saved(info.filter("n_shingles > 0").join(nodes, "sig").filter("doc_id != rep").select("doc_id", "own"), "copies")
     repeated = saved(info.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
     total = info.agg(F.sum("n_shingles")).first()[0] or 0
@@ -424,7 +426,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     heads = heads.select("doc_id", "text")
     shared = _dealt(heads, total).groupBy("bucket").applyInArrow(_shared_counts, "chunk long, ids binary, counts binary")
     shared = shared.groupBy("chunk").applyInArrow(_per_document, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    alive = saved(shared.join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").filter("4 * shared >= 3 * n"), "alive")
+    alive = saved(shared.join(sizes.withColumnRenamed("rep", "doc_id"), "doc_id").filter("4 * shared >= 3 * n"), "alive")
     labels = None
     if not alive.isEmpty():
         size = alive.agg(F.sum("n")).first()[0]
@@ -436,14 +438,19 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         light, heavy, _ = light_and_heavy(prefix)
         keys = light.unionByName(heavy)
         lists = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("heavy").alias("heavy")).filter("lo != hi and heavy").select("key")
-        labels = _classes(saved(keys.drop("heavy").join(lists, "key").distinct(), "lists"), sets, prefix.select(F.col("doc_id").alias("doc"), "parity"))
-    if again:
+        labels = classes(saved(keys.drop("heavy").join(lists, "key").distinct(), "lists"), prefix.select(F.col("doc_id").alias("doc"), "parity"), lambda pairs: verified(pairs, sets))
+    return labelled(info, nodes, labels, repeated if again else None)
+
+
+def labelled(info: DataFrame, nodes: DataFrame, labels: DataFrame | None, repeated: DataFrame | None) -> DataFrame:
+    """doc_id, n_shingles and component_id of the rows of ``info``, by the labels of their nodes and links between the texts of ``repeated`` ids."""
+    if repeated is not None:
         edges = saved(_of_one_document(info, nodes, repeated), "own-edges")
         if not edges.isEmpty():
             labels = components(edges if labels is None else edges.union(labels.select("node", "label")))
-    out = info.join(nodes.select("sig", "rep"), "sig", "left")
+    out = info.select("doc_id", "n_shingles", "sig").join(nodes.select("sig", "rep"), "sig", "left")
     if labels is None:
-        labels = spark.createDataFrame([], "node long, label long")
+        labels = info.sparkSession.createDataFrame([], "node long, label long")
     out = out.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "rep")).alias("component_id"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontaminate, exact_dedup, langid, line_dedup, ngram_join, pii, quality, sharding, token_output, whitening
+from . import bpe, centroids, decontaminate, exact_dedup, langid, line_dedup, ngram_join, pii, quality, setsketch, sharding, token_output, whitening
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -83,9 +83,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_sharding, op2_ngram_join, op3_bpe, op4_line_dedup, op5_decontamination, op6_quality, op7_language_id, op8_token_output, op9_exact_dedup, op10_personal_data,
-    op11_centroids, op12_whitening, language_id_pages,
+    op11_centroids, op12_whitening, op13_setsketch, language_id_pages,
 )
 
 
@@ -95,6 +99,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _jaccard_sql(size: int, percent: int) -> str:
+    """Classes of documents whose sets of shingles of ``size`` words have a similarity of ``percent`` or more, by links followed."""
+    return f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' '))) END AS s FROM words
+        ), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+        ), shared AS (SELECT *, count(*) OVER (PARTITION BY g) AS df FROM flat
+        ), live AS (SELECT doc_id FROM shared GROUP BY doc_id, n HAVING 100 * count(*) FILTER (df > 1) >= {percent} * n
+        ), few AS (SELECT * FROM shared SEMI JOIN live USING (doc_id)
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM few a JOIN few b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+        ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), least_of AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS component_id FROM sets s LEFT JOIN least_of ON a = s.doc_id"""
+
+
 def _lloyd_sql(rounds: int = 3) -> str:
     """Lloyd's rounds one after the other, each from all vectors."""
     parts = [
@@ -121,22 +145,8 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
-    "op2_ngram_join": f"""
-        WITH RECURSIVE words AS (
-            SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
-        ), sets AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
-        ), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
-        ), shared AS (SELECT *, count(*) OVER (PARTITION BY g) AS df FROM flat
-        ), live AS (SELECT doc_id FROM shared GROUP BY doc_id, n HAVING 4 * count(*) FILTER (df > 1) >= 3 * n
-        ), few AS (SELECT * FROM shared SEMI JOIN live USING (doc_id)
-        ), links AS (
-            SELECT a.doc_id AS a, b.doc_id AS b FROM few a JOIN few b ON a.g = b.g AND a.doc_id <> b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
-            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
-        ), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
-        ), least_of AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
-        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c, s.doc_id) AS component_id FROM sets s LEFT JOIN least_of ON a = s.doc_id""",
+    "op2_ngram_join": _jaccard_sql(5, 75),
+    "op13_setsketch": f"SELECT *, doc_id = component_id AS kept FROM ({_jaccard_sql(4, 80)})",
     "op4_line_dedup": """
         WITH lines AS (
             SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
