@@ -19,22 +19,30 @@ def top_k(rows: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-#: Rows of a stated query set that are broadcast at once (64 floats take 0.3 KB, 20 words as much); more take further passes over the data.
-QUERY_BLOCK = 4096
+#: Rows of a stated query set to a block (64 floats take 0.3 KB, 20 words as much), and the blocks that are broadcast together.
+QUERY_BLOCK, BLOCKS = 4096, 32
 
 
-def _blocks(queries: DataFrame, *fields: str) -> list[DataFrame]:
-    """A counted query set as blocks of one row each, an array ``qs`` of at most QUERY_BLOCK (query_id, fields...)."""
+def _blocks(queries: DataFrame, *fields: str) -> tuple[DataFrame, int]:
+    """A counted query set as rows (block, qs): arrays of about half of QUERY_BLOCK (query_id, fields...), and how many blocks there are."""
     n = queries.count()
-    blocks = max(1, -(-2 * n // QUERY_BLOCK)) if n > QUERY_BLOCK else 1  # by hash: half full on average, so that none is too large
-    packed = queries.groupBy(F.expr(f"pmod(xxhash64(query_id), {blocks})").alias("block")).agg(F.collect_list(F.struct("query_id", *fields)).alias("qs"))
-    return [F.broadcast(packed.filter(F.col("block") == b).select("qs")) for b in range(blocks)]
+    blocks = -(-2 * n // QUERY_BLOCK) if n > QUERY_BLOCK else 1  # by hash: half full on average, so that none is too large
+    packed = queries.groupBy(F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block")).agg(F.collect_list(F.struct("query_id", *fields)).alias("qs"))
+    return packed, blocks
 
 
-def _asked(rows: DataFrame, blocks: list[DataFrame], keep: list[str], hits: Column) -> DataFrame:
-    """Rows met by each block of queries in turn: ``keep`` and the fields of the structs that ``hits`` makes of ``qs``."""
-    found = [rows.join(b).select(*keep, hits.alias("hits")).select(*keep, F.inline("hits")) for b in blocks]
-    return reduce(lambda a, b: a.unionByName(b), found)
+def _asked(rows: DataFrame, packed: tuple[DataFrame, int], keep: list[str], hits: Column) -> DataFrame:
+    """Rows met by each block of queries: ``keep`` and the fields of the structs that ``hits`` makes of ``qs``.
+
+    A row is read once for BLOCKS blocks, which it is joined to by their number.
+    """
+    blocks, n = packed
+    found = []
+    for a in range(0, n, BLOCKS):
+        dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(a), F.lit(min(n, a + BLOCKS) - 1))))
+        some = dealt.join(F.broadcast(blocks.filter(F.col("block").between(a, a + BLOCKS - 1))), "block")
+        found.append(some.select(*keep, hits.alias("hits")).select(*keep, F.inline("hits")))
+    return reduce(lambda x, y: x.unionByName(y), found)
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0) -> DataFrame:
@@ -59,7 +67,12 @@ def keyword_hits(queries: DataFrame, docs: DataFrame, k: int, first: int = 4) ->
     counted = f"transform(qs, s -> struct(s.query_id as query_id, if({any_of}, cast(size(filter(s.words, w -> contains(low, w))) as long), 0L) as hits))"
     flat = _asked(docs.select("doc_id", "text"), _blocks(queries, "words"), ["doc_id", "text"], F.expr(f"transform(array(lower(text)), low -> filter({counted}, s -> s.hits > 0))[0]"))
     flat = flat.select("query_id", "doc_id", "hits", F.substring("text", 1, 100).alias("head"))
-    once = flat.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "head").orderBy("doc_id"))).filter("_rn = 1").drop("_rn", "head")
+    return ranked_heads(flat, k)
+
+
+def ranked_heads(hits: DataFrame, k: int) -> DataFrame:
+    """The k documents with most hits of each query; hits: query_id, doc_id, hits, and the ``head`` that copies share."""
+    once = hits.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "head").orderBy("doc_id"))).filter("_rn = 1").drop("_rn", "head")
     return top_k(once, "query_id", k, F.col("hits").desc(), F.col("doc_id"))
 
 

@@ -117,12 +117,17 @@ def csv_hardening(spark, sf_dir):
     return spark.createDataFrame([(n, readers.csv_allowed(str(root / "in" / n), [str(root / "in")])) for n in names], "file string, status boolean")
 
 
-@query("SELECT concat('@', lower(c_name)) AS asked, c_custkey AS channel_id FROM customer WHERE c_custkey % 3 = 0")
+@query("""WITH k AS (SELECT lower(c_name) AS key, c_custkey AS id, 2 * c_custkey AS place FROM customer UNION ALL SELECT concat('c', c_custkey, '-', c_nationkey), c_custkey, 2 * c_custkey + 1 FROM customer),
+    n AS (SELECT unnest([upper(c_name), concat(c_name, ' Official'), concat('see c', c_custkey, '-', c_nationkey, ' and ', lower(c_name)), concat('no ', c_custkey)]) AS asked FROM customer),
+    p AS (SELECT DISTINCT asked, unnest(list_concat(regexp_extract_all(lower(asked), 'customer#[0-9]{9}'), regexp_extract_all(lower(asked), 'c[0-9]+-[0-9]+'))) AS key FROM n)
+    SELECT asked, arg_min(id, place) AS channel_id FROM p JOIN k USING (key) GROUP BY asked""")
 def channel_lookup(spark, sf_dir):
-    """Customers as a catalog of channels, asked for by handle in other letters."""
+    """Customers as a catalog of channels, each asked for by its name in capitals, within longer names, and by a name that holds no key."""
     c = table(spark, sf_dir, "customer")
-    catalog = c.select(F.col("c_custkey").alias("channel_id"), F.concat(F.lit("@"), "c_name").alias("handle"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("slug"))
-    return readers.resolve_channels(c.filter("c_custkey % 3 = 0").select(F.concat(F.lit("@"), F.lower("c_name")).alias("asked")), catalog).select("asked", "channel_id")
+    mark = F.concat(F.lit("c"), "c_custkey", F.lit("-"), "c_nationkey")
+    catalog = c.select(F.col("c_custkey").alias("seq"), F.concat(F.lit("id:"), "c_custkey").alias("channel_id"), F.concat(F.lit("@"), "c_name").alias("handle"), F.lit(None).cast("string").alias("name"), mark.alias("slug"))
+    asked = c.select(F.explode(F.array(F.upper("c_name"), F.concat("c_name", F.lit(" Official")), F.concat(F.lit("see "), mark, F.lit(" and "), F.lower("c_name")), F.concat(F.lit("no "), "c_custkey"))).alias("asked"))
+    return readers.resolve_channels(asked, catalog).select("asked", F.substring("channel_id", 4, 20).cast("long").alias("channel_id"))
 
 
 @query("SELECT page_id % 3 AS part, count(*) AS n, sum(octet_length(encode(html)))::BIGINT AS bytes FROM pages GROUP BY 1")

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import boundary
-from ..operators import cache, retrieve
+from ..operators import cache, grams, retrieve, vector_index
 from ..plans import search
+from ..session import scratch_folder
 from . import query, table
 from .texts import norm_sql, quoted, tokens_sql
 from .words import LEXICON as lx
@@ -26,6 +27,23 @@ def dense_topk(spark, sf_dir):
     return retrieve.dense_top_k(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), 10)
 
 
+@query(f"WITH {DENSE} SELECT query_id, vec_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM dense QUALIFY rank <= 10")
+def ivf_exact_topk(spark, sf_dir):
+    """The inverted-file index in its exact mode."""
+    index = vector_index.build(table(spark, sf_dir, "embeddings"), scratch_folder(spark, "vectors"))
+    return index.search(vector_queries(spark, sf_dir), 10, exact=True)
+
+
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS recalled, true AS every_row, true AS fewer_rows FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_recall(spark, sf_dir):
+    """The inverted-file index with the probes measured when it was built, held against the exact search: whether nine tenths are found, every row is indexed, and less is read (of tables with lists)."""
+    vectors, queries = table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir)
+    index = vector_index.build(vectors, scratch_folder(spark, "vectors"))
+    measured = vector_index.recall(index.search(queries, 10), retrieve.dense_top_k(queries, vectors, 10))
+    whole, few = vectors.count() == index.vectors.count(), index.probes < len(index.centroids) or len(index.centroids) == 1
+    return measured.select(F.lit(queries.count()).cast("long").alias("queries"), "wanted", (F.col("recall") >= 0.9).alias("recalled"), F.lit(whole).alias("every_row"), F.lit(few).alias("fewer_rows"))
+
+
 @query(f"""WITH {DENSE}, c AS (SELECT * FROM dense WHERE sim >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 9),
     s AS (SELECT query_id, c.vec_id, round(CASE WHEN v.label <> q.label THEN sim * 0.7 ELSE sim END, 6) AS score FROM c JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = query_id)
     SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3""")
@@ -60,6 +78,14 @@ def keyword_topk(spark, sf_dir):
     return retrieve.keyword_hits(item_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
 
 
+@query(f"WITH {HITS} SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM o QUALIFY rank <= 10")
+def keyword_index_topk(spark, sf_dir):
+    """The same rows by posting lists of grams."""
+    docs = table(spark, sf_dir, "documents")
+    index = grams.build(docs, scratch_folder(spark, "grams"))
+    return grams.keyword_hits(index, item_queries(spark, sf_dir), docs, 10)
+
+
 @query(f"WITH {KEYWORD} SELECT query_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, doc_id) AS rank FROM kw QUALIFY rank <= 10")
 def keyword_inverted_topk(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words().alias("words"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import grams
+
 TEXT_SUFFIXES = ["txt", "md", "rst", "py", "js", "ts", "java", "c", "cpp", "h", "go", "rs", "rb", "php", "sh", "sql", "html", "css", "json", "yaml", "yml", "toml", "xml", "csv"]
 
 TRAINING_PAIR = "ts string, prompt string, reasoning string, response string, budget_retries int, prompt_hash string"
@@ -100,25 +102,31 @@ def not_ingested(urls: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def channels(catalog: DataFrame) -> DataFrame:
-    """(name, channel_id, priority): every name a channel goes by."""
-    names = F.array(*[F.struct(F.lower(c).alias("name"), F.lit(i).alias("priority")) for i, c in enumerate(("channel_id", "handle", "title", "slug"))])
-    return catalog.select("channel_id", F.inline(names)).filter("name is not null and name <> ''")
-
+    """(key, channel_id, place): every key of a catalog of channels (channel_id, handle, name, slug), in the order in which the catalog has them.
 
-#: Channels that a lookup by part of a title may compare with.
-CATALOG = 100_000
+    A handle counts without its leading signs, handle and name in lower case.  ``place`` is where a key first occurs; of several channels with
+    one key the last has it.  catalog may have ``seq``, its order; else channels are in the order of their ids.
+    """
+    order = "seq" if "seq" in catalog.columns else "channel_id"
+    keys = [F.col("channel_id").cast("string"), F.lower(F.regexp_replace("handle", "^@+", "")), F.lower("name"), F.col("slug")]
+    named = F.array(*[F.struct(F.struct(F.col(order).alias("seq"), F.lit(i).alias("field")).alias("place"), k.alias("key")) for i, k in enumerate(keys)])
+    rows = catalog.select("channel_id", F.inline(named)).filter("key <> ''")
+    return rows.groupBy("key").agg(F.max_by("channel_id", "place").alias("channel_id"), F.min("place").alias("place"))
 
 
 def resolve_channels(asked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The channel of each asked name: by any exact name first, else the first whose title contains it."""
-    exact = asked.withColumn("name", F.lower("asked")).join(channels(catalog), "name").groupBy("asked").agg(F.min_by("channel_id", "priority").alias("channel_id"))
-    rest = asked.join(exact, "asked", "left_anti")
-    # A catalog is a small dimension, which is counted: it is packed into one row, so nothing is crossed.
-    if (n := catalog.count()) > CATALOG:
-        raise ValueError(f"a catalog of {n} channels is too large for lookups by part of a title")
-    packed = catalog.agg(F.array_sort(F.collect_list(F.struct("channel_id", F.lower("title").alias("title")))).alias("all"))
-    near = rest.join(F.broadcast(packed)).select("asked", F.get(F.filter("all", lambda c: F.contains(c["title"], F.lower("asked"))), F.lit(0))["channel_id"].alias("channel_id"))
-    return exact.unionByName(near.filter("channel_id is not null"))
+    """(asked, channel_id) of asked names: of the key that is the name in lower case, else of the first key that is part of it.
+
+    Parts are found by rare grams, so catalogs and names may be of any number.  A name that equals an id as written is that channel.  Nulls
+    and names that hold no key have no row.
+    """
+    keys = channels(catalog)
+    names = asked.select("asked").filter("asked is not null").distinct().withColumn("name", F.lower("asked"))
+    either = names.select("asked", F.inline(F.array(*[F.struct(c.alias("key"), F.lit(i).alias("way")) for i, c in enumerate((F.col("asked"), F.col("name")))])))
+    exact = either.join(keys, "key").groupBy("asked").agg(F.min_by("channel_id", "way").alias("channel_id"))
+    rest = names.join(exact, "asked", "left_anti")
+    parts = grams.contained(rest, keys, "asked", "name", "key").join(keys, "key")
+    return exact.unionByName(parts.groupBy("asked").agg(F.min_by("channel_id", "place").alias("channel_id")))
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
