@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lexicons import DEFAULT, Lexicon
@@ -141,10 +140,42 @@ def certainty(tops: Column, window: int = 32) -> Column:
     return F.when(n == 0, 0.0).otherwise(0.625 * peak + 0.375 * (1 - spread))
 
 
-def step_certainty(top: Column) -> Column:
-    """Of one token, with the entropy scaled by its own largest value."""
-    p = _normal(top)
-    return 0.625 * F.array_max(p) + 0.375 * (1 - _entropy(p) / F.log(F.size(top).cast("double")))
+#: Fixed values of the certainty of a stream: its threshold, tokens to a window, characters of thinking before it counts.
+HALT, STREAM_WINDOW, LEAST_THINKING = 0.55, 5, 100
+
+
+def step_certainty(logprob: Column, top: Column) -> Column:
+    """Of one token: its own probability, and one less the entropy of the ``top`` log probabilities scaled by its largest value; null without any.
+
+    A null ``logprob`` is that of the first of them.
+    """
+    most = F.log(F.size(top).cast("double") + 1e-10)
+    entropy = F.when(most > 0, _entropy(_normal(top)) / most).otherwise(0.0)
+    return F.when(F.size(top) > 0, 0.625 * F.exp(F.coalesce(logprob, F.get(top, F.lit(0)))) + 0.375 * (1 - entropy))
+
+
+def halted_stream(chunks: DataFrame, key: str, seq: str, threshold: float = HALT, window: int = STREAM_WINDOW, least: int = LEAST_THINKING) -> DataFrame:
+    """Of each chunk of an answer (key, seq, reasoning, content, tokens) the ``mean`` certainty of the last tokens and whether thinking is ``halted``.
+
+    tokens: structs (logprob, top).  A chunk with content ends thinking until there is reasoning again; tokens count
+    while thinking, once ``least`` characters were thought; a halt is kept.  ``mean`` is null until ``window`` tokens count.  ``streaming.certainty`` is the same on a stream.
+    """
+    past = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    thinks = F.when(F.length("content") > 0, False).when(F.length("reasoning") > 0, True)
+    rows = chunks.withColumn("_on", F.coalesce(F.last(thinks, ignorenulls=True).over(past), F.lit(False)))
+    rows = rows.withColumn("_chars", F.sum(F.coalesce(F.length("reasoning"), F.lit(0))).over(past))
+    sure = F.filter(F.transform("tokens", lambda t: step_certainty(t["logprob"], t["top"])), lambda x: x.isNotNull())
+    none = F.array().cast("array<double>")
+    rows = rows.withColumn("_c", F.when(F.col("_on") & (F.col("_chars") >= least), F.coalesce(sure, none)).otherwise(none))
+    flat = rows.select(key, seq, F.posexplode_outer("_c").alias("_pos", "_sure"))
+    order = Window.partitionBy(key).orderBy(seq, "_pos")
+    told = flat.filter("_sure is not null").withColumn("_m", F.avg("_sure").over(order.rowsBetween(1 - window, 0))).withColumn("_n", F.count("*").over(order.rowsBetween(1 - window, 0)))
+    told = told.withColumn("_m", F.when(F.col("_n") == window, F.col("_m")))
+    over = F.max(F.col("_m") > threshold).over(order.rowsBetween(Window.unboundedPreceding, -1))  # a halt ends the count
+    told = told.withColumn("_over", over).filter("not coalesce(_over, false)").groupBy(key, seq).agg(F.max_by("_m", "_pos").alias("_m"), F.max(F.col("_m") > threshold).alias("_halt"))
+    rows = rows.join(told, [key, seq], "left")
+    halted = F.coalesce(F.max("_halt").over(past), F.lit(False))
+    return rows.select(key, seq, F.last("_m", ignorenulls=True).over(past).alias("mean"), halted.alias("halted"))
 
 
 def accepts(certain: Column, length: Column, attempt: Column, threshold: float = 0.7) -> Column:
@@ -302,15 +333,20 @@ def with_example(turns: Column, example: Column) -> Column:
 
 
 def edited_lines(c: Column, op: Column, anchor: Column, line: Column) -> Column:
-    """add after the first line with the anchor (or at the end), remove all lines with it, or replace its first occurrence."""
+    """add after the first line with the anchor, remove all lines with it, or replace its first occurrence.
+
+    An empty or null anchor names no line: nothing is removed or replaced by it.  What is added by an anchor that the text lacks goes to the end,
+    in a line of its own after the text without white space at its end.
+    """
+    anchor = F.coalesce(anchor, F.lit(""))
+    held = (anchor != "") & F.contains(c, anchor)
     lines = F.split(c, "\n")
-    marks = F.transform(lines, lambda x: F.contains(x, anchor))
-    first = F.array_position(marks, True).cast("int")
-    at = F.when(first > 0, first).otherwise(F.size(lines))
-    added = F.array_join(F.concat(F.slice(lines, F.lit(1), at), F.array(line), F.slice(lines, at + 1, F.size(lines))), "\n")
-    kept = F.array_join(F.filter(lines, lambda x: ~F.contains(x, anchor)), "\n")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(x, anchor)), True).cast("int")  # 0: the anchor spans lines
+    within = F.when(at == 0, c).otherwise(F.array_join(F.concat(F.slice(lines, F.lit(1), at), F.array(line), F.slice(lines, at + 1, F.size(lines))), "\n"))
+    added = F.when(held, within).otherwise(F.concat(F.rtrim(c, F.lit(" \t\n\r\x0b\x0c")), F.lit("\n"), line, F.lit("\n")))
+    kept = F.when(held, F.array_join(F.filter(lines, lambda x: ~F.contains(x, anchor)), "\n")).otherwise(c)
     where = F.instr(c, anchor)
-    swapped = F.when(where > 0, F.concat(F.substring(c, F.lit(1), where - 1), line, F.substring(c, where + F.length(anchor), F.length(c)))).otherwise(c)
+    swapped = F.when(held, F.concat(F.substring(c, F.lit(1), where - 1), line, F.substring(c, where + F.length(anchor), F.length(c)))).otherwise(c)
     return F.when(op == "add", added).when(op == "remove", kept).when(op == "replace", swapped).otherwise(c)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,9 +51,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+#: The letters that a slug writes without their marks.
+SLUG_LETTERS = ("àáâãèéêëìíîïòóôõùúûüç", "aaaaeeeeiiiioooouuuuc")
+
+
 def slug(c: Column, most: int = 60) -> Column:
-    flat = F.regexp_replace(strip_accents(F.lower(c)), "[^a-z0-9]+", "-")
-    return F.regexp_replace(F.substring(F.regexp_replace(flat, "^-+|-+$", ""), 1, most), "-+$", "")
+    """Lower case; all but a-z and 0-9 is dashes, none at the ends before the cut; of accented letters the SLUG_LETTERS are kept."""
+    flat = F.regexp_replace(F.translate(F.lower(c), *SLUG_LETTERS), "[^a-z0-9]+", "-")
+    return F.substring(F.regexp_replace(flat, "^-+|-+$", ""), 1, most)
 
 
 def language(c: Column, lex: Lexicon = DEFAULT) -> Column:
@@ -113,15 +119,34 @@ def url_class(url: Column, lex: Lexicon = DEFAULT) -> Column:
     return out.otherwise("web")
 
 
+#: Named characters of HTML 4, from the standard library's table.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+#: An entity after its ampersand: a name, a decimal or a hexadecimal number.
+_ENTITY = "(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def unescaped(c: Column) -> Column:
+    """Entities of a text as characters, once; numbers that name no character are U+FFFD, unknown names stay."""
+    pieces = F.split(c, f"&(?={_ENTITY})")
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def char(name: Column) -> Column:
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("int")
+        named = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+        code = F.decode(F.unhex(F.lpad(F.hex(F.when(named, digits).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(name.startswith("#"), code).otherwise(F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name, F.lit(";"))))
+
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.concat(char(F.substring_index(p, ";", 1)), F.substring(p, F.instr(p, F.lit(";")) + 1, F.length(p))))
+    return F.when(F.size(pieces) > 1, F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))).otherwise(c)
+
+
 def main_text(html: Column) -> Column:
-    """Text of a page without script, style, navigation, footer and header parts."""
+    """Text of a page without script, style, navigation, footer and header parts; tags in any case, entities as characters, single spaces."""
     out = html
     for tag in ("script", "style", "nav", "footer", "header"):
-        out = F.regexp_replace(out, f"(?s)<{tag}[^>]*>.*?</{tag}>", " ")
+        out = F.regexp_replace(out, f"(?is)<{tag}(?:[\\s/][^>]*)?>.*?</{tag}\\s*>", " ")
     out = F.regexp_replace(F.regexp_replace(out, "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, "[ \\t\\n\\r]+", " "))
+    return F.trim(F.regexp_replace(unescaped(out), "[ \\t\\n\\r\u00a0]+", " "))
 
 
 def flag(c: Column, pattern: str) -> Column:
@@ -145,7 +170,7 @@ def ioc(c: Column, lex: Lexicon = DEFAULT) -> Column:
     ip = F.regexp_extract(c, "([0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3})", 1)
     told = flag(c, lex.threats)
     digest = F.regexp_extract(F.lower(c), "(?:^|[^0-9a-f])([0-9a-f]{64})(?:[^0-9a-f]|$)", 1)
-    kind = F.when((ip != "") & (told | ~ip.rlike("^(?:127[.]|192[.]168[.]|10[.])")), "ip").when((digest != "") & (told | (F.length(c) < 80)), "hash")
+    kind = F.when((ip != "") & (told | ~ip.rlike("^(?:127[.]|192[.]168[.]|10[.])")), "ip").when((digest != "") & (told | (F.length(F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))) < 80)), "hash")
     return F.struct(kind.alias("kind"), F.when(kind == "ip", ip).when(kind == "hash", digest).alias("value"))
 
 

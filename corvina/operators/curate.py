@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -49,16 +49,23 @@ def unscored(pairs: DataFrame, scores: DataFrame, key: str = "prompt_hash") -> D
 
 
 def near_length_score(pairs: DataFrame, scores: DataFrame, width: int = 5) -> DataFrame:
-    """Scores by key; for misses the first score (by seq) whose prompt_len is within ``width``, found by an equi-join on bands."""
-    exact = scores.groupBy("prompt_hash").agg(F.max_by("score", "seq").alias("score"))
-    known = pairs.join(exact, "prompt_hash", "left")
+    """Scores by hash; for misses those of entries without a hash whose prompt_len is within ``width``, by an equi-join on bands.
+
+    scores: prompt_hash, route, prompt_len, score, seq.  Entries without a hash are one for each (route, prompt_len), in the order in which
+    they first occur and with their last score; the first that is near enough counts.  A missing score is 3.
+    """
+    known = F.coalesce("prompt_hash", F.lit("")) != ""
+    scores = scores.withColumn("score", F.coalesce("score", F.lit(3)))
+    exact = scores.filter(known).groupBy("prompt_hash").agg(F.max_by("score", "seq").alias("score"))
+    rows = pairs.join(exact, "prompt_hash", "left")
     band = width + 1
-    first = scores.groupBy("prompt_len").agg(F.min("seq").alias("seq"), F.min_by("score", "seq").alias("near"))
+    old = scores.filter(~known).groupBy("route", "prompt_len").agg(F.min("seq").alias("seq"), F.max_by("score", "seq").alias("near"))
+    first = old.groupBy("prompt_len").agg(F.min("seq").alias("seq"), F.min_by("near", "seq").alias("near"))
     spread = first.withColumn("band", F.explode(F.expr(f"array(prompt_len div {band} - 1, prompt_len div {band}, prompt_len div {band} + 1)")))
-    missed = known.filter("score is null").select("prompt_len").distinct().withColumn("band", F.expr(f"prompt_len div {band}"))
+    missed = rows.filter("score is null").select("prompt_len").distinct().withColumn("band", F.expr(f"prompt_len div {band}"))
     hits = missed.alias("m").join(spread.alias("s"), F.expr(f"m.band = s.band and abs(m.prompt_len - s.prompt_len) <= {width}"))
     hits = hits.groupBy(F.col("m.prompt_len").alias("prompt_len")).agg(F.min_by("s.near", "s.seq").alias("near"))
-    return known.join(hits, "prompt_len", "left").withColumn("score", F.coalesce("score", "near")).drop("near")
+    return rows.join(hits, "prompt_len", "left").withColumn("score", F.coalesce("score", "near")).drop("near")
 
 
 def first_filled(sources: list[DataFrame], key: str) -> DataFrame:
@@ -72,18 +79,36 @@ def first_filled(sources: list[DataFrame], key: str) -> DataFrame:
 
 
 def decayed(rows: DataFrame, as_of: str, score: str = "score", ts: str = "ts") -> DataFrame:
-    """Drops rows older than 90 days, halves scores (1 at least) older than 30; bad times count as now."""
+    """Drops rows of over 90 days, halves scores (1 at least) of over 30, to the second; bad times count as now."""
     now = F.lit(as_of).cast("timestamp")
-    age = F.datediff(now, F.coalesce(F.col(ts), now))
-    return rows.withColumn("age", age).filter("age <= 90").withColumn(score, F.when(F.col("age") > 30, F.greatest(F.lit(1), F.expr(f"cast({score} as int) div 2"))).otherwise(F.col(score)).cast("long")).drop("age")
+    at = F.coalesce(F.col(ts).cast("timestamp"), now)
+    half = F.greatest(F.lit(1), F.floor(F.col(score).cast("int") / 2))
+    return rows.filter(at >= now - F.expr("interval 90 days")).withColumn(score, F.when(at < now - F.expr("interval 30 days"), half).otherwise(F.col(score)).cast("long"))
 
 
 def filter_counts(rows: DataFrame, **reasons: Column) -> DataFrame:
     """Counts of rows for each reason and of rows without any, in one pass."""
-    bad = None
+    return rows.agg(*_counters(reasons))
+
+
+def _counters(reasons: dict[str, Column]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in reasons.items()], F.count_if(~_any(reasons)).alias("kept")]
+
+
+def _any(reasons: dict[str, Column]) -> Column:
+    bad = F.lit(False)
     for c in reasons.values():
-        bad = c if bad is None else bad | c
-    return rows.agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in reasons.items()], F.count_if(~bad).alias("kept"))
+        bad = bad | F.coalesce(c, F.lit(False))
+    return bad
+
+
+def filtered(rows: DataFrame, **reasons: Column) -> tuple[DataFrame, Observation]:
+    """Rows without any of the reasons, and an observation that has the counts of ``filter_counts`` once an action has read the rows.
+
+    The counts are taken by the pass that filters, so nothing is read twice.  A null reason is none.
+    """
+    seen = Observation()
+    return rows.observe(seen, *_counters(reasons)).filter(~_any(reasons)), seen
 
 
 def hash_split(rows: DataFrame, key: str, tenths: int = 1) -> DataFrame:
@@ -124,10 +149,13 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def capped_union(first: DataFrame, second: DataFrame, cap: int, key: str) -> DataFrame:
-    """Rows of the first source before those of the second, at most ``cap``, in the order of a hash of the key."""
+    """Pairs (question, answer) of two sources, ``priority`` 0 and 1: with a question and an answer of over 50 characters, cut to 500 and 2000.
+
+    Of more than ``cap`` a sample of both together stays: the first in the order of a hash of the key.
+    """
     every = first.withColumn("priority", F.lit(0)).unionByName(second.withColumn("priority", F.lit(1)))
-    every = every.filter("length(question) between 1 and 500 and length(answer) > 50").withColumn("answer", F.substring("answer", 1, 2000))
-    return every.orderBy("priority", F.md5(F.col(key).cast("string")), key).limit(cap)
+    every = every.filter("question <> '' and length(answer) > 50").withColumns({"question": F.substring("question", 1, 500), "answer": F.substring("answer", 1, 2000)})
+    return every.orderBy(F.md5(F.col(key).cast("string")), key, "priority").limit(cap)
 
 
 def listed(rows: DataFrame, key: str, size: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+from . import asof, grams
+
 
 def day_stats(rows: DataFrame, as_of: Column) -> DataFrame:
     """Of the last 24 hours: rows (ts, decision, probe_entropy, probe_ms, total_ms, budget_retries)."""
@@ -32,11 +35,12 @@ def patterns(rows: DataFrame, criteria: list[str], least: int = 2, top: int = 20
 
     Each bears its agent's weakest criterion, the first of least mean (under 5) over all of the agent's rows.
     """
-    keyed = rows.withColumn("key", weakness_key(F.col("weakness"))).filter("key <> ''")
-    # kept smallest ids by a bounded aggregate: a frequent weakness sends few rows of each task
-    g = keyed.groupBy("agent", "key").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    best = g.orderBy(F.col("n").desc(), "agent", "key").limit(top).filter(F.col("n") >= least)
-    near = keyed.join(F.broadcast(best.select("agent", "key")), ["agent", "key"], "left_semi").select("agent", "key", "id")
+    # the key of a text is computed once
+    keyed = written(rows.select("agent", "id", weakness_key(F.col("weakness")).alias("key")).filter("key <> ''"), "keyed")
+    best = keyed.groupBy("agent", "key").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "agent", "key").limit(top).filter(F.col("n") >= least)
+    best = written(best, "best")
+    near = keyed.join(F.broadcast(best.select("agent", "key")), ["agent", "key"], "left_semi").distinct()
+    # planned as a group limit: a frequent weakness sends few rows of each task
     near = near.withColumn("_rn", F.row_number().over(Window.partitionBy("agent", "key").orderBy("id"))).filter(F.col("_rn") <= examples)
     ids = near.groupBy("agent", "key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     means = [F.struct(F.avg(c).alias("mean"), F.lit(i).alias("order"), F.lit(c).alias("name")) for i, c in enumerate(criteria)]
@@ -52,49 +56,28 @@ def low_criteria(rows: DataFrame, criteria: list[str], below: float = 2.5, least
     return flat.groupBy("agent", "criterion").agg(F.count("value").alias("n"), F.round(F.avg("value"), 4).alias("mean")).filter((F.col("n") >= least) & (F.col("mean") < below))
 
 
-def counted_within(asked: DataFrame, facts: DataFrame, key: str, days: int, row: str = "id") -> DataFrame:
-    """``asked`` (row, key, ts) with ``n``: the facts (key, ts) of the key from ``days`` days before ts until ts.
+def gates(proposals: DataFrame, runs: DataFrame, judgements: DataFrame, key: str = "agent", cooldown: str = "1 hour", daily: int = 3, least: int = 10, days: int = 7, reverts: int = 2, head: int = 30) -> DataFrame:
+    """Which proposals (key, pattern, ts, ...) may run, against what had run by then: ``gate`` is run or the first gate that holds it.
 
-    Running counts are taken within a key and day, so a hot key is spread over its days, and added to the sums of whole days.
-    """
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    span = days * 86400.0
-    told = facts.select(key, seconds.alias("t"), F.lit(1).alias("one"), F.lit(0).alias("side"), F.lit(None).cast(asked.schema[row].dataType).alias("row"))
-    # a mark counts what lies up to its time, the mark at the far end only what lies before it
-    ends = asked.select(key, F.inline(F.array(*[F.struct(t.alias("t"), F.lit(0).alias("one"), F.lit(side).alias("side"), F.col(row).alias("row")) for t, side in ((seconds, 1), (seconds - span, -1))])))
-    every = told.unionByName(ends).withColumn("day", F.floor(F.col("t") / 86400))
-    whole = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    before = every.groupBy(key, "day").agg(F.sum("one").alias("d")).withColumn("before", F.coalesce(F.sum("d").over(whole), F.lit(0))).drop("d")
-    inside = Window.partitionBy(key, "day").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # side orders marks at one time: -1 (far end) before facts, facts before 1
-    counts = every.withColumn("c", F.sum("one").over(inside)).filter("row is not null").join(before, [key, "day"])
-    n = counts.groupBy("row").agg(F.sum(F.col("side") * (F.col("before") + F.col("c"))).alias("n"))
-    return asked.join(n.withColumnRenamed("row", row), row)
-
-
-def gates(proposals: DataFrame, runs: DataFrame, judgements: DataFrame, key: str = "agent", cooldown: str = "1 hour", daily: int = 3, least: int = 10, days: int = 7, reverts: int = 2) -> DataFrame:
-    """Which proposals (key, pattern, ts, id) may run, against what has run: ``gate`` is run or the first gate that holds it.
-
-    runs: key, pattern, ts, patched, reverted; judgements: key, ts.  cooldown: since the agent's last run that made a patch;
-    cap: patches of all agents on that day so far; judgements: too few in the last ``days``; blocked: the
-    pattern was reverted too often.
+    runs: key, pattern (a summary), ts, patched, reverted; judgements: key, ts.  cooldown: since the agent's last run that made a patch;
+    cap: patches of all agents on that day so far; judgements: too few in the last ``days``; blocked: so many of the agent's
+    reverts so far name the first ``head`` characters of the pattern in their summary, in any case of ASCII letters.  A proposal without a pattern is not blocked.
     """
-    patched = runs.filter("patched").select(F.col(key).alias("_k"), F.col("ts").alias("_t"))
-    # as-of lookups by day: of an agent's patches on each day the times, and the last of the days before
-    times = patched.groupBy(F.col("_k").alias(key), F.to_date("_t").alias("_day")).agg(F.array_sort(F.collect_list("_t")).alias("_own"))
-    total = patched.groupBy(F.to_date("_t").alias("_day")).agg(F.array_sort(F.collect_list("_t")).alias("_all"))
-    rows = counted_within(proposals, judgements, key, days).withColumn("_day", F.to_date("ts"))
-    latest = rows.select(key, "_day").distinct().join(times.select(key, F.col("_day").alias("_d"), F.array_max("_own").alias("_m")), key).filter("_d < _day").groupBy(key, "_day").agg(F.max("_m").alias("_past"))
-    rows = rows.join(times, [key, "_day"], "left").join(total, "_day", "left").join(latest, [key, "_day"], "left")
-    undone = runs.filter("reverted").groupBy(key, "pattern").agg(F.count("*").alias("_undone"))
-    rows = rows.join(undone, [key, "pattern"], "left")
-    last = F.greatest(F.col("_past"), F.array_max(F.filter("_own", lambda t: t < F.col("ts"))))
-    today = F.when(F.col("_all").isNull(), 0).otherwise(F.size(F.filter("_all", lambda t: t < F.col("ts"))))
+    patched = runs.filter("patched").select(F.col(key), "ts", F.col("ts").alias("_last"))
+    rows = proposals.withColumn("_head", F.lower(F.substring("pattern", 1, head)))
+    rows = asof.last_before(rows, patched, [key], ["_last"])
+    rows = asof.counted(rows, patched, [], F.date_trunc("day", "ts"), at=False, name="_today")
+    rows = asof.counted(rows, judgements, [key], F.col("ts") - F.expr(f"interval {days} days"), name="_judged")
+    undone = runs.filter("reverted").select(F.col(key), "ts", F.lower("pattern").alias("_text"))
+    # which heads lie in which summaries: both are distinct texts, and met by their rare grams
+    told = grams.contained(undone.select("_text").distinct(), rows.select("_head").distinct(), "_text", "_text", "_head")
+    told = told.unionByName(undone.filter("_text is not null").select("_text", F.lit("").alias("_head")).distinct())
+    rows = asof.counted(rows, undone.join(told, "_text"), [key, "_head"], name="_undone")
     gate = (
-        F.when(F.col("ts") < last + F.expr(f"interval {cooldown}"), "cooldown").when(today >= daily, "cap").when(F.col("n") < least, "judgements")
-        .when(F.coalesce("_undone", F.lit(0)) >= reverts, "blocked").otherwise("run")
+        F.when(F.col("ts") < F.col("_last") + F.expr(f"interval {cooldown}"), "cooldown").when(F.col("_today") >= daily, "cap")
+        .when(F.col("_judged") < least, "judgements").when(F.col("_undone") >= reverts, "blocked").otherwise("run")
     )
-    return rows.withColumn("gate", gate).drop("_day", "_own", "_all", "_past", "_undone", "n")
+    return rows.withColumn("gate", gate).drop("_head", "_last", "_today", "_judged", "_undone")
 
 
 def rule_life(rows: DataFrame) -> DataFrame:
@@ -102,7 +85,8 @@ def rule_life(rows: DataFrame) -> DataFrame:
 
 
 def verdict(delta: Column, keep: float = 0.2, revert: float = -0.2) -> Column:
-    return F.when(delta >= keep, "keep").when(delta <= revert, "revert").otherwise("neutral")
+    """A patch is undone below ``revert``, kept from ``keep`` on."""
+    return F.when(delta < revert, "revert").when(delta >= keep, "keep").otherwise("neutral")
 
 
 def before_after(rows: DataFrame, key: str, at: Column, score: str) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lexicons import DEFAULT, Lexicon
 
 
-def capped_store(old: DataFrame, new: DataFrame, cap: int = 10) -> DataFrame:
-    """Of each route the ``cap`` best examples by (score, ts); an input whose first 80 characters are there already stays out."""
+def example(question: Column, answer: Column) -> list[Column]:
+    """Fields of a stored example: input and output cut to 500 and 2000 characters, and as tags the first eight distinct words of over four letters."""
+    words = F.filter(F.split(F.lower(question), "[ \\t\\n\\r]+"), lambda w: F.length(w) > 4)
+    return [F.substring(question, 1, 500).alias("input"), F.substring(answer, 1, 2000).alias("output"), F.slice(F.array_distinct(words), 1, 8).alias("tags")]
+
+
+def capped_store(old: DataFrame, new: DataFrame, cap: int = 10, head: int = 100) -> DataFrame:
+    """Of each route the ``cap`` best examples by (score, ts); an input whose first ``head`` characters, in any case, are there already stays out."""
     every = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    first = Window.partitionBy("route", F.substring("input", 1, 80)).orderBy("_new", "ts")
+    first = Window.partitionBy("route", F.lower(F.substring("input", 1, head))).orderBy("_new", "ts")
     best = Window.partitionBy("route").orderBy(F.col("score").desc(), F.col("ts").desc())
     rows = every.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
     return rows.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= cap).drop("_rn", "_new")

@@ -76,11 +76,15 @@ def unscored_anti(spark, sf_dir):
     return curate.unscored(keyed(spark, sf_dir), scores(spark, sf_dir)).select("seq", "prompt_hash")
 
 
-@query(f"""WITH {SCORES}, {KEYED}, {LAST}, byl AS (SELECT prompt_len AS pl, min(seq) AS s, arg_min(score, seq) AS near FROM scores GROUP BY prompt_len),
-    h AS (SELECT k.prompt_len, arg_min(near, s) AS near FROM (SELECT DISTINCT prompt_len FROM keyed) k JOIN byl ON abs(k.prompt_len - pl) <= 5 GROUP BY k.prompt_len)
+@query(f"""WITH {SCORES}, {KEYED}, {LAST}, old AS (SELECT doc_id % 7 AS route, length(text) AS pl, min(doc_id) AS s, arg_max(1 + doc_id % 5, doc_id) AS near FROM documents WHERE doc_id % 4 = 1 GROUP BY ALL),
+    h AS (SELECT k.prompt_len, arg_min(near, s) AS near FROM (SELECT DISTINCT prompt_len FROM keyed) k JOIN old ON abs(k.prompt_len - pl) <= 5 GROUP BY k.prompt_len)
     SELECT k.seq, coalesce(score, near) AS score FROM keyed k LEFT JOIN last USING (prompt_hash) LEFT JOIN h USING (prompt_len)""")
 def banded_theta_fallback(spark, sf_dir):
-    return curate.near_length_score(keyed(spark, sf_dir), scores(spark, sf_dir)).select("seq", "score")
+    """Scores by hash, else by the length of the prompt among older entries without a hash."""
+    i = F.col("doc_id")
+    old = table(spark, sf_dir, "documents").filter(i % 4 == 1).select(F.lit(None).cast("string").alias("prompt_hash"), i.alias("seq"), (1 + i % 5).alias("score"), F.length("text").alias("prompt_len"), (i % 7).cast("string").alias("route"))
+    every = scores(spark, sf_dir).withColumn("route", F.lit("r")).unionByName(old)
+    return curate.near_length_score(keyed(spark, sf_dir).drop("route"), every).select("seq", "score")
 
 
 @query("""WITH s AS (SELECT source AS k, 0 AS o, doc_id AS v FROM documents WHERE lang = 'es' AND doc_id % 50 = 0 UNION ALL SELECT source, 1, doc_id FROM documents WHERE lang = 'fr' AND doc_id % 10 = 0 UNION ALL SELECT source, 2, doc_id FROM documents WHERE doc_id % 100 = 1)
@@ -91,8 +95,8 @@ def first_nonempty_source(spark, sf_dir):
     return curate.first_filled([x.select("k", "v") for x in some], "k")
 
 
-@query(f"""SELECT event_id, CASE WHEN date_diff('day', ts::DATE, DATE '2024-03-15') > 30 THEN greatest(1, (1 + event_id % 5) // 2) ELSE 1 + event_id % 5 END AS score FROM (SELECT event_id, coalesce(CASE WHEN event_id % 50 <> 0 THEN ts END, TIMESTAMP '{AS_OF}') AS ts FROM events)
-    WHERE date_diff('day', ts::DATE, DATE '2024-03-15') <= 90""")
+@query(f"""SELECT event_id, CASE WHEN ts < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY THEN greatest(1, (1 + event_id % 5) // 2) ELSE 1 + event_id % 5 END AS score FROM (SELECT event_id, coalesce(CASE WHEN event_id % 50 <> 0 THEN ts END, TIMESTAMP '{AS_OF}') AS ts FROM events)
+    WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY""")
 def decay_scores(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp")).alias("ts"), (1 + F.col("event_id") % 5).alias("score"))
     return curate.decayed(rows, AS_OF).select("event_id", "score")
@@ -136,18 +140,20 @@ def collection_upsert(spark, sf_dir):
     return curate.upserted(e, new.unionByName(new.filter("id % 30 = 0").withColumn("id", F.col("id") + 1000000)), "id")
 
 
-@query(f"""WITH {PAIRS}, a AS (SELECT prompt AS question, answer[1:2000] AS answer, conv_id * 1000 + turn AS id, conv_id % 2 AS priority FROM pairs WHERE length(prompt) BETWEEN 1 AND 500 AND length(answer) > 50)
-    SELECT id, priority::INT AS priority FROM a ORDER BY priority, md5(id::VARCHAR), id LIMIT 50""")
+@query(f"""WITH {PAIRS}, a AS (SELECT prompt[1:500] AS question, answer[1:2000] AS answer, conv_id * 1000 + turn AS id, conv_id % 2 AS priority FROM pairs WHERE prompt <> '' AND length(answer) > 50)
+    SELECT id, priority::INT AS priority, length(question) AS asked, length(answer) AS told FROM a ORDER BY md5(id::VARCHAR), id LIMIT 50""")
 def priority_union(spark, sf_dir):
     rows = pairs(spark, sf_dir).select(F.col("prompt").alias("question"), "answer", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id")
-    return curate.capped_union(rows.filter("conv_id % 2 = 0"), rows.filter("conv_id % 2 = 1"), 50, "id").select("id", "priority")
+    return curate.capped_union(rows.filter("conv_id % 2 = 0"), rows.filter("conv_id % 2 = 1"), 50, "id").select("id", "priority", F.length("question").cast("long").alias("asked"), F.length("answer").cast("long").alias("told"))
 
 
-@query(f"""WITH {SCORES}, {LAST}, p AS (SELECT substr(sha256(text), 1, 16) AS prompt_hash, doc_id AS seq, text, row_number() OVER (PARTITION BY substr(sha256(text), 1, 16) ORDER BY doc_id DESC) AS rn FROM documents)
-    SELECT p.seq, coalesce(score, 3) AS score, CASE WHEN ('0x' || md5(p.prompt_hash)[1:4])::INT % 10 < 1 THEN 'eval' ELSE 'train' END AS split FROM p LEFT JOIN last USING (prompt_hash) WHERE rn = 1 AND length(text) >= 100 AND coalesce(score, 3) >= 3""")
+@query(f"""WITH {SCORES}, {LAST}, p AS (SELECT substr(sha256(text), 1, 16) AS prompt_hash, doc_id AS seq, text, doc_id % 120 AS age, row_number() OVER (PARTITION BY substr(sha256(text), 1, 16) ORDER BY doc_id DESC) AS rn FROM documents),
+    d AS (SELECT *, CASE WHEN age > 30 THEN greatest(1, coalesce(score, 3) // 2) ELSE coalesce(score, 3) END AS now FROM p LEFT JOIN last USING (prompt_hash) WHERE rn = 1 AND age <= 90)
+    SELECT seq, now AS score, CASE WHEN ('0x' || md5(prompt_hash)[1:4])::INT % 10 < 1 THEN 'eval' ELSE 'train' END AS split FROM d WHERE length(text) >= 100 AND now >= 3""")
 def nightly_curation(spark, sf_dir):
+    """Documents as pairs of the last 120 days."""
     d = table(spark, sf_dir, "documents")
-    rows = d.select(F.substring(F.sha2("text", 256), 1, 16).alias("prompt_hash"), F.col("doc_id").alias("seq"), F.lit(AS_OF).cast("timestamp").alias("ts"), F.lit("q").alias("prompt"), F.col("text").alias("reasoning"), F.col("text").alias("response"))
+    rows = d.select(F.substring(F.sha2("text", 256), 1, 16).alias("prompt_hash"), F.col("doc_id").alias("seq"), F.expr(f"timestamp '{AS_OF}' - make_interval(0, 0, 0, cast(doc_id % 120 as int))").alias("ts"), F.lit("q").alias("prompt"), F.col("text").alias("reasoning"), F.col("text").alias("response"))
     kept = nightly.curated(rows, scores(spark, sf_dir), AS_OF)
     return nightly.examples(kept).join(kept.select("prompt_hash", "seq", "score"), "prompt_hash").select("seq", "score", "split")
 

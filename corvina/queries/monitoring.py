@@ -59,16 +59,25 @@ def low_criterion(spark, sf_dir):
     return monitor.low_criteria(judged(spark, sf_dir), _CRITERIA)
 
 
-@query("""WITH e AS (SELECT event_id AS id, ts, event_type AS agent, user_id % 7 AS pattern FROM events), r AS (SELECT * FROM e WHERE id % 97 = 0), x AS (SELECT id, agent, ts,
+GATES = """WITH e AS (SELECT event_id AS id, ts, event_type AS agent, concat('Pattern of Customers No ', user_id % 7, ' that is long') AS pattern FROM events), r AS (SELECT *, concat('seen again: ', upper(pattern), '; and more') AS summary FROM e WHERE id % 97 = 0), x AS (SELECT id, agent, ts,
         (SELECT max(r.ts) FROM r WHERE r.agent = e.agent AND r.ts < e.ts) AS last, (SELECT count(*) FROM r WHERE r.ts::DATE = e.ts::DATE AND r.ts < e.ts) AS today,
-        (SELECT count(*) FROM e j WHERE j.id % 2 = 0 AND j.agent = e.agent AND j.ts <= e.ts AND j.ts >= e.ts - INTERVAL 7 DAY) AS n, (SELECT count(*) FROM r WHERE r.id % 194 = 0 AND r.agent = e.agent AND r.pattern = e.pattern) AS undone FROM e)
-    SELECT id, agent, CASE WHEN ts < last + INTERVAL 1 HOUR THEN 'cooldown' WHEN today >= 3 THEN 'cap' WHEN n < 10 THEN 'judgements' WHEN undone >= 2 THEN 'blocked' ELSE 'run' END AS gate FROM x""")
-def gates_cooldown(spark, sf_dir):
+        (SELECT count(*) FROM e j WHERE j.id % 2 = 0 AND j.agent = e.agent AND j.ts <= e.ts AND j.ts >= e.ts - INTERVAL 7 DAY) AS n,
+        (SELECT count(*) FROM r WHERE r.id % 194 = 0 AND r.agent = e.agent AND r.ts <= e.ts AND contains(lower(r.summary), lower(e.pattern[1:30]))) AS undone FROM e)
+    SELECT id, agent, CASE WHEN ts < last + INTERVAL 1 HOUR THEN 'cooldown' WHEN today >= 3 THEN 'cap' WHEN n < 10 THEN 'judgements' WHEN undone >= 2 THEN 'blocked' ELSE 'run' END AS gate FROM x"""
+
+
+def proposed(spark, sf_dir):
     """Every event as a proposal; every 97th made a patch, every other of these was reverted; every second is a judgement."""
     i = F.col("id")
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("agent"), (F.col("user_id") % 7).alias("pattern"))
-    runs = e.filter(i % 97 == 0).withColumn("patched", F.lit(True)).withColumn("reverted", i % 194 == 0)
-    return monitor.gates(e, runs, e.filter(i % 2 == 0)).select("id", "agent", "gate")
+    pattern = F.concat(F.lit("Pattern of Customers No "), F.col("user_id") % 7, F.lit(" that is long"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.col("event_type").alias("agent"), pattern.alias("pattern"))
+    runs = e.filter(i % 97 == 0).withColumns({"patched": F.lit(True), "reverted": i % 194 == 0, "pattern": F.concat(F.lit("seen again: "), F.upper("pattern"), F.lit("; and more"))})
+    return e, runs, e.filter(i % 2 == 0)
+
+
+@query(GATES)
+def gates_cooldown(spark, sf_dir):
+    return monitor.gates(*proposed(spark, sf_dir)).select("id", "agent", "gate")
 
 
 @query("SELECT concat(event_type, '-', user_id) AS rule, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")
@@ -77,13 +86,13 @@ def rule_first_last(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT user_id, avg(value) FILTER (ts < TIMESTAMP '2024-01-10') AS b, avg(value) FILTER (ts >= TIMESTAMP '2024-01-10') AS a FROM events GROUP BY user_id)
-    SELECT user_id, round(b, 3) AS before, round(a, 3) AS after, CASE WHEN round(a - b, 6) >= 0.2 THEN 'keep' WHEN round(a - b, 6) <= -0.2 THEN 'revert' ELSE 'neutral' END AS verdict FROM g""")
+    SELECT user_id, round(b, 3) AS before, round(a, 3) AS after, CASE WHEN round(a - b, 6) >= 0.2 THEN 'keep' WHEN round(a - b, 6) < -0.2 THEN 'revert' ELSE 'neutral' END AS verdict FROM g""")
 def patch_verdict(spark, sf_dir):
     return monitor.before_after(table(spark, sf_dir, "events"), "user_id", F.lit("2024-01-10").cast("timestamp_ntz"), "value")
 
 
 @query("""WITH g AS (SELECT user_id, avg(value) FILTER (ts < TIMESTAMP '2024-01-10') AS b, avg(value) FILTER (ts >= TIMESTAMP '2024-01-10') AS a FROM events GROUP BY user_id),
-    v AS (SELECT user_id % 5 AS agent, CASE WHEN round(a - b, 6) >= 0.2 THEN 'keep' WHEN round(a - b, 6) <= -0.2 THEN 'revert' ELSE 'neutral' END AS verdict FROM g) SELECT agent, verdict, count(*) AS n FROM v GROUP BY CUBE (agent, verdict) HAVING verdict IS NOT NULL""")
+    v AS (SELECT user_id % 5 AS agent, CASE WHEN round(a - b, 6) >= 0.2 THEN 'keep' WHEN round(a - b, 6) < -0.2 THEN 'revert' ELSE 'neutral' END AS verdict FROM g) SELECT agent, verdict, count(*) AS n FROM v GROUP BY CUBE (agent, verdict) HAVING verdict IS NOT NULL""")
 def patch_status(spark, sf_dir):
     rows = monitor.before_after(table(spark, sf_dir, "events"), "user_id", F.lit("2024-01-10").cast("timestamp_ntz"), "value")
     return monitor.status_rollup(rows.withColumn("agent", F.col("user_id") % 5), "agent")

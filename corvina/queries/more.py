@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import boundary
 from ..functions import turns as tn
-from ..operators import monitor, retrieve, stores
+from ..operators import asof, retrieve, stores
 from ..plans import debate, search
 from . import query, table
 from .retrieval import item_queries
@@ -102,12 +102,14 @@ def debate_rounds(spark, sf_dir):
     return debate.debate(rows, boundary.echo_generator).select("key", "advocate", "opponent", "critic", "synthesis")
 
 
-@query("""WITH e AS (SELECT source AS route, text AS input, doc_id % 5 + 1 AS score, doc_id AS ts, doc_id % 2 AS n FROM documents), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY route, input[1:80] ORDER BY n, ts) = 1)
-    SELECT route, ts, score FROM f QUALIFY row_number() OVER (PARTITION BY route ORDER BY score DESC, ts DESC) <= 10""")
+@query("""WITH e AS (SELECT source AS route, text AS input, doc_id % 5 + 1 AS score, doc_id AS ts, doc_id % 2 AS n FROM documents), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY route, lower(input[1:100]) ORDER BY n, ts) = 1)
+    SELECT route, ts, score, array_to_string(list_filter(regexp_split_to_array(lower(input), '[ \\t\\n\\r]+'), lambda w, i: length(w) > 4 AND i = list_position(regexp_split_to_array(lower(input), '[ \\t\\n\\r]+'), w))[1:8], ' ') AS tags, length(input[1:500]) AS kept
+    FROM f QUALIFY row_number() OVER (PARTITION BY route ORDER BY score DESC, ts DESC) <= 10""")
 def capped_fewshot_store(spark, sf_dir):
     i = F.col("doc_id")
-    e = table(spark, sf_dir, "documents").select(F.col("source").alias("route"), F.col("text").alias("input"), (i % 5 + 1).alias("score"), i.alias("ts"))
-    return stores.capped_store(e.filter("ts % 2 = 0"), e.filter("ts % 2 = 1")).select("route", "ts", "score")
+    e = table(spark, sf_dir, "documents").select(F.col("source").alias("route"), *stores.example(F.col("text"), F.col("text")), (i % 5 + 1).alias("score"), i.alias("ts"))
+    kept = stores.capped_store(e.filter("ts % 2 = 0"), e.filter("ts % 2 = 1"))
+    return kept.select("route", "ts", "score", F.array_join("tags", " ").alias("tags"), F.length("input").cast("long").alias("kept"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id % 5 <> 4")
@@ -160,4 +162,4 @@ def rerank(spark, sf_dir):
 def rolling_week(spark, sf_dir):
     """Each event's number of the same user's events in the week until it."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return monitor.counted_within(e, e, "user_id", 7, "event_id").select("user_id", "event_id", F.col("n").cast("long").alias("n"))
+    return asof.counted(e, e, ["user_id"], F.col("ts") - F.expr("interval 7 days")).select("user_id", "event_id", "n")

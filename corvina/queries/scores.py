@@ -243,17 +243,28 @@ def token_entropy(spark, sf_dir):
     return rows.select("vec_id", F.round(sc.token_entropy(F.col("tops")), 4).alias("entropy"), F.round(sc.certainty(F.col("tops")), 4).alias("certainty"))
 
 
-_HALT = "SELECT vec_id, label, list_transform(embedding, lambda x: exp(x::DOUBLE * 4)) AS e FROM embeddings"
+#: Vectors as tokens, a chunk each: their entries are log probabilities, the first that of the token; every eighth chunk of a label is an answer's.
+_HALT = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * 4 - 2) AS l, vec_id % 8 = 7 AS said FROM embeddings), e AS (SELECT *, list_transform(l, lambda x: exp(x)) AS e FROM v),
+    p AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), o AS (SELECT *, sum(CASE WHEN said THEN 0 ELSE 30 END) OVER (PARTITION BY label ORDER BY vec_id) AS chars FROM p),
+    c AS (SELECT vec_id, label, 0.625 * exp(l[1]) + 0.375 * (1 + list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))) / ln(64 + 1e-10)) AS c FROM o WHERE NOT said AND chars >= 100),
+    w AS (SELECT vec_id, label, CASE WHEN count(*) OVER x = 5 THEN avg(c) OVER x END AS m FROM c WINDOW x AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    h AS (SELECT label, min(vec_id) AS ends FROM w WHERE m > 0.2 GROUP BY label), f AS (SELECT w.* FROM w LEFT JOIN h USING (label) WHERE ends IS NULL OR vec_id <= ends)"""
 
 
-@query(f"""WITH e AS ({_HALT}), p AS (SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), c AS (SELECT vec_id, label, 0.625 * list_max(p) + 0.375 * (1 + list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))) / ln(64.0)) AS c FROM p),
-    w AS (SELECT vec_id, label, avg(c) OVER x AS m, count(*) OVER x AS n FROM c WINDOW x AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-    SELECT vec_id, CASE WHEN n = 5 THEN round(m, 4) END AS mean, n = 5 AND m > 0.4 AS halted FROM w""")
+def token_chunks(spark, sf_dir):
+    said, logs = F.col("vec_id") % 8 == 7, F.transform("embedding", lambda x: x.cast("double") * 4 - 2)
+    e = table(spark, sf_dir, "embeddings")
+    text = lambda on, n: F.when(on, F.repeat(F.lit("x"), n)).otherwise("")
+    return e.select("vec_id", "label", text(~said, 30).alias("reasoning"), text(said, 5).alias("content"), F.array(F.struct(F.get(logs, F.lit(0)).alias("logprob"), logs.alias("top"))).alias("tokens"))
+
+
+CERTAIN = f"""WITH {_HALT} SELECT v.vec_id, round(last_value(m IGNORE NULLS) OVER (PARTITION BY v.label ORDER BY v.vec_id), 4) AS mean, coalesce(v.vec_id >= ends, false) AS halted FROM v LEFT JOIN f USING (vec_id) LEFT JOIN h ON h.label = v.label"""
+
+
+@query(CERTAIN)
 def stream_certainty_window(spark, sf_dir):
-    top = F.transform("embedding", lambda x: x.cast("double") * 4)
-    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-4, 0)
-    rows = table(spark, sf_dir, "embeddings").withColumn("c", sc.step_certainty(top)).withColumn("m", F.avg("c").over(w)).withColumn("n", F.count("*").over(w))
-    return rows.select("vec_id", F.when(F.col("n") == 5, F.round("m", 4)).alias("mean"), ((F.col("n") == 5) & (F.col("m") > 0.4)).alias("halted"))
+    """Labels as requests, vectors as their chunks in order."""
+    return sc.halted_stream(token_chunks(spark, sf_dir), "label", "vec_id", threshold=0.2).select("vec_id", F.round("mean", 4).alias("mean"), "halted")
 
 
 @query("""WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, value / 30 AS certain, (event_id % 7) * 90 AS len FROM events)
@@ -271,14 +282,15 @@ def probe_confidence(spark, sf_dir):
     return rq.last_user_text(table(spark, sf_dir, "conversations")).select("conv_id", sc.probe_depth(h, F.col("text"), lx).alias("depth"))
 
 
-@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, instr(text, 'en') AS p FROM documents)
-    SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT contains(x, 'the')), chr(10)) AS removed, array_to_string(l[1:1] || ['NEW'] || l[2:], chr(10)) AS added, CASE WHEN p > 0 THEN concat(text[1:p - 1], 'NEW', text[p + 2:]) ELSE text END AS replaced FROM l""")
+@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, instr(text, 'en') AS p, rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS t FROM documents)
+    SELECT doc_id, array_to_string(list_filter(l, lambda x: NOT contains(x, 'the')), chr(10)) AS removed, CASE WHEN l[1] <> '' THEN array_to_string(l[1:1] || ['NEW'] || l[2:], chr(10)) ELSE concat(t, chr(10), 'NEW', chr(10)) END AS added,
+    CASE WHEN p > 0 THEN concat(text[1:p - 1], 'NEW', text[p + 2:]) ELSE text END AS replaced, concat(t, chr(10), 'NEW', chr(10)) AS appended, text AS kept FROM l""")
 def line_edit(spark, sf_dir):
     rows, c = table(spark, sf_dir, "documents"), F.col("text")
     first = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 1)
     return rows.select(
         "doc_id", sc.edited_lines(c, F.lit("remove"), F.lit("the"), F.lit("")).alias("removed"), sc.edited_lines(c, F.lit("add"), first, F.lit("NEW")).alias("added"),
-        sc.edited_lines(c, F.lit("replace"), F.lit("en"), F.lit("NEW")).alias("replaced"),
+        sc.edited_lines(c, F.lit("replace"), F.lit("en"), F.lit("NEW")).alias("replaced"), sc.edited_lines(c, F.lit("add"), F.lit("no such line"), F.lit("NEW")).alias("appended"), sc.edited_lines(c, F.lit("remove"), F.lit(""), F.lit("")).alias("kept"),
     )
 
 

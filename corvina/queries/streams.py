@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from ..session import scratch_folder
-from ..streaming import monitor
+from ..streaming import monitor, stateful
 from . import query, table
+from .monitoring import GATES, proposed
+from .scores import CERTAIN, token_chunks
 
 _MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
@@ -45,3 +50,34 @@ def stream_late(spark, sf_dir):
     """Append mode: only windows that ended before the final watermark are given out."""
     return _run(spark, monitor.tumbling(_events(spark, sf_dir)), "append")
 
+
+
+@query(CERTAIN)
+def stream_certainty_state(spark, sf_dir):
+    """The certainty of answers from state kept by request, over chunks that come in no order."""
+    path = scratch_folder(spark, "chunks")
+    rows = token_chunks(spark, sf_dir).withColumn("seq", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1)
+    rows.repartition(3, F.crc32(F.col("vec_id").cast("string"))).write.parquet(path)
+    stream = stateful.prepared(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = _run(spark, stateful.certainty(stream, "label", threshold=0.2), "append")
+    return found.join(rows.select("label", "seq", "vec_id"), ["label", "seq"]).select("vec_id", F.round("mean", 4).alias("mean"), "halted")
+
+
+@query(GATES)
+def stream_gates(spark, sf_dir):
+    """Gates from state kept by agent and by day, over four batches in the order of time."""
+    e, runs, judged = proposed(spark, sf_dir)
+    patched, undone = runs.filter("patched").withColumn("kind", F.lit("patch")), runs.filter("reverted").withColumn("kind", F.lit("revert"))
+    every = [e.withColumn("kind", F.lit("proposal")), patched, undone, judged.withColumn("kind", F.lit("judgement"))]
+    columns = ["id", "agent", "pattern", F.col("ts").cast("timestamp").alias("ts"), "kind"]
+    rows = every[0].select(*columns)
+    for more in every[1:]:
+        rows = rows.unionByName(more.select(*columns))
+    path, span = scratch_folder(spark, "gate-events"), e.agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b")).first()
+    edges = [span["a"] + (span["b"] - span["a"]) * k / 4 for k in (1, 2, 3)] if span["a"] else []
+    for a, b in zip([None, *edges], [*edges, None], strict=True):
+        part = rows if a is None else rows.filter(F.col("ts") >= F.lit(a))
+        # one file, so that it is one batch: state, not the batch, holds what was before
+        (part if b is None else part.filter(F.col("ts") < F.lit(b))).coalesce(1).write.mode("append").parquet(path)
+    stream = stateful.prepared(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _run(spark, stateful.gates(stream), "append").select("id", "agent", "gate")

@@ -74,7 +74,7 @@ def query_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.tokens(F.col("text"), lx), " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({fold_sql('lower(text)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60], '-+$', '') AS slug FROM documents")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(translate(lower(text), '{tx.SLUG_LETTERS[0]}', '{tx.SLUG_LETTERS[1]}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60] AS slug FROM documents")
 def slugify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
@@ -100,7 +100,7 @@ _TOLD = has_sql("lower(text)", lx.threats)
 _SHA = "regexp_extract(lower(text), '(?:^|[^0-9a-f])([0-9a-f]{64})(?:[^0-9a-f]|$)', 1)"
 
 
-@query(f"""SELECT doc_id, CASE WHEN {_IP} <> '' AND ({_TOLD} OR NOT regexp_matches({_IP}, '^(?:127[.]|192[.]168[.]|10[.])')) THEN 'ip' WHEN {_SHA} <> '' AND ({_TOLD} OR length(text) < 80) THEN 'hash' END AS kind,
+@query(f"""SELECT doc_id, CASE WHEN {_IP} <> '' AND ({_TOLD} OR NOT regexp_matches({_IP}, '^(?:127[.]|192[.]168[.]|10[.])')) THEN 'ip' WHEN {_SHA} <> '' AND ({_TOLD} OR length(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))) < 80) THEN 'hash' END AS kind,
     CASE kind WHEN 'ip' THEN {_IP} WHEN 'hash' THEN {_SHA} END AS value FROM documents""")
 def ioc_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.ioc(F.col("text"), lx).alias("i")).select("doc_id", "i.kind", "i.value")
@@ -147,9 +147,10 @@ def fast_deep_class(spark, sf_dir):
 
 _STRIP = "html"
 for _tag in ("script", "style", "nav", "footer", "header"):
-    _STRIP = f"regexp_replace({_STRIP}, '(?s)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
+    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_tag}([\\s/][^>]*)?>.*?</{_tag}\\s*>', ' ', 'g')"
 _STRIP = f"regexp_replace(regexp_replace({_STRIP}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+# the entities that the table's pages have
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
     _STRIP = f"replace({_STRIP}, '{_name}', '{_char}')"
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from corvina import lexicons
 from corvina.functions import scoring as sc
 from corvina.functions import text as tx
 from corvina.functions import turns as tn
-from corvina.operators import cache, chunk, monitor, retrieve
+from corvina.operators import asof, cache, chunk, curate, monitor, retrieve, stores
 from corvina.plans import requests as rq
 from corvina.plans import search
 
@@ -284,6 +285,142 @@ def test_patterns(spark):
     assert monitor.patterns(spark.createDataFrame(rows, "agent string, weakness string, id long, c1 double, c2 double"), ["c1", "c2"], top=1).count() == 1
 
 
+EDITS = [
+    ("add", "a\nb b\nc", "b", "N", "a\nb b\nN\nc"),
+    ("add", "a\nb\n\n  ", "", "N", "a\nb\nN\n"),  # no anchor: after the end, without white space there
+    ("add", "a\nb", "zz", "N", "a\nb\nN\n"),  # an anchor that is not there likewise
+    ("add", "a\nb", "a\nb", "N", "a\nb"),  # there, but in no one line
+    ("remove", "a\nb\nab", "a", "", "b"),
+    ("remove", "a\nb", "", "", "a\nb"),  # an empty anchor removes nothing
+    ("replace", "x y x", "x", "N", "N y x"),
+    ("replace", "x y x", "", "N", "x y x"),
+    ("replace", "x y x", "q", "N", "x y x"),
+]
+
+
+@pytest.mark.parametrize(("op", "text", "anchor", "line", "want"), EDITS)
+def test_line_edits(spark, op, text, anchor, line, want):
+    assert one(spark, text, lambda c: sc.edited_lines(c, F.lit(op), F.lit(anchor), F.lit(line))) == want
+    if not anchor:
+        assert one(spark, text, lambda c: sc.edited_lines(c, F.lit(op), F.lit(None).cast("string"), F.lit(line))) == want
+
+
+def test_pairs_of_two_sources_are_cut_and_sampled(spark):
+    """Long questions are cut, not dropped; answers of 50 characters go; beyond the cap a sample of both sources."""
+    first = spark.createDataFrame([(i, "q" * 600, "a" * 51) for i in range(30)], "id long, question string, answer string")
+    second = spark.createDataFrame([(100 + i, "q", "a" * (50 if i == 0 else 3000)) for i in range(30)], "id long, question string, answer string")
+    every = curate.capped_union(first, second, 1000, "id").collect()
+    assert len(every) == 59 and {len(r["question"]) for r in every} == {500, 1} and {len(r["answer"]) for r in every} == {51, 2000}
+    some = curate.capped_union(first, second, 20, "id").collect()
+    assert len(some) == 20 and {r["priority"] for r in some} == {0, 1}
+
+
+def test_fallback_scores_are_of_entries_without_a_hash(spark):
+    scores = [("h1", "r", 100, 5, 1), (None, "r", 103, 2, 2), (None, "s", 98, 4, 3), ("", "r", 103, 1, 4), ("h9", "r", 200, 5, 5), (None, "r", 300, None, 6)]
+    scores = spark.createDataFrame(scores, "prompt_hash string, route string, prompt_len long, score long, seq long")
+    pairs = spark.createDataFrame([("h1", 100), ("h2", 100), (None, 93), ("h3", 200), ("h4", 302), (None, 92)], "prompt_hash string, prompt_len long")
+    got = sorted(((r["prompt_hash"], r["prompt_len"], r["score"]) for r in curate.near_length_score(pairs, scores).collect()), key=str)
+    # h2: the entry (r, 103) came first and was given 1 last; h3: a row with a hash is no fallback; h4: a missing score is 3
+    assert got == sorted([("h1", 100, 5), ("h2", 100, 1), (None, 93, 4), ("h3", 200, None), ("h4", 302, 3), (None, 92, None)], key=str)
+
+
+def diverse(spark, urls, ratio):
+    rows = spark.createDataFrame([(1, u, i) for i, u in enumerate(urls)], "query_id int, url string, rank int")
+    return [r["url"] for r in retrieve.diverse(rows, ratio).orderBy("position").collect()]
+
+
+def test_diversity_is_a_round_robin_of_urls(spark):
+    assert diverse(spark, "ABBA", 0.5) == ["A", "B", "A", "B"]
+    assert diverse(spark, "BBBAC", 0.5) == ["B", "A", "C", "B"]
+    assert diverse(spark, "AAAA", 0.1) == ["A"] * 4
+    assert diverse(spark, ["A", None, "", "A"], 0.25) == ["A", None, ""]
+
+
+def test_examples_are_told_by_a_hundred_characters_in_any_case(spark):
+    base = "x" * 90
+    old = [("r", base + "A" * 20, 5, 1)]
+    new = [("r", base + "a" * 10 + "other", 5, 2), ("r", base + "b" * 20, 5, 3), ("s", base + "A" * 20, 4, 4)]
+    frame = lambda rows: spark.createDataFrame(rows, "route string, input string, score int, ts int")
+    assert sorted(r["ts"] for r in stores.capped_store(frame(old), frame(new)).collect()) == [1, 3, 4]
+    r = spark.createDataFrame([("Please explain Please the whole thing about Spark shuffles sorting joins windows skew again " + "z" * 600, "b" * 3000)], "q string, a string").select(*stores.example(F.col("q"), F.col("a"))).first()
+    assert r["tags"] == ["please", "explain", "whole", "thing", "about", "spark", "shuffles", "sorting"] and (len(r["input"]), len(r["output"])) == (500, 2000)
+
+
+def test_decay_compares_times(spark):
+    rows = [("2023-12-16 00:00:00", 5), ("2023-12-15 23:59:59", 5), ("2024-02-14 00:00:00", 5), ("2024-02-13 23:59:59", 5), (None, 4), ("2024-01-01 00:00:00", 1)]
+    rows = spark.createDataFrame(rows, "ts string, score int").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted(r["score"] for r in curate.decayed(rows, "2024-03-15").collect()) == [1, 2, 2, 4, 5]
+
+
+PAGES = [
+    ("<SCRIPT>x()</SCRIPT>a<Style media=a>b</sTYLE >c", "a c"),
+    ("caf&#233; &nbsp; &#x1F642; &eacute;&euro;", "café 🙂 é€"),
+    ("&amp;lt; &lt;b&gt; &unknown; &#0; &#xD800; & AT&T;", "&lt; <b> &unknown; � � & AT&T;"),
+    ("<header><b>no</b></header><headers>yes</headers><!-- a <b> -->", "yes"),
+    ("<nav\nclass='x'>n</nav>t<footer/>u</footer>", "t"),
+    ("", ""),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), PAGES)
+def test_page_text(spark, html, text):
+    assert one(spark, html, tx.main_text) == text
+
+
+def test_indicators_and_slugs(spark):
+    digest = "a" * 64
+    assert one(spark, digest + " " * 30, tx.ioc)["kind"] == "hash"  # white space at the ends does not count
+    assert one(spark, digest + " " + "y " * 20, tx.ioc)["kind"] is None
+    assert one(spark, "  Éàç ñ—Über  x!", tx.slug) == "eac-uber-x"
+    assert one(spark, "ü" + "a" * 58 + " b c", tx.slug) == "u" + "a" * 58 + "-"
+
+
+def test_filters_count_in_the_same_pass(spark):
+    rows = spark.range(100).withColumn("t", F.when(F.col("id") % 10 == 3, F.lit(None)).otherwise(F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))))
+    reasons = {"short": F.length("t") < 2, "third": F.col("id") % 3 == 0}
+    kept, seen = curate.filtered(rows, **reasons)
+    plan = kept._jdf.queryExecution().toString()
+    n = len(kept.collect())
+    told = seen.get
+    assert told == curate.filter_counts(rows, **reasons).first().asDict() and told["kept"] == n and "CollectMetrics" in plan
+
+
+def test_asof_equals_brute_force(spark):
+    """Ties of time, keys and values; rows without a time or a key; facts at the time itself; a stretch of any length."""
+    r, at = random.Random(4), datetime.datetime(2024, 1, 1)
+    when = lambda: None if r.random() < 0.05 else at + datetime.timedelta(hours=r.randrange(60))
+    name = lambda: r.choice(["a", "a", "a", "b", "c", None])
+    facts = [(name(), when(), r.randrange(9)) for _ in range(150)]
+    asked = [(i, name(), when(), "x") for i in range(120)]
+    f = spark.createDataFrame(facts, "k string, ts timestamp_ntz, value long").repartition(3)
+    a = spark.createDataFrame(asked, "id long, k string, ts timestamp_ntz, f string").repartition(3)
+    for stretch, at_ in ((3600, True), (7 * 3600, False), (10**7, True)):
+        fits = lambda t, x: x is not None and (x <= t if at_ else x < t)  # noqa: E731, B023
+        want, n, since = {}, {}, {}
+        for i, k, t, _ in asked:
+            mine = [(x, v) for key, x, v in facts if k is not None and t is not None and key == k and fits(t, x)]
+            want[i], n[i] = max(mine, default=(0, None))[1], len(mine)
+            since[i] = sum(x >= t - datetime.timedelta(hours=9) for x, _ in mine)
+        got = asof.last_before(a, f, ["k"], ["value"], at=at_, stretch=stretch)
+        assert got.columns == [*a.columns, "value"] and {x["id"]: x["value"] for x in got.collect()} == want
+        assert {x["id"]: x["n"] for x in asof.counted(a, f, ["k"], at=at_, stretch=stretch).collect()} == n
+        assert {x["id"]: x["n"] for x in asof.counted(a, f, ["k"], F.col("ts") - F.expr("interval 9 hours"), at=at_, stretch=stretch).collect()} == since
+    with pytest.raises(ValueError, match="both sides"):
+        asof.last_before(a, f, ["k"], ["ts"])
+
+
+def test_reverts_block_from_their_time_on_and_by_thirty_characters(spark):
+    at = lambda d: datetime.datetime(2024, 1, d)
+    long = "answers are far too long for what was asked"
+    ask = [(1, "a", long, at(5)), (2, "a", long, at(2)), (3, "a", long[:30].upper() + " or so", at(5)), (4, "a", "brief", at(5)), (5, "b", long, at(5)), (6, "a", None, at(5))]
+    runs = [("a", f"Pattern: {long[:30]}; more", at(3), False, True), ("a", f"again {long}", at(4), False, True), ("b", long, at(4), False, True)]
+    p = spark.createDataFrame(ask, "id long, agent string, pattern string, ts timestamp_ntz")
+    r = spark.createDataFrame(runs, "agent string, pattern string, ts timestamp_ntz, patched boolean, reverted boolean")
+    got = {x["id"]: x["gate"] for x in monitor.gates(p, r, r.limit(0), least=0).collect()}
+    assert got == {1: "blocked", 2: "run", 3: "blocked", 4: "run", 5: "run", 6: "run"}
+
+
 def test_gates(spark):
     at = lambda h, d=10: datetime.datetime(2024, 1, d, h)
     ask = [(1, "a", "p", at(12)), (2, "a", "p", at(9)), (3, "b", "p", at(12)), (4, "c", "q", at(12)), (5, "c", "q", at(9)), (6, "a", "p", at(11, 11)), (7, "d", "z", at(5)), (8, "c", "bad", at(9))]
