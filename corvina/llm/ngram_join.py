@@ -349,7 +349,7 @@ def components(edges: DataFrame) -> DataFrame:
 NEAR = "7 * (" + " + ".join(f"bit_count({{0}}parity[{i}] ^ {{1}}parity[{i}])" for i in range(PARITY)) + ") <= {0}n + {1}n"
 
 
-def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame, fits: str, near: str) -> DataFrame:
+def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame) -> DataFrame:
     """Pairs of different classes in one list that could link, by blocks of BLOCK members: each pair of blocks is a join key of its own.
 
     A pair comes from the first list that is among the LEAST first of both its documents; pairs without such come from each list they share.
@@ -359,31 +359,41 @@ def _open_pairs(now: DataFrame, lists: DataFrame, parities: DataFrame, fits: str
     dealt = now.join(lists.select("key", F.ceil(F.col("m") / BLOCK).alias("k")), "key").join(parities, "doc").withColumn("part", F.expr("pmod(xxhash64(doc), k)"))
     one = dealt.withColumn("hi", F.explode(F.sequence("part", F.col("k") - 1))).withColumn("lo", F.col("part")).alias("x")
     two = dealt.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("part")))).withColumn("hi", F.col("part")).alias("y")
-    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + fits.format("x.", "y.") + " and " + near.format("x.", "y.") + " and coalesce(array_min(array_intersect(x.least, y.least)), x.key) = x.key")
+    open_ = F.expr("x.key = y.key and x.lo = y.lo and x.hi = y.hi and x.label <> y.label and (x.lo <> x.hi or x.doc < y.doc) and " + FITS.format("x.", "y.") + " and " + NEAR.format("x.", "y.") + " and coalesce(array_min(array_intersect(x.least, y.least)), x.key) = x.key")
     return one.join(two, open_).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
-def classes(members: DataFrame, parities: DataFrame, verify, fits: str = FITS, near: str = NEAR) -> DataFrame | None:
+def classes(members: DataFrame, verify, last_links, fits: str = FITS, prune=None) -> DataFrame | None:
     """Class labels of the nodes that have a link, from inverted lists (key, doc, n, shared).
 
-    verify: of pairs (a, b) those that are ``linked``; fits, near: what entries of two linked nodes fulfil, cheap and in bits of ``parities``.
+    verify: of pairs (a, b) those that are ``linked``; fits: what two linked entries fulfil.
+    prune: of nodes (doc) in lists that are open after the pivot rounds those that may still link, with ``apart``, by which a last pivot is chosen: the least.
+    last_links: of the entries and lists that are open in the end, and the pairs tested, the links (a, b) between different classes of a list.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     tested, labels = links, None
-    for turn in range(PIVOT_ROUNDS + 1):
+    rounds = PIVOT_ROUNDS + (1 if prune else 0)
+    members = members.withColumn("apart", F.lit(0).cast("long"))
+    for turn in range(rounds + 1):
         now = members if labels is None else members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         now = now.withColumn("label", F.col("doc")) if labels is None else now
-        lists = now.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "doc"), "doc", "n", "shared", "label")).alias("p")).filter("lo != hi")
-        if turn < PIVOT_ROUNDS:
-            pairs = now.join(lists, "key").filter("label != p.label and " + fits.format("", "p.")).select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
-        else:
-            pairs = _open_pairs(now, lists, parities, fits, near)
+        if prune and turn == PIVOT_ROUNDS:
+            still = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+            now = saved(now.join(still, "key").drop("apart"), "open")
+            now = saved(now.join(prune(now.select("doc").distinct()), "doc"), "may-link")
+            members = now.drop("label")
+        pivot = F.min(F.struct("apart", F.xxhash64(F.lit(turn), "doc"), "doc", "n", "shared", "label"))
+        lists = now.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), pivot.alias("p")).filter("lo != hi")
+        if turn == rounds:
+            found = saved(last_links(now, lists, tested), "last-links")
+            return labels if found.isEmpty() else components(links.union(found.select("a", "b")))
+        pairs = now.join(lists, "key").filter("label != p.label and " + fits.format("", "p.")).select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
         pairs = saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if turn < PIVOT_ROUNDS and not lists.isEmpty():
-                continue
-            break
+            if lists.isEmpty():
+                break
+            continue
         done = saved(verify(pairs), "verified")
         tested = tested.union(pairs)
         links = links.union(done.filter("linked").select("a", "b"))
@@ -438,7 +448,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         light, heavy, _ = light_and_heavy(prefix)
         keys = light.unionByName(heavy)
         lists = keys.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bool_or("heavy").alias("heavy")).filter("lo != hi and heavy").select("key")
-        labels = classes(saved(keys.drop("heavy").join(lists, "key").distinct(), "lists"), prefix.select(F.col("doc_id").alias("doc"), "parity"), lambda pairs: verified(pairs, sets))
+        parities = prefix.select(F.col("doc_id").alias("doc"), "parity")
+
+        def open_links(now: DataFrame, lists: DataFrame, tested: DataFrame) -> DataFrame:
+            pairs = saved(_open_pairs(now, lists, parities).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            return verified(pairs, sets).filter("linked")
+
+        labels = classes(saved(keys.drop("heavy").join(lists, "key").distinct(), "lists"), lambda pairs: verified(pairs, sets), open_links)
     return labelled(info, nodes, labels, repeated if again else None)
 
 

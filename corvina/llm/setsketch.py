@@ -13,7 +13,9 @@ r"""Near-duplicate classes by SetSketch registers (4-word shingles, Jaccard simi
 
 Documents with identical sets are one node.  Lists of a key are joined to a pivot each, never to all pairs; verified links are merged
 into classes, and only pairs of different classes stay open (as in the n-gram join).  So a group of n near copies costs n
-comparisons a key.  What is still open after the pivot rounds is compared in blocks if a bit of each register does not rule it out.
+comparisons a key.  Of the documents in lists that are open after the pivot rounds those go that share fewer than 80 % of their shingles with
+all the others together, which no partner of theirs could have; the most ordinary one of a list is its last pivot.  What is open
+then is compared exactly within tasks, block by block, which give links and not pairs.
 
 Nulls and texts without words have no shingles and no links, and are kept; texts of one to three words are one shingle.  Rows that repeat a
 doc_id are one document that has the links of each of its texts.  Rows without a doc_id are in no class (component_id is null) and are kept.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +49,8 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 #: Sizes that may link, of two list entries.
 FITS = f"100 * least({{0}}n, {{1}}n) >= {PERCENT} * greatest({{0}}n, {{1}}n)"
-#: The last bits of the registers of linked sets differ in some 26 of 256 places, with a standard deviation of 5.
-NEAR = " + ".join(f"bit_count({{0}}parity[{i}] ^ {{1}}parity[{i}])" for i in range(M // 64)) + " <= 64"
+#: Blocks of a group of open documents: of BLOCK documents at least, PARTS of them unless they would hold over BLOCK_TOKENS shingles.
+BLOCK, PARTS, BLOCK_TOKENS = 64, 64, 2_000_000
 
 
 def _least_values(tokens: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -147,14 +150,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, flat)], ["key", "doc", "n"])
 
 
-def _parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bit of each register."""
-    for batch in batches:
-        bits = np.packbits((_rows_of(batch.column("registers")) & 1).astype(np.uint8), axis=1).view(np.int64)
-        values = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, M // 64), pa.int32()), pa.array(bits.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc", "parity"])
-
-
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = possible(_rows_of(batch.column("ra")), _rows_of(batch.column("rb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
@@ -187,6 +182,77 @@ def _verifier(heads: DataFrame, sketches: DataFrame):
     return verify
 
 
+class _Open:
+    """What is done about documents of different classes that share a list after the pivot rounds."""
+
+    def __init__(self, heads: DataFrame):
+        self.heads, self.sets = heads, None
+
+    def prune(self, open_: DataFrame) -> DataFrame:
+        """Of nodes (doc) those that share PERCENT of their shingles with all others together, with ``apart``: how many they share with none.
+
+        A partner has PERCENT of a node's shingles, so the others go without loss.
+        """
+        ids = open_.withColumnRenamed("doc", "doc_id")
+        self.sets = saved(join_ids(self.heads, ids, "left_semi").mapInArrow(_with_tokens, "doc_id long, n long, tokens array<long>"), "open-tokens", "none")
+        each = self.sets.select("doc_id", "n", F.explode("tokens").alias("t"))
+        often = each.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1").select("t")
+        shared = each.join(often, "t", "left_semi").groupBy("doc_id", "n").agg(F.count("*").alias("shared"))
+        return shared.filter(f"100 * shared >= {PERCENT} * n").groupBy(F.col("doc_id").alias("doc")).agg(F.min(F.col("n") - F.col("shared")).alias("apart"))
+
+    def links(self, now: DataFrame, lists: DataFrame, tested: DataFrame) -> DataFrame:
+        """Links (a, b) between different classes, found by exact comparison in blocks; of a document one link to each class.
+
+        Lists with the same most frequent class are one group, so a document is in few groups, however many lists it is in.  Documents of
+        other classes are compared with all of the group, in blocks against blocks: the rows are those of blocks, not of pairs.
+        """
+        entries = now.join(lists.select("key"), "key").select("key", "doc", "label")
+        most = entries.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("g"))
+        rows = saved(entries.join(most, "key").select("g", "doc", "label").distinct(), "groups")
+        rows = rows.join(self.sets.select(F.col("doc_id").alias("doc"), "n", "tokens"), "doc").withColumn("out", F.col("label") != F.col("g"))
+        parts = lambda c: F.greatest(F.least(F.ceil(F.count_if(c) / BLOCK), F.lit(PARTS)), F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_TOKENS), F.lit(1)).cast("int")
+        groups = rows.select("g", "doc", "n", "out").groupBy("g").agg(parts(F.lit(True)).alias("kb"), parts(F.col("out")).alias("ka")).filter("ka > 0")
+        dealt = rows.join(groups, "g").select("g", "doc", "label", "tokens", "out", "ka", "kb")
+        part = lambda k, salt: F.pmod(F.xxhash64(F.lit(salt), "doc"), F.col(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        a = dealt.filter("out").select("g", part("ka", 1).alias("i"), every("kb").alias("j"), F.lit(True).alias("left"), "doc", "label", "tokens")
+        b = dealt.select("g", every("ka").alias("i"), part("kb", 2).alias("j"), F.lit(False).alias("left"), "doc", "label", "tokens")
+        return a.unionByName(b).groupBy("g", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
+
+
+def _sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, labels, all tokens, and where those of each row begin and end."""
+    column = table.column("tokens").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    return table.column("doc").to_numpy(), table.column("label").to_numpy(), column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
+
+
+def _compared(blocks: pa.Table) -> pa.Table:
+    """Exact links between the rows of two blocks: for each on the left one to each other class on the right."""
+    release()
+    left, right = blocks.filter(blocks.column("left")), blocks.filter(pc.invert(blocks.column("left")))
+    found: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        ids, labels, tokens, at = _sets_of(left)
+        others, classes, every, ends = _sets_of(right)
+        size = np.diff(ends)
+        place = np.searchsorted(known := np.unique(tokens), every)
+        place[place == len(known)] = 0
+        inside = known[place] == every
+        mark = np.zeros(len(known), bool)
+        for k in range(len(ids)):
+            own = np.searchsorted(known, tokens[at[k] : at[k + 1]])
+            mark[own] = True
+            total = np.append(0, np.cumsum(mark[place] & inside))
+            mark[own] = False
+            common = total[ends[1:]] - total[ends[:-1]]
+            linked = (classes != labels[k]) & (100 * common >= PERCENT * (len(own) + size - common)) & (common > 0)
+            for c in np.unique(classes[linked]):
+                found.append((int(ids[k]), int(others[linked & (classes == c)].min())))
+    return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
@@ -206,8 +272,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = saved(keys.join(lists, "key").withColumn("shared", F.col("n")).distinct(), "lists")
     labels = None
     if not members.isEmpty():
-        parities = sketches.mapInArrow(_parity, "doc long, parity array<long>")
-        labels = ngram_join.classes(members, parities, _verifier(heads, sketches), FITS, NEAR)
+        rest = _Open(heads)
+        labels = ngram_join.classes(members, _verifier(heads, sketches), rest.links, FITS, rest.prune)
     out = ngram_join.labelled(info, nodes, labels, repeated if again else None)
     nameless = every.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
