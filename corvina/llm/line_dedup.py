@@ -8,7 +8,7 @@ and are removed everywhere.
 
 Removed places, not texts, are joined back: broadcast up to BYTES (a document about 80 bytes, a place 4), else by shuffle.  Blank lines stay.
 Null texts count as empty, null sites as none.  Rows that repeat a doc_id are joined by (doc_id, hash of the text).  Empty tables give
-an empty result; extra columns are kept.
+an empty result; extra columns are kept, whatever their names, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from .common import saved
 
 #: Lines, or bytes of places, that may be broadcast.
 SITES, MARGIN, LINES, BYTES = 10, 0.1, 500_000, 64 << 20
+RESULTS = ("kept_text", "n_lines", "n_removed")
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -34,16 +35,19 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
-    """``docs`` (doc_id, text, site) with kept_text, n_lines and n_removed."""
-    docs = docs.withColumn("own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line")
-    lines = docs.select("doc_id", "own", F.col(site).alias("site"), parts).filter("trim(line) <> ''")
-    lines = lines.select("doc_id", "own", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    """``docs`` (doc_id, text, site) with kept_text, n_lines and n_removed, in place of columns that have these names."""
+    text = F.coalesce("text", F.lit(""))
+    # the user's columns ride along in one of a name of their own
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text).alias("own"), text.alias("text"), F.col(site).alias("site"))
+    parts = F.posexplode(F.split("text", "\n")).alias("pos", "line")
+    lines = rows.select("doc_id", "own", "site", parts).filter("trim(line) <> ''")
+    # split and hashed once
+    lines = saved(lines.select("doc_id", "own", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")), "lines")
     common = saved(boilerplate(lines, sites), "common")
     common = F.broadcast(common) if common.count() <= LINES else common
     gone = saved(lines.join(common, ["h1", "h2"]).groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
     few = (gone.agg(F.sum(4 * F.size("gone") + 80)).first()[0] or 0) <= BYTES
-    out = docs.join(F.broadcast(gone) if few else gone, ["doc_id", "own"], "left")
-    kept = "if(gone is null, coalesce(text, ''), array_join(transform(array(split(coalesce(text, ''), '\\n')), l -> filter(l, (x, i) -> not array_contains(gone, i)))[0], '\\n'))"
-    out = out.withColumn("kept_text", F.expr(kept)).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
-    return out.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("own", "gone")
+    out = rows.join(F.broadcast(gone) if few else gone, ["doc_id", "own"], "left")
+    kept = "if(gone is null, text, array_join(transform(array(split(text, '\\n')), l -> filter(l, (x, i) -> not array_contains(gone, i)))[0], '\\n'))"
+    told = [F.expr(kept).alias("kept_text"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")]
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in RESULTS], *told)
