@@ -196,7 +196,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS)
     """Per document: doc_id, held_out, score, predicted; labels (doc_id, quality) of held-out rows are never read."""
     rows = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_featured, "doc_id long, features array<double>"), "features")
     marks = labels.filter(~held_out()).filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = rows.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", "features", "quality").orderBy("doc_id").toArrow()
+    # one row of a doc_id, so that repeats neither weigh more nor fill the limit
+    one = rows.join(marks, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("quality").alias("quality"))
+    some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", "features", "quality").orderBy("doc_id").toArrow()
     x = np.array(some.column("features").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     model = AdditiveModel(x, np.array(some.column("quality").to_pylist(), np.float64))
     out = rows.mapInArrow(_scored(model), "doc_id long, score double")
