@@ -85,8 +85,8 @@ def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[
     summed = some.select("lang", "text").mapInArrow(_counted, "lang string, counts binary").groupBy("lang").applyInArrow(_summed, "lang string, counts binary")
     counts = np.ones((len(langs), BUCKETS)) * 0.05
     with small_batches(rows.sparkSession):
-        for lang, part in zip(*(summed.toArrow().column(c).to_pylist() for c in ("lang", "counts")), strict=True) if langs else ():
-            counts[langs.index(lang)] += np.frombuffer(part, np.int64)
+        for row in summed.toArrow().to_pylist() if langs else ():
+            counts[langs.index(row["lang"])] += np.frombuffer(row["counts"], np.int64)
     return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
 
 
