@@ -10,7 +10,8 @@ instance.  Three lexical patterns are induced by an instance:
 - the key alone, where it has a name;
 - its spelling, where it mixes letters and digits: the classes of its characters, and whether it is LONG.
 
-The pattern-instance graph is scored in ROUNDS rounds: an instance's score in a kind is what its patterns' confidences leave no
+The pattern-instance graph is scored in rounds until no confidence changes, ROUNDS at most, and in none if no candidate meets a pattern that
+has seeds: an instance's score in a kind is what its patterns' confidences leave no
 doubt of (noisy or), 1 for seeds.  A pattern's confidence is the mean over its distinct instances (and one doubtful one more) of 1
 for seeds and, for others, of the score that the instance has by its *other* patterns, so that contexts, keys and
 spellings teach each other.  A pattern counts once seeds and such scores sum to SUPPORT.  A context of mere prose is held to more:
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Rounds of scoring; instances that a pattern needs; score of a new span; letters or digits of a candidate; characters of a long one.
-ROUNDS, SUPPORT, CONFIDENT, LETTERS, LONG = 8, 5, 0.9, 6, 16
+#: Rounds of scoring at most; instances that a pattern needs; score of a new span; letters or digits of a candidate; characters of a long one.
+#: Two instances make a pattern in a table of any size: how far it is believed is its smoothed share of seeds, which two alone leave low.
+ROUNDS, SUPPORT, CONFIDENT, LETTERS, LONG = 8, 2, 0.9, 6, 16
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE, SECRET, CANDIDATE = 4, 4, 5
@@ -104,8 +106,11 @@ def _valid(kind: Column, m: Column) -> Column:
     return F.when(kind == 1, m.rlike(rf"^{part}\.{part}\.{part}\.{part}$")).when(kind == 2, _luhn(m)).when(kind == 3, n.between(9, 15)).otherwise(True)
 
 
-def spots(docs: DataFrame, letters: int = LETTERS) -> DataFrame:
-    """(doc_id, own, kind, start, end, m, word, key): valid base matches, secrets, candidates, and one row of kind -1 for each document."""
+def spots(docs: DataFrame, letters: int = LETTERS, hide: Column | None = None) -> DataFrame:
+    """(doc_id, own, kind, start, end, m, word, key): valid base matches, secrets, candidates, and one row of kind -1 for each document.
+
+    hide: a condition on ``m``; secrets that meet it are candidates like others, marked ``hidden``, to measure what patterns find.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("own"), text.alias("text"))
     digit = "(text rlike '[0-9]')"
@@ -126,7 +131,9 @@ def spots(docs: DataFrame, letters: int = LETTERS) -> DataFrame:
     rows = rows.filter(~open_ | (F.length(F.regexp_replace("m", r"[^\p{L}\p{N}]", "")) >= letters))
     told = F.concat_ws(" ", "word", F.lower("key"))
     secret = F.col("m").rlike(f"^(?:{'|'.join(CREDENTIALS)})$") | (F.col("m").rlike(f"^{DIGEST}$") & told.rlike(f"{NAMED}$"))
-    return rows.select("doc_id", "own", F.when(open_ & secret, SECRET).otherwise(F.col("kind")).alias("kind"), "start", "end", "m", "word", F.lower("key").alias("key"))
+    seed = open_ & secret if hide is None else open_ & secret & ~hide
+    told = ["doc_id", "own", F.when(seed, SECRET).otherwise(F.col("kind")).alias("kind"), "start", "end", "m", "word", F.lower("key").alias("key")]
+    return rows.select(*told) if hide is None else rows.select(*told, (open_ & secret & hide).alias("hidden"))
 
 
 def _spelling(m: Column) -> Column:
@@ -158,35 +165,59 @@ def learned(rows: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confi
     open_ = edges.filter((F.col("kind") == CANDIDATE) & ~failed).select(*node, "m")
     seeded = sizes.select(*node, "n", F.posexplode("seeds").alias("of", "seeds"))
     patterns = saved(seeded.filter(F.col("seeds") >= support).select(*node, "of", (F.col("seeds") / (F.col("n") + 1)).alias("confidence")), "patterns")
-    scores = None
+    if open_.join(patterns.select(*node).distinct(), node, "left_semi").isEmpty():
+        return rows.sparkSession.createDataFrame([], "form string, pattern string, m string, of int, score double")
+    before = None
     for _ in range(rounds):
         doubts = patterns.select(*node, "of", F.log1p(-F.least(F.col("confidence"), F.lit(0.999))).alias("doubt"))
         scores = saved(open_.join(doubts, node).groupBy("m", "of").agg(F.sum("doubt").alias("doubts")).withColumn("score", 1 - F.exp("doubts")), "scores")
+        now = _digest(patterns)
+        if now == before:
+            break
+        before = now
         held = open_.join(scores, "m").join(doubts, [*node, "of"], "left").withColumn("others", 1 - F.exp(F.col("doubts") - F.coalesce("doubt", F.lit(0.0))))
         prose, sure = F.col("form") == "context", F.col("others") >= confident
         counted = F.sum(F.when(prose & ~sure, 0.0).otherwise(F.when(prose, 1.0).otherwise(F.col("others")))).alias("counted")
         sums = held.groupBy(*node, "of").agg(counted, F.sum(F.when(prose & ~sure, F.col("score") / 2).otherwise(F.col("others"))).alias("mass"))
         every = seeded.join(sums, [*node, "of"], "left").filter(F.col("seeds") + F.coalesce("counted", F.lit(0.0)) >= support)
         patterns = saved(every.select(*node, "of", ((F.col("seeds") + F.coalesce("mass", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence")), "patterns")
-    if scores is None:
-        return rows.sparkSession.createDataFrame([], "m string, of int")
     vouched = open_.filter("form != 'spelling'").join(patterns.filter(F.col("confidence") >= confident / 2), node).select("form", "pattern", "m", "of")
     return vouched.join(scores.filter(F.col("score") >= confident), ["m", "of"]).groupBy("form", "pattern", "m").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("of"), F.max("score").alias("score"))
 
 
+def _digest(patterns: DataFrame) -> tuple:
+    """One row that differs where a pattern, or its confidence to four places, does."""
+    told = F.xxhash64("form", "pattern", "of", F.round("confidence", 4))
+    return tuple(patterns.agg(F.count("*"), F.bit_xor(told), F.sum(F.pmod(told, F.lit(1 << 20)))).first())
+
+
+def discovered(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, own, start, end, kind) of the candidates of ``rows`` that ``new`` (as ``learned`` gives it) vouches for."""
+    some = rows.filter(F.col("kind") == CANDIDATE)
+    by = [
+        some.withColumn("pattern", F.concat_ws(" ", "word", "key")).withColumn("form", F.when(F.col("key") == "", "context").otherwise("opened")),
+        some.filter("key != ''").withColumn("pattern", F.col("key")).withColumn("form", F.lit("key")),
+    ]
+    found = by[0].unionByName(by[1]).join(new, ["form", "pattern", "m"])
+    return found.groupBy("doc_id", "own", "start", "end").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("kind"))
+
+
+def hidden_recall(docs: DataFrame) -> DataFrame:
+    """One row: of the credentials whose digest begins with 0 to 7, hidden from the seeds, the values and places, and how many of each the patterns find again."""
+    rows = saved(spots(docs, hide=F.substring(F.md5("m"), 1, 1) < "8"), "half-spots")
+    found = discovered(rows, saved(learned(rows), "relearned")).withColumn("found", F.lit(True))
+    places = rows.filter("hidden").join(found, ["doc_id", "own", "start", "end"], "left").groupBy("m").agg(F.count("*").alias("places"), F.count("found").alias("found"))
+    counts = [F.count("*").alias("hidden_values"), F.count_if(F.col("found") > 0).alias("found_values"), F.coalesce(F.sum("places"), F.lit(0)).alias("hidden_places"), F.coalesce(F.sum("found"), F.lit(0)).alias("found_places")]
+    return places.agg(*counts)
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): doc_id, base and added, arrays of (start, kind, end) in order; kind indexes KINDS."""
     rows = saved(spots(docs), "spots")
     new = saved(learned(rows), "learned")
     known = rows.filter(f"kind < {CANDIDATE}").select("doc_id", "own", "kind", "start", "end", (F.col("kind") == SECRET).alias("new"))
     if not new.isEmpty():
-        some = rows.filter(F.col("kind") == CANDIDATE)
-        by = [
-            some.withColumn("pattern", F.concat_ws(" ", "word", "key")).withColumn("form", F.when(F.col("key") == "", "context").otherwise("opened")),
-            some.filter("key != ''").withColumn("pattern", F.col("key")).withColumn("form", F.lit("key")),
-        ]
-        extra = by[0].unionByName(by[1]).join(new, ["form", "pattern", "m"]).groupBy("doc_id", "own", "start", "end").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("kind"))
-        known = known.unionByName(extra.select("doc_id", "own", "kind", "start", "end", F.lit(True).alias("new")))
+        known = known.unionByName(discovered(rows, new).select("doc_id", "own", "kind", "start", "end", F.lit(True).alias("new")))
     # overlap with a base span: with one that begins before, by the furthest end so far, or with the next
     near = Window.partitionBy("doc_id", "own").orderBy("start", "kind")
     ends = F.max(F.when((F.col("kind") >= 0) & ~F.col("new"), F.col("end"))).over(near.rowsBetween(Window.unboundedPreceding, -1))
