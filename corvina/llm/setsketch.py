@@ -217,7 +217,8 @@ class _Open:
         every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
         a = dealt.filter("out").select("g", part("ka", 1).alias("i"), every("kb").alias("j"), F.lit(True).alias("left"), "doc", "label", "tokens")
         b = dealt.select("g", every("ka").alias("i"), part("kb", 2).alias("j"), F.lit(False).alias("left"), "doc", "label", "tokens")
-        return a.unionByName(b).groupBy("g", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
+        # dealt by block: rows that lie by group already would stay so
+        return a.unionByName(b).repartition("g", "i", "j").groupBy("g", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
 
 
 def _sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
