@@ -18,7 +18,8 @@ KEY = ["doc_id", "text_xxh"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_xxh", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """KEY with the whole row as ``row``, so that no column of the documents is overwritten."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_xxh"), F.struct("*").alias("row"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     n = gone.count()
     if not n:
         return docs
-    return _keyed(docs.drop("text_xxh")).join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, KEY, "left_anti").select(*docs.columns)
+    return _keyed(docs).join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, KEY, "left_anti").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = _without(docs, found.filter("not kept"))
     if found.filter("kept").groupBy(*KEY).count().filter("count > 1").isEmpty():
         return kept
-    return _keyed(kept.drop("text_xxh")).dropDuplicates(KEY).select(*docs.columns)
+    return _keyed(kept).dropDuplicates(KEY).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +53,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group and stay.
     """
-    ids = _keyed(docs.select("doc_id", "text"))
+    ids = _keyed(docs.select("doc_id", "text")).select(*KEY, "row.text")
     if ids.groupBy("doc_id").agg(F.min("text_xxh").alias("lo"), F.max("text_xxh").alias("hi")).filter("lo <> hi").isEmpty():
         found = ngram_join.jaccard_classes(docs).filter("doc_id <> component_id").select("doc_id")
-        return _without(docs, _keyed(docs.select("doc_id", "text")).join(saved(found, "near"), "doc_id", "left_semi"))
+        return _without(docs, ids.join(saved(found, "near"), "doc_id", "left_semi"))
     # some doc_id has several texts: rows are numbered in a written table, and classes are of rows
     rows = saved(ids.dropDuplicates(KEY).withColumn("row", F.monotonically_increasing_id()), "rows")
     classes = saved(ngram_join.jaccard_classes(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "row-classes")
