@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from ..lexicons import load
 from ..operators import curate
 from ..session import scratch_folder
 from ..sources import ngram_file as source
-from ..sources import readers, sinks
+from ..sources import collection, readers, sinks
 from . import query, table
 from .grams import COUNTED, counted
 
@@ -61,12 +62,12 @@ def knowledge_base(spark, sf_dir):
 
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 10 <> 7")
 def collection_files(spark, sf_dir):
-    """A collection on disk: written, then upserted with deletions, then read by its pointer."""
+    """A collection on disk: written, then upserted with deletions, then read in its latest version."""
     root = scratch_folder(spark, "collection")
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    sinks.write_snapshot(e, root, "1")
-    sinks.upsert_collection(spark, root, e.filter("id % 3 = 0 and id % 10 <> 7").withColumn("label", F.col("label") + 100), "2", deleted=e.filter("id % 10 = 7"))
-    return sinks.read_snapshot(spark, root)
+    collection.write(e, root)
+    collection.upsert(spark, root, e.filter("id % 3 = 0 and id % 10 <> 7").withColumn("label", F.col("label") + 100), deleted=e.filter("id % 10 = 7"))
+    return collection.read(spark, root)
 
 
 @query("SELECT event_id, event_type AS route, value AS score FROM events")
@@ -84,11 +85,11 @@ def sqlite_scan(spark, sf_dir):
 
 @query(f"WITH {COUNTED}, t AS (SELECT ctx, sum(freq) AS total, count(*) AS nexts FROM tab GROUP BY ctx) SELECT count(*) AS contexts, sum(nexts)::BIGINT AS entries, sum(total)::BIGINT AS freq FROM t")
 def ngram_file(spark, sf_dir):
-    """The n-gram table file of all documents: written, verified, and its contexts, entries and frequencies counted by the data source."""
+    """The n-gram table of all documents, in shards that tasks write: written, verified, and its contexts, entries and frequencies counted by the data source."""
     words = lambda c: F.transform(F.split(c, " "), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int"))
     rows = counted(spark, sf_dir).select(words(F.col("ctx")).alias("ctx"), words(F.col("next"))[0].alias("next"), F.col("freq").cast("int").alias("freq"))
-    path = str(_folder("ngrams") / "table.bin")
-    sinks.write_ngram_file(rows, path, 5)
+    path = re.sub("^file:/*", "/", scratch_folder(spark, "ngrams"))
+    source.write_table(rows, path, 5, shard=20_000)
     if sinks.verify_ngram_file(rows, path):
         raise ValueError("the file does not hold what was written")
     source.register(spark)

@@ -1,24 +1,47 @@
-"""The n-gram table file as a Spark data source: ``spark.read.format("ngram_file").load(path)``, one row for each next of a context.
+"""The n-gram table file as a Spark data source, read and written by tasks: one row for each next of a context.
 
-Tasks read ranges of slots.  The file must be reachable under its path from every executor (a shared mount), like any file of a host.
+``spark.read.format("ngram_file").load(path)`` reads a table file, or a folder of them.  ``write_table`` writes such a folder: each task
+writes the shard of its range of hashes, a table file like any other, and what the tasks report makes the header ``table.json`` in the
+commit.  A folder without a header is none: readers refuse it, and a write that fails leaves what was there.  Paths must be reachable under their
+name from every executor (a shared mount).  An empty table is a folder without shards.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+import math
+import os
 import struct
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-#: Slots to a task.
-SLOTS = 1 << 20
+from ..functions.hashing import fnv1a as fnv1a_column
+
+#: Slots to a task that reads, contexts to a shard that one writes.
+SLOTS, SHARD = 1 << 20, 1 << 20
+HEADER_FILE = "table.json"
 
 
 class _Slots(InputPartition):
-    def __init__(self, first: int, last: int):
-        super().__init__((first, last))
-        self.first, self.last = first, last
+    def __init__(self, path: str, first: int, last: int):
+        super().__init__((path, first, last))
+        self.path, self.first, self.last = path, first, last
+
+
+def shards(path: str) -> list[dict]:
+    """The shards of a folder in the order of their hashes (file, first, last, contexts), or the one file itself."""
+    if not os.path.isdir(path):
+        return [{"file": path, "first": -(1 << 63), "last": (1 << 63) - 1}]
+    if not os.path.exists(header := os.path.join(path, HEADER_FILE)):
+        raise ValueError(f"{path} has no {HEADER_FILE}: not an n-gram table, or one that is being written")
+    with open(header, encoding="utf-8") as f:
+        return [s | {"file": os.path.join(path, s["file"])} for s in json.load(f)["shards"]]
 
 
 class _Reader(DataSourceReader):
@@ -37,14 +60,19 @@ class _Reader(DataSourceReader):
         return size
 
     def partitions(self) -> list[_Slots]:
-        with open(self.path, "rb") as f:
-            size = self._header(f)
-        return [_Slots(a, min(a + SLOTS, size)) for a in range(0, size, SLOTS)]
+        out = []
+        for shard in shards(self.path):
+            with open(shard["file"], "rb") as f:
+                size = self._header(f)
+            out += [_Slots(shard["file"], a, min(a + SLOTS, size)) for a in range(0, size, SLOTS)]
+        return out or [_Slots("", 0, 0)]
 
     def read(self, partition: _Slots) -> Iterator[tuple[int, int, int]]:
         from .sinks import HEADER, SLOT
 
-        with open(self.path, "rb") as f:
+        if not partition.path:
+            return
+        with open(partition.path, "rb") as f:
             data = HEADER.size + self._header(f) * SLOT.size
             f.seek(HEADER.size + partition.first * SLOT.size)
             raw = f.read((partition.last - partition.first) * SLOT.size)
@@ -56,6 +84,72 @@ class _Reader(DataSourceReader):
                         yield found - (1 << 64) if found >> 63 else found, following, freq
 
 
+@dataclass
+class _Shard(WriterCommitMessage):
+    file: str
+    first: int
+    last: int
+    contexts: int
+    order: int
+
+
+class _Writer(DataSourceWriter):
+    """Tasks get rows (ctx_hash, next, freq) of one range of hashes each, in the order of hash and falling frequency."""
+
+    def __init__(self, path: str, order: int, overwrite: bool):
+        self.path, self.order, self.overwrite = path, order, overwrite
+
+    def write(self, rows: Iterator) -> _Shard:
+        from .sinks import HEADER, MAGIC, SLOT, VERSION
+
+        told, bodies, at = [], [], 0
+        for found, group in itertools.groupby(rows, key=lambda r: r[0]):
+            nexts = [(r[1], r[2]) for r in group]
+            body = struct.pack("<I", len(nexts)) + b"".join(struct.pack("<II", *x) for x in nexts)
+            told.append((found % (1 << 64), at, sum(f for _, f in nexts)))
+            bodies.append(body)
+            at += len(body)
+        if not told:
+            return _Shard("", 0, 0, 0, self.order)
+        size = 1 << (max(2 * len(told), 16) - 1).bit_length()
+        slots = bytearray(size * SLOT.size)
+        for found, offset, total in told:
+            k = found % size
+            while slots[k * SLOT.size : k * SLOT.size + 8] != bytes(8):
+                k = (k + 1) % size
+            SLOT.pack_into(slots, k * SLOT.size, found, offset, total)
+        os.makedirs(self.path, exist_ok=True)
+        name = f"shard-{uuid.uuid4().hex}.bin"
+        with open(os.path.join(self.path, name), "wb") as f:
+            f.write(HEADER.pack(MAGIC, VERSION, self.order, size, len(told)))
+            f.write(slots)
+            f.writelines(bodies)
+        signed = [h - (1 << 64) if h >> 63 else h for h, _, _ in (told[0], told[-1])]
+        return _Shard(name, *signed, len(told), self.order)
+
+    def commit(self, messages: list) -> None:
+        """The header of the shards takes the place of an older one in one step; then the older shards go."""
+        os.makedirs(self.path, exist_ok=True)
+        if not self.overwrite and os.path.exists(os.path.join(self.path, HEADER_FILE)):
+            self.abort(messages)
+            raise ValueError(f"{self.path} holds an n-gram table")
+        some = sorted((m for m in messages if m is not None and m.file), key=lambda m: m.first)
+        told = {"order": self.order, "contexts": sum(m.contexts for m in some), "shards": [{"file": m.file, "first": m.first, "last": m.last, "contexts": m.contexts} for m in some]}
+        fresh = os.path.join(self.path, f".{uuid.uuid4().hex}.json")
+        with open(fresh, "w", encoding="utf-8") as f:
+            json.dump(told, f)
+        os.replace(fresh, os.path.join(self.path, HEADER_FILE))
+        kept = {m.file for m in some}
+        for name in os.listdir(self.path):
+            if name.startswith("shard-") and name not in kept:
+                os.unlink(os.path.join(self.path, name))
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and m.file and os.path.exists(at := os.path.join(self.path, m.file)):
+                os.unlink(at)
+
+
 class NgramFileSource(DataSource):
     """ctx_hash (FNV-1a of the context, as a signed long), next, freq."""
 
@@ -69,6 +163,42 @@ class NgramFileSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], int(self.options.get("order", "5")), overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(NgramFileSource)
+
+
+def write_table(table: DataFrame, path: str, order: int, shard: int = SHARD) -> None:
+    """Writes (ctx array<int>, next int, freq int) as a folder of shards of about ``shard`` contexts, one task each."""
+    from ..session import written
+
+    h = fnv1a_column(F.transform("ctx", lambda x: x.cast("long")))
+    rows = table.select(F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]).alias("ctx_hash"), F.col("next").cast("long").alias("next"), F.col("freq").cast("long").alias("freq"))
+    rows = written(rows, "hashed")
+    n = rows.agg(F.approx_count_distinct("ctx_hash")).first()[0]
+    rows = rows.repartitionByRange(max(1, math.ceil(n / shard)), "ctx_hash").sortWithinPartitions("ctx_hash", F.col("freq").desc(), "next")
+    register(table.sparkSession)
+    rows.write.format("ngram_file").option("order", order).mode("overwrite").save(path)
+
+
+class NgramTable:
+    """Lookups in a folder of shards (or a table file): the shard by the range of the hash, then the file's slots."""
+
+    def __init__(self, path: str):
+        self.shards, self.open = shards(path), {}
+
+    def lookup(self, ctx: list[int]) -> list[tuple[int, int]]:
+        """(next, freq), most frequent first."""
+        from .sinks import NgramFile, fnv1a
+
+        h = fnv1a(ctx)
+        signed = h - (1 << 64) if h >> 63 else h
+        for s in self.shards:
+            if s["first"] <= signed <= s["last"]:
+                if s["file"] not in self.open:
+                    self.open[s["file"]] = NgramFile(s["file"])
+                return self.open[s["file"]].lookup(ctx)
+        return []

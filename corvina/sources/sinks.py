@@ -16,26 +16,6 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_snapshot(rows: DataFrame, root: str, version: str) -> str:
-    """Writes a new version folder, then points ``CURRENT`` at it; readers of older versions are undisturbed."""
-    path = f"{root}/v={version}"
-    rows.write.mode("errorifexists").parquet(path)
-    rows.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/CURRENT")
-    return path
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={spark.read.text(f'{root}/CURRENT').first()[0]}")
-
-
-def upsert_collection(spark: SparkSession, root: str, new: DataFrame, version: str, key: str = "id", deleted: DataFrame | None = None) -> str:
-    """A new snapshot of a collection: rows of ``new`` replace those of equal id, rows of ``deleted`` go."""
-    old = read_snapshot(spark, root).join(new.select(key), key, "left_anti")
-    if deleted is not None:
-        old = old.join(deleted.select(key), key, "left_anti")
-    return write_snapshot(old.unionByName(new, allowMissingColumns=True), root, version)
-
-
 #: Between the notes of one file.
 NOTE_END = "\n␞\n"
 
@@ -126,7 +106,9 @@ class NgramFile:
 
 
 def verify_ngram_file(table: DataFrame, path: str, sample: int = 100) -> int:
-    """Looks up at most ``sample`` contexts (by hash order) and compares their nexts; the number that differ."""
-    f = NgramFile(path)
+    """Looks up at most ``sample`` contexts (by hash order) of a table file or folder and compares their nexts; the number that differ."""
+    from .ngram_file import NgramTable
+
+    f = NgramTable(path)
     g = table.groupBy("ctx").agg(F.collect_set(F.struct("next", "freq")).alias("nexts")).orderBy(F.xxhash64("ctx")).limit(sample)
     return sum(set(f.lookup(r["ctx"])) != {(n["next"], n["freq"]) for n in r["nexts"]} for r in g.collect())

@@ -10,7 +10,7 @@ from corvina.functions import hashing
 from corvina.functions import scoring as sc
 from corvina.functions import text as tx
 from corvina.operators import cache, chunk, curate, monitor, ngram, retrieve
-from corvina.sources import readers, sinks
+from corvina.sources import collection, readers, sinks
 
 
 def one(spark, value, column, kind="string"):
@@ -212,9 +212,9 @@ def test_text_corpus_and_snapshots(spark, tmp_path):
     (tmp_path / "kb/b.bin").write_text("no")
     assert [(r["text"], r["collection"]) for r in readers.knowledge_base(spark, str(tmp_path / "kb"), {"tech": "science"}).collect()] == [("# A\ntext", "science")]
     root = str(tmp_path / "snap")
-    sinks.write_snapshot(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), root, "1")
-    sinks.upsert_collection(spark, root, spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string"), "2", deleted=spark.createDataFrame([(1,)], "id int"))
-    assert sorted(tuple(r) for r in sinks.read_snapshot(spark, root).collect()) == [(2, "B"), (3, "c")]
+    collection.write(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), root)
+    collection.upsert(spark, root, spark.createDataFrame([(2, "B"), (3, "c")], "id int, v string"), deleted=spark.createDataFrame([(1,)], "id int"))
+    assert sorted(tuple(r) for r in collection.read(spark, root).collect()) == [(2, "B"), (3, "c")]
 
 
 def test_sqlite_csv_channels(spark, tmp_path):
@@ -292,3 +292,83 @@ def test_notes_hold_whole_texts(spark):
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert all(texts[r["doc_id"]].rstrip(" ") in r["plain"] for r in result(spark, "note_fields").collect())
+
+
+def test_ngram_table_of_shards(spark, tmp_path):
+    """Tasks write the shards; the header is put last, an older table is replaced, and files, lookups and the data source agree."""
+    import os
+    import random
+
+    from corvina.sources import ngram_file
+
+    r = random.Random(1)
+    rows = {(r.randrange(40), r.randrange(40), r.randrange(99)): r.randrange(1, 50) for _ in range(3000)}
+    table = spark.createDataFrame([([a, b], c, f) for (a, b, c), f in rows.items()], "ctx array<int>, next int, freq int")
+    path = str(tmp_path / "table")
+    os.makedirs(path)
+    with pytest.raises(ValueError, match="no table.json"):
+        ngram_file.NgramTable(path)
+    ngram_file.write_table(table.limit(10), path, 2)
+    old = [s["file"] for s in ngram_file.shards(path)]
+    ngram_file.write_table(table, path, 2, shard=100)
+    found = ngram_file.shards(path)
+    assert len(found) > 4 and all(a["last"] < b["first"] for a, b in zip(found, found[1:], strict=False)) and not any(os.path.exists(f) for f in old)
+    assert sorted(os.listdir(path)) == sorted([os.path.basename(s["file"]) for s in found] + ["table.json"])
+    told = ngram_file.NgramTable(path)
+    for a, b in [(1, 2), (39, 39), (40, 1), *{k[:2] for k in list(rows)[:200]}]:
+        want = sorted(((c, f) for (x, y, c), f in rows.items() if (x, y) == (a, b)), key=lambda n: (-n[1], n[0]))
+        assert told.lookup([a, b]) == want
+    assert spark.read.format("ngram_file").load(path).count() == len(rows) and sinks.verify_ngram_file(table, path, 500) == 0
+    ngram_file.write_table(table.limit(0), path, 2)
+    assert spark.read.format("ngram_file").load(path).count() == 0 and ngram_file.shards(path) == []
+
+
+def test_collection_readers_between_the_steps(spark, tmp_path, monkeypatch):
+    """A reader between any two steps of a writer finds the version before, whole; what it began to read stays."""
+    root = f"file://{tmp_path}/c"
+    frame = lambda *ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id int, v string")
+    ids = lambda **k: sorted(r["id"] for r in collection.read(spark, root, **k).collect())
+    with pytest.raises(ValueError, match="no version"):
+        ids()
+    assert collection.write(frame(1, 2), root) == 1 and ids() == [1, 2]
+    begun = collection.read(spark, root)
+    put, seen = collection._put, []
+
+    def spy(*a):
+        seen.append(ids())  # data is written, the manifest is not
+        put(*a)
+        seen.append(ids())
+
+    monkeypatch.setattr(collection, "_put", spy)
+    assert collection.append(frame(3), root) == 2 and seen == [[1, 2], [1, 2, 3]]
+    monkeypatch.setattr(collection, "_put", put)
+    # a manifest that is half written is not the latest
+    (tmp_path / "c/manifests/00000003.json").write_text('{"version": 3')
+    assert ids() == [1, 2, 3]
+    assert collection.upsert(spark, root, frame(2, 9), deleted=frame(1)) == 4 and ids() == [2, 3, 9] and ids(version=1) == [1, 2]
+    assert sorted(r["id"] for r in begun.collect()) == [1, 2]
+    assert collection.rewrite(spark, root, lambda rows: rows.filter("id > 2"), "expired") == 5 and ids() == [3, 9]
+    assert ids(as_of="2999-01-01 00:00:00") == [3, 9]
+    gone = collection.vacuum(spark, root, keep=1)
+    assert len(gone) == 3 and ids() == [3, 9]  # of the first write, the append and the upsert
+    with pytest.raises(ValueError, match="such version"):
+        ids(version=1)
+    collection.write(frame(), root)
+    assert ids() == [] and collection.read(spark, root).columns == ["id", "v"]
+
+
+def test_collection_writers_do_not_lose_each_others_rows(spark, tmp_path, monkeypatch):
+    """Of two writers of one version one is refused, and writes on what the other wrote."""
+    root = f"file://{tmp_path}/c"
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    collection.write(frame(1), root)
+    put, others = collection._put, [lambda: collection.append(frame(50), root)]
+
+    def late(*a):
+        if others:
+            others.pop()()
+        put(*a)
+
+    monkeypatch.setattr(collection, "_put", late)
+    assert collection.upsert(spark, root, frame(2)) == 3
+    assert sorted(r["id"] for r in collection.read(spark, root).collect()) == [1, 2, 50]
