@@ -87,11 +87,12 @@ def banded_theta_fallback(spark, sf_dir):
     return curate.near_length_score(keyed(spark, sf_dir).drop("route"), every).select("seq", "score")
 
 
-@query("""WITH s AS (SELECT source AS k, 0 AS o, doc_id AS v FROM documents WHERE lang = 'es' AND doc_id % 50 = 0 UNION ALL SELECT source, 1, doc_id FROM documents WHERE lang = 'fr' AND doc_id % 10 = 0 UNION ALL SELECT source, 2, doc_id FROM documents WHERE doc_id % 100 = 1)
+@query("""WITH s AS (SELECT concat(source, '-', n_chars // 500) AS k, CASE lang WHEN 'es' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS o, doc_id AS v FROM documents)
     SELECT k, o AS source_order, v FROM s WHERE o = (SELECT min(o) FROM s t WHERE t.k = s.k)""")
 def first_nonempty_source(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("k"), F.col("doc_id").alias("v"), "lang")
-    some = [d.filter("lang = 'es' and v % 50 = 0"), d.filter("lang = 'fr' and v % 10 = 0"), d.filter("v % 100 = 1")]
+    """Documents of a source and size in Spanish, else in French, else in other languages."""
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), F.expr("n_chars div 500")).alias("k"), F.col("doc_id").alias("v"), "lang")
+    some = [d.filter("lang = 'es'"), d.filter("lang = 'fr'"), d.filter("lang is null or lang not in ('es', 'fr')")]
     return curate.first_filled([x.select("k", "v") for x in some], "k")
 
 

@@ -49,13 +49,13 @@ def text_corpus(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(F.decode(F.unbase64("b"), "UTF-8"))).alias("chars"))
 
 
-@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'medical' WHEN doc_id % 3 = 1 THEN 'code' ELSE 'code' END AS collection, count(*) AS n FROM documents WHERE doc_id % 50 = 0 GROUP BY 1")
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'medical' ELSE 'code' END AS collection, count(*) AS n FROM documents GROUP BY 1")
 def knowledge_base(spark, sf_dir):
-    """Notes of every 50th document in three folders, each note a part of a file."""
+    """Notes of all documents in three folders, each note a part of a file."""
     root = scratch_folder(spark, "kb")
-    d = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id", F.concat_ws("/", F.lit(root), F.when(F.col("doc_id") % 3 == 0, "kine").when(F.col("doc_id") % 3 == 1, "tech").otherwise("misc")).alias("folder"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "kine").when(F.col("doc_id") % 3 == 1, "tech").otherwise("misc").alias("folder"))
     for name in ("kine", "tech", "misc"):
-        d.filter(F.col("folder").endswith(name)).select(F.concat(F.lit("# Note "), "doc_id").alias("value")).coalesce(1).write.text(f"{root}/{name}")
+        d.filter(F.col("folder") == name).select(F.concat(F.lit("# Note "), "doc_id").alias("value")).write.text(f"{root}/{name}")
     rows = readers.knowledge_base(spark, root, {"kine": "medical", "tech": "code"}, suffixes=["txt"])
     return rows.groupBy("collection").agg(F.sum(F.regexp_count("text", F.lit("# Note "))).cast("long").alias("n")).filter("n > 0")
 
@@ -72,15 +72,10 @@ def collection_files(spark, sf_dir):
 
 @query("SELECT event_id, event_type AS route, value AS score FROM events")
 def sqlite_scan(spark, sf_dir):
-    """A SQLite log of the host, as the reader of interactive logs finds it."""
-    import sqlite3
-
-    path = str(_folder("sqlite") / "log.db")
-    rows = [(r["event_id"], r["event_type"], r["value"]) for r in table(spark, sf_dir, "events").select("event_id", "event_type", "value").toLocalIterator()]
-    with sqlite3.connect(path) as con:
-        con.execute("CREATE TABLE decisions (event_id INTEGER, route TEXT, score REAL)")
-        con.executemany("INSERT INTO decisions VALUES (?, ?, ?)", rows)
-    return readers.sqlite_table(spark, path, "decisions")
+    """Logs of SQLite, a database of each task that wrote one, read by tasks in ranges of rows."""
+    path = scratch_folder(spark, "sqlite")
+    sinks.write_sqlite(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("route"), F.col("value").alias("score")).repartition(4, "event_id"), path, "decisions")
+    return readers.sqlite_table(spark, path, "decisions", rows=10_000)
 
 
 @query(f"WITH {COUNTED}, t AS (SELECT ctx, sum(freq) AS total, count(*) AS nexts FROM tab GROUP BY ctx) SELECT count(*) AS contexts, sum(nexts)::BIGINT AS entries, sum(total)::BIGINT AS freq FROM t")
@@ -107,15 +102,16 @@ def notes_sink(spark, sf_dir):
     return rows.select(F.regexp_extract("value", "body ([0-9]+)", 1).cast("long").alias("doc_id"), F.col("value").alias("note"))
 
 
-@query("SELECT file, status FROM (VALUES ('a.csv', true), ('b.txt', false), ('../out.csv', false), ('c;d.csv', false), ('missing.csv', false)) t(file, status)")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), p AS (SELECT k, n, unnest([concat('n=', n, '/', k, '.csv'), concat('n=', n, '/../n=', n, '/', k, '.CSV'), concat('../', k, '.csv'), concat('n=', n, '/', k, '.txt'), concat('n=', n, ';', k, '.csv'), concat('./n=', n, '//all.csv')]) AS path FROM s)
+    SELECT k, path, path = concat('./n=', n, '//all.csv') AS allowed FROM p""")
 def csv_hardening(spark, sf_dir):
-    """Which paths may be read: existing .csv files under the root, without shell characters."""
-    root = _folder("csv")
-    (root / "in").mkdir()
-    for name in ("in/a.csv", "in/b.txt", "out.csv", "in/c;d.csv"):
-        (root / name).write_text("x")
-    names = ["a.csv", "b.txt", "../out.csv", "c;d.csv", "missing.csv"]
-    return spark.createDataFrame([(n, readers.csv_allowed(str(root / "in" / n), [str(root / "in")])) for n in names], "file string, status boolean")
+    """Which of many paths may be read, against the files of suppliers by nation: inside the root, plain, and there."""
+    root = scratch_folder(spark, "csv")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    files = s.select(F.format_string("%s/n=%s/all.csv", F.lit(root), "n").alias("path")).distinct()
+    path = lambda t: F.format_string(t, "n", "k")
+    asked = s.select("k", F.explode(F.array(path("n=%1$s/%2$s.csv"), path("n=%1$s/../n=%1$s/%2$s.CSV"), path("../%2$s.csv"), path("n=%1$s/%2$s.txt"), path("n=%1$s;%2$s.csv"), path("./n=%1$s//all.csv"))).alias("path"))
+    return readers.csv_files_allowed(asked, files, root).select("k", "path", "allowed")
 
 
 @query("""WITH k AS (SELECT lower(c_name) AS key, c_custkey AS id, 2 * c_custkey AS place FROM customer UNION ALL SELECT concat('c', c_custkey, '-', c_nationkey), c_custkey, 2 * c_custkey + 1 FROM customer),
@@ -143,17 +139,21 @@ def pdf_files(spark, sf_dir):
     return files.join(pages.select("part", "n"), "part")
 
 
-@query("SELECT 'thing' AS pattern, 2 AS routes, 'other' AS fallback")
+@query("SELECT lower(r_name) AS route, string_agg(lower(n_name), '|' ORDER BY n_name) AS pattern, 'africa' AS fallback FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def config_scan(spark, sf_dir):
-    """A configuration file read again when it changes, and the lexicon it makes."""
+    """A configuration made of regions and their nations, read again when it changes, and the routes of the lexicon that it makes."""
     path = _folder("config") / "lexicon.json"
     path.write_text("{}")
     config = readers.Config(str(path))
     config.get()
-    path.write_text(json.dumps({"routes": [["code", "thing"], ["data", "que"]], "default_route": "other"}))
+    rows = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = rows.groupBy(F.lower("r_name").alias("route")).agg(F.array_join(F.array_sort(F.collect_list(F.lower("n_name"))), "|").alias("pattern"))
+    path.write_text(json.dumps({"routes": [[r["route"], r["pattern"]] for r in rows.orderBy("route").collect()], "default_route": "africa"}))  # a region is a row
     config.seen = 0  # written within the clock's resolution
     told, lex = config.get(), load(str(path))
-    return spark.createDataFrame([(told["routes"][0][1], len(lex.routes), lex.default_route)], "pattern string, routes int, fallback string")
+    if [list(r) for r in lex.routes] != told["routes"]:
+        raise ValueError("the lexicon is not that of the file")
+    return spark.createDataFrame([(route, pattern, lex.default_route) for route, pattern in lex.routes], "route string, pattern string, fallback string")
 
 
 @query("SELECT source AS name, count(*) AS n, max(n_chars) AS largest FROM documents GROUP BY source")

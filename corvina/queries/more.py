@@ -53,10 +53,10 @@ def training_domain(spark, sf_dir):
     return rows.withColumn("reward", tn.combined_reward(F.col("domain"), F.lit(0.0), F.when(i % 2 == 0, 1.0), F.when(i % 3 > 0, i % 5 + 1)))
 
 
-@query(f"""WITH {PAIRS} SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN prompt ELSE concat(array_to_string(CASE WHEN turn % 3 = 1 THEN [answer[1:10]] ELSE [answer[1:10], answer[11:20]] END, chr(10) || '---' || chr(10)), chr(10), chr(10),
+@query(f"""WITH {PAIRS} SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN prompt ELSE concat(array_to_string(CASE WHEN turn % 3 = 1 THEN [answer] ELSE [answer, prompt] END, chr(10) || '---' || chr(10)), chr(10), chr(10),
     CASE {_ROUTE} WHEN 'code' THEN 'Answer with code.' WHEN 'research' THEN 'Cite the sources.' WHEN 'kine' THEN 'Answer in short steps.' ELSE 'Use the context.' END, chr(10), chr(10), prompt) END AS prompt FROM pairs""")
 def context_prompt(spark, sf_dir):
-    one, two = F.substring("answer", 1, 10), F.substring("answer", 11, 10)
+    one, two = F.col("answer"), F.col("prompt")
     blocks = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).when(F.col("turn") % 3 == 1, F.array(one)).otherwise(F.array(one, two))
     return pairs(spark, sf_dir).select("conv_id", "turn", tn.prompt_with_context(F.col("prompt"), blocks, F.expr(_ROUTE)).alias("prompt"))
 
@@ -71,13 +71,13 @@ def enrichment_accounting(spark, sf_dir):
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query(f"""WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents) SELECT doc_id, coalesce(l[1], '') AS title, array_to_string(list_transform(range(1, least(len(l), 3) + 1), lambda i: concat('Step ', i, ': ', l[i])), chr(10)) AS steps,
+@query(f"""WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents) SELECT doc_id, coalesce(l[1], '') AS title, array_to_string(list_transform(range(1, len(l) + 1), lambda i: concat('Step ', i, ': ', l[i])), chr(10)) AS steps,
     concat('Question: ', coalesce(l[1], ''), chr(10), chr(10), 'First view:', chr(10), coalesce(l[2], '-'), chr(10), chr(10), 'Second view:', chr(10), coalesce(l[3], '-'), chr(10), chr(10), 'Name what is wrong in each.') AS debate FROM l""")
 def model_prompts(spark, sf_dir):
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = table(spark, sf_dir, "documents").withColumn("l", lines)
     at = lambda k, d: F.coalesce(F.get("l", F.lit(k)), F.lit(d))
-    return rows.select("doc_id", tn.summary(F.col("text"))["title"].alias("title"), tn.step_prompt(F.slice("l", 1, 3)).alias("steps"), tn.debate_prompt(at(0, ""), at(1, "-"), at(2, "-")).alias("debate"))
+    return rows.select("doc_id", tn.summary(F.col("text"))["title"].alias("title"), tn.step_prompt(F.col("l")).alias("steps"), tn.debate_prompt(at(0, ""), at(1, "-"), at(2, "-")).alias("debate"))
 
 
 _MODE = "CASE doc_id % 4 WHEN 0 THEN 'general' WHEN 1 THEN 'code' WHEN 2 THEN 'medical' ELSE 'odd' END"

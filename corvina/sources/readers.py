@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,33 +52,83 @@ def tail_by_group(rows: DataFrame, group: str, n: int, order: str = "seq") -> Da
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).desc()))).filter(F.col("_rn") <= n).drop("_rn")
 
 
-#: A log file of at most this size is read by one reader.
-SQLITE_BYTES = 256 << 20
+#: Rows of a SQLite table to a task.
+SQLITE_ROWS = 1_000_000
+_SQLITE_KINDS = {"INTEGER": "long", "INT": "long", "REAL": "double", "TEXT": "string"}
 
 
-def sqlite_table(spark: SparkSession, path: str, table: str, most: int = SQLITE_BYTES) -> DataFrame:
-    """A SQLite table of the driver's host, whose interactive logs are small; a file over ``most`` bytes is refused.  Column types follow the declared ones."""
+def _plain_path(path: str) -> str:
+    """A path as a host's tools take it."""
+    return re.sub("^file:/*", "/", path)
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, rows: int = SQLITE_ROWS) -> DataFrame:
+    """A SQLite table, read by tasks in ranges of ``rows`` row numbers; path: a database, or a folder of databases (``*.db``).
+
+    The databases must be reachable under their path from every executor (a shared mount).  Only their declared columns and largest row
+    numbers are read by the driver; column types follow the declarations of the first that has the table.  Databases without it have no rows.
+    """
     import sqlite3
 
-    if (size := Path(path).stat().st_size) > most:
-        raise ValueError(f"{path} has {size} bytes; export a log of over {most} as Parquet")
-    kinds = {"INTEGER": "long", "INT": "long", "REAL": "double", "TEXT": "string"}
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-        if not table.isidentifier():
-            raise ValueError(f"not a table name: {table}")
-        columns = [(c[1], kinds.get(c[2].upper().split("(")[0], "string")) for c in con.execute(f"PRAGMA table_info({table})")]
-        rows = con.execute(f"SELECT {', '.join(c for c, _ in columns)} FROM {table}").fetchall()
-    return spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in columns))
+    if not table.isidentifier():
+        raise ValueError(f"not a table name: {table}")
+    path = _plain_path(path)
+    files = sorted(str(f) for f in Path(path).glob("*.db")) if Path(path).is_dir() else [path]
+    columns, splits = [], []
+    for f in files:
+        with sqlite3.connect(f"file:{f}?mode=ro", uri=True) as con:
+            told = [(c[1], _SQLITE_KINDS.get(c[2].upper().split("(")[0], "string")) for c in con.execute(f"PRAGMA table_info({table})")]
+            if not told:
+                continue
+            columns = columns or told
+            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {table}").fetchone()
+            splits += [(f, a, min(a + rows - 1, high)) for a in range(low, high + 1, rows)] if low is not None else []
+    if not columns:
+        raise ValueError(f"no table {table} under {path}")
+    names, schema = [c for c, _ in columns], T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in columns))
+    kinds = [pa.int64() if t == "long" else pa.float64() if t == "double" else pa.string() for _, t in columns]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with sqlite3.connect(f"file:{f}?mode=ro", uri=True) as con:
+                    found = con.execute(f"SELECT {', '.join(names)} FROM {table} WHERE rowid BETWEEN ? AND ?", (a, b))
+                    while part := found.fetchmany(10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
+
+    parts = spark.createDataFrame(splits, "file string, a long, b long")
+    return parts.repartition(max(1, len(splits)), "file", "a").mapInArrow(read, schema)
+
+
+#: What no path may hold that a shell sees.
+SHELL = ";|&$`<>\n\"'*?(){}"
 
 
 def csv_allowed(path: str, roots: list[str]) -> bool:
     """Whether a path is a plain ``.csv`` file under one of the roots, without shell characters."""
-    if any(c in path for c in ";|&$`<>\n\"'*?(){}") or not path.lower().endswith(".csv"):
+    if any(c in path for c in SHELL) or not path.lower().endswith(".csv"):
         return False
     real = Path(path).resolve()
     return real.is_file() and any(real.is_relative_to(Path(r).resolve()) for r in roots)
 
 
+def csv_files_allowed(asked: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """``asked`` (path, relative to ``root``) with ``allowed``, for many paths: a plain .csv among ``files`` (path), inside the root, without shell characters.
+
+    Steps ``.`` and ``..`` are followed in the text of the path; one that leaves the root is refused.
+    """
+    steps = F.filter(F.split("path", "/"), lambda s: ~s.isin("", "."))
+    up = F.transform(steps, lambda s: F.when(s == "..", -1).otherwise(1))
+    # the depth after each step, and the least of them: below none, the path leaves the root
+    depth = F.transform(F.sequence(F.lit(1), F.size(up)), lambda i: F.aggregate(F.slice(up, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    inside = (F.size(up) > 0) & F.forall(depth, lambda d: d >= 0)
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, s)))
+    plain = ~F.exists(F.split("path", ""), lambda c: c.isin(*SHELL)) & F.lower("path").endswith(".csv") & ~F.startswith("path", F.lit("/"))
+    rows = asked.withColumn("_real", F.when(plain & inside, F.concat_ws("/", F.lit(_plain_path(root)), F.array_join(walked, "/"))))
+    known = files.select(F.regexp_replace("path", "^file:/*", "/").alias("_real"), F.lit(True).alias("_there")).distinct()
+    return rows.join(known, "_real", "left").withColumn("allowed", F.coalesce("_there", F.lit(False))).drop("_real", "_there")
+
+
 class Config:
     """A JSON or (where the yaml package is there) YAML configuration file, read again when it changes."""
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import struct
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a as fnv1a_column
@@ -16,6 +17,46 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_sqlite(rows: DataFrame, folder: str, table: str) -> int:
+    """Appends rows to a folder of SQLite databases, one of each task; the number of rows.  A task that runs again replaces its database.
+
+    The folder must be reachable under its path from every executor (a shared mount).
+    """
+    import os
+    import sqlite3
+    import uuid
+
+    kinds = {"string": "TEXT", "double": "REAL", "float": "REAL", "int": "INTEGER", "bigint": "INTEGER"}
+    if not table.isidentifier() or not all(c.isidentifier() and t in kinds for c, t in rows.dtypes):
+        raise ValueError("names must be identifiers, and columns texts or numbers")
+    folder, run, columns = re.sub("^file:/*", "/", folder), uuid.uuid4().hex, ", ".join(f"{c} {kinds[t]}" for c, t in rows.dtypes)
+
+    def write(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        os.makedirs(folder, exist_ok=True)
+        part = TaskContext.get().partitionId()
+        name, fresh, n = f"{folder}/{run}-{part:06d}.db", f"{folder}/.{uuid.uuid4().hex}", 0
+        con = sqlite3.connect(fresh)
+        con.execute(f"CREATE TABLE {table} ({columns})")
+        for batch in batches:
+            con.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * batch.num_columns)})", zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            n += batch.num_rows
+        con.commit()
+        con.close()
+        os.replace(fresh, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def archive(rows: DataFrame, folder: str, key: str = "run_id") -> None:
+    """Adds records of patches as JSON, one line each, under ``folder`` by run; ``patch_diff`` is cut to 5000 characters."""
+    cut = rows.withColumn("patch_diff", F.substring(F.coalesce("patch_diff", F.lit("")), 1, 5000)) if "patch_diff" in rows.columns else rows
+    cut.withColumn("_run", F.col(key)).write.mode("append").partitionBy("_run").json(folder)
+
+
 #: Between the notes of one file.
 NOTE_END = "\n␞\n"
 

@@ -10,7 +10,7 @@ from corvina.functions import hashing
 from corvina.functions import scoring as sc
 from corvina.functions import text as tx
 from corvina.operators import cache, chunk, curate, monitor, ngram, retrieve
-from corvina.sources import collection, readers, sinks
+from corvina.sources import collection, file_index, readers, sinks
 
 
 def one(spark, value, column, kind="string"):
@@ -185,10 +185,43 @@ def test_configuration_is_read_again(spark, tmp_path):
     assert config.get() == {"name": "b"}
 
 
-def test_sqlite_refuses_large_files(spark, tmp_path):
-    (tmp_path / "d.db").write_bytes(b"x" * 100)
-    with pytest.raises(ValueError, match="100 bytes"):
-        readers.sqlite_table(spark, str(tmp_path / "d.db"), "t", most=99)
+def test_sqlite_by_tasks(spark, tmp_path):
+    """Databases of several tasks and writes, read in ranges of rows; nulls, deleted rows, empty tables and other databases."""
+    import sqlite3
+
+    folder = str(tmp_path / "logs")
+    rows = [(i, None if i % 7 == 0 else f"é{i}", None if i % 5 == 0 else i / 4) for i in range(500)]
+    frame = spark.createDataFrame(rows, "id long, name string, score double").repartition(3)
+    assert sinks.write_sqlite(frame, f"file://{folder}", "told") == 500 and sinks.write_sqlite(frame.filter("id < 10"), folder, "told") == 10
+    with sqlite3.connect(f"{folder}/other.db") as con:
+        con.execute("CREATE TABLE x (y INTEGER)")
+    got = readers.sqlite_table(spark, f"file://{folder}", "told", rows=37)
+    assert got.dtypes == [("id", "bigint"), ("name", "string"), ("score", "double")]
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(rows + rows[:10], got.schema).collect()))
+    one = str(tmp_path / "one.db")
+    with sqlite3.connect(one) as con:
+        con.execute("CREATE TABLE t (a INTEGER, b VARCHAR(9))")
+        con.executemany("INSERT INTO t VALUES (?, ?)", [(i, str(i)) for i in range(100)])
+        con.execute("DELETE FROM t WHERE a % 2 = 0")
+        con.execute("CREATE TABLE none (a INTEGER)")
+    assert sorted(tuple(r) for r in readers.sqlite_table(spark, one, "t", rows=9).collect()) == [(i, str(i)) for i in range(1, 100, 2)]
+    assert readers.sqlite_table(spark, one, "none").collect() == []
+    for name, error in (("missing", "no table"), ("a; drop", "not a table")):
+        with pytest.raises(ValueError, match=error):
+            readers.sqlite_table(spark, one, name)
+
+
+def test_many_csv_paths(spark, tmp_path):
+    """The rules for one path, over many: against the check of the host."""
+    root = tmp_path / "in"
+    (root / "sub").mkdir(parents=True)
+    for name in ("a.csv", "b.CSV", "c.txt", "sub/d.csv", "e;f.csv", "100%.csv", "a+b c.csv"):
+        (root / name).write_text("x")
+    (tmp_path / "out.csv").write_text("x")
+    names = ["a.csv", "b.CSV", "c.txt", "sub/d.csv", "sub/../a.csv", "./a.csv", "sub//d.csv", "../out.csv", "sub/../../out.csv", "e;f.csv", "g.csv", "", "..", "sub", "a.csv/..", "$x.csv", "100%.csv", "a+b c.csv"]
+    files = file_index.listing(spark, f"file://{root}", "*")
+    got = {r["path"]: r["allowed"] for r in readers.csv_files_allowed(spark.createDataFrame([(n,) for n in names], "path string"), files, f"file://{root}").collect()}
+    assert got == {n: readers.csv_allowed(str(root / n), [str(root)]) for n in names}
 
 
 def test_ngram_file_source(spark, tmp_path, monkeypatch):
