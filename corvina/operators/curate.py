@@ -78,6 +78,30 @@ def first_filled(sources: list[DataFrame], key: str) -> DataFrame:
     return every.join(best, [key, "source_order"])
 
 
+def search_result(rows: DataFrame) -> DataFrame:
+    """``rows`` of a search backend with title, url and content alone, beside the other columns: content is the snippet, where there is one; missing ones are empty."""
+    rows = rows.withColumn("content", F.coalesce(*[F.col(c) for c in ("snippet", "content") if c in rows.columns], F.lit("")))
+    for c in ("title", "url"):
+        rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit(""))
+    return rows.drop("snippet")
+
+
+def answered(backends: list[tuple[str, DataFrame]], asked: DataFrame, answer: str, key: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """(results, one row for each of ``asked``: key, answer, backend) of search backends (name, rows) in order of preference.
+
+    The first backend that has results for a query gives them all; a row with the title ``answer`` is its synthesised answer, no result, and is
+    split off: a backend that has nothing else has no results.  Queries that no backend has results for have the backend ``none``.
+    """
+    shaped = [(name, search_result(rows)) for name, rows in backends]
+    chosen = first_filled([rows.filter(F.col("title") != answer).withColumn("backend", F.lit(name)) for name, rows in shaped], key)
+    told = None
+    for name, rows in shaped:
+        one = rows.filter(F.col("title") == answer).groupBy(key).agg(F.max("content").alias("answer")).withColumn("backend", F.lit(name))
+        told = one if told is None else told.unionByName(one)
+    by = asked.select(key).distinct().join(chosen.select(key, "backend").distinct(), key, "left").withColumn("backend", F.coalesce("backend", F.lit("none")))
+    return chosen.drop("source_order"), by.join(told, [key, "backend"], "left").select(key, "answer", "backend")
+
+
 def decayed(rows: DataFrame, as_of: str, score: str = "score", ts: str = "ts") -> DataFrame:
     """Drops rows of over 90 days, halves scores (1 at least) of over 30, to the second; bad times count as now."""
     now = F.lit(as_of).cast("timestamp")

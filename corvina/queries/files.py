@@ -102,6 +102,23 @@ def notes_sink(spark, sf_dir):
     return rows.select(F.regexp_extract("value", "body ([0-9]+)", 1).cast("long").alias("doc_id"), F.col("value").alias("note"))
 
 
+@query("""WITH n AS (SELECT doc_id, concat(lang, '/', CASE WHEN doc_id % 2 = 0 THEN 'code/ch' ELSE '' END) AS f, source, doc_id % 2 = 0 AS known, concat('2024-01-0', doc_id % 2 + 1, '_', source) AS base FROM documents),
+    p AS (SELECT doc_id, source, known, concat(CASE WHEN known THEN 'code/ch' ELSE 'web' END, '/', base) AS base FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS nth FROM p)
+    SELECT doc_id, concat(base, CASE WHEN nth > 1 THEN concat('_', nth) ELSE '' END, '.md') AS path, CASE WHEN known THEN 'code' ELSE 'general' END AS category FROM r""")
+def note_index(spark, sf_dir):
+    """Notes of all documents, titled by their source: two thirds are indexed first, then the others beside them."""
+    root = scratch_folder(spark, "notes-index")
+    known = F.col("doc_id") % 2 == 0
+    d = table(spark, sf_dir, "documents").select(
+        F.format_string("u%012d", "doc_id").alias("url"), F.col("source").alias("title"), F.lit("general").alias("category"), F.concat(F.lit("2024-01-0"), F.col("doc_id") % 2 + 1).alias("date"), F.lit("web").alias("source_type"),
+        F.when(known, "code").alias("domain"), F.when(known, "ch").alias("channel"))
+    edge = d.count() * 2 // 3
+    none = spark.createDataFrame([], "path string")
+    sinks.index_notes(sinks.named_notes(d.filter(F.substring("url", 2, 12).cast("long") < edge), none), root, "2024-01-03")
+    sinks.index_notes(sinks.named_notes(d.filter(F.substring("url", 2, 12).cast("long") >= edge), collection.read(spark, root)), root, "2024-01-04")
+    return collection.read(spark, root).select(F.substring("url", 2, 12).cast("long").alias("doc_id"), "path", "category")
+
+
 @query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), p AS (SELECT k, n, unnest([concat('n=', n, '/', k, '.csv'), concat('n=', n, '/../n=', n, '/', k, '.CSV'), concat('../', k, '.csv'), concat('n=', n, '/', k, '.txt'), concat('n=', n, ';', k, '.csv'), concat('./n=', n, '//all.csv')]) AS path FROM s)
     SELECT k, path, path = concat('./n=', n, '//all.csv') AS allowed FROM p""")
 def csv_hardening(spark, sf_dir):

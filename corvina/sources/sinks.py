@@ -7,10 +7,13 @@ import shutil
 import struct
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.hashing import fnv1a as fnv1a_column
+from ..session import written
+from . import collection
 
 
 def append_json(rows: DataFrame, path: str) -> None:
@@ -57,6 +60,47 @@ def archive(rows: DataFrame, folder: str, key: str = "run_id") -> None:
     cut.withColumn("_run", F.col(key)).write.mode("append").partitionBy("_run").json(folder)
 
 
+def named_notes(notes: DataFrame, index: DataFrame, most: int = 60) -> DataFrame:
+    """``notes`` (title, date, url, category, source_type, and domain and channel where known) with ``path``: where each goes.
+
+    The folder is domain/channel, else the source type; the name is date and slug, with _2, _3 ... where the index (path) or notes
+    before it (by url) have that name.  A title without letters or digits is untitled; the category of a known channel is its domain.
+    """
+    slug = tx.slug(F.coalesce("title", F.lit("")), most)
+    folder = F.when(F.col("domain").isNotNull(), F.concat_ws("/", "domain", F.coalesce("channel", "source_type"))).otherwise(F.col("source_type"))
+    base = F.concat(folder, F.lit("/"), F.col("date"), F.lit("_"), F.when(slug == "", "untitled").otherwise(slug))
+    rows = notes.withColumn("category", F.coalesce("domain", "category")).withColumn("_base", base)
+    # what the index has: a name counts for its base, and for the name itself, as that may end like a number
+    taken = index.select(F.regexp_replace("path", r"\.md$", "").alias("name"))
+    taken = taken.select(F.explode(F.array_distinct(F.array("name", F.regexp_replace("name", "_[0-9]+$", "")))).alias("_base")).groupBy("_base").agg(F.count("*").alias("_n"))
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy("url")) + F.coalesce("_n", F.lit(0))
+    rows = rows.join(taken, "_base", "left").withColumn("_nth", nth)
+    return rows.withColumn("path", F.concat("_base", F.when(F.col("_nth") > 1, F.concat(F.lit("_"), "_nth")).otherwise(""), F.lit(".md"))).drop("_base", "_n", "_nth")
+
+
+def index_notes(notes: DataFrame, root: str, at: str) -> int:
+    """Adds ``named_notes`` to the index of notes, a versioned collection, as ingested at the time ``at``; the new version."""
+    entry = ["url", "title", "category", "date", "path", "source_type"]
+    return collection.append(notes.select(*entry, F.lit(at).alias("ingested_at")), root)
+
+
+def write_back(prompts: DataFrame, root: str, key: str = "domain") -> DataFrame:
+    """Puts prompts (key, system_prompt) in the place of those of a collection; versions before are the backups.
+
+    Returns for each prompt its length before (null: there was none and nothing is written) and now.
+    """
+    spark = prompts.sparkSession
+    old = collection.read(spark, root)
+    known = written(prompts.select(key, F.col("system_prompt").alias("_new")).join(old.select(key, F.coalesce(F.length("system_prompt"), F.lit(0)).alias("before")), key, "left"), "prompts")
+    fresh = known.filter("before is not null").select(key, "_new")
+
+    def change(rows: DataFrame) -> DataFrame:
+        return rows.join(fresh, key, "left").withColumn("system_prompt", F.coalesce("_new", "system_prompt")).select(*rows.columns)
+
+    collection.rewrite(spark, root, change, "write back")
+    return known.select(key, "before", F.length("_new").alias("now"))
+
+
 #: Between the notes of one file.
 NOTE_END = "\n␞\n"
 

@@ -14,6 +14,7 @@ from corvina.functions import turns as tn
 from corvina.operators import asof, cache, chunk, curate, monitor, retrieve, stores
 from corvina.plans import requests as rq
 from corvina.plans import search
+from corvina.sources import collection, sinks
 
 
 def one(spark, value, column, kind="string"):
@@ -472,3 +473,42 @@ def test_streams_come_from_files(spark, tmp_path):
     got = streams.run_once(stream().groupBy("k").agg(F.count("*").alias("n")), str(tmp_path / "out"), str(tmp_path / "ck"), "complete")
     assert {r["k"]: r["n"] for r in got.collect()} == {"a": 2, "b": 1}
     assert streams.run_once(stream(), str(tmp_path / "out2"), str(tmp_path / "ck2")).count() == 3
+
+
+def test_backends_in_order_with_the_answer_split_off(spark):
+    """The first backend with results answers a query; a synthesised answer is no result, and only that of the backend that answers counts."""
+    one = spark.createDataFrame([(1, "A", "ua", "snip", "full"), (3, None, None, None, "c")], "query_id int, title string, url string, snippet string, content string")
+    two = spark.createDataFrame([(1, "Answer", "", "why 1"), (2, "Answer", "", "why 2"), (2, "B", "ub", "b"), (2, "C", None, None), (4, "Answer", "", "alone")], "query_id int, title string, url string, content string")
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "query_id int")
+    results, told = curate.answered([("first", one), ("second", two)], asked, "Answer")
+    assert sorted(results.columns) == ["backend", "content", "query_id", "title", "url"]
+    got = sorted((r["query_id"], r["backend"], r["title"], r["url"], r["content"]) for r in results.collect())
+    assert got == [(1, "first", "A", "ua", "snip"), (2, "second", "B", "ub", "b"), (2, "second", "C", "", ""), (3, "first", "", "", "c")]
+    assert sorted(tuple(r) for r in told.collect()) == [(1, None, "first"), (2, "why 2", "second"), (3, None, "first"), (4, None, "none"), (5, None, "none")]
+
+
+def test_prompts_are_written_back_with_backups(spark, tmp_path):
+    root = f"file://{tmp_path}/prompts"
+    collection.write(spark.createDataFrame([("code", "old", 1), ("kine", None, 2), ("data", "same", 3)], "domain string, system_prompt string, budget int"), root)
+    told = sinks.write_back(spark.createDataFrame([("code", "newer"), ("kine", "first"), ("none", "x")], "domain string, system_prompt string"), root)
+    assert sorted(tuple(r) for r in told.collect()) == [("code", 3, 5), ("kine", 0, 5), ("none", None, 1)]
+    assert sorted(tuple(r) for r in collection.read(spark, root).collect()) == [("code", "newer", 1), ("data", "same", 3), ("kine", "first", 2)]
+    assert {r["system_prompt"] for r in collection.read(spark, root, version=1).collect()} == {"old", None, "same"}
+
+
+def test_names_of_notes(spark):
+    notes = [("u1", "É a!", "2024-01-01", None, None), ("u2", "e A", "2024-01-01", None, None), ("u3", "--", "2024-01-01", None, None), ("u4", "x", "2024-01-01", "medical", "ch"), ("u5", "n 2", "2024-01-01", None, None), ("u6", "n", "2024-01-01", None, None)]
+    notes = spark.createDataFrame(notes, "url string, title string, date string, domain string, channel string").withColumns({"category": F.lit("general"), "source_type": F.lit("web")})
+    index = spark.createDataFrame([("web/2024-01-01_e-a.md",), ("web/2024-01-01_e-a_2.md",)], "path string")
+    got = {r["url"]: (r["path"], r["category"]) for r in sinks.named_notes(notes, index).collect()}
+    assert got == {
+        "u1": ("web/2024-01-01_e-a_3.md", "general"), "u2": ("web/2024-01-01_e-a_4.md", "general"), "u3": ("web/2024-01-01_untitled.md", "general"),
+        "u4": ("medical/ch/2024-01-01_x.md", "medical"), "u5": ("web/2024-01-01_n-2.md", "general"), "u6": ("web/2024-01-01_n.md", "general"),
+    }
+
+
+def test_archived_patches(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "a", "d" * 6000), (8, "b", None)], "run_id int, agent string, patch_diff string")
+    sinks.archive(rows, f"file://{tmp_path}/patches")
+    got = {r["run_id"]: (r["agent"], len(r["patch_diff"])) for r in spark.read.json(f"file://{tmp_path}/patches").collect()}
+    assert got == {7: ("a", 5000), 8: ("b", 0)} and (tmp_path / "patches/_run=7").is_dir()
