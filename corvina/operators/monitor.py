@@ -65,12 +65,13 @@ def gates(proposals: DataFrame, runs: DataFrame, judgements: DataFrame, key: str
     """
     patched = runs.filter("patched").select(F.col(key), "ts", F.col("ts").alias("_last"))
     rows = proposals.withColumn("_head", F.lower(F.substring("pattern", 1, head)))
+    heads = rows.select("_head").distinct()
     rows = asof.last_before(rows, patched, [key], ["_last"])
     rows = asof.counted(rows, patched, [], F.date_trunc("day", "ts"), at=False, name="_today")
     rows = asof.counted(rows, judgements, [key], F.col("ts") - F.expr(f"interval {days} days"), name="_judged")
     undone = runs.filter("reverted").select(F.col(key), "ts", F.lower("pattern").alias("_text"))
     # which heads lie in which summaries: both are distinct texts, and met by their rare grams
-    told = grams.contained(undone.select("_text").distinct(), rows.select("_head").distinct(), "_text", "_text", "_head")
+    told = grams.contained(undone.select("_text").distinct(), heads, "_text", "_text", "_head")
     told = told.unionByName(undone.filter("_text is not null").select("_text", F.lit("").alias("_head")).distinct())
     rows = asof.counted(rows, undone.join(told, "_text"), [key, "_head"], name="_undone")
     gate = (

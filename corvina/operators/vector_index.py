@@ -131,16 +131,16 @@ class VectorIndex:
         # a list is one folder; a list of many vectors is several files of it
         rows.repartition(F.col("list"), F.expr("pmod(xxhash64(vec_id), 8)")).write.mode("append").partitionBy("list").parquet(f"{self.root}/vectors")
 
-    def _places(self, queries: DataFrame) -> DataFrame:
-        """Queries (query_id, q) with ``places``: the lists in order of similarity to the query, with that similarity (list, near)."""
-        centroids = self.centroids
+    def _places(self, queries: DataFrame, most: int | None = None) -> DataFrame:
+        """Queries (query_id, q) with ``places``: the first ``most`` lists in order of similarity to the query, with that similarity (list, near)."""
+        centroids, most = self.centroids, min(most or len(self.centroids), len(self.centroids))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 near = _matrix(batch.column("q"), centroids.shape[1]) @ centroids.T
-                order = np.argsort(-near, axis=1, kind="stable")
+                order = np.argsort(-near, axis=1, kind="stable")[:, :most]
                 structs = pa.StructArray.from_arrays([pa.array(order.reshape(-1), pa.int32()), pa.array(np.take_along_axis(near, order, 1).reshape(-1))], ["list", "near"])
-                places = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, len(centroids)), pa.int32()), structs)
+                places = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, most), pa.int32()), structs)
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), places], ["query_id", "q", "places"])
 
         kind = queries.schema["query_id"].dataType.simpleString()
@@ -161,8 +161,8 @@ class VectorIndex:
             return self.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id long, sim double, rank int")
         finite = F.forall("q", lambda c: F.coalesce(F.abs(c.cast("double")) < F.lit(float("inf")), F.lit(False)))
         some = queries.filter(F.col("q").isNotNull() & (F.size("q") == self.centroids.shape[1]) & finite)
-        places = written(self._places(some), "places")
         p = probes or self.probes
+        places = written(self._places(some, None if exact else p), "places")
         first = self._hits(places.select("query_id", "q", F.explode(F.slice("places", 1, p)["list"]).alias("list")), k, least)
         if not exact or p >= len(self.centroids):
             return first
