@@ -131,17 +131,17 @@ def rrf_by_text(dense: DataFrame, sparse: DataFrame, constant: int = 60) -> Data
     return fused.withColumn("position", F.row_number().over(order)).select("query_id", "d.doc_id", "d.text", "rrf", "position")
 
 
-def diverse(chunks: DataFrame, ratio: float = 0.5) -> DataFrame:
+def diverse(chunks: DataFrame, ratio: float = 0.5, by_rank: bool = False) -> DataFrame:
     """At most a share of a query's chunks from one url, unchanged where there is one; chunks: query_id, url, rank.
 
-    The first chunk of each url comes first, then the second, urls in the order in which they first occur.
+    The first chunk of each url comes first, then the second, urls in the order in which they first occur, or ``by_rank`` of the chunks of that turn.
     """
     w = Window.partitionBy("query_id")
     rows = chunks.withColumn("urls", F.size(F.collect_set(F.coalesce("url", F.lit(""))).over(w))).withColumn("cap", F.greatest(F.lit(1), F.floor(F.count("*").over(w) * ratio)))
     of_url = Window.partitionBy("query_id", "url")
     rows = rows.withColumn("turn", F.row_number().over(of_url.orderBy("rank"))).withColumn("first", F.min("rank").over(of_url))
     rows = rows.filter("urls <= 1 or turn <= cap")
-    order = Window.partitionBy("query_id").orderBy(F.when(F.col("urls") <= 1, F.lit(0)).otherwise(F.col("turn")), "first", "rank")
+    order = Window.partitionBy("query_id").orderBy(F.when(F.col("urls") <= 1, F.lit(0)).otherwise(F.col("turn")), *([] if by_rank else ["first"]), "rank")
     return rows.withColumn("position", F.row_number().over(order)).drop("urls", "cap", "turn", "first")
 
 
