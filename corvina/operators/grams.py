@@ -110,6 +110,28 @@ def contained(texts: DataFrame, strings: DataFrame, key: str = "text_id", text:
     return hits.select(F.col("id").alias(key), F.col("string").alias(string)).distinct()
 
 
+def windows(texts: DataFrame, strings: DataFrame, key: str, text: str, string: str) -> DataFrame:
+    """(``key``, string) of the runs of characters of short texts that may be one of ``strings``: by length, first and last SIZE characters.
+
+    For strings with few rare grams, such as numbered names, whose texts would be candidates of each other.  The shapes of the strings
+    are counted: where they are too many to broadcast, the last characters are left out, and what is left is joined by shuffle.
+    """
+    from ..session import written
+
+    told = strings.select(F.col(string).alias("string")).filter("string <> ''")
+    shape = [F.substring("string", 1, SIZE).alias("head"), F.length("string").alias("n")]
+    shapes = written(told.select(*shape, F.right("string", F.lit(SIZE)).alias("tail")).distinct(), "shapes")
+    few = written(shapes.select("head", "n").distinct(), "short-shapes")
+    short = not few.filter(F.col("n") < SIZE).isEmpty()
+    rows = texts.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.explode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))).alias("_at"))
+    rows = rows.withColumn("_size", F.explode(F.sequence(F.lit(1), F.lit(SIZE)))) if short else rows.withColumn("_size", F.lit(SIZE))
+    rows = rows.filter(F.col("_at") + F.col("_size") - 1 <= F.length("_text")).withColumn("head", F.substring("_text", F.col("_at"), F.col("_size")))
+    met = rows.join(_broadcast(few, few.count()), "head").filter(F.col("_at") + F.col("n") - 1 <= F.length("_text")).withColumn("string", F.substring("_text", F.col("_at"), F.col("n")))
+    if shapes.count() <= BROADCAST:
+        met = met.withColumn("tail", F.right("string", F.lit(SIZE))).join(F.broadcast(shapes), ["head", "n", "tail"], "left_semi")
+    return met.select(F.col("_id").alias(key), F.col("string").alias(string))
+
+
 @dataclass(frozen=True)
 class GramIndex:
     """Postings of a collection under ``root``, in folders by gram; readers of a few grams read their folders only."""

@@ -170,16 +170,19 @@ def channels(catalog: DataFrame) -> DataFrame:
 def resolve_channels(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     """(asked, channel_id) of asked names: of the key that is the name in lower case, else of the first key that is part of it.
 
-    Parts are found by rare grams, so catalogs and names may be of any number.  A name that equals an id as written is that channel.  Nulls
-    and names that hold no key have no row.
+    Parts are runs of a name that have the length, the first and the last characters of a key, so catalogs and names may be of any number.
+    A name that equals an id as written is that channel.  Nulls and names that hold no key have no row.
     """
-    keys = channels(catalog)
+    from ..session import written
+
+    keys = written(channels(catalog), "keys")
     names = asked.select("asked").filter("asked is not null").distinct().withColumn("name", F.lower("asked"))
-    either = names.select("asked", F.inline(F.array(*[F.struct(c.alias("key"), F.lit(i).alias("way")) for i, c in enumerate((F.col("asked"), F.col("name")))])))
-    exact = either.join(keys, "key").groupBy("asked").agg(F.min_by("channel_id", "way").alias("channel_id"))
-    rest = names.join(exact, "asked", "left_anti")
-    parts = grams.contained(rest, keys, "asked", "name", "key").join(keys, "key")
-    return exact.unionByName(parts.groupBy("asked").agg(F.min_by("channel_id", "place").alias("channel_id")))
+    parts = grams.windows(names.select(F.struct("asked", "name").alias("n"), "name"), keys, "n", "name", "key").select("n.*", "key")
+    # as written: only where that differs, and of a shape that some key has
+    whole = grams.windows(names.filter("asked <> name").select(F.struct("asked", "name").alias("n"), "asked"), keys, "n", "asked", "key").select("n.*", "key").filter("key = asked")
+    found = parts.unionByName(whole).join(keys, "key")
+    way = F.when(F.col("key") == F.col("asked"), 0).when(F.col("key") == F.col("name"), 1).otherwise(2)
+    return found.groupBy("asked").agg(F.min_by("channel_id", F.struct(way, "place")).alias("channel_id"))
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:

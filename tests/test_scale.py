@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 from conftest import rows_of
 
-from corvina.operators import retrieve
+from corvina.operators import grams, retrieve
 from corvina.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
@@ -25,3 +25,11 @@ def test_diversity_by_rank_within_a_turn(spark):
     assert [r["rank"] for r in retrieve.diverse(rows, 0.5, by_rank=True).orderBy("position").collect()] == [0, 1, 2, 3]
     assert [r["rank"] for r in retrieve.diverse(rows, 0.5).orderBy("position").collect()] == [0, 1, 3, 2]
     equal_at_a_hundredth(spark, "diversity_cap")
+
+
+def test_numbered_names_have_few_candidates(spark):
+    names = spark.range(3000).selectExpr("id as text_id", "format_string('customer#%09d official c%d-%d', id, id, id % 25) as text", "format_string('customer#%09d', id) as a", "format_string('c%d-%d', id, id % 25) as b")
+    keys = names.selectExpr("explode(array(a, b, 'x', null)) as string")
+    found = {(r["text_id"], r["string"]) for r in grams.windows(names, keys, "text_id", "text", "string").collect()}
+    assert {(r["text_id"], r[k]) for r in names.collect() for k in "ab"} <= found
+    assert len(found) < 10 * 3000
