@@ -1,10 +1,29 @@
-"""N-gram tables: contexts of ``order`` tokens and what follows, in long form (ctx, next, freq)."""
+"""N-gram tables: contexts of ``order`` tokens and what follows, in long form (ctx, next, freq).
+
+Whole tables are counted in ``buckets``: neighbouring windows that have the least pair of tokens (by hash) in common move as one run of
+tokens, some three tokens a window, to the bucket of that pair.  A context is in one bucket, so what is counted, ranked or summed by bucket
+and context needs no other shuffle.
+"""
 
 from __future__ import annotations
 
+import sys
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
+
+#: Tokens to a step of a task, buckets to a partition; what ends a token and a run.
+STEP, BUCKETS = 200_000, 8
+TOKEN_END, RUN_END = "\x1f", "\x1e"
+
 
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: w != "")
@@ -18,13 +37,19 @@ def windows(docs: DataFrame, order: int = 5, column: str = "tokens", *keep: str)
 
 
 def crossing(docs: DataFrame, order: int = 5, key: str = "doc_id") -> DataFrame:
-    """``docs`` in the order of ``key`` as one corpus: windows that lie in one document, and those that cross a boundary.
+    """``docs`` in the order of ``key`` as one corpus: windows that lie in one document, and those that cross a boundary."""
+    edge = crossing_edges(docs, order, key)
+    return windows(docs, order).unionByName(windows(edge, order))
+
+
+def crossing_edges(docs: DataFrame, order: int = 5, key: str = "doc_id") -> DataFrame:
+    """(tokens): the ``order`` + 1 tokens of each window of ``docs``, in the order of ``key`` as one corpus, that crosses a boundary.
 
     Only the ends of documents are moved: the first and last ``order`` tokens of each, or all of a short one.  They are
     range-partitioned by ``key``, and windows are taken within each range; a range also gets the first tokens of
     those after it, from a table of one row for each range.
     """
-    inner, n = windows(docs, order), F.size("tokens")
+    n = F.size("tokens")
     gap = F.array(F.lit(None).cast("string"))
     ends = docs.filter(n > 0).select(key, F.when(n >= 2 * order, F.concat(F.slice("tokens", F.lit(1), F.lit(order)), gap, F.slice("tokens", F.lit(-order), F.lit(order)))).otherwise(F.col("tokens")).alias("edge"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -39,27 +64,110 @@ def crossing(docs: DataFrame, order: int = 5, key: str = "doc_id") -> DataFrame:
     for i in range(1, order + 1):
         whole = whole & F.col(f"t{i}").isNotNull()
     edge = rows.filter(F.col(key).isNotNull() & whole & (F.col("end").isNull() | (F.col("end") != F.col(key))))
-    return inner.unionByName(edge.select(F.concat_ws(" ", *[F.col(f"t{i}") for i in range(order)]).alias("ctx"), F.col(f"t{order}").alias("next")))
+    return edge.select(F.array(*[F.col(f"t{i}") for i in range(order + 1)]).alias("tokens"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _runs(words: pa.Array, sizes: np.ndarray, flags: np.ndarray, order: int, buckets: int) -> pa.RecordBatch | None:
+    """(bucket, flag, runs) of documents that lie one after the other."""
+    joined = pc.binary_join_element_wise(words.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(TOKEN_END, pa.large_string()))
+    _, offsets, data = joined.buffers()
+    off = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1]
+    raw = np.frombuffer(data, np.uint8)
+    if words.null_count or (raw == ord(RUN_END)).any() or np.count_nonzero(raw == ord(TOKEN_END)) > len(words):
+        raise ValueError("tokens are null, or hold the characters U+001E or U+001F")
+    coded = words.dictionary_encode()
+    h = np.array([zlib.crc32(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[coded.indices.to_numpy()]
+    unit = h if order < 2 else _mixed(h[:-1] << np.uint64(32) | h[1:])
+    n = len(words) - order
+    least = np.min([unit[k : k + n] for k in range(max(1, order - 1))], 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(row[:n] == row[order:])
+    if not len(at):
+        return None
+    least = least[at]
+    new = np.append(True, (np.diff(at) != 1) | (least[1:] != least[:-1]))
+    first, last = at[new], at[np.append(new[1:], True)] + order
+    key = (_mixed(least[new]) >> np.uint64(20)) % np.uint64(buckets) * np.uint64(4) + flags[row[first]].astype(np.uint64)
+    by = np.argsort(key, kind="stable")
+    key, first, last = key[by], first[by], last[by]
+    size = off[last + 1] - off[first]
+    end = np.cumsum(size)
+    out = raw[np.arange(end[-1]) + np.repeat(off[first] - (end - size), size)]
+    out[end - 1] = ord(RUN_END)
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    texts = pa.StringArray.from_buffers(len(heads), pa.py_buffer(np.append((end - size)[heads], end[-1]).astype(np.int32)), pa.py_buffer(out))
+    key = key[heads].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key // 4, pa.int32()), pa.array(key % 4, pa.int32()), texts], ["bucket", "flag", "runs"])
+
+
+def bucket_counts(docs: DataFrame, order: int = 5, column: str = "tokens", held: Column | None = None, asked: Column | None = None) -> DataFrame:
+    """(bucket, ctx, next, freq, asked): how often a window occurs in the documents that are ``held`` (all if none are told), and in those ``asked`` (none).
+
+    Tokens must not be null or hold the characters U+001E and U+001F.  Null token arrays have no windows.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flag = F.coalesce(held if held is not None else F.lit(True), F.lit(False)).cast("int") + 2 * F.coalesce(asked if asked is not None else F.lit(False), F.lit(False)).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, flags = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            words, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, a = np.append(0, np.cumsum(sizes)), 0
+            while a < len(sizes):  # whole documents, some STEP tokens at once
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + STEP, "right")) - 1)
+                if ends[b] - ends[a] > order and (found := _runs(words.slice(ends[a], ends[b] - ends[a]), sizes[a:b], flags[a:b], order, parts * BUCKETS)) is not None:
+                    yield found
+                a = b
+
+    rows = docs.select(F.col(column).alias("tokens"), flag.alias("flag")).mapInArrow(run, "bucket int, flag int, runs string").repartition(parts, "bucket")
+    rows = rows.select("bucket", "flag", F.explode(F.split("runs", RUN_END)).alias("run")).select("bucket", "flag", F.split("run", TOKEN_END).alias("tokens"))
+    both = [F.count_if(F.col("flag").bitwiseAND(bit) > 0).alias(name) for bit, name in ((1, "freq"), (2, "asked"))]
+    return windows(rows, order, "tokens", "bucket", "flag").groupBy("bucket", "ctx", "next").agg(*(both if asked is not None else [both[0]]))
 
 
 def counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ctx", "next").agg(F.count("*").alias("freq"))
 
 
+def _context(table: DataFrame) -> list[str]:
+    """What tells contexts apart, and how they are dealt."""
+    return ["bucket", "ctx"] if "bucket" in table.columns else ["ctx"]
+
+
 def pruned(table: DataFrame, least: int = 1, most: int = 64) -> DataFrame:
-    """Contexts with a total of ``least`` or more, and of each the ``most`` most frequent nexts (ties by next)."""
-    w = Window.partitionBy("ctx")
+    """Contexts with a total of ``least`` or more, and of each the ``most`` most frequent nexts (ties by next); by bucket, if there is one."""
+    w = Window.partitionBy(*_context(table))
     rows = table.withColumn("total", F.sum("freq").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("freq").desc(), "next")))
     return rows.filter((F.col("total") >= least) & (F.col("rank") <= most))
 
 
 def lookup(queries: DataFrame, table: DataFrame, top: int = 3, least: float = 0.05) -> DataFrame:
     """queries: query_id, ctx; the ``top`` nexts of each with probability ``least`` or more."""
-    total = table.groupBy("ctx").agg(F.sum("freq").alias("total"))
-    hits = queries.select("query_id", "ctx").distinct().join(table, "ctx").join(total, "ctx").withColumn("p", F.round(F.col("freq") / F.col("total"), 6)).filter(F.col("p") >= least)
+    rows = table if "total" in table.columns else table.join(table.groupBy("ctx").agg(F.sum("freq").alias("total")), "ctx")
+    hits = queries.select("query_id", "ctx").distinct().join(rows, "ctx").withColumn("p", F.round(F.col("freq") / F.col("total"), 6)).filter(F.col("p") >= least)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "ctx").orderBy(F.col("freq").desc(), "next"))).filter(F.col("rank") <= top).drop("total")
 
 
+def asked_nexts(table: DataFrame) -> DataFrame:
+    """(ctx, next, freq, total) of the contexts of ``bucket_counts`` that are asked for."""
+    w = Window.partitionBy("bucket", "ctx")
+    rows = table.withColumn("total", F.sum("freq").over(w)).withColumn("_asked", F.sum("asked").over(w))
+    return rows.filter("_asked > 0 and freq > 0").select("ctx", "next", "freq", "total")
+
+
+def bucket_coverage(table: DataFrame) -> DataFrame:
+    """``coverage`` of what is asked by what is held, of ``bucket_counts``."""
+    w = Window.partitionBy("bucket", "ctx")
+    rows = table.withColumn("total", F.sum("freq").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("freq").desc(), "next")))
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("asked")).otherwise(0)), F.lit(0))
+    return rows.agg(some(F.lit(True)).alias("windows"), some(F.col("total") > 0).alias("covered"), some((F.col("freq") > 0) & (F.col("rank") == 1)).alias("top1"), some((F.col("freq") > 0) & (F.col("rank") <= 5)).alias("top5"))
+
+
 def coverage(queries: DataFrame, table: DataFrame) -> DataFrame:
     """Of windows (ctx, next): how many contexts are known, and how often the next is the first or in the first five."""
     ranked = table.withColumn("rank", F.row_number().over(Window.partitionBy("ctx").orderBy(F.col("freq").desc(), "next")))
@@ -71,5 +179,5 @@ def coverage(queries: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def stats(table: DataFrame) -> DataFrame:
-    by = table.groupBy("ctx").agg(F.count("*").alias("nexts"), F.sum("freq").alias("freq"))
+    by = table.groupBy(*_context(table)).agg(F.count("*").alias("nexts"), F.sum("freq").alias("freq"))
     return by.agg(F.count("*").alias("entries"), F.sum("freq").alias("total_freq"), F.max("freq").alias("max_freq"), F.round(F.avg("nexts"), 4).alias("avg_nexts"), F.max("nexts").alias("max_nexts"))

@@ -1,11 +1,15 @@
 """Results at sizes and shapes that the smallest tables do not have."""
 
+import random
 from pathlib import Path
 
 import duckdb
+import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
+from test_sources import shuffled
 
-from corvina.operators import grams, retrieve
+from corvina.operators import grams, ngram, retrieve
 from corvina.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
@@ -33,3 +37,29 @@ def test_numbered_names_have_few_candidates(spark):
     found = {(r["text_id"], r["string"]) for r in grams.windows(names, keys, "text_id", "text", "string").collect()}
     assert {(r["text_id"], r[k]) for r in names.collect() for k in "ab"} <= found
     assert len(found) < 10 * 3000
+
+
+def test_counts_by_bucket(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [[r.choice("a bb ccc é".split()) for _ in range(r.randrange(30))] for _ in range(60)] + [["x"] * 50, [], None, ["a"], list("abcdef"), list("abcdef"), [""] * 8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>")
+    part = lambda k: docs.filter(f"doc_id % 2 = {k}")
+    for step, order in ((200_000, 5), (7, 5), (40, 1), (40, 2)):
+        monkeypatch.setattr(ngram, "STEP", step)
+        want = sorted(map(tuple, ngram.counts(ngram.windows(docs, order)).collect()))
+        assert sorted((x["ctx"], x["next"], x["freq"]) for x in ngram.bucket_counts(docs, order).collect()) == want
+        table = ngram.bucket_counts(docs, order, held=F.col("doc_id") % 2 == 0, asked=F.col("doc_id") % 2 == 1)
+        assert ngram.bucket_coverage(table).first() == ngram.coverage(ngram.windows(part(1), order), ngram.counts(ngram.windows(part(0), order))).first()
+        totals = {}
+        for c, _, n in want:
+            totals[c] = totals.get(c, 0) + n
+        asked = {x["ctx"] for x in ngram.windows(part(1), order).select("ctx").distinct().collect()}
+        got = ngram.asked_nexts(ngram.bucket_counts(docs, order, asked=F.col("doc_id") % 2 == 1))
+        assert sorted(map(tuple, got.collect())) == [(*x, totals[x[0]]) for x in want if x[0] in asked]
+    with pytest.raises(Exception, match="U.001E"):
+        ngram.bucket_counts(spark.createDataFrame([(["a\x1fb"] * 9,)], "tokens array<string>")).collect()
+
+
+def test_counts_move_few_bytes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", ngram.tokens(F.col("text")).alias("tokens"))
+    assert shuffled(spark, ngram.stats(ngram.bucket_counts(docs))) < 0.5 * shuffled(spark, ngram.counts(ngram.windows(docs)))
