@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..lexicons import load
 from ..operators import curate
-from ..session import scratch_folder
+from ..session import scratch_folder, written
 from ..sources import ngram_file as source
 from ..sources import collection, readers, sinks
 from . import query, table
@@ -83,8 +83,9 @@ def ngram_file(spark, sf_dir):
     """The n-gram table of all documents, in shards that tasks write: written, verified, and its contexts, entries and frequencies counted by the data source."""
     words = lambda c: F.transform(F.split(c, " "), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int"))
     rows = counted(spark, sf_dir).select(words(F.col("ctx")).alias("ctx"), words(F.col("next"))[0].alias("next"), F.col("freq").cast("int").alias("freq"))
+    rows = written(rows, "ngram-table")
     path = re.sub("^file:/*", "/", scratch_folder(spark, "ngrams"))
-    source.write_table(rows, path, 5, shard=20_000)
+    source.write_table(rows, path, 5, shard=20_000, stored=True)
     if sinks.verify_ngram_file(rows, path):
         raise ValueError("the file does not hold what was written")
     source.register(spark)

@@ -171,13 +171,16 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(NgramFileSource)
 
 
-def write_table(table: DataFrame, path: str, order: int, shard: int = SHARD) -> None:
-    """Writes (ctx array<int>, next int, freq int) as a folder of shards of about ``shard`` contexts, one task each."""
+def write_table(table: DataFrame, path: str, order: int, shard: int = SHARD, stored: bool = False) -> None:
+    """Writes (ctx array<int>, next int, freq int) as a folder of shards of about ``shard`` contexts, one task each.
+
+    The table is read three times: one that is not ``stored`` is written first, as hashes.
+    """
     from ..session import written
 
     h = fnv1a_column(F.transform("ctx", lambda x: x.cast("long")))
     rows = table.select(F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]).alias("ctx_hash"), F.col("next").cast("long").alias("next"), F.col("freq").cast("long").alias("freq"))
-    rows = written(rows, "hashed")
+    rows = rows if stored else written(rows, "hashed")
     n = rows.agg(F.approx_count_distinct("ctx_hash")).first()[0]
     rows = rows.repartitionByRange(max(1, math.ceil(n / shard)), "ctx_hash").sortWithinPartitions("ctx_hash", F.col("freq").desc(), "next")
     register(table.sparkSession)

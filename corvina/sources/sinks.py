@@ -194,6 +194,13 @@ def verify_ngram_file(table: DataFrame, path: str, sample: int = 100) -> int:
     """Looks up at most ``sample`` contexts (by hash order) of a table file or folder and compares their nexts; the number that differ."""
     from .ngram_file import NgramTable
 
-    f = NgramTable(path)
-    g = table.groupBy("ctx").agg(F.collect_set(F.struct("next", "freq")).alias("nexts")).orderBy(F.xxhash64("ctx")).limit(sample)
-    return sum(set(f.lookup(r["ctx"])) != {(n["next"], n["freq"]) for n in r["nexts"]} for r in g.collect())
+    f, n, share = NgramTable(path), table.count(), 4.0
+    while True:
+        # of the contexts of least hash alone, as the table may be large
+        part = min(1.0, share * sample / max(n, 1))
+        some = table if part == 1 else table.filter(F.xxhash64("ctx") < int(-(1 << 63) + part * (1 << 64)))
+        g = some.groupBy("ctx").agg(F.collect_set(F.struct("next", "freq")).alias("nexts")).orderBy(F.xxhash64("ctx")).limit(sample).collect()
+        if len(g) >= sample or part == 1:
+            break
+        share *= 16
+    return sum(set(f.lookup(r["ctx"])) != {(n["next"], n["freq"]) for n in r["nexts"]} for r in g)
