@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lexicons import DEFAULT, Lexicon
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -45,10 +53,64 @@ def _asked(rows: DataFrame, packed: tuple[DataFrame, int], keep: list[str], hits
     return reduce(lambda x, y: x.unionByName(y), found)
 
 
+#: Queries that a task multiplies with a batch at once.
+STEP = 256
+
+
+def _by_width(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Arrays without nulls by their length: where they are, and a matrix.  A null makes every product null, as another length does."""
+    bad = np.zeros(len(column), bool)
+    flat, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        row = np.repeat(np.arange(len(column)), np.maximum(sizes, 0))
+        bad[row[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+    start = np.append(0, np.cumsum(np.maximum(sizes, 0)))
+    values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.float64)
+    told = {}
+    for width in np.unique(sizes[(sizes >= 0) & ~bad]):
+        at = np.flatnonzero((sizes == width) & ~bad)
+        told[int(width)] = at, values[start[at, None] + np.arange(width)]
+    return told
+
+
+def _nearest(asked: pa.Table, k: int, least: float):
+    """Of batches (vec_id, embedding): (query_id, vec_id, product) of all that may be among the k best of a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = asked.column("query_id").combine_chunks(), _by_width(asked.column("q").combine_chunks())
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for width, (rows, vectors) in _by_width(batch.column(1)).items():
+                    where, m = queries.get(width, ([], None))
+                    longest = np.sqrt((vectors * vectors).sum(1)).max()
+                    for a in range(0, len(where), STEP):
+                        some = m[a : a + STEP]
+                        sims = some @ vectors.T
+                        sims[np.isnan(sims)] = np.inf  # the largest of all, as Spark has it
+                        best = np.partition(sims, -k, 1)[:, -k] if len(rows) > k else np.full(len(some), -np.inf)
+                        # rounding to five places and another order of summing move a product by less
+                        slack = 2e-5 + 1e-12 * longest * np.sqrt((some * some).sum(1))
+                        q, v = np.nonzero(~(sims < (np.maximum(best, least) - slack)[:, None]))
+                        total = np.zeros(len(q))
+                        for i in range(width):  # in order, as an aggregate adds them up
+                            total += some[q, i] * vectors[v, i]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(where[q + a])), batch.column(0).take(pa.array(rows[v])), pa.array(total)], ["query_id", "vec_id", "product"])
+
+    return run
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """(query_id, vec_id, sim, rank) by inner product.  queries: query_id, q; vectors: vec_id, embedding."""
-    sims = "transform(qs, s -> struct(s.query_id as query_id, round(aggregate(zip_with(s.q, embedding, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x), 5) as sim))"
-    flat = _asked(vectors, _blocks(queries, "q"), ["vec_id"], F.expr(f"filter({sims}, s -> s.sim >= {float(least)})"))
+    """(query_id, vec_id, sim, rank) by inner product.  queries: query_id, q; vectors: vec_id, embedding.
+
+    Up to BLOCKS * QUERY_BLOCK queries go to the tasks as a matrix, more are joined in blocks.
+    """
+    if queries.count() <= BLOCKS * QUERY_BLOCK:
+        kind = {**dict(queries.dtypes), **dict(vectors.dtypes)}
+        rows = vectors.select("vec_id", "embedding").mapInArrow(_nearest(queries.select("query_id", "q").toArrow(), k, float(least)), f"query_id {kind['query_id']}, vec_id {kind['vec_id']}, product double")
+        flat = rows.select("vec_id", "query_id", F.round("product", 5).alias("sim")).filter(F.col("sim") >= float(least))
+    else:
+        sims = "transform(qs, s -> struct(s.query_id as query_id, round(aggregate(zip_with(s.q, embedding, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x), 5) as sim))"
+        flat = _asked(vectors, _blocks(queries, "q"), ["vec_id"], F.expr(f"filter({sims}, s -> s.sim >= {float(least)})"))
     return top_k(flat, "query_id", k, F.col("sim").desc(), F.col("vec_id"))
 
 

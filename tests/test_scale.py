@@ -63,3 +63,22 @@ def test_counts_by_bucket(spark, monkeypatch):
 def test_counts_move_few_bytes(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", ngram.tokens(F.col("text")).alias("tokens"))
     assert shuffled(spark, ngram.stats(ngram.bucket_counts(docs))) < 0.5 * shuffled(spark, ngram.counts(ngram.windows(docs)))
+
+
+def test_nearest_by_matrix_equals_blocks(spark, monkeypatch):
+    r = random.Random(5)
+    odd = [None, [], [1.0], [None, 1.0, 2.0], [float("nan"), 0.0, 1.0], [float("inf"), -1.0, 0.5], [1e7, -3e6, 2.0], [0.0] * 3]
+    vectors = odd + [[r.choice([0.1, 0.2, -0.3, r.random()]) for _ in range(3)] for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    queries = rows.filter("vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    for k, least in ((3, 0.0), (30, -5.0)):
+        monkeypatch.setattr(retrieve, "BLOCKS", 32)
+        got = retrieve.dense_top_k(queries, rows, k, least)
+        assert "MapInArrow" in got._jdf.queryExecution().toString()
+        got = sorted(map(repr, got.collect()))
+        monkeypatch.setattr(retrieve, "BLOCKS", 1)
+        monkeypatch.setattr(retrieve, "QUERY_BLOCK", 59)
+        want = retrieve.dense_top_k(queries, rows, k, least)
+        assert "MapInArrow" not in want._jdf.queryExecution().toString()
+        assert got == sorted(map(repr, want.collect()))
+        monkeypatch.undo()
