@@ -147,14 +147,15 @@ def channel_lookup(spark, sf_dir):
 
 @query("SELECT page_id % 3 AS part, count(*) AS n, sum(octet_length(encode(html)))::BIGINT AS bytes FROM pages GROUP BY 1")
 def pdf_files(spark, sf_dir):
-    """Binary files by their suffix: pages written to one file each part, as bytes for an extractor beyond the boundary."""
-    path = _folder("pdf")
-    pages = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 3).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", "html")))["html"], "").alias("body"), F.count("*").alias("n"))
-    for r in pages.toLocalIterator():
-        (path / f"{r['part']}.pdf").write_bytes(r["body"].encode())
-    (path / "0.txt").write_text("not read")
-    files = readers.pdf_files(spark, str(path)).select(F.regexp_extract("path", "([0-9])[.]pdf$", 1).cast("long").alias("part"), F.length("content").cast("long").alias("bytes"))
-    return files.join(pages.select("part", "n"), "part")
+    """Binary files by their suffix: pages written to files of a thousand pages of one part, as bytes for an extractor beyond the boundary."""
+    path = re.sub("^file:/*", "/", scratch_folder(spark, "pdf"))
+    part, i = F.col("page_id") % 3, F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(F.concat(part, F.lit("-"), F.floor(i / 3000), F.lit(".pdf")).alias("file"), i.alias("seq"), F.col("html").alias("body"))
+    told = sinks.write_files(pages, path).groupBy(F.substring_index("file", "-", 1).cast("long").alias("part")).agg(F.sum("n").alias("n"))
+    Path(path).mkdir(exist_ok=True)
+    (Path(path) / "0-0.txt").write_text("not read")
+    files = readers.pdf_files(spark, path).select(F.regexp_extract("path", "([0-9])-[0-9]+[.]pdf$", 1).cast("long").alias("part"), F.length("content").cast("long").alias("bytes"))
+    return files.groupBy("part").agg(F.sum("bytes").alias("bytes")).join(told, "part")
 
 
 @query("SELECT lower(r_name) AS route, string_agg(lower(n_name), '|' ORDER BY n_name) AS pattern, 'africa' AS fallback FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")

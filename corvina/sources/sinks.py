@@ -190,6 +190,30 @@ class NgramFile:
         return []
 
 
+def write_files(rows: DataFrame, path: str) -> DataFrame:
+    """Writes ``rows`` (file, seq, body) as one file of each name, bodies in the order of ``seq``: (file, n), how many rows a file is of.
+
+    Tasks write a file each, which gets its name once it is whole; ``path`` must be reachable under its name from every executor.
+    """
+    import os
+    import uuid
+
+    import pyarrow as pa
+
+    from ..session import written
+
+    def put(part: pa.Table) -> pa.Table:
+        os.makedirs(path, exist_ok=True)
+        name, fresh = part["file"][0].as_py(), os.path.join(path, f".{uuid.uuid4().hex}")
+        with open(fresh, "wb") as f:
+            for body in part.sort_by("seq")["body"]:
+                f.write((body.as_py() or "").encode())
+        os.replace(fresh, os.path.join(path, name))
+        return pa.table({"file": [name], "n": pa.array([len(part)], pa.int64())})
+
+    return written(rows.select("file", "seq", "body").groupBy("file").applyInArrow(put, "file string, n long"), "files")
+
+
 def verify_ngram_file(table: DataFrame, path: str, sample: int = 100) -> int:
     """Looks up at most ``sample`` contexts (by hash order) of a table file or folder and compares their nexts; the number that differ."""
     from .ngram_file import NgramTable

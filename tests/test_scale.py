@@ -1,5 +1,6 @@
 """Results at sizes and shapes that the smallest tables do not have."""
 
+import dataclasses
 import random
 from pathlib import Path
 
@@ -9,8 +10,10 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 from test_sources import shuffled
 
-from corvina.operators import grams, ngram, retrieve
+from corvina import lexicons
+from corvina.operators import cache, grams, ngram, retrieve
 from corvina.queries import QUERIES, SQL
+from corvina.sources import sinks
 
 SF = "/root/testdata/sf0.01"
 
@@ -82,3 +85,18 @@ def test_nearest_by_matrix_equals_blocks(spark, monkeypatch):
         assert "MapInArrow" not in want._jdf.queryExecution().toString()
         assert got == sorted(map(repr, want.collect()))
         monkeypatch.undo()
+
+
+def test_files_are_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a.pdf", 2, "é"), ("a.pdf", 1, "x"), ("b.pdf", 1, None)], "file string, seq long, body string")
+    assert sorted(map(tuple, sinks.write_files(rows, str(tmp_path)).collect())) == [("a.pdf", 2), ("b.pdf", 1)]
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"a.pdf": "xé".encode(), "b.pdf": b""}
+    equal_at_a_hundredth(spark, "pdf_files")
+
+
+def test_expiry_by_any_pattern(spark):
+    rows = spark.createDataFrame([("It was A.",), ("b b",), ("c",), (None,)], "text string")
+    lex = dataclasses.replace(lexicons.DEFAULT, temporal=("^b", "(?i)A[.]$"))
+    got = cache.entries(rows, lex=lex)
+    assert [r["ttl"] for r in got.collect()] == [cache.DATED, cache.DATED, cache.PLAIN, cache.PLAIN]
+    assert got.select("ttl")._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
