@@ -12,7 +12,9 @@ from test_sources import shuffled
 
 from corvina import lexicons
 from corvina.operators import cache, grams, ngram, retrieve
+from corvina.functions import text as tx
 from corvina.queries import QUERIES, SQL
+from corvina.queries.words import LEXICON as WORDS
 from corvina.sources import sinks
 
 SF = "/root/testdata/sf0.01"
@@ -100,3 +102,11 @@ def test_expiry_by_any_pattern(spark):
     got = cache.entries(rows, lex=lex)
     assert [r["ttl"] for r in got.collect()] == [cache.DATED, cache.DATED, cache.PLAIN, cache.PLAIN]
     assert got.select("ttl")._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 1
+
+
+def test_csv_paths_are_sought_where_there_are_ends(spark):
+    rows = spark.createDataFrame([("see a/b.csv x",), ("a" * 50_000,), ("b.CSV",), (None,), (".csv",)], "text string")
+    for pattern, want in ((WORDS.csv, ["a/b.csv", "", "", None, ""]), ("(?i)([a-z]+[.]csv)", ["b.csv", "", "b.CSV", None, ""])):
+        got = rows.select(tx.csv_path(F.col("text"), dataclasses.replace(WORDS, csv=pattern)).alias("x"))
+        assert [r["x"] for r in got.collect()] == want
+        assert ("Contains" in got._jdf.queryExecution().optimizedPlan().toString()) == (pattern == WORDS.csv)
