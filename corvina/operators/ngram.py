@@ -2,7 +2,8 @@
 
 Whole tables are counted in ``buckets``: neighbouring windows that have the least pair of tokens (by hash) in common move as one run of
 tokens, some three tokens a window, to the bucket of that pair.  A context is in one bucket, so what is counted, ranked or summed by bucket
-and context needs no other shuffle.
+and context needs no other shuffle.  Tokens move and are counted as characters: the WORDS most frequent are numbered by falling frequency, and
+each is the character of its number (one to four bytes); the others stand between two TOKEN_END as they are.  ``spelled`` gives words back.
 """
 
 from __future__ import annotations
@@ -10,30 +11,37 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 #: Tokens to a step of a task, buckets to a partition; what ends a token and a run.
-STEP, BUCKETS = 200_000, 8
+STEP, BUCKETS = 1_000_000, 8
 TOKEN_END, RUN_END = "\x1f", "\x1e"
+#: Words that have a character (some 20 MB in a join), tokens to a partition as far as there are PARTS at most.
+WORDS, TOKENS, PARTS = 250_000, 1_000_000, 20_000
+#: The characters, those of fewer bytes first.
+CHARACTERS = np.r_[1:0x1E, 0x20:0xD800, 0xE000:0x110000]
 
 
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: w != "")
 
 
-def windows(docs: DataFrame, order: int = 5, column: str = "tokens", *keep: str) -> DataFrame:
+def windows(docs: DataFrame, order: int = 5, column: str = "tokens", *keep: str, separator: str = " ") -> DataFrame:
     """One row for each run of ``order`` tokens that has a next: ctx (joined), next."""
     starts = F.when(F.size(column) > order, F.sequence(F.lit(1), F.size(column) - order)).otherwise(F.array().cast("array<int>"))
     rows = docs.withColumn("_at", F.explode(starts))
-    return rows.select(*keep, F.array_join(F.slice(column, F.col("_at"), F.lit(order)), " ").alias("ctx"), F.element_at(column, F.col("_at") + order).alias("next"))
+    return rows.select(*keep, F.array_join(F.slice(column, F.col("_at"), F.lit(order)), separator).alias("ctx"), F.element_at(column, F.col("_at") + order).alias("next"))
 
 
 def crossing(docs: DataFrame, order: int = 5, key: str = "doc_id") -> DataFrame:
@@ -72,16 +80,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _runs(words: pa.Array, sizes: np.ndarray, flags: np.ndarray, order: int, buckets: int) -> pa.RecordBatch | None:
+@dataclass(frozen=True)
+class Vocabulary:
+    """The most frequent words, by falling frequency, and how many tokens there are in all."""
+
+    words: pa.Array
+    tokens: int
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(code, word): the number of a word's character."""
+        return spark.createDataFrame(pa.table([pa.array(CHARACTERS[: len(self.words)], pa.int32()), self.words], ["code", "word"]))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = pc.value_counts(batch.column(0).flatten())
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
+
+
+def vocabulary(docs: DataFrame, column: str = "tokens") -> Vocabulary:
+    """Words are counted over all of ``docs``; the driver holds the WORDS most frequent alone."""
+    rows = docs.select(column).mapInArrow(_word_counts, "word string, n long").filter("word is not null")
+    table = written(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = 10_000  # rarer words are told apart by their number, one row for each
+    by = table.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).orderBy(F.desc("n")).collect()
+    held, least = 0, top
+    for r in by:
+        held += r["words"]
+        if held > WORDS:
+            break
+        least = r["n"]
+    some = table.filter(F.col("n") >= least).toArrow() if least < top else table.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    some = some.sort_by([("n", "descending"), ("word", "ascending")])
+    return Vocabulary(some.column("word").cast(pa.string()).combine_chunks() if some.num_rows else pa.array([], pa.string()), sum(r["tokens"] for r in by))
+
+
+def _runs(words: pa.Array, sizes: np.ndarray, flags: np.ndarray, order: int, buckets: int, known: pa.Array, characters: pa.Array) -> pa.RecordBatch | None:
     """(bucket, flag, runs) of documents that lie one after the other."""
-    joined = pc.binary_join_element_wise(words.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(TOKEN_END, pa.large_string()))
+    if words.null_count:
+        raise ValueError("tokens are null")
+    coded = words.dictionary_encode()
+    distinct, at = coded.dictionary.cast(pa.string()), coded.indices.to_numpy()
+    if pc.any(pc.match_substring_regex(distinct, f"[{RUN_END}{TOKEN_END}]")).as_py():
+        raise ValueError("tokens hold the characters U+001E or U+001F")
+    number = pc.index_in(distinct, value_set=known)
+    named = pc.coalesce(characters.take(number), pc.binary_join_element_wise(TOKEN_END, distinct, TOKEN_END, ""))
+    joined = named.cast(pa.large_string()).take(pa.array(at))
     _, offsets, data = joined.buffers()
     off = np.frombuffer(offsets, np.int64)[joined.offset : joined.offset + len(joined) + 1]
     raw = np.frombuffer(data, np.uint8)
-    if words.null_count or (raw == ord(RUN_END)).any() or np.count_nonzero(raw == ord(TOKEN_END)) > len(words):
-        raise ValueError("tokens are null, or hold the characters U+001E or U+001F")
-    coded = words.dictionary_encode()
-    h = np.array([zlib.crc32(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[coded.indices.to_numpy()]
+    h = np.array([zlib.crc32(w) for w in distinct.cast(pa.binary()).to_pylist()], np.uint64)[at]
     unit = h if order < 2 else _mixed(h[:-1] << np.uint64(32) | h[1:])
     n = len(words) - order
     least = np.min([unit[k : k + n] for k in range(max(1, order - 1))], 0)
@@ -95,39 +143,64 @@ def _runs(words: pa.Array, sizes: np.ndarray, flags: np.ndarray, order: int, buc
     key = (_mixed(least[new]) >> np.uint64(20)) % np.uint64(buckets) * np.uint64(4) + flags[row[first]].astype(np.uint64)
     by = np.argsort(key, kind="stable")
     key, first, last = key[by], first[by], last[by]
-    size = off[last + 1] - off[first]
+    size = off[last + 1] - off[first] + 1  # one for the end of the run
     end = np.cumsum(size)
-    out = raw[np.arange(end[-1]) + np.repeat(off[first] - (end - size), size)]
+    place = np.arange(end[-1])
+    place += np.repeat(off[first] - (end - size), size)
+    out = raw[np.minimum(place, len(raw) - 1, out=place)]
     out[end - 1] = ord(RUN_END)
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    texts = pa.StringArray.from_buffers(len(heads), pa.py_buffer(np.append((end - size)[heads], end[-1]).astype(np.int32)), pa.py_buffer(out))
+    texts = pa.LargeStringArray.from_buffers(len(heads), pa.py_buffer(np.append((end - size)[heads], end[-1])), pa.py_buffer(out)).cast(pa.string())
     key = key[heads].astype(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(key // 4, pa.int32()), pa.array(key % 4, pa.int32()), texts], ["bucket", "flag", "runs"])
 
 
-def bucket_counts(docs: DataFrame, order: int = 5, column: str = "tokens", held: Column | None = None, asked: Column | None = None) -> DataFrame:
+def _characters(c: Column) -> Column:
+    """The tokens of a coded string."""
+    return F.when(F.contains(c, F.lit(TOKEN_END)), F.regexp_extract_all(c, F.lit(f"{TOKEN_END}[^{TOKEN_END}]*{TOKEN_END}|[^{TOKEN_END}]"), F.lit(0))).otherwise(F.split(c, ""))
+
+
+def spelled(table: DataFrame, words: Vocabulary, columns: tuple[str, ...] = ("ctx", "next"), order: int = 5) -> DataFrame:
+    """``table`` with words for the characters of ``columns``; its rows stay in their partitions."""
+    named, every = words.frame(table.sparkSession), table.columns
+    for column in columns:
+        rows, parts = table.withColumn("_tokens", _characters(F.col(column))), []
+        for i in range(order if column == "ctx" else 1):
+            word = named.select(F.col("code").alias("_code"), F.col("word").alias(f"_word{i}"))
+            rows = rows.withColumn(f"_token{i}", F.col("_tokens")[i]).join(F.broadcast(word), F.ascii(f"_token{i}") == F.col("_code"), "left").drop("_code")
+            parts.append(F.coalesce(f"_word{i}", F.expr(f"substring(_token{i}, 2, char_length(_token{i}) - 2)")))
+        table = rows.withColumn(column, F.concat_ws(" ", *parts)).select(*every)
+    return table
+
+
+def bucket_counts(docs: DataFrame, order: int = 5, column: str = "tokens", held: Column | None = None, asked: Column | None = None, words: Vocabulary | None = None, spell: tuple[str, ...] = ("ctx", "next")) -> DataFrame:
     """(bucket, ctx, next, freq, asked): how often a window occurs in the documents that are ``held`` (all if none are told), and in those ``asked`` (none).
 
-    Tokens must not be null or hold the characters U+001E and U+001F.  Null token arrays have no windows.
+    Tokens must not be null or hold the characters U+001E and U+001F.  Null token arrays have no windows.  words: the ``vocabulary``
+    of these or other documents, if it is there.  What ``spell`` leaves out stays coded, to be ``spelled`` when there are fewer rows.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = words or vocabulary(docs, column)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(PARTS, -(-words.tokens // TOKENS)))
     flag = F.coalesce(held if held is not None else F.lit(True), F.lit(False)).cast("int") + 2 * F.coalesce(asked if asked is not None else F.lit(False), F.lit(False)).cast("int")
+    known, numbers = words.words, CHARACTERS[: len(words.words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        characters = pa.array([chr(c) for c in numbers], pa.string())
         for batch in batches:
             lists, flags = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            words, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            tokens, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends, a = np.append(0, np.cumsum(sizes)), 0
             while a < len(sizes):  # whole documents, some STEP tokens at once
                 b = max(a + 1, int(np.searchsorted(ends, ends[a] + STEP, "right")) - 1)
-                if ends[b] - ends[a] > order and (found := _runs(words.slice(ends[a], ends[b] - ends[a]), sizes[a:b], flags[a:b], order, parts * BUCKETS)) is not None:
+                if ends[b] - ends[a] > order and (found := _runs(tokens.slice(ends[a], ends[b] - ends[a]), sizes[a:b], flags[a:b], order, parts * BUCKETS, known, characters)) is not None:
                     yield found
                 a = b
 
     rows = docs.select(F.col(column).alias("tokens"), flag.alias("flag")).mapInArrow(run, "bucket int, flag int, runs string").repartition(parts, "bucket")
-    rows = rows.select("bucket", "flag", F.explode(F.split("runs", RUN_END)).alias("run")).select("bucket", "flag", F.split("run", TOKEN_END).alias("tokens"))
+    rows = rows.select("bucket", "flag", F.explode(F.split("runs", RUN_END)).alias("run")).select("bucket", "flag", _characters(F.col("run")).alias("tokens"))
     both = [F.count_if(F.col("flag").bitwiseAND(bit) > 0).alias(name) for bit, name in ((1, "freq"), (2, "asked"))]
-    return windows(rows, order, "tokens", "bucket", "flag").groupBy("bucket", "ctx", "next").agg(*(both if asked is not None else [both[0]]))
+    table = windows(rows, order, "tokens", "bucket", "flag", separator="").groupBy("bucket", "ctx", "next").agg(*(both if asked is not None else [both[0]]))
+    return spelled(table, words, spell, order)
 
 
 def counts(rows: DataFrame) -> DataFrame:

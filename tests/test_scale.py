@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -70,6 +71,26 @@ def test_counts_move_few_bytes(spark):
     assert shuffled(spark, ngram.stats(ngram.bucket_counts(docs))) < 0.5 * shuffled(spark, ngram.counts(ngram.windows(docs)))
 
 
+def test_few_words_have_characters(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [[r.choice(["a", "a", "bb", "é中", "", "d d"]) for _ in range(r.randrange(12))] for _ in range(80)] + [None, ["z"] * 9]
+    docs = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    want = sorted(map(tuple, ngram.counts(ngram.windows(docs, 3)).collect()))
+    monkeypatch.setattr(ngram, "CHARACTERS", np.array([0x10348, 0xE9, 0xFFFF]))
+    for words in (0, 3):
+        monkeypatch.setattr(ngram, "WORDS", words)
+        known = ngram.vocabulary(docs)
+        assert len(known.words) <= words and known.tokens == sum(len(t or ()) for t in texts)
+        coded = ngram.bucket_counts(docs, 3, words=known, spell=())
+        got = ngram.spelled(coded, known, order=3).groupBy("ctx", "next").agg(F.sum("freq"))  # tokens with spaces give one context in several ways
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_coded_counts_move_few_bytes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", ngram.tokens(F.col("text")).alias("tokens"))
+    assert shuffled(spark, QUERIES["ngram_coded_counts"](spark, SF)) < 0.25 * shuffled(spark, ngram.counts(ngram.windows(docs)))
+
+
 def test_nearest_by_matrix_equals_blocks(spark, monkeypatch):
     r = random.Random(5)
     odd = [None, [], [1.0], [None, 1.0, 2.0], [float("nan"), 0.0, 1.0], [float("inf"), -1.0, 0.5], [1e7, -3e6, 2.0], [0.0] * 3]
