@@ -7,6 +7,7 @@ import ctypes
 import sys
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,23 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "do
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
+#: Freed memory of a Python worker from which it goes back to the system at once, and glibc's numbers of the two settings for it.
+KEPT, SETTINGS = 1 << 20, (-1, -3)
+
+
 def trim() -> None:
-    """Hands freed memory of a Python worker back to the system, where the allocator can (glibc)."""
+    """Hands freed memory of a Python worker back to the system, now and from now on, where the allocator can (glibc).
+
+    Arrow's own allocator would keep what it frees, and the thresholds of glibc's grow with what is allocated: a worker that then
+    stands idle beside other stages would hold the most that it ever had.
+    """
     with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        for setting in SETTINGS:
+            libc.mallopt(setting, KEPT)
+        pa.default_memory_pool().release_unused()
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc.malloc_trim(0)
 
 
 def release() -> None:

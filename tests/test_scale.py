@@ -2,6 +2,8 @@
 
 import dataclasses
 import random
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -131,3 +133,8 @@ def test_csv_paths_are_sought_where_there_are_ends(spark):
         got = rows.select(tx.csv_path(F.col("text"), dataclasses.replace(WORDS, csv=pattern)).alias("x"))
         assert [r["x"] for r in got.collect()] == want
         assert ("Contains" in got._jdf.queryExecution().optimizedPlan().toString()) == (pattern == WORDS.csv)
+
+
+def test_workers_keep_no_freed_memory():
+    code = "import pyarrow as pa; from corvina.llm.common import trim; trim(); print(pa.default_memory_pool().backend_name)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split() == ["system"]
