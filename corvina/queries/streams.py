@@ -11,6 +11,9 @@ from . import query, table
 from .monitoring import GATES, proposed
 from .scores import CERTAIN, token_chunks
 
+#: Rows of a batch of gates (and four batches at least).
+BATCH = 500_000
+
 _MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
@@ -65,7 +68,7 @@ def stream_certainty_state(spark, sf_dir):
 
 @query(GATES)
 def stream_gates(spark, sf_dir):
-    """Gates from state kept by agent and by day, over four batches in the order of time."""
+    """Gates from state kept by agent and by day, over batches in the order of time: four, or more of some BATCH rows."""
     e, runs, judged = proposed(spark, sf_dir)
     patched, undone = runs.filter("patched").withColumn("kind", F.lit("patch")), runs.filter("reverted").withColumn("kind", F.lit("revert"))
     every = [e.withColumn("kind", F.lit("proposal")), patched, undone, judged.withColumn("kind", F.lit("judgement"))]
@@ -73,11 +76,14 @@ def stream_gates(spark, sf_dir):
     rows = every[0].select(*columns)
     for more in every[1:]:
         rows = rows.unionByName(more.select(*columns))
-    path, span = scratch_folder(spark, "gate-events"), e.agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b")).first()
-    edges = [span["a"] + (span["b"] - span["a"]) * k / 4 for k in (1, 2, 3)] if span["a"] else []
+    path, at = scratch_folder(spark, "gate-events"), F.unix_micros("ts")
+    batches = max(4, -(-rows.count() // BATCH))
+    # quantiles, as a span of time may hold most rows; rows of one time share a batch
+    edges = rows.agg(F.percentile_approx(at, [k / batches for k in range(1, batches)]).alias("x")).first()["x"]
+    edges = sorted(set(edges or []))
     for a, b in zip([None, *edges], [*edges, None], strict=True):
-        part = rows if a is None else rows.filter(F.col("ts") >= F.lit(a))
+        part = rows if a is None else rows.filter(at >= a)
         # one file, so that it is one batch: state, not the batch, holds what was before
-        (part if b is None else part.filter(F.col("ts") < F.lit(b))).coalesce(1).write.mode("append").parquet(path)
+        (part if b is None else part.filter(at < b)).coalesce(1).write.mode("append").parquet(path)
     stream = stateful.prepared(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return _run(spark, stateful.gates(stream), "append").select("id", "agent", "gate")

@@ -16,8 +16,9 @@ from test_sources import shuffled
 from corvina import lexicons
 from corvina.operators import cache, grams, ngram, retrieve
 from corvina.functions import text as tx
-from corvina.queries import QUERIES, SQL
+from corvina.queries import QUERIES, SQL, streams
 from corvina.queries.words import LEXICON as WORDS
+from corvina.session import scratch_folder
 from corvina.sources import sinks
 
 SF = "/root/testdata/sf0.01"
@@ -138,3 +139,14 @@ def test_csv_paths_are_sought_where_there_are_ends(spark):
 def test_workers_keep_no_freed_memory():
     code = "import pyarrow as pa; from corvina.llm.common import trim; trim(); print(pa.default_memory_pool().backend_name)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split() == ["system"]
+
+
+def test_gates_come_in_bounded_batches(spark, monkeypatch):
+    told = []
+    monkeypatch.setattr(streams, "BATCH", 250)
+    monkeypatch.setattr(streams, "scratch_folder", lambda s, name: told.append(scratch_folder(s, name)) or told[-1])
+    found = QUERIES["stream_gates"](spark, "/root/testdata/sf0.001")
+    files = [f for f in Path(told[0].removeprefix("file://")).iterdir() if f.name.endswith(".parquet") and f.name[0] != "."]
+    rows = [spark.read.parquet(f"file://{f}").count() for f in files]
+    assert len(rows) > 4 and max(rows) <= 500
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, QUERIES["gates_cooldown"](spark, "/root/testdata/sf0.001").collect()))
