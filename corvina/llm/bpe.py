@@ -32,8 +32,8 @@ from .common import STORE, saved, trim
 #: Words, and half as many chunks, kept with their ids in a worker (about 200 bytes each); beyond it only those met again and again stay.
 WORDS = 100_000
 
-#: Bytes of text that are encoded together (about 60 MB of a worker, with its stores); a longer text is a run of its own.
-RUN = 1 << 20
+#: Bytes of text that are encoded together (some 10 MB of a worker beside its stores); a longer text is a run of its own.
+RUN = 1 << 19
 
 #: Characters whose Unicode classes differ between versions of the pattern libraries; chunks with them are cut by the tokenizers library.
 RARE = "[^\\x00-\\x1b\\x20-\\u024f\\u2000-\\u206e]"

@@ -68,7 +68,7 @@ def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[
     """Languages and log likelihoods (language x bucket) from rows (key, text, lang).
 
     At most ``limit`` rows, or one of each language where there are more, are learned from, one for each id; the list of languages is of all rows.
-    Their trigrams are counted by the tasks: what reaches the driver is BUCKETS counts for each language (half a MB), however long the texts.
+    Their trigrams are counted by the tasks: what reaches the driver is BUCKETS counts for each language (1 MB), however long the texts.
     """
     usable = rows.filter("lang is not null and length(text) > 0")
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
@@ -82,33 +82,31 @@ def fit(rows: DataFrame, key: str = "doc_id", limit: int = TRAIN_ROWS) -> tuple[
     chosen = ids.select(key, "lang", F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("h")).distinct().withColumn("place", place).filter(F.col("place") <= level).orderBy("place", "h", key).limit(limit)
     # of rows that repeat an id one text is taken, so that rows are bounded like ids
     some = usable.join(F.broadcast(chosen.select(key, "lang")), [key, "lang"], "left_semi").groupBy("lang", key).agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
-    summed = some.select("lang", "text").mapInArrow(_counted, "lang string, counts binary").groupBy("lang").applyInArrow(_summed, "lang string, counts binary")
+    coded = F.create_map(*[F.lit(x) for pair in zip(langs, range(len(langs)), strict=True) for x in pair])[F.col("lang")] if langs else F.lit(0)
+    summed = some.select(coded.alias("lang"), "text").mapInArrow(_counted, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.ones((len(langs), BUCKETS)) * 0.05
     with small_batches(rows.sparkSession):
-        for row in summed.toArrow().to_pylist() if langs else ():
-            counts[langs.index(row["lang"])] += np.frombuffer(row["counts"], np.int64)
+        found = summed.toArrow() if langs else None
+    if found is not None:
+        counts[found.column("lang").to_numpy(), found.column("bucket").to_numpy()] += found.column("n").to_numpy()
     return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of each language in a task."""
+    """Trigram counts of each language in a task, of the buckets that occur there: many tasks with few texts give few rows each."""
     release()
-    held: dict[str, np.ndarray] = {}
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        which = np.array(batch.column(0).to_pylist())
+        which = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, raw, off in tb.steps(batch.column(1)):
             code, doc = _trigrams(raw, off)
             for lang in np.unique(which[a:b]):
                 mine = (which[a:b] == lang)[doc]
-                held.setdefault(str(lang), np.zeros(BUCKETS, np.int64))
-                held[str(lang)] += np.bincount(code[mine], minlength=BUCKETS)
+                held.setdefault(int(lang), np.zeros(BUCKETS, np.int64))
+                held[int(lang)] += np.bincount(code[mine], minlength=BUCKETS)
     for lang, count in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([count.tobytes()], pa.binary())], ["lang", "counts"])
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), lang), pa.int32()), pa.array(some, pa.int32()), pa.array(count[some])], ["lang", "bucket", "n"])
 
 
 def _likelihoods(table: np.ndarray):

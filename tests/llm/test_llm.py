@@ -354,6 +354,18 @@ def test_language(spark, odd, none):
     assert (told.lang == told.true).mean() > 0.97
 
 
+def test_trigram_counts_move_as_the_buckets_that_occur(spark):
+    texts = [(i, f"plain words {i}" if i % 2 else "des mots simples", "en" if i % 2 else "fr") for i in range(40)]
+    held = list(langid._counted(iter([pa.RecordBatch.from_pydict({"lang": pa.array([0, 1], pa.int32()), "text": ["plain words", "mots"]})])))
+    assert sum(b.num_rows for b in held) < 20 and sum(b.nbytes for b in held) < 1_000  # a task of few texts sends few rows, so that many tasks do
+    langs, table = langid.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(20))
+    counts = np.full((2, langid.BUCKETS), 0.05)
+    for _, text, lang in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        np.add.at(counts[["en", "fr"].index(lang)], langid._trigrams(raw, np.array([0, len(raw)]))[0], 1)
+    assert langs == ["en", "fr"] and np.allclose(table, np.log(counts / counts.sum(1, keepdims=True)))
+
+
 def test_rare_languages_stay_known(spark):
     rows = [(i, f"some words of text {i}", "en") for i in range(300)] + [(1000 + i, f"autre texte rare {x}", x) for i, x in enumerate(["aa", "bb", "cc"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
