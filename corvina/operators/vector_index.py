@@ -6,8 +6,10 @@
   appends further vectors to the lists they belong to.
 * **Probes.**  How many lists a query must probe is measured when the index is built: CALIBRATE vectors of the sample are searched
   for exactly, and probes are the fewest lists that hold a share TARGET of their nearest neighbours.
-* **Search** joins (query, list) with the lists by ``list``.  ``exact=True`` goes on with every list that could still hold a
-  nearer vector than the k-th found: by q.v <= q.c + |q| * radius of the list around its centroid c.
+* **Search** multiplies the vectors of a list with the queries that ask for it, as matrices; QUERIES go to the tasks at once, and more in
+  blocks.  ``exact=True`` goes on with every list that could still hold a nearer vector than the k-th found: by
+  q.v <= q.c + |q| * radius of the list around its centroid c, which the tasks find out for themselves, so that no pairs are written.
+  Of equal vectors those of the k least ids stand for all.
 
 A table of fewer than FLAT vectors has one list.  Vectors that are null, of another length than the most common one, or with null or non-finite
 components are not indexed and never found; null ids are none.  Vectors of zeros are in list 0.  Similarities are rounded to five
@@ -20,6 +22,7 @@ import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 #: Below FLAT vectors one list is enough.  LISTS: the fewest of a larger table, and the most of any.
 FLAT, LISTS = 500, (100, 1 << 14)
 TRAIN, ROUNDS, CALIBRATE, TARGET = 64, 6, 64, 0.97
-#: Rows of (query, list) that may be broadcast (64 floats take some 0.6 KB in a join).
-BROADCAST = 50_000
+#: Queries that go to the tasks at once (64 numbers each take 0.5 KB), and numbers of a matrix that are worked on together.
+QUERIES, CELLS = 1 << 16, 1 << 20
 #: Similarity is rounded to five places; the bound of a list keeps clear of that.
 SLACK = 2e-5
 
@@ -54,13 +57,23 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(size > 0, size, 1.0)
 
 
+def _steps(n: int, width: int) -> Iterator[slice]:
+    """Stretches of ``n`` rows of ``width`` numbers, of CELLS numbers at most."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+def _nearest(m: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *((m[part] @ centroids.T).argmax(1) for part in _steps(len(m), len(centroids)))])
+
+
 def _assigner(centroids: np.ndarray):
     """Rows (vec_id, embedding) with their list and their distance from its centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column("embedding"), centroids.shape[1])
-            at = (_unit(m) @ centroids.T).argmax(1) if len(m) else np.zeros(0, np.int64)
+            at = _nearest(_unit(m), centroids)
             off = np.sqrt(((m - centroids[at]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(off), pa.array(at, pa.int32())], ["vec_id", "embedding", "off", "list"])
 
@@ -74,7 +87,7 @@ def _adder(centroids: np.ndarray):
         sums, members = np.zeros_like(centroids), np.zeros(len(centroids), np.int64)
         for batch in batches:
             m = _unit(_matrix(batch.column("embedding"), centroids.shape[1]))
-            at = (m @ centroids.T).argmax(1) if len(m) else np.zeros(0, np.int64)
+            at = _nearest(m, centroids)
             np.add.at(sums, at, m)
             members += np.bincount(at, minlength=len(centroids))
         some = np.flatnonzero(members)
@@ -84,6 +97,55 @@ def _adder(centroids: np.ndarray):
     return run
 
 
+def _least_ids(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that are among the k least ids of their vector."""
+    _, same = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.dtype.itemsize * vectors.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    first = np.flatnonzero(np.append(True, np.diff(same[order]) != 0))
+    return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+
+
+def _products(ids: pa.Array, q: np.ndarray, centroids: np.ndarray, k: int, least: float, edge: np.ndarray | None, kth: np.ndarray | None, radius: np.ndarray | None):
+    """Of batches (list, vec_id, embedding): (query_id, vec_id, product) of all that may be among the k best of a query.
+
+    A query asks for the lists at least as near as its ``edge``, or for those that can hold something as near as its ``kth``.
+    """
+    size = np.sqrt((q * q).sum(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full(len(q), least) if kth is None else np.maximum(kth, least)
+        for batch in batches:
+            lists, vec = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            every = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+            for one in np.unique(lists):
+                near = q @ centroids[one]
+                asking = np.flatnonzero(~(near < edge if kth is None else near + size * radius[one] < floor - SLACK))  # not a number is the largest
+                if not len(asking):
+                    continue
+                rows = np.flatnonzero(lists == one)
+                rows = rows[_least_ids(vec[rows], every[rows], k)]
+                vectors = every[rows].astype(np.float64)
+                # the order of summing moves a product by less
+                slack = SLACK + 1e-12 * np.sqrt((vectors * vectors).sum(1)).max() * size
+                for part in _steps(len(asking), len(rows)):
+                    some = asking[part]
+                    sims = q[some] @ vectors.T
+                    hit = ~(sims < (floor[some] - slack[some])[:, None])
+                    many = np.flatnonzero(hit.sum(1) > k)
+                    if len(many):
+                        # the k-th of these is as far as the k-th of all at most, but for rounding
+                        floor[some[many]] = np.maximum(floor[some[many]], np.partition(sims[many], -k, 1)[:, -k] - SLACK)
+                        hit[many] = ~(sims[many] < (floor[some[many]] - slack[some[many]])[:, None])
+                    a, b = np.nonzero(hit)
+                    a = some[a]
+                    total = np.zeros(len(a))
+                    for i in range(q.shape[1]):  # in order, as an aggregate adds them up
+                        total += q[a, i] * vectors[b, i]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), pa.array(vec[rows[b]], pa.int64()), pa.array(total)], ["query_id", "vec_id", "product"])
+
+    return run
+
+
 def usable(vectors: DataFrame, dims: int | None = None) -> DataFrame:
     """(vec_id, embedding) of the vectors that can be indexed, of ``dims`` entries if given."""
     finite = F.forall("embedding", lambda c: F.coalesce(F.abs(c.cast("double")) < F.lit(float("inf")), F.lit(False)))
@@ -128,8 +190,8 @@ class VectorIndex:
             rows = rows.mapInArrow(_assigner(self.centroids), "vec_id long, embedding array<float>, off double, list int")
         else:
             rows = rows.withColumns({"off": F.lit(0.0), "list": F.lit(0)})
-        # a list is one folder; a list of many vectors is several files of it
-        rows.repartition(F.col("list"), F.expr("pmod(xxhash64(vec_id), 8)")).write.mode("append").partitionBy("list").parquet(f"{self.root}/vectors")
+        # a list is one folder, of a file where it is small; AQE deals a list of many vectors to several tasks
+        rows.hint("rebalance", F.col("list")).write.mode("append").partitionBy("list").parquet(f"{self.root}/vectors")
 
     def _places(self, queries: DataFrame, most: int | None = None) -> DataFrame:
         """Queries (query_id, q) with ``places``: the first ``most`` lists in order of similarity to the query, with that similarity (list, near)."""
@@ -137,20 +199,27 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                near = _matrix(batch.column("q"), centroids.shape[1]) @ centroids.T
-                order = np.argsort(-near, axis=1, kind="stable")[:, :most]
-                structs = pa.StructArray.from_arrays([pa.array(order.reshape(-1), pa.int32()), pa.array(np.take_along_axis(near, order, 1).reshape(-1))], ["list", "near"])
-                places = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, most), pa.int32()), structs)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), places], ["query_id", "q", "places"])
+                m = _matrix(batch.column("q"), centroids.shape[1])
+                for part in _steps(len(m), len(centroids)):
+                    near = m[part] @ centroids.T
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :most]
+                    structs = pa.StructArray.from_arrays([pa.array(order.reshape(-1), pa.int32()), pa.array(np.take_along_axis(near, order, 1).reshape(-1))], ["list", "near"])
+                    places = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, most), pa.int32()), structs)
+                    rows = batch.slice(part.start, len(near))
+                    yield pa.RecordBatch.from_arrays([rows.column("query_id"), rows.column("q"), places], ["query_id", "q", "places"])
 
         kind = queries.schema["query_id"].dataType.simpleString()
         return queries.select("query_id", F.col("q").cast("array<double>")).mapInArrow(run, f"query_id {kind}, q array<double>, places array<struct<list: int, near: double>>")
 
-    def _hits(self, asked: DataFrame, k: int, least: float) -> DataFrame:
-        """Top k of (query_id, q, list) within the lists asked for."""
-        n = asked.count()
-        rows = self.vectors.join(F.broadcast(asked) if n <= BROADCAST else asked, "list")
-        sims = rows.select("query_id", "vec_id", F.round(retrieve.dot(F.col("q"), F.col("embedding")), 5).alias("sim")).filter(F.col("sim") >= least)
+    def _hits(self, asked: DataFrame, lists: DataFrame, k: int, least: float, radius: np.ndarray | None = None) -> DataFrame:
+        """Top k of a block of queries (query_id, q, and ``edge`` or ``kth``), which want ``lists`` (list) at most."""
+        held, wanted = asked.toArrow(), [r["list"] for r in lists.distinct().collect()]
+        columns = {c: held.column(c).to_numpy() for c in held.column_names[2:]}
+        q = _matrix(held.column("q").combine_chunks(), self.centroids.shape[1])
+        run = _products(held.column("query_id").combine_chunks(), q, self.centroids, k, float(least), columns.get("edge"), columns.get("kth"), radius)
+        rows = self.vectors if len(wanted) == len(self.centroids) else self.vectors.filter(F.col("list").isin(wanted))
+        found = rows.select("list", "vec_id", "embedding").mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, vec_id long, product double")
+        sims = found.select("query_id", "vec_id", F.round("product", 5).alias("sim")).filter(F.col("sim") >= least)
         return retrieve.top_k(sims, "query_id", k, F.col("sim").desc(), F.col("vec_id"))
 
     def search(self, queries: DataFrame, k: int, least: float = 0.0, probes: int | None = None, exact: bool = False) -> DataFrame:
@@ -161,21 +230,23 @@ class VectorIndex:
             return self.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id long, sim double, rank int")
         finite = F.forall("q", lambda c: F.coalesce(F.abs(c.cast("double")) < F.lit(float("inf")), F.lit(False)))
         some = queries.filter(F.col("q").isNotNull() & (F.size("q") == self.centroids.shape[1]) & finite)
-        p = probes or self.probes
-        places = written(self._places(some, None if exact else p), "places")
-        first = self._hits(places.select("query_id", "q", F.explode(F.slice("places", 1, p)["list"]).alias("list")), k, least)
-        if not exact or p >= len(self.centroids):
-            return first
-        first = written(first, "probed")
-        kth = first.filter(F.col("rank") == k).select("query_id", F.col("sim").alias("kth"))
-        # one row for each list
-        radius = self.vectors.groupBy("list").agg(F.max("off").alias("radius"))
-        rest = places.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("kth", F.lit(float(least))).alias("kth"), F.inline(F.slice("places", p + 1, len(self.centroids))))
-        rest = rest.join(F.broadcast(radius), "list")
-        length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
-        open_ = rest.filter(F.col("near") + length * F.col("radius") >= F.col("kth") - SLACK).select("query_id", "q", "list")
-        more = self._hits(written(open_, "open"), k, least)
-        return retrieve.top_k(first.drop("rank").unionByName(more.drop("rank")), "query_id", k, F.col("sim").desc(), F.col("vec_id"))
+        every = written(self._places(some, probes or self.probes), "places")
+        blocks = -(-2 * n // QUERIES) if (n := every.count()) > QUERIES else 1  # by hash: half full on average
+        radius = None
+        if exact:  # one row for each list
+            radius = np.zeros(len(self.centroids))
+            for r in self.vectors.groupBy("list").agg(F.max("off").alias("radius")).collect():
+                radius[r["list"]] = r["radius"]
+        found = []
+        for block in range(blocks):
+            places = every if blocks == 1 else every.filter(F.expr(f"pmod(xxhash64(query_id), {blocks}) = {block}"))
+            hits = self._hits(places.select("query_id", "q", F.element_at("places", -1)["near"].alias("edge")), places.select(F.explode("places.list").alias("list")), k, least)
+            if exact:
+                kth = written(hits.filter(F.col("rank") == k).select("query_id", F.col("sim").alias("kth")), "kth")
+                asked = places.select("query_id", "q").join(kth, "query_id", "left").select("query_id", "q", F.coalesce("kth", F.lit(float(least))).alias("kth"))
+                hits = self._hits(asked, self.spark.range(len(self.centroids)).select(F.col("id").alias("list")), k, least, radius)
+            found.append(hits)
+        return reduce(DataFrame.unionByName, found)
 
 
 def build(vectors: DataFrame, root: str, lists: int | None = None, neighbours: int = 10) -> VectorIndex:

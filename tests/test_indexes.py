@@ -1,8 +1,10 @@
 """The inverted-file index and the gram index against comparisons with every row."""
 
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -55,6 +57,27 @@ def test_exact_mode_finds_the_nearest(spark, index):
     assert triples(index.search(queries, 5, 3.0, exact=True, probes=2)) == brute(rows, some, 5, 3.0)
 
 
+def test_exact_mode_in_blocks_of_queries(spark, index, monkeypatch):
+    rows, _ = vector_rows()
+    queries, some = asked(spark, rows)
+    monkeypatch.setattr(vector_index, "QUERIES", 16)
+    monkeypatch.setattr(vector_index, "CELLS", 500)
+    assert triples(index.search(queries, 5, exact=True)) == brute(rows, some, 5)
+    assert index.search(queries.limit(0), 5, exact=True).count() == 0
+
+
+def test_tasks_send_few_candidates(spark, index):
+    """No pairs of queries and lists or vectors: of a very common vector k copies, and of a list nothing that is known to be too far."""
+    rows, _ = vector_rows()
+    ids, vectors = [i for i, _ in rows], [v for _, v in rows]
+    q = np.array([rows[7][1]] * 20)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int32()), pa.array(ids), pa.array(vectors, pa.list_(pa.float32()))], ["list", "vec_id", "embedding"])
+    run = vector_index._products(pa.array(range(20)), q, np.zeros((1, 16)), 5, 0.0, np.full(20, -1.0), None, None)
+    assert sum(b.num_rows for b in run(iter([batch]))) <= 20 * 10
+    files = [p for d in Path(index.root.removeprefix("file://")).glob("vectors/list=*") for p in d.glob("part-*")]
+    assert len(files) <= len(index.centroids)  # a small list is one file
+
+
 def test_probed_lists_hold_nine_tenths(spark, index):
     rows, _ = vector_rows()
     queries, _ = asked(spark, rows)
