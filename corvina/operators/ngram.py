@@ -8,6 +8,8 @@ each is the character of its number (one to four bytes); the others stand betwee
 
 from __future__ import annotations
 
+import hashlib
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -37,6 +39,17 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: w != "")
 
 
+_LETTERS = bytes(c if ord("a") <= c <= ord("z") else 32 for c in range(256))
+
+
+def _lists(c: pa.Array) -> pa.Array:
+    """Lists of tokens; texts are split as ``tokens`` does."""
+    if not (pa.types.is_string(c.type) or pa.types.is_large_string(c.type)):
+        return c
+    plain = pa.array([None if t is None else t.lower().encode().translate(_LETTERS).strip() or None for t in c.to_pylist()], pa.binary())
+    return pc.ascii_split_whitespace(plain.cast(pa.string()))
+
+
 def windows(docs: DataFrame, order: int = 5, column: str = "tokens", *keep: str, separator: str = " ") -> DataFrame:
     """One row for each run of ``order`` tokens that has a next: ctx (joined), next."""
     starts = F.when(F.size(column) > order, F.sequence(F.lit(1), F.size(column) - order)).otherwise(F.array().cast("array<int>"))
@@ -94,12 +107,12 @@ class Vocabulary:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pc.value_counts(batch.column(0).flatten())
+        found = pc.value_counts(_lists(batch.column(0)).flatten())
         yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
 
 def vocabulary(docs: DataFrame, column: str = "tokens") -> Vocabulary:
-    """Words are counted over all of ``docs``; the driver holds the WORDS most frequent alone."""
+    """Words are counted over all of ``docs`` (tokens, or texts that tasks split); the driver holds the WORDS most frequent alone."""
     rows = docs.select(column).mapInArrow(_word_counts, "word string, n long").filter("word is not null")
     table = written(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = 10_000  # rarer words are told apart by their number, one row for each
@@ -173,21 +186,15 @@ def spelled(table: DataFrame, words: Vocabulary, columns: tuple[str, ...] = ("ct
     return table
 
 
-def bucket_counts(docs: DataFrame, order: int = 5, column: str = "tokens", held: Column | None = None, asked: Column | None = None, words: Vocabulary | None = None, spell: tuple[str, ...] = ("ctx", "next")) -> DataFrame:
-    """(bucket, ctx, next, freq, asked): how often a window occurs in the documents that are ``held`` (all if none are told), and in those ``asked`` (none).
-
-    Tokens must not be null or hold the characters U+001E and U+001F.  Null token arrays have no windows.  words: the ``vocabulary``
-    of these or other documents, if it is there.  What ``spell`` leaves out stays coded, to be ``spelled`` when there are fewer rows.
-    """
-    words = words or vocabulary(docs, column)
+def _dealt(docs: DataFrame, order: int, words: Vocabulary) -> DataFrame:
+    """(bucket, flag, runs) of documents (tokens, flag), dealt by bucket."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(PARTS, -(-words.tokens // TOKENS)))
-    flag = F.coalesce(held if held is not None else F.lit(True), F.lit(False)).cast("int") + 2 * F.coalesce(asked if asked is not None else F.lit(False), F.lit(False)).cast("int")
     known, numbers = words.words, CHARACTERS[: len(words.words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         characters = pa.array([chr(c) for c in numbers], pa.string())
         for batch in batches:
-            lists, flags = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            lists, flags = _lists(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             tokens, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends, a = np.append(0, np.cumsum(sizes)), 0
             while a < len(sizes):  # whole documents, some STEP tokens at once
@@ -196,13 +203,153 @@ def bucket_counts(docs: DataFrame, order: int = 5, column: str = "tokens", held:
                     yield found
                 a = b
 
-    rows = docs.select(F.col(column).alias("tokens"), flag.alias("flag")).mapInArrow(run, "bucket int, flag int, runs string").repartition(parts, "bucket")
+    return docs.mapInArrow(run, "bucket int, flag int, runs string").repartition(parts, "bucket")
+
+
+def bucket_counts(docs: DataFrame, order: int = 5, column: str = "tokens", held: Column | None = None, asked: Column | None = None, words: Vocabulary | None = None, spell: tuple[str, ...] = ("ctx", "next")) -> DataFrame:
+    """(bucket, ctx, next, freq, asked): how often a window occurs in the documents that are ``held`` (all if none are told), and in those ``asked`` (none).
+
+    Tokens must not be null or hold the characters U+001E and U+001F.  Null token arrays have no windows.  words: the ``vocabulary``
+    of these or other documents, if it is there.  What ``spell`` leaves out stays coded, to be ``spelled`` when there are fewer rows.
+    """
+    words = words or vocabulary(docs, column)
+    flag = F.coalesce(held if held is not None else F.lit(True), F.lit(False)).cast("int") + 2 * F.coalesce(asked if asked is not None else F.lit(False), F.lit(False)).cast("int")
+    rows = _dealt(docs.select(F.col(column).alias("tokens"), flag.alias("flag")), order, words)
     rows = rows.select("bucket", "flag", F.explode(F.split("runs", RUN_END)).alias("run")).select("bucket", "flag", _characters(F.col("run")).alias("tokens"))
     both = [F.count_if(F.col("flag").bitwiseAND(bit) > 0).alias(name) for bit, name in ((1, "freq"), (2, "asked"))]
     table = windows(rows, order, "tokens", "bucket", "flag", separator="").groupBy("bucket", "ctx", "next").agg(*(both if asked is not None else [both[0]]))
     return spelled(table, words, spell, order)
 
 
+#: Bits of a code within a key; windows that a task holds, rows that it gives at once; the first id of words without a character.
+CODE, HELD, GIVEN = 21, 3_000_000, 200_000
+RARE = 0x110000
+#: What is told of a window: the hash of its context, its next, and how often it occurs.
+TOLD = np.dtype([("hash", "<u8"), ("next", "<u4"), ("freq", "<i8")])
+
+
+class _Windows:
+    """Windows of a task as whole numbers, three codes to a key, and how often each occurs.  Words without a character get unused ones, of this task."""
+
+    def __init__(self, order: int, first: int):
+        self.order, self.first = order, first
+        self._cleared()
+
+    def _cleared(self) -> None:
+        self.rare, self.told, self.size = {}, [], 0
+
+    def _rare(self, found: re.Match) -> str:
+        return chr(self.first + self.rare.setdefault(found[0], len(self.rare)))
+
+    @property
+    def full(self) -> bool:
+        return self.size > HELD or 2 * len(self.rare) > RARE - self.first
+
+    def add(self, text: str) -> None:
+        if TOKEN_END in text:
+            text = re.sub(f"{TOKEN_END}[^{TOKEN_END}]*{TOKEN_END}", self._rare, text)
+        codes, width = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), self.order + 1
+        ends = np.append(0, np.cumsum(codes == ord(RUN_END)))
+        at = np.flatnonzero(ends[width:] == ends[:-width]) if len(codes) >= width else np.array([], np.int64)
+        keys = []
+        for k in range(0, width, 3):
+            key = np.zeros(len(at), np.uint64)
+            for i in range(k, min(k + 3, width)):
+                key = key << np.uint64(CODE) | codes[at + i]
+            keys.append(key)
+        self._merged([(keys, np.ones(len(at), np.int64))])
+        if len(self.told) > 8:
+            told, self.told, self.size = self.told, [], 0
+            self._merged(told)
+
+    def _merged(self, some: list) -> None:
+        keys, n = [np.concatenate(k) for k in zip(*(k for k, _ in some), strict=True)], np.concatenate([n for _, n in some])
+        if not len(n):
+            return
+        by = np.lexsort(keys[::-1])
+        keys = [k[by] for k in keys]
+        heads = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], 0)))
+        self.told.append(([k[heads] for k in keys], np.add.reduceat(n[by], heads)))
+        self.size += len(heads)
+
+    def given(self, parts: int) -> Iterator[pa.RecordBatch]:
+        if self.told:
+            told, self.told = self.told, []
+            self._merged(told)
+            [(keys, n)] = self.told
+            # a digest tells rare words apart in all tasks alike
+            rare = [RARE + int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") % ((1 << 31) - RARE) for w in self.rare]
+            ids, width = np.append(np.arange(self.first), rare).astype("<u4"), self.order + 1
+            rows = np.empty((len(n), width), "<u4")
+            for i in range(width):
+                after = min(i // 3 * 3 + 3, width) - 1 - i
+                rows[:, i] = ids[keys[i // 3] >> np.uint64(CODE * after) & np.uint64((1 << CODE) - 1)]
+            h = fnv1a_rows(rows[:, :-1])
+            # in the order of signed numbers
+            part = ((h >> np.uint64(32) ^ np.uint64(1 << 31)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[by], np.arange(parts + 1))
+            for k in np.flatnonzero(np.diff(edges)):
+                for a in range(edges[k], edges[k + 1], GIVEN):
+                    some = by[a : min(a + GIVEN, edges[k + 1])]
+                    told = np.empty(len(some), TOLD)
+                    told["hash"], told["next"], told["freq"] = h[some], rows[some, -1], n[some]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(some)], pa.int64()), pa.array([rows[some, :-1].tobytes()], pa.binary()), pa.array([told.tobytes()], pa.binary())], ["part", "n", "ctx", "told"])
+        self._cleared()
+
+
+def fnv1a_rows(ids: np.ndarray) -> np.ndarray:
+    """FNV-1a over the little-endian bytes of the ids of each row."""
+    h = np.full(len(ids), 0xCBF29CE484222325, np.uint64)
+    for i in range(ids.shape[1]):
+        for shift in (0, 8, 16, 24):
+            h = (h ^ (ids[:, i].astype(np.uint32) >> np.uint32(shift) & np.uint32(255)).astype(np.uint64)) * np.uint64(0x100000001B3)
+    return h
+
+
+def id_counts(docs: DataFrame, order: int = 5, column: str = "tokens") -> DataFrame:
+    """(part, n, ctx, told): how often windows occur, by ids of words: that of a frequent word is its character, that of another a digest of 31 bits.
+
+    A row packs ``n`` windows, of one of equal ranges of the hash of contexts: ``ctx`` are the ids of each, ``told`` the TOLD of each.  Tasks count
+    the windows of their buckets as numbers.  Where more than HELD differ in one task, a window may come several times, to be added up.
+    """
+    words = vocabulary(docs, column)
+    first, parts = int(CHARACTERS[len(words.words)]), max(1, -(-words.tokens // TOKENS))
+    rows = _dealt(docs.select(F.col(column).alias("tokens"), F.lit(1).alias("flag")), order, words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, texts, size = _Windows(order, first), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                texts.append(text)
+                size += len(text)
+                if size >= STEP:
+                    found.add("".join(texts))
+                    texts, size = [], 0
+                    if found.full:
+                        yield from found.given(parts)
+        found.add("".join(texts))
+        yield from found.given(parts)
+
+    return rows.select("runs").mapInArrow(count, "part int, n long, ctx binary, told binary")
+
+
+def id_rows(packed: DataFrame, order: int = 5, share: float = 1.0) -> DataFrame:
+    """(ctx array<int>, next int, freq long) of ``id_counts``: of the ``share`` of contexts whose hash, mixed again, is least."""
+    most = np.uint64(min(int(share * 2**32), 2**32))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ctx, told in zip(batch.column(0), batch.column(1), strict=True):
+                told = np.frombuffer(told.as_buffer(), TOLD)
+                some = np.flatnonzero(_mixed(_mixed(told["hash"])) >> np.uint64(32) < most)
+                ids = np.frombuffer(ctx.as_buffer(), "<u4").reshape(-1, order)[some].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * order), pa.array(ids.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(told["next"][some].astype(np.int32)), pa.array(told["freq"][some])], ["ctx", "next", "freq"])
+
+    return packed.select("ctx", "told").mapInArrow(unpack, "ctx array<int>, next int, freq long")
+
+
 def counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ctx", "next").agg(F.count("*").alias("freq"))
 

@@ -10,12 +10,12 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ..lexicons import load
-from ..operators import curate
+from ..operators import curate, ngram
 from ..session import scratch_folder, written
 from ..sources import ngram_file as source
 from ..sources import collection, readers, sinks
 from . import query, table
-from .grams import COUNTED, counted
+from .grams import COUNTED
 
 
 _held: list[tempfile.TemporaryDirectory] = []
@@ -81,16 +81,13 @@ def sqlite_scan(spark, sf_dir):
 @query(f"WITH {COUNTED}, t AS (SELECT ctx, sum(freq) AS total, count(*) AS nexts FROM tab GROUP BY ctx) SELECT count(*) AS contexts, sum(nexts)::BIGINT AS entries, sum(total)::BIGINT AS freq FROM t")
 def ngram_file(spark, sf_dir):
     """The n-gram table of all documents, in shards that tasks write: written, verified, and its contexts, entries and frequencies counted by the data source."""
-    words = lambda c: F.transform(F.split(c, " "), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 31)).cast("int"))
-    rows = counted(spark, sf_dir).select(words(F.col("ctx")).alias("ctx"), words(F.col("next"))[0].alias("next"), F.col("freq").cast("int").alias("freq"))
-    rows = written(rows, "ngram-table")
+    packed = written(ngram.id_counts(table(spark, sf_dir, "documents"), column="text"), "ngram-table")
     path = re.sub("^file:/*", "/", scratch_folder(spark, "ngrams"))
-    source.write_table(rows, path, 5, shard=20_000, stored=True)
-    if sinks.verify_ngram_file(rows, path):
+    source.write_packed(packed, path, 5, shard=20_000)
+    n = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if sinks.differing(lambda share: ngram.id_rows(packed, 5, share), n, path):
         raise ValueError("the file does not hold what was written")
-    source.register(spark)
-    rows = spark.read.format("ngram_file").load(path)
-    return rows.agg(F.countDistinct("ctx_hash").alias("contexts"), F.count("*").alias("entries"), F.sum("freq").alias("freq"))
+    return source.totals(spark, path)
 
 
 @query("SELECT doc_id, concat('# ', source, chr(10), chr(10), '**URL** : u', chr(10), '**Category** : ', lang, chr(10), '**Date** : 2024', chr(10), chr(10), 'body ', doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(10), '- a', chr(10), '- b') ELSE '' END) AS note FROM documents")

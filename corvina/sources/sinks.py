@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import struct
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -215,15 +216,23 @@ def write_files(rows: DataFrame, path: str) -> DataFrame:
 
 
 def verify_ngram_file(table: DataFrame, path: str, sample: int = 100) -> int:
-    """Looks up at most ``sample`` contexts (by hash order) of a table file or folder and compares their nexts; the number that differ."""
+    """Looks up at most ``sample`` contexts (by hash order) of a table file or folder and compares their nexts, rows of one next added up; the number that differ."""
+
+    def some(share: float) -> DataFrame:
+        # of the contexts of least hash alone, as the table may be large
+        return table if share == 1 else table.filter(F.xxhash64("ctx") < int(-(1 << 63) + share * (1 << 64)))
+
+    return differing(some, table.count(), path, sample)
+
+
+def differing(some: Callable[[float], DataFrame], n: int, path: str, sample: int = 100) -> int:
+    """Of ``some`` (a share of the contexts of a table of ``n`` rows: ctx, next, freq), at most ``sample`` are looked up in a table file or folder; the number that differ."""
     from .ngram_file import NgramTable
 
-    f, n, share = NgramTable(path), table.count(), 4.0
+    f, share = NgramTable(path), 4.0
     while True:
-        # of the contexts of least hash alone, as the table may be large
         part = min(1.0, share * sample / max(n, 1))
-        some = table if part == 1 else table.filter(F.xxhash64("ctx") < int(-(1 << 63) + part * (1 << 64)))
-        g = some.groupBy("ctx").agg(F.collect_set(F.struct("next", "freq")).alias("nexts")).orderBy(F.xxhash64("ctx")).limit(sample).collect()
+        g = some(part).groupBy("ctx", "next").agg(F.sum("freq").alias("freq")).groupBy("ctx").agg(F.collect_set(F.struct("next", "freq")).alias("nexts")).orderBy(F.xxhash64("ctx")).limit(sample).collect()
         if len(g) >= sample or part == 1:
             break
         share *= 16

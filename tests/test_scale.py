@@ -2,8 +2,10 @@
 
 import dataclasses
 import random
+import re
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -19,7 +21,7 @@ from corvina.functions import text as tx
 from corvina.queries import QUERIES, SQL, streams
 from corvina.queries.words import LEXICON as WORDS
 from corvina.session import scratch_folder
-from corvina.sources import sinks
+from corvina.sources import ngram_file, sinks
 
 SF = "/root/testdata/sf0.01"
 
@@ -150,3 +152,30 @@ def test_gates_come_in_bounded_batches(spark, monkeypatch):
     rows = [spark.read.parquet(f"file://{f}").count() for f in files]
     assert len(rows) > 4 and max(rows) <= 500
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, QUERIES["gates_cooldown"](spark, "/root/testdata/sf0.001").collect()))
+
+
+def test_ngram_file_counts_packed_windows(spark, monkeypatch, tmp_path):
+    """Windows of frequent and other words, of tasks that give what they hold several times, in shards of which half the slots are full."""
+    monkeypatch.setattr(ngram, "WORDS", 9)
+    monkeypatch.setattr(ngram, "HELD", 40)
+    monkeypatch.setattr(ngram, "STEP", 100)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(("Ab", "c", "dE-f", "g1", "K", "h" + "xyz"[r.randrange(3)] * r.randrange(5))) for _ in range(r.randrange(90))) for _ in range(40)] + [None, "", " 7 "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = Counter()
+    for t in texts:
+        w = re.findall("[a-z]+", (t or "").lower())
+        want.update((tuple(w[i : i + 2]), w[i + 2]) for i in range(len(w) - 2))
+    packed = ngram.id_counts(docs, 2, "text").persist()
+    rows = packed.count(), sorted(Counter(want.values()).items())
+    some = ngram.id_rows(packed, 2).groupBy("ctx", "next").agg(F.sum("freq").alias("freq")).collect()
+    assert sorted(Counter(x["freq"] for x in some).items()) == rows[1] and ngram.id_rows(packed, 2).count() > len(want)
+    path = str(tmp_path / "t")
+    ngram_file.write_packed(packed, path, 2, shard=20)
+    assert all(s["contexts"] <= 16 for s in ngram_file.shards(path)) and sum(s["contexts"] == 16 for s in ngram_file.shards(path)) > 2
+    table = ngram_file.NgramTable(path)
+    for x in some:
+        assert (x["next"], x["freq"]) in table.lookup(x["ctx"])
+    assert tuple(ngram_file.totals(spark, path).first()) == (len({c for c, _ in want}), len(want), sum(want.values()))
+    assert sinks.differing(lambda share: ngram.id_rows(packed, 2, share), len(want), path, 1000) == 0
+    assert sinks.differing(lambda share: ngram.id_rows(packed, 2, share).withColumn("freq", F.col("freq") + 1), len(want), path, 20) == 20
