@@ -13,6 +13,8 @@ from .scores import CERTAIN, token_chunks
 
 #: Rows of a batch of gates (and four batches at least).
 BATCH = 500_000
+#: Rows of a batch to a partition of state.
+PART = 40_000
 
 _MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
@@ -76,14 +78,16 @@ def stream_gates(spark, sf_dir):
     rows = every[0].select(*columns)
     for more in every[1:]:
         rows = rows.unionByName(more.select(*columns))
-    path, at = scratch_folder(spark, "gate-events"), F.unix_micros("ts")
+    path = scratch_folder(spark, "gate-events")
     batches = max(4, -(-rows.count() // BATCH))
-    # quantiles, as a span of time may hold most rows; rows of one time share a batch
-    edges = rows.agg(F.percentile_approx(at, [k / batches for k in range(1, batches)]).alias("x")).first()["x"]
-    edges = sorted(set(edges or []))
-    for a, b in zip([None, *edges], [*edges, None], strict=True):
-        part = rows if a is None else rows.filter(at >= a)
-        # one file, so that it is one batch: state, not the batch, holds what was before
-        (part if b is None else part.filter(at < b)).coalesce(1).write.mode("append").parquet(path)
+    # a file each, so that it is one batch: state, not the batch, holds what was before; rows of one time share a batch
+    rows.repartitionByRange(batches, "ts").write.parquet(path)
+    monitor.in_order(spark, path)
     stream = stateful.prepared(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _run(spark, stateful.gates(stream), "append").select("id", "agent", "gate")
+    # a batch of BATCH rows needs no more partitions of state than these
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(parts), max(4, BATCH // PART)))
+    try:
+        return _run(spark, stateful.gates(stream), "append").select("id", "agent", "gate")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

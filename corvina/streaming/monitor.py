@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,16 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 def append_to(stream: DataFrame, path: str, checkpoint: str):
     """Continuous append of a stream to Parquet files (exactly once by the sink's log)."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def in_order(spark: SparkSession, path: str) -> None:
+    """Has files of a folder read by a stream in the order of their names, which is that of their times then; a store that keeps no such times is an error."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = {f.getPath().getName(): f for f in fs.listStatus(folder) if f.getPath().getName()[0] not in "._"}
+    first = max((f.getModificationTime() for f in files.values()), default=0) - 2000 * len(files)
+    for i, name in enumerate(sorted(files)):
+        fs.setTimes(files[name].getPath(), first + 2000 * i, -1)
+    times = [fs.getFileStatus(files[name].getPath()).getModificationTime() for name in sorted(files)]
+    if any(a >= b for a, b in zip(times, times[1:], strict=False)):
+        raise ValueError(f"times of the files of {path} can't be set")

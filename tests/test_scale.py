@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from corvina.queries import QUERIES, SQL, streams
 from corvina.queries.words import LEXICON as WORDS
 from corvina.session import scratch_folder
 from corvina.sources import ngram_file, sinks
+from corvina.streaming import stateful
 
 SF = "/root/testdata/sf0.01"
 
@@ -179,3 +181,32 @@ def test_ngram_file_counts_packed_windows(spark, monkeypatch, tmp_path):
     assert tuple(ngram_file.totals(spark, path).first()) == (len({c for c, _ in want}), len(want), sum(want.values()))
     assert sinks.differing(lambda share: ngram.id_rows(packed, 2, share), len(want), path, 1000) == 0
     assert sinks.differing(lambda share: ngram.id_rows(packed, 2, share).withColumn("freq", F.col("freq") + 1), len(want), path, 20) == 20
+
+
+def test_gates_hold_no_more_summaries_than_they_ask_for(spark):
+    """Reverts of one summary are counted as far as gates ask, and the batches are written by one pass, whose files come in the order of time."""
+    held = {}
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Summaries(dict):
+        containsKey, getValue, updateValue, iterator = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.items  # noqa: N815
+
+    gates = stateful.AgentGates(3600, 0, 7, 2, 30)
+    gates.told, gates.undone = State(), Summaries()
+    for start in (0, 100):
+        rows = pd.DataFrame({"id": range(100), "agent": "a", "pattern": ["Gone"] * 99 + ["two"], "ts": pd.to_datetime(range(start, start + 100), unit="D"), "kind": ["revert", "proposal"] * 50})
+        out = pd.concat(list(gates.handleInputRows(("a",), iter([rows]), None)))
+        held[start] = out["late"].tolist()
+    assert held == {0: [None] + ["blocked"] * 48 + [None], 100: ["blocked"] * 49 + [None]} and gates.undone == {("gone",): (2,)}
