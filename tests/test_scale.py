@@ -210,3 +210,20 @@ def test_gates_hold_no_more_summaries_than_they_ask_for(spark):
         out = pd.concat(list(gates.handleInputRows(("a",), iter([rows]), None)))
         held[start] = out["late"].tolist()
     assert held == {0: [None] + ["blocked"] * 48 + [None], 100: ["blocked"] * 49 + [None]} and gates.undone == {("gone",): (2,)}
+
+
+def test_fuzzy_moves_only_prefixes_and_what_is_in_pairs(spark, monkeypatch):
+    """The same answers where tokens are numbered, where only some are, and where nothing is broadcast; no set of an entry without pairs moves."""
+    monkeypatch.setattr(cache, "written", lambda rows, name: told.append(name) or rows.persist())
+    r = random.Random(5)
+    text = lambda k: " ".join(f"t{k * 7 + x}" for x in r.sample(range(10), r.randrange(1, 10)))
+    e = cache.entries(spark.createDataFrame([(i, text(i // 12)) for i in range(120)], "entry_id long, text string").withColumn("created_at", F.col("entry_id").cast("timestamp")))
+    q = cache.entries(spark.createDataFrame([(i, text(i // 3)) for i in range(30)], "query_id long, text string"))
+    found = []
+    for common, ids, tokens in ((1000, 1000, 1000), (3, 1000, 1000), (1000, 0, 0)):
+        for name, x in (("COMMON", common), ("BROADCAST_IDS", ids), ("BROADCAST_TOKENS", tokens)):
+            monkeypatch.setattr(cache, name, x)
+        told = []
+        found.append(sorted(map(tuple, cache.fuzzy(q, e).collect())))
+        assert told == ["asked", "held", "pairs"]
+    assert len(found[0]) > 5 and found[0] == found[1] == found[2]
